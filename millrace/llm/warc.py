@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.words import chunks
 from millrace.session import scratch_path
 
 MAGIC = b"\x1f\x8b\x08"
@@ -68,13 +69,13 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def _writer(folder: str):
+def _writer(folder: str, batch_html: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
         out = before = None
         size = 0
-        for batch in batches:
+        for batch in chunks(batches, batch_html, CHUNK):
             for r in batch.to_pylist():
                 if out is None:
                     fs, root = _filesystem(folder)
@@ -111,7 +112,7 @@ def write_warc(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, salts:
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int")).repartition("digest", "salt")
     # the join keeps that partitioning, so texts are shuffled once
     rows = rows.join(shared, ["digest", "salt"], "left").sortWithinPartitions("digest", "page_id", "url")
-    written = rows.mapInArrow(_writer(folder), "path string, bytes long").collect()  # a row an archive
+    written = rows.mapInArrow(_writer(folder, rows.columns.index("html")), "path string, bytes long").collect()  # a row an archive
     return [(r.path, r.bytes) for r in written]
 
 
@@ -207,7 +208,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 while record is not None:
                     rows.append(_parse(record[0]))
                     held += len(record[0])
-                    if held > 8 * CHUNK:
+                    if held > 2 * CHUNK:
                         yield pa.RecordBatch.from_pylist(rows, schema)
                         rows, held = [], 0
                     if record[2] >= r["hi"]:

@@ -5,16 +5,20 @@ from __future__ import annotations
 from millrace.llm.chat import op6_chat_format
 from millrace.llm.mixing import op10_mix
 from millrace.llm.ngram_join import op3_ngram_jaccard
+from millrace.llm.pii import op9_pii
 from millrace.llm.quality import op1_quality_rules
 from millrace.llm.sentencepiece import op8_sentencepiece
+from millrace.llm.toxicity import op4_toxicity
 from millrace.llm.warc import op7_warc
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_toxicity": op4_toxicity,
     "op6_chat_format": op6_chat_format,
     "op7_warc": op7_warc,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_pii": op9_pii,
     "op10_mix": op10_mix,
 }
 

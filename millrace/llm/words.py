@@ -73,13 +73,13 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def split_words(texts: pa.Array, lower: bool = False) -> Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of every text; ``lower`` lower-cases A-Z first."""
+def split_words(texts: pa.Array, lower: bool = False, inside: np.ndarray = ~SPACE) -> Words:
+    """Runs of bytes that ``inside`` marks, by default words ``[^\\x20\\x09-\\x0D]+``; ``lower`` lower-cases A-Z first."""
     data, offsets = text_bytes(texts)
     n = len(data) - 8
     if lower:
         data = LOWER[data]
-    full = ~SPACE[data[:n]]
+    full = inside[data[:n]]
     fresh = np.ones(n + 1, dtype=bool)  # a word may start here: a text or space before it
     np.logical_not(full[:-1], out=fresh[1:n])
     fresh[offsets] = True

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from millrace.llm.chat import op6_chat_format
 from millrace.llm.mixing import op10_mix
+from millrace.llm.near_vectors import op2_near_vectors
 from millrace.llm.ngram_join import op3_ngram_jaccard
 from millrace.llm.pii import op9_pii
 from millrace.llm.quality import op1_quality_rules
@@ -13,6 +14,7 @@ from millrace.llm.warc import op7_warc
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_near_vectors": op2_near_vectors,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_toxicity": op4_toxicity,
     "op6_chat_format": op6_chat_format,

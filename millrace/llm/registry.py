@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from millrace.llm.chat import op6_chat_format
+from millrace.llm.html_text import op5_html_text
 from millrace.llm.mixing import op10_mix
 from millrace.llm.near_vectors import op2_near_vectors
 from millrace.llm.ngram_join import op3_ngram_jaccard
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_near_vectors": op2_near_vectors,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_toxicity": op4_toxicity,
+    "op5_html_text": op5_html_text,
     "op6_chat_format": op6_chat_format,
     "op7_warc": op7_warc,
     "op8_sentencepiece": op8_sentencepiece,

@@ -42,6 +42,8 @@ FREQUENT = 32
 MAX_FREQUENT = 1 << 18
 #: Bits of the set of ids whose shingles are fetched for the trie; false positives only cost time.
 ID_BITS = 1 << 24
+#: Bits of the sketches that the join of round 2 tests.
+SMALL_BITS = 512
 #: Sets in one trie.
 TRIE_SETS = 256
 
@@ -168,7 +170,14 @@ def least_difference(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(_fold(x, size) ^ _fold(y, size)).sum())
 
 
-PROFILE = "id long, n long, s1 long, s2 long, prefix array<long>, listed int, sketch binary"
+def small_sketches(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Parities of every set in :data:`SMALL_BITS` bits, as rows of 64-bit words: a bound that a join can test."""
+    n = len(offsets) - 1
+    spot = np.repeat(np.arange(n), np.diff(offsets)) * SMALL_BITS + (h & np.uint64(SMALL_BITS - 1)).astype(np.int64)
+    return np.packbits(np.bincount(spot, minlength=n * SMALL_BITS) & 1).view(np.int64).reshape(n, SMALL_BITS // 64)
+
+
+PROFILE = "id long, n long, s1 long, s2 long, prefix array<long>, listed int, sketch binary, bits array<long>"
 
 
 def _profile(order: Order, words: int):
@@ -195,6 +204,7 @@ def _profile(order: Order, words: int):
                     pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(prefix.view(np.int64))),
                     pa.array((listed[to[1:]] - listed[to[:-1]]).astype(np.int32)),
                     pa.array(sketches, type=pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (SMALL_BITS // 64)), pa.array(small_sketches(h, offsets).ravel())),
                 ],
                 names=[x.split()[0] for x in PROFILE.split(", ")],
             )
@@ -366,8 +376,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     order = Order(*frequent_shingles(texts, "text", words))
     profiles = materialize(texts.mapInArrow(_profile(order, words), PROFILE), "profiles")
     full = profiles.where("n > 0")
-    unique = full.groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "prefix", "listed", "sketch")).alias("r"))
-    unique = unique.select(F.col("r.id").alias("node"), "n", F.col("r.prefix").alias("prefix"), F.col("r.listed").alias("listed"), F.col("r.sketch").alias("sketch"), "s1", "s2")
+    unique = full.groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "prefix", "listed", "sketch", "bits")).alias("r"))
+    unique = unique.select(F.col("r.id").alias("node"), "n", F.col("r.prefix").alias("prefix"), F.col("r.listed").alias("listed"), F.col("r.sketch").alias("sketch"), F.col("r.bits").alias("bits"), "s1", "s2")
     unique = materialize(unique, "unique")
 
     bits = _hash_buckets(texts).bit_length() - 1
@@ -390,10 +400,12 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # round 2: pairs of one shingle that round 1 left apart
     labelled = entries.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
     split = labelled.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("token")
-    apart = labelled.join(split, "token", "left_semi")
-    x = apart.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("part").alias("part_a"))
-    y = apart.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("part").alias("part_b"))
-    pairs = x.join(y, "token").where("a < b and part_a <> part_b")
+    apart = materialize(labelled.join(split, "token", "left_semi").join(unique.select("node", "bits"), "node"), "apart")
+    x = apart.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("part").alias("part_a"), F.col("bits").alias("x"))
+    y = apart.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("part").alias("part_b"), F.col("bits").alias("y"))
+    differ = sum((F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(1, SMALL_BITS // 64)), F.bit_count(F.col("x")[0].bitwiseXOR(F.col("y")[0])))
+    # every bound is part of the join's condition, so pairs that cannot be similar are never made
+    pairs = x.join(y, "token").where("a < b and part_a <> part_b").where(differ <= F.col("na") + F.col("nb") - 2 * _overlap())
     rest = _possible(pairs).distinct().join(near, ["a", "b"], "left_anti")
     rest = materialize(_close(rest, sketches), "pairs")
     more = _verify(rest, texts, order, words)
@@ -403,7 +415,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = profiles.select("id", "n", "s1", "s2").join(found, (profiles.s1 == found.s1) & (profiles.s2 == found.s2) & (profiles.n == found.n_), "left")
     rows = rows.select("id", "n", "node").join(parts, "node", "left")
     rows = materialize(rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "node", "id").alias("component_id")), "classes")
-    discard(profiles, unique, entries, near, rest, links, more, parts)
+    discard(profiles, unique, entries, near, apart, rest, links, more, parts)
     return rows
 
 
@@ -411,9 +423,13 @@ def _prefix_size():
     return F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
 
 
+def _overlap():
+    return F.ceil((F.col("na") + F.col("nb")) * PERCENT / (100 + PERCENT))
+
+
 def _possible(pairs: DataFrame) -> DataFrame:
     """Pairs that sizes and the positions of a shared shingle allow."""
-    need = F.ceil((F.col("na") + F.col("nb")) * PERCENT / (100 + PERCENT))
+    need = _overlap()
     # a shared shingle at positions pa and pb: what stands before is at most the smaller of both, plus the tails
     most = F.least(F.col("pa"), F.col("pb")) + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     sizes = (F.col("na") * 100 >= F.col("nb") * PERCENT) & (F.col("nb") * 100 >= F.col("na") * PERCENT)

@@ -13,6 +13,15 @@ from millrace.llm.sentencepiece import op8_sentencepiece
 from millrace.llm.toxicity import op4_toxicity
 from millrace.llm.warc import op7_warc
 
+
+
+def pipeline(spark, sf_dir: str):
+    """All stages of the pipeline over ``documents``."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_near_vectors": op2_near_vectors,
@@ -24,6 +33,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_pii": op9_pii,
     "op10_mix": op10_mix,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {}

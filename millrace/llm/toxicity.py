@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.words import Words, chunks, split_words
 
@@ -326,7 +327,7 @@ def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
             s = net.scores(batch.column(at)) if net else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*names, "toxicity_score"])
 
-    schema = docs.schema.add("toxicity_score", "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("toxicity_score", T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 

@@ -72,6 +72,29 @@ def _wire(data: bytes) -> Iterator[tuple[int, object]]:
             at += n
 
 
+class Sorted:
+    """Sorted 64-bit keys with values; where keys with the same leading bits begin is kept in a table."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        order = np.argsort(keys)
+        bits = max(1, int(4 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        # a last key that no probe passes
+        self.keys, self.values = np.append(keys[order], np.uint64(2**64 - 1)), np.append(values[order], -1)
+        self.begin = np.searchsorted(self.keys[:-1] >> self.shift, np.arange((1 << bits), dtype=np.uint64))
+
+    def probe(self, h: np.ndarray) -> np.ndarray:
+        """Values of keys, -1 for others."""
+        at = self.begin[h >> self.shift]
+        key = self.keys[at]
+        while len(late := np.flatnonzero(key < h)):
+            at[late] += 1
+            key[late] = self.keys[at[late]]
+            if not (key[late] < h[late]).any():
+                break
+        return np.where(key == h, self.values[at], -1)
+
+
 @dataclass
 class Model:
     """A piece table with what encoding needs, as plain arrays."""
@@ -153,19 +176,40 @@ class Model:
         self.of_rank = np.array([*order, -1])
 
     @cached_property
-    def keys(self) -> tuple[np.ndarray, np.ndarray, int]:
-        """Sorted hashes of usable pieces, their values (ranks for BPE, else ids) and the longest piece's length."""
-        hashes = np.array([self._hash(self.pieces[i]) for i in self.usable], dtype=np.uint64)
-        values = self.rank[self.usable] if self.model_type == BPE else self.usable
-        order = np.argsort(hashes)
-        return hashes[order], values[order], max(len(self.pieces[i]) for i in self.usable)
+    def keys(self) -> tuple[Sorted, int]:
+        """Keys of all beginnings of usable pieces and the longest piece's length.
+
+        Values are ranks for BPE, else ids; a beginning that is no piece has -2, so that probes can stop.
+        """
+        value = {self.pieces[i]: int(self.rank[i]) if self.model_type == BPE else i for i in self.usable.tolist()}
+        starts = {p[:n] for p in value for n in range(1, len(p) + 1)}
+        hashes = np.array([self._hash(p) for p in starts], dtype=np.uint64)
+        return Sorted(hashes, np.array([value.get(p, -2) for p in starts])), max(map(len, value))
+
+    @cached_property
+    def pairs(self) -> Sorted:
+        """Keys of pairs that merge, with the rank of what they make."""
+        return Sorted(mix64(self.pair_keys.astype(np.uint64)), self.pair_rank)
+
+    @cached_property
+    def alone(self) -> np.ndarray:
+        """Characters below 65,536 that no piece of several characters holds: words are cut around them."""
+        out = np.ones(1 << 16, dtype=bool)
+        for i in self.usable.tolist():
+            if len(self.pieces[i]) > 1:
+                out[[ord(c) for c in self.pieces[i] if ord(c) < 1 << 16]] = False
+        out[SPACE] = False
+        return out
 
     @staticmethod
     def _hash(piece: str) -> int:
-        h = np.zeros(1, dtype=np.uint64)
-        for c in piece:
-            h = extend(h, np.array([ord(c)], dtype=np.uint32))
-        return int(h[0])
+        h, full = 0, 2**64 - 1
+        for c in piece:  # as extend() does
+            h = ((h + 1) * int(_M) & full) ^ ord(c)
+            h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & full
+            h = (h ^ h >> 27) * 0x94D049BB133111EB & full
+            h ^= h >> 31
+        return h
 
     @cached_property
     def bytes_of(self) -> list[bytes]:
@@ -202,11 +246,6 @@ def extend(h: np.ndarray, c: np.ndarray) -> np.ndarray:
         return mix64((h + np.uint64(1)) * _M ^ c.astype(np.uint64))
 
 
-def probe(keys: np.ndarray, values: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-    return np.where(keys[at] == h, values[at], -1)
-
-
 def stays_apart(model: Model, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether BPE leaves pieces ``a`` and ``b`` (ranks) apart where they meet."""
     a, b = a.copy(), b.copy()
@@ -215,7 +254,7 @@ def stays_apart(model: Model, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     live = np.flatnonzero(apart)
     while len(live):
         x, y = a[live], b[live]
-        merged = probe(model.pair_keys, model.pair_rank, x << 32 | y)
+        merged = model.pairs.probe(mix64((x << 32 | y).astype(np.uint64)))
         clash = (merged >= 0) & (merged < limit[live])
         apart[live[clash]] = False
         live = live[~clash]
@@ -231,17 +270,26 @@ def stays_apart(model: Model, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return apart
 
 
-def _best(model: Model, chars: np.ndarray) -> np.ndarray:
-    """Length of the last piece at every end position (columns 1..L) of equal-length words (rows)."""
-    keys, values, longest = model.keys
+def _best(model: Model, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Length and value of the last piece at every end position (columns 1..L) of equal-length words (rows)."""
+    keys, longest = model.keys
     count, size = chars.shape
     longest = min(longest, size)
-    found = []
-    h = np.zeros((count, size), dtype=np.uint64)
+    found = np.full((longest + 1, count * size), -1, dtype=np.int64)  # by length and start
+    live, h = np.arange(count * size), np.zeros(count * size, dtype=np.uint64)
+    flat, room = chars.ravel(), size - np.arange(count * size) % size
     for n in range(1, longest + 1):
-        h = extend(h[:, : size - n + 1], chars[:, n - 1 :])
-        found.append(probe(keys, values, h))
+        if n > 1:
+            more = (found[n - 1][live] != -1) & (room[live] >= n)  # beginnings of longer pieces only
+            live, h = live[more], h[more]
+        if not len(live):
+            break
+        h = extend(h, flat[live + n - 1])
+        found[n][live] = keys.probe(h)
+    found = found.reshape(longest + 1, count, size)
     back = np.ones((count, size + 1), dtype=np.int16)
+    piece_at = np.full((count, size + 1), -1, dtype=np.int64)
+    every = np.arange(count)
     if model.model_type == UNIGRAM:
         score = np.full((count, size + 1), -np.inf)
         score[:, 0] = 0
@@ -250,67 +298,66 @@ def _best(model: Model, chars: np.ndarray) -> np.ndarray:
             lengths = range(min(end, longest), 0, -1)  # the longest first: it wins ties
             options = []
             for n in lengths:
-                piece = found[n - 1][:, end - n]
+                piece = found[n, :, end - n]
                 gain = np.where(piece >= 0, model.scores[piece], penalty if n == 1 else -np.inf)
                 options.append(score[:, end - n] + gain)
             options = np.array(options)
             pick = options.argmax(axis=0)
-            score[:, end] = options[pick, np.arange(count)]
+            score[:, end] = options[pick, every]
             back[:, end] = min(end, longest) - pick
-        return back
+            piece_at[:, end] = np.maximum(found[back[:, end], every, end - back[:, end]], -1)
+        return back, piece_at
     none = len(model.left) - 1  # an unknown character merges with nothing
     last = np.full((count, size + 1), none, dtype=np.int64)
     for end in range(1, size + 1):
         todo = np.ones(count, dtype=bool)
         for n in range(min(end, longest), 0, -1):
-            piece = found[n - 1][:, end - n]
+            piece = found[n, :, end - n]
             rows = np.flatnonzero(todo & (piece >= 0))
             if not len(rows):
                 continue
-            ok = stays_apart(model, last[rows, end - n] if n < end else np.full(len(rows), none), piece[rows])
+            ok = stays_apart(model, last[rows, end - n], piece[rows])
             rows = rows[ok]
             last[rows, end], back[rows, end] = piece[rows], n
             todo[rows] = False
-    return back
+    return back, model.of_rank[last]
+
+
+def _utf8(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of characters end to end, and how many each has."""
+    n = 1 + (c >= 0x80).astype(np.int64) + (c >= 0x800) + (c >= 0x10000)
+    c, width = np.repeat(c.astype(np.int64), n), np.repeat(n, n)
+    place = np.arange(len(c)) - np.repeat(np.cumsum(n) - n, n)
+    low = (c >> (6 * (width - 1 - place))) & 0x3F | 0x80
+    head = np.select([width == 1, width == 2, width == 3], [c, c >> 6 | 0xC0, c >> 12 | 0xE0], c >> 18 | 0xF0)
+    return np.where(place == 0, head, low), n
 
 
 def _ids(model: Model, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of equal-length words end to end, and how many each has."""
-    back = _best(model, chars)
+    back, piece = _best(model, chars)
     count, size = chars.shape
-    keys, values, _ = model.keys
-    at = np.full(count, size)
-    cells: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # rows, starts, ids, from the end
-    while (rows := np.flatnonzero(at > 0)).size:
-        n = back[rows, at[rows]].astype(np.int64)
-        start = at[rows] - n
-        h = np.zeros(len(rows), dtype=np.uint64)
-        for k in range(int(n.max())):
-            more = n > k
-            h[more] = extend(h[more], chars[rows[more], start[more] + k])
-        value = probe(keys, values, h)
-        if model.model_type == BPE:
-            value = np.where(value >= 0, model.of_rank[value], -1)
-        cells.append((rows, start, value))
-        at[rows] = start
-    row, start, value = (np.concatenate(x) for x in zip(*cells, strict=True))
-    order = np.lexsort((start, row))
-    row, start, value = row[order], start[order], value[order]
+    ends = np.zeros((count, size + 1), dtype=bool)
+    rows, at = np.arange(count), np.full(count, size)
+    while len(rows):
+        ends[rows, at] = True
+        at = at - back[rows, at]
+        rows, at = rows[at > 0], at[at > 0]
+    row, end = np.nonzero(ends)
+    value = piece[row, end]
     if (value < 0).any():
-        parts, owner = [], []
-        for r, s, v in zip(row.tolist(), start.tolist(), value.tolist(), strict=True):
-            if v >= 0:
-                parts.append(v)
-            elif model.byte_ids is None:
-                if parts and parts[-1] == model.unknown and owner[-1] == r:
-                    continue
-                parts.append(model.unknown)
-            else:
-                more = model.byte_ids[list(chr(int(chars[r, s])).encode())].tolist()
-                parts += more
-                owner += [r] * (len(more) - 1)
-            owner.append(r)
-        row, value = np.array(owner), np.array(parts)
+        unknown = value < 0
+        if model.byte_ids is None:
+            value = np.where(unknown, model.unknown, value)
+            again = np.append(False, unknown[1:] & unknown[:-1] & (row[1:] == row[:-1]))
+            row, value = row[~again], value[~again]
+        else:
+            raw, n = _utf8(chars[row[unknown], end[unknown] - 1])
+            width = np.ones(len(value), dtype=np.int64)
+            width[unknown] = n
+            row, spread = np.repeat(row, width), np.repeat(unknown, width)
+            value = np.repeat(value, width)
+            value[spread] = model.byte_ids[raw]
     return value.astype(np.int32), np.bincount(row, minlength=count)
 
 
@@ -356,14 +403,18 @@ class Encoder:
         space = points == SPACE
         begin = space & ~np.append(False, space[:-1])
         begin[at[:-1][at[:-1] < len(points)]] = True
+        alone = self.model.alone[np.minimum(points, 0xFFFF)]
+        begin |= alone
+        begin[1:] |= alone[:-1]
         start = np.flatnonzero(begin)
         long = np.flatnonzero(np.diff(np.append(start, len(points))) > LONG_WORD)
         if len(long):
-            pairs = points[:-1].astype(np.int64) << 32 | points[1:]
+            pairs, joined = points[:-1].astype(np.int64) << 32 | points[1:], self.model.joined
             ends = np.append(start, len(points))
             for i in long:
                 inside = pairs[ends[i] : ends[i + 1] - 1]
-                begin[ends[i] + 1 + np.flatnonzero(probe(self.model.joined, self.model.joined, inside) < 0)] = True
+                spot = np.minimum(np.searchsorted(joined, inside), len(joined) - 1)
+                begin[ends[i] + 1 + np.flatnonzero(joined[spot] != inside)] = True
             start = np.flatnonzero(begin)
         return start, np.append(start[1:], len(points))
 

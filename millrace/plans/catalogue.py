@@ -1,26 +1,6 @@
-"""Named queries over the provided tables, each with the SQL it has to equal."""
+"""All registered queries."""
 
-from __future__ import annotations
+from millrace.plans import corpus_queries, evaluation_queries, journal_queries, relational_queries  # noqa: F401
+from millrace.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from millrace.functions import text as T
-from millrace.session import table
-
-
-def exact_dup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of documents whose normalised texts are equal."""
-    docs = table(spark, sf_dir, "documents")
-    keyed = docs.select("doc_id", F.sha2(T.norm_key(F.col("text")), 256).alias("key_hash"))
-    out = keyed.groupBy("key_hash").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
-    return out.where("n_docs > 1")
-
-
-QUERIES = {"exact_dup_clusters": exact_dup_clusters}
-ORACLE_SQL = {
-    "exact_dup_clusters": """
-        SELECT sha256(trim(regexp_replace(lower(text), '[ \\t\\r\\n]+', ' ', 'g'))) AS key_hash,
-               count(*) AS n_docs, min(doc_id) AS first_doc
-        FROM documents GROUP BY 1 HAVING count(*) > 1""",
-}
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -7,6 +7,7 @@ from millrace.llm.html_text import op5_html_text
 from millrace.llm.mixing import op10_mix
 from millrace.llm.near_vectors import op2_near_vectors
 from millrace.llm.ngram_join import op3_ngram_jaccard
+from millrace.llm.oracles import ORACLE_SQL
 from millrace.llm.pii import op9_pii
 from millrace.llm.quality import op1_quality_rules
 from millrace.llm.sentencepiece import op8_sentencepiece
@@ -36,4 +37,4 @@ QUERIES = {
     "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

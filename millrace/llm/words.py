@@ -88,7 +88,7 @@ def split_words(texts: pa.Array, lower: bool = False, inside: np.ndarray = ~SPAC
     return Words(data, start, end, np.searchsorted(start, offsets), offsets)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: int, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterator[pa.RecordBatch], text: int, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut by rows so that texts (column ``text``) of a piece hold about ``max_bytes``; no text is cut."""
     for batch in batches:
         if not batch.num_rows:

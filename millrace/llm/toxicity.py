@@ -149,11 +149,21 @@ def _squeeze(rows: np.ndarray) -> np.ndarray:
     return np.concatenate([rows[keep], np.zeros((PAD, 2), rows.dtype)])
 
 
-def _log_odds(rows: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def pack(h: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Both buckets of every word in 32 bits: all that training needs of a word."""
+    return ((h >> np.uint64(48)) << np.uint64(16) | p >> np.uint64(48)).astype(np.uint32)
+
+
+def _unpack(words: np.ndarray) -> np.ndarray:
+    """Buckets of words and of first bytes, the latter from :data:`BUCKETS` on, as two columns."""
+    return np.stack([words >> np.uint32(16), (words & np.uint32(0xFFFF)) + np.uint32(BUCKETS)], axis=1)
+
+
+def _log_odds(texts: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """By bucket: texts that hold it, and its smoothed log odds over their standard error."""
     n, pos = np.zeros(2 * BUCKETS), np.zeros(2 * BUCKETS)
-    for r, y in zip(rows, toxic, strict=True):
-        held = np.unique(r)
+    for words, y in zip(texts, toxic, strict=True):
+        held = np.unique(_unpack(np.unique(words)))
         n[held] += 1
         pos[held] += y
     share = toxic.mean()
@@ -161,14 +171,13 @@ def _log_odds(rows: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np
     return n, (np.log(a / b) - np.log(share / (1 - share))) / np.sqrt(1 / a + 1 / b)
 
 
-def fit(texts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, hold: np.ndarray, seed: int = 11) -> Network | None:
-    """Train on texts given as hashes of words and of first bytes; rows that ``hold`` marks only calibrate and stop."""
+def fit(texts: list[np.ndarray], toxic: np.ndarray, langs: np.ndarray, hold: np.ndarray, seed: int = 11) -> Network | None:
+    """Train on texts as packed words; rows that ``hold`` marks only calibrate and stop the fit."""
     train = np.flatnonzero(~hold)
     if min(toxic[train].sum(), (1 - toxic[train]).sum()) < LEAST_CLASS:
         return None
     rng = np.random.default_rng(seed)
-    held = [np.concatenate([_bucket(h), _bucket(p[p != 0]) + BUCKETS]) for h, p in texts]
-    n, odds = _log_odds([held[i] for i in train], toxic[train])
+    n, odds = _log_odds([texts[i] for i in train], toxic[train])
     known = np.flatnonzero((n >= LEAST_ROWS) & (np.abs(odds) >= LEAST_ODDS))
     known = known[known != BUCKETS]  # short words
     row_of = np.zeros(2 * BUCKETS, dtype=np.int32)
@@ -186,7 +195,7 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, hold: np.
     for k in range(3):
         out[k::FILTERS] += 0.3
     net = Network(row_of, embed, filters, biases, out, -2.0, np.zeros(len(LANGUAGES)))
-    rows = [_squeeze(np.stack([row_of[_bucket(h)], row_of[_bucket(p) + BUCKETS]], axis=1)) for h, p in texts]
+    rows = [_squeeze(row_of[_unpack(words)]) for words in texts]
     slow = [np.zeros_like(x) for x in (embed, *filters, *biases, out)]
     slow_bias, best, kept, hold_at = 0.0, np.inf, None, np.flatnonzero(hold)
 
@@ -258,8 +267,7 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, hold: np.
     net.embed, net.filters, net.biases, net.out, net.bias = kept
     embed = net.embed
     z = held_logits()
-    langs = np.array([int(guess_language(texts[i][0], np.array([0, len(texts[i][0])]))[0]) for i in hold_at], dtype=np.int64)
-    net.shift = calibrate(z, toxic[hold_at], langs)
+    net.shift = calibrate(z, toxic[hold_at], langs[hold_at])
     return net
 
 
@@ -299,22 +307,22 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, seed: int
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, 1):
             h, p, first = _hash_both(batch.column(1))
-            at = pa.array(first.astype(np.int32))
-            words, starts = (pa.ListArray.from_arrays(at, pa.array(x.view(np.int64))) for x in (h, p))
-            yield pa.RecordBatch.from_arrays([batch.column(0), words, starts, batch.column(2), batch.column(3)], names=["doc_id", "words", "starts", "toxic", "order"])
+            words = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(pack(h, p).view(np.int32)))
+            lang = pa.array(guess_language(h, first).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), words, lang, batch.column(2), batch.column(3)], names=["doc_id", "words", "lang", "toxic", "order"])
 
     marks = F.broadcast(marks)  # at most `rows` rows
-    sample = docs.select("doc_id", "text").join(marks, "doc_id").mapInArrow(hashed, "doc_id long, words array<long>, starts array<long>, toxic int, order long")
+    sample = docs.select("doc_id", "text").join(marks, "doc_id").mapInArrow(hashed, "doc_id long, words array<int>, lang int, toxic int, order long")
     table = sample.toArrow()
     order = np.lexsort((table.column("doc_id").to_numpy(), table.column("order").to_numpy()))
-    lists = [table.column(c).combine_chunks() for c in ("words", "starts")]
-    at = lists[0].offsets.to_numpy()
-    words, starts = (x.values.to_numpy().view(np.uint64) for x in lists)
-    texts = [(words[at[i] : at[i + 1]], starts[at[i] : at[i + 1]]) for i in order]
+    lists = table.column("words").combine_chunks()
+    words, at = lists.values.to_numpy().view(np.uint32), lists.offsets.to_numpy()
+    texts = [words[at[i] : at[i + 1]] for i in order]
+    langs = table.column("lang").to_numpy()[order]
     toxic = table.column("toxic").to_numpy()[order].astype(np.float64)
     if not len(toxic):
         return None
-    return fit(texts, toxic, np.arange(len(toxic)) % HOLD_OUT == 0, seed)
+    return fit(texts, toxic, langs, np.arange(len(toxic)) % HOLD_OUT == 0, seed)
 
 
 def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -179,7 +179,7 @@ def chunk_header(insurer: Column, doc: Column, section: Column, page: Column, ti
 
 def percent(value: Column, missing: str = "N/A") -> Column:
     """One decimal, or a word where the value is missing: missing is not zero."""
-    return F.coalesce(F.format_string("%.1f%%", value * 100), F.lit(missing))
+    return F.when(value.isNull(), F.lit(missing)).otherwise(F.format_string("%.1f%%", value * 100))
 
 
 def formula_safe(cell: Column, rule: str = "first") -> Column:

@@ -1,0 +1,248 @@
+"""Operators on the cases that they exist for."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.operators import bootstrap, corpus, decontam, gates, metrics, quota, refusal, retrieval, splits, votes
+
+VOTE = "task string, vote int, fact_scores array<int>, contradiction boolean, evidence_spans array<string>"
+
+
+def merged(spark, rows):
+    return {r.task: r for r in votes.merge_votes(spark.createDataFrame(rows, VOTE)).collect()}
+
+
+def test_vote_merge_cases(spark):
+    got = merged(
+        spark,
+        [
+            ("two", 1, [0], True, ["a"]), ("two", 2, [2], False, ["b"]),
+            ("three", 1, [2, 0], False, ["x", "p"]), ("three", 2, [0, 0], False, ["y", "q"]), ("three", 3, [1, 0], True, ["z", "r"]),
+            ("one", 1, [2], False, None),
+        ],
+    )
+    assert got["two"].fact_scores == [0] and got["two"].contradiction and got["two"].tie_break == "contradiction_tie_to_true" and got["two"].evidence_spans == ["a"]
+    assert got["three"].fact_scores == [1, 0] and not got["three"].contradiction and got["three"].evidence_spans == ["z", "p"] and got["three"].n_facts_disagreed == 1
+    assert not got["one"].enough and got["one"].fact_scores is None
+
+
+def test_vote_validity(spark):
+    rows = [([0, 1], True, None), ([0], True, None), ([0, 3], True, None), ([0, None], True, None), ([0, 1], None, None), ([0, 1], True, ["a"]), (None, True, None)]
+    df = spark.createDataFrame(rows, "s array<int>, c boolean, e array<string>")
+    got = [r[0] for r in df.select(votes.vote_problem(F.col("s"), F.lit(2), F.col("c"), F.col("e"))).collect()]
+    assert got == [None, "arity", "range", "range", "contradiction_type", "spans_arity", "arity"]
+    parsed = spark.sql("""SELECT from_json('{"s": [true]}', 's array<int>').s AS s, true AS c""")
+    assert parsed.select(votes.vote_problem(F.col("s"), F.lit(1), F.col("c"))).first()[0] in ("range", "arity")  # a boolean is no score
+
+
+def semantic(spark, **change):
+    t = dict(evaluation_id="e1", gold_answerable=True, key_facts=["f"], reference_evidence=[("the limit is five",)], model_answer="limit is five", deterministic_abstention=False, reference_complete=True, output_complete=True)
+    v = dict(evaluation_id="e1", correctness=1.0, evidence_support=1.0, materially_incorrect=False, unsupported_material_claim=False, abstention_category="correct_answer", fact_scores=[2], evidence_spans=["limit is five"], contradiction=False, reference_spans=["limit"], reason="ok", needs_human_review=False, judge_confidence="high", uncertainty_flags=[])
+    for k, x in change.items():
+        (t if k in t and k != "evaluation_id" else v)[k] = x
+    ts = "evaluation_id string, gold_answerable boolean, key_facts array<string>, reference_evidence array<struct<text:string>>, model_answer string, deterministic_abstention boolean, reference_complete boolean, output_complete boolean"
+    vs = "evaluation_id string, correctness double, evidence_support double, materially_incorrect boolean, unsupported_material_claim boolean, abstention_category string, fact_scores array<int>, evidence_spans array<string>, contradiction boolean, reference_spans array<string>, reason string, needs_human_review boolean, judge_confidence string, uncertainty_flags array<string>"
+    names = lambda s: [x.strip().split(" ")[0] for x in s.replace("struct<text:string>", "s").split(",")]
+    a = spark.createDataFrame([tuple(v[n] for n in names(vs))], vs).alias("v")
+    b = spark.createDataFrame([tuple(t[n] for n in names(ts))], ts).alias("t")
+    return a.join(b, F.lit(True)).select(votes.first_breach(votes.semantic_rules()).alias("r")).first().r
+
+
+@pytest.mark.parametrize(
+    ("change", "reason"),
+    [
+        ({}, None),
+        ({"evaluation_id": "other"}, "id"),
+        ({"correctness": 0.7}, "score"),
+        ({"contradiction": None}, "boolean"),
+        ({"fact_scores": [3]}, "fact_arity"),
+        ({"evidence_spans": ["a", "b"]}, "span_arity"),
+        ({"evidence_spans": ["invented"]}, "ungrounded_span"),
+        ({"reference_spans": ["nowhere"]}, "invented_reference"),
+        ({"abstention_category": "maybe"}, "category"),
+        ({"reason": " "}, "reason"),
+        ({"materially_incorrect": True}, "material_error_scores_zero"),
+        ({"contradiction": True, "correctness": 0.0}, "contradicted_support"),
+        ({"unsupported_material_claim": True}, "unsupported_full_support"),
+        ({"deterministic_abstention": True}, "refusal_scores"),
+        ({"deterministic_abstention": True, "correctness": 0.0}, "refusal_support"),
+        ({"reference_complete": False}, "missing_reference_scored"),
+        ({"reference_spans": []}, "support_without_span"),
+        ({"reference_spans": [], "evidence_support": 0.0}, "absent_support_unflagged"),
+        ({"uncertainty_flags": ["missing_reference"]}, "severe_flag_scored"),
+        ({"judge_confidence": "low"}, "uncertainty_needs_review"),
+        ({"output_complete": False}, "incomplete_unflagged"),
+        ({"deterministic_abstention": True, "correctness": 0.0, "evidence_support": None}, "abstention_category"),
+    ],
+)
+def test_semantic_rules_in_order(spark, change, reason):
+    assert semantic(spark, **change) == reason
+
+
+SENTENCE = "The documents I have do not answer that."
+CITE = "[Acme, Guide, Section 1, p.2]"
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [(SENTENCE, "YYY"), (f"{SENTENCE} But you are covered.", "YNN"), (f"{SENTENCE} {CITE}", "YYN"), (f"{SENTENCE} 12. 34", "YYY"), (f"Covered. {SENTENCE} {CITE}", "NNN"), ("Covered.", "NNN"), (SENTENCE.rstrip("."), "YYY")],
+)
+def test_refusal_readings(spark, text, expected):
+    df = spark.createDataFrame([(text,)], "t string")
+    got = df.select(*(refusal.refuses(F.col("t"), SENTENCE, r) for r in refusal.READINGS)).first()
+    assert "".join("Y" if x else "N" for x in got) == expected
+
+
+def test_strict_is_inside_loose(spark):
+    df = spark.createDataFrame([(SENTENCE + "x" * n + (CITE if n % 2 else ""),) for n in range(0, 90, 7)], "t string")
+    strict = [df.where(refusal.strict(F.col("t"), SENTENCE, m)).count() for m in refusal.LENGTH_MULTIPLES]
+    assert strict == sorted(strict) and strict[-1] <= df.where(refusal.loose(F.col("t"), SENTENCE)).count()
+
+
+def test_row_metrics(spark):
+    s = "row string, answerable boolean, refused boolean, corr_item double, n_sup int, n_tot int"
+    got = metrics.row_metrics(spark.createDataFrame([("a", True, False, 1.0, 1, 2), ("b", True, False, None, 0, 0)], s), "row")
+    a, b = sorted(got.collect(), key=lambda r: r.row)
+    assert a.composite == pytest.approx(0.85)
+    assert (b.correctness, b.citation_support, b.abstention, b.n_scored) == (0.0, 0.0, 1.0, 0)
+
+
+def test_kappas(spark):
+    p = spark.createDataFrame([(0, 0), (1, 1), (2, 1), (None, 1)], "a int, b int")
+    k = metrics.cohen_kappa(p, "a", "b").first()
+    assert k.n == 3 and k.kappa == pytest.approx((2 / 3 - 1 / 3) / (1 - 1 / 3))
+    assert metrics.cohen_kappa(spark.createDataFrame([(1, 1)], "a int, b int"), "a", "b").first().kappa is None
+    assert metrics.weighted_kappa(spark.createDataFrame([(1, 1)], "a int, b int"), "a", "b").first().kappa == 1.0
+    nothing = metrics.weighted_kappa(spark.createDataFrame([], "a int, b int"), "a", "b").first()
+    assert nothing.n == 0 and nothing.kappa != nothing.kappa
+
+
+def test_missing_is_not_zero(spark):
+    df = spark.createDataFrame([(None,), (None,)], "x double").agg(*metrics.mean_triple(F.col("x"), "m")).first()
+    assert (df.m_mean, df.m_sum, df.m_n) == (None, 0.0, 0)
+    t = metrics.taxonomy(spark.createDataFrame([(["a"], True), ([], False)], "categories array<string>, judged boolean"), ["a", "b"])
+    assert {r.n for r in t.collect()} == {None}
+    rate = metrics.complete_rate(F.col("x") > 0, F.col("i"), 3)
+    assert spark.createDataFrame([(1, 1.0), (2, 0.0)], "i int, x double").agg(rate).first()[0] is None
+
+
+def test_paired_changes(spark):
+    b, a = (spark.createDataFrame([(i, v) for i, v in enumerate(x)], "q int, v double") for x in ([0.0, 1.0, 0.5, None], [1.0, 0.5, 0.5, 1.0]))
+    assert [r.change for r in metrics.paired_changes(b, a, "q", "v").orderBy("q").collect()] == ["improves", "worsens", "unchanged", "pending"]
+
+
+def test_citation_resolution(spark):
+    answers = spark.createDataFrame([(1, "[Acme, Guide, Section B2, p.4][acme, guide.pdf, B2, p.6][Acme, Other, B2, p.4][Acme, Guide, B2, p.5][Acme, Guide, B2, p.5][Acme, ., C, p.5]")], "answer_id int, text string")
+    ctx = spark.createDataFrame([(1, "ACME", "Guide", "x/guide.pdf", "b2", 5)], "answer_id int, insurer string, doc_short string, filename string, section_id string, page int")
+    got = retrieval.resolve_citations(answers, ctx).orderBy("occurrence").collect()
+    assert [r.supported for r in got] == [True, True, False, True, True, False]
+
+
+@pytest.mark.parametrize(("page", "ok"), [(3, False), (4, True), (5, True), (6, True), (7, False)])
+def test_page_tolerance(spark, page, ok):
+    answers = spark.createDataFrame([(1, f"[A, G, S, p.{page}]")], "answer_id int, text string")
+    ctx = spark.createDataFrame([(1, "A", "G", "g", "S", 5)], "answer_id int, insurer string, doc_short string, filename string, section_id string, page int")
+    assert retrieval.resolve_citations(answers, ctx).first().supported is ok
+
+
+def test_repeated_lines_need_six_pages(spark):
+    pages = [("d6", p, f"Page {p}\nown {chr(97 + p)}\nfooter") for p in range(6)] + [("d5", p, "footer\nx") for p in range(5)] + [("half", p, "head" if p < 3 else f"body {chr(97 + p)}") for p in range(6)]
+    kept = corpus.strip_repeated_lines(corpus.lines_of(spark.createDataFrame(pages, "doc string, page int, text string"), "doc", "page", "text"))
+    got = kept.groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("l"))
+    by = {r.doc: r.l for r in got.collect()}
+    assert by["d6"] == [f"own {chr(97 + p)}" for p in range(6)] and by["d5"] == ["footer", "x"] and "head" in by["half"]
+
+
+def test_packing():
+    assert corpus.pack("short") == ["short"]
+    paragraphs = [f"{i} " + "x" * 600 for i in range(6)]
+    chunks = corpus.pack("\n\n".join(paragraphs))
+    assert all(any(p in c for c in chunks) for p in paragraphs)
+    assert chunks[1].startswith("x" * 200)  # the end of the chunk before
+    tail = corpus.pack("\n\n".join([*paragraphs[:2], "y" * 900, "end"]))
+    assert tail[-1].endswith("end") and len(tail[-1]) > 350
+    table = "| a |\n" * 700
+    assert table.strip() in corpus.pack(f"{'z' * 1000}\n\n{table}")[-1]
+
+
+def test_sections(spark):
+    text = "before it all " * 5 + "\n# One\n" + "body of one " * 6 + "\n\n\n\nmore\n# Empty\n\n# Two\nshort\n## Section 3 - Three\n" + "body of three " * 5
+    lines = corpus.lines_of(spark.createDataFrame([("d", 1, text)], "doc string, page int, text string"), "doc", "page", "text")
+    got = [(r.section_id, r.section_title, "\n\n\n" in r.text) for r in corpus.sections(lines).orderBy("island").collect()]
+    assert got == [("Preamble", "Preamble", False), ("One", "One", False), ("3", "Three", False)]
+
+
+def test_containment_equals_all_pairs(spark):
+    docs = [(1, "x The  quick brown fox jumps over the lazy dog y"), (2, "prequick brown fox jumps over the lazy dogged"), (3, "nothing"), (4, "hi there")]
+    items = [(1, "quick brown fox jumps over the lazy dog"), (2, "HI"), (3, ""), (4, "brown  FOX")]
+    got = decontam.containment(spark.createDataFrame(docs, "d int, t string"), "d", "t", spark.createDataFrame(items, "i int, t string"), "i", "t").collect()
+    norm = lambda s: " ".join(s.lower().split())
+    assert {tuple(r) for r in got} == {(d, i) for d, t in docs for i, s in items if norm(s) and norm(s) in norm(t)}
+
+
+def test_fuzzy_pairs_equal_all_pairs(spark):
+    import difflib
+    import random
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choices("abcdef  xyz1é", k=rng.randint(5, 40))) for _ in range(25)]
+    texts += [t[: len(t) // 2] + "q" + t[len(t) // 2 :] for t in texts[:12]] + [t + "ab" for t in texts[:8]]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {(r.a, r.b) for r in decontam.fuzzy_pairs(df, "i", "t", df, "i", "t", 0.85).collect()}
+    assert got == {(a, b) for a, x in enumerate(texts) for b, y in enumerate(texts) if difflib.SequenceMatcher(None, x, y).ratio() >= 0.85}
+
+
+def test_grouped_split_keeps_groups(spark):
+    rows = spark.createDataFrame([(i, f"g{i // 2}") for i in range(50)], "i int, g string")
+    got = splits.grouped_split(rows, "g", 3).collect()
+    sides = {}
+    for r in got:
+        sides.setdefault(r.g, set()).add(r.side)
+    n = sum(r.side == "validation" for r in got)
+    assert all(len(s) == 1 for s in sides.values()) and 5 <= n <= 6 and len(got) == 50
+
+
+def test_milestones_are_nested(spark):
+    rows = spark.createDataFrame([(f"k{i:02d}", i if i < 4 else None) for i in range(9)], "k string, o int")
+    got = splits.milestones(rows, "k", "o", [3, 6]).collect()
+    small, large = ([r.k for r in sorted(got, key=lambda r: r.position) if r.milestone == m] for m in (3, 6))
+    assert large[:3] == small and large == ["k00", "k01", "k02", "k03", "k04", "k05"]
+
+
+def test_quota_window_is_open_below(spark):
+    rows = spark.createDataFrame([("a", 0, 1.0), ("a", 60, 2.0), ("a", 61, 4.0)], "p string, s int, tokens double").withColumn("ts", F.timestamp_seconds("s"))
+    got = quota.rolling_usage(rows, "p", "ts", "tokens", 60).orderBy("s").collect()
+    assert [(r.n_window, r.tokens_window) for r in got] == [(1, 1.0), (1, 2.0), (2, 6.0)]
+
+
+def test_gates_go_red(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "")], "k int, v string")
+    with pytest.raises(gates.GateError):
+        gates.require_empty(gates.duplicate_keys(df, "k"), "keys")
+    with pytest.raises(gates.GateError):
+        gates.require_rows(df.limit(0), "answers")
+    gates.require_empty(gates.duplicate_keys(df, "k", "v"), "keys")
+    assert gates.missing_keys(df, "v").count() == 1
+    assert {r.missing_from for r in gates.unequal_populations(df, df.where("k = 1"), "k").collect()} == {"right"}
+    assert gates.not_preserved(df, df.where("k = 1").withColumn("x", F.lit(1))).count() == 1
+    m = spark.createDataFrame([("ok", 0.5, 1.0, 2), ("off", 0.6, 1.0, 2), ("null", None, 0.0, 0)], "metric string, value double, numerator double, denominator int")
+    assert [r.metric for r in gates.metric_breaches(m).collect()] == ["off"]
+    a, b = (spark.createDataFrame(x, "k string, v double") for x in ([("a", 1.0), ("b", 2.0)], [("a", 1.0 + 1e-9), ("c", 2.0)]))
+    assert sorted(r.k for r in gates.drifted(a, b, ["k"], "v").collect()) == ["b", "c"]
+    modes = spark.createDataFrame([(1, "x"), (1, "y"), (2, "x"), (2, "x")], "q int, m string")
+    assert [r.q for r in gates.incomplete_modes(modes, "q", "m", ["x", "y"]).collect()] == [2]
+    leaves = [("p", "a_lower", "0.1", "double"), ("p", "a", "0.2", "double"), ("q", "a_lower", "0.1", "double"), ("q", "a", "0.2", "double"), ("q", "n_recovered_unjudged", "0", "int"), ("r", "a", "1", "int")]
+    report = spark.createDataFrame(leaves, "path string, key string, value string, type string")
+    assert [(r.path, r.points) for r in gates.leaked_points(report, ["a"]).collect()] == [("p", ["a"])]
+
+
+def test_bootstrap(spark):
+    one = spark.createDataFrame([(1, 0.5)], "i int, v double")
+    assert tuple(bootstrap.interval(one, "i", F.avg("v"), "reporting_mean").first()) == (0.5, 0.5, 2000)
+    assert tuple(bootstrap.interval(one.limit(0), "i", F.avg("v"), "reporting_mean").first()) == (None, None, 0)
+    many = spark.createDataFrame([(i, float(i % 2)) for i in range(60)], "i int, v double")
+    lo, hi, _ = bootstrap.interval(many, "i", F.avg("v"), "metric").first()
+    assert 0.3 < lo < 0.5 < hi < 0.7 and tuple(bootstrap.interval(many, "i", F.avg("v"), "metric").first())[:2] == (lo, hi)
+    pairs = spark.createDataFrame([("g", 0.0, 1.0), ("g", 0.0, 0.5)], "g string, b double, a double")
+    r = bootstrap.paired_groups(pairs, "g", "b", "a").first()
+    assert r.difference == 0.75 and r.lo is None and r.hi is None

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.numbering import number_rows
+
 # Fixed values of the vote schema.
 CATEGORIES = ("correct_abstention", "incorrect_abstention", "correct_answer", "incorrect_unsupported_answer", "incorrect_answer", "uncertain")
 FLAGS = ("ambiguous_evidence", "missing_reference", "conflicting_passages", "unsupported_gold_assumption", "borderline", "incomplete_output")
@@ -201,6 +203,5 @@ def disagreement_rate(merged: DataFrame) -> DataFrame:
 
 def blinded(records: DataFrame, allowed: Sequence[str], order: Sequence[str], form: str = "e%06d") -> tuple[DataFrame, DataFrame]:
     """Tasks with allowed columns and opaque ids, and the table that maps ids to the rest."""
-    w = Window.orderBy(*order)
-    numbered = records.withColumn("evaluation_id", F.format_string(form, F.row_number().over(w) - 1))
+    numbered = number_rows(records, order, "_n").withColumn("evaluation_id", F.format_string(form, "_n")).drop("_n")
     return numbered.select("evaluation_id", *allowed), numbered.drop(*allowed)

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import bootstrap, corpus, decontam, gates, metrics, quota, refusal, retrieval, splits, votes
+from millrace.operators import bootstrap, corpus, decontam, gates, metrics, numbering, quota, refusal, retrieval, splits, votes
 
 VOTE = "task string, vote int, fact_scores array<int>, contradiction boolean, evidence_spans array<string>"
 
@@ -246,3 +246,12 @@ def test_bootstrap(spark):
     pairs = spark.createDataFrame([("g", 0.0, 1.0), ("g", 0.0, 0.5)], "g string, b double, a double")
     r = bootstrap.paired_groups(pairs, "g", "b", "a").first()
     assert r.difference == 0.75 and r.lo is None and r.hi is None
+
+
+def test_row_numbers_follow_the_order(spark):
+    rows = spark.range(1000).selectExpr("(id * 7919) % 1000 AS k", "id % 3 AS g").repartition(6)
+    assert sorted((r.n, r.k) for r in numbering.number_rows(rows, ["k"]).collect()) == [(i, i) for i in range(1000)]
+    assert numbering.number_rows(rows.limit(0), ["k"]).count() == 0
+    tasks, rest = votes.blinded(rows, ["g"], ["k"])
+    assert tasks.columns == ["evaluation_id", "g"] and rest.columns == ["k", "evaluation_id"]
+    assert tasks.agg(F.min("evaluation_id"), F.max("evaluation_id"), F.countDistinct("evaluation_id")).first()[:] == ("e000000", "e000999", 1000)

@@ -11,6 +11,7 @@ from millrace.operators import metrics as M
 from millrace.operators import refusal as R
 from millrace.operators import retrieval
 from millrace.operators import votes as V
+from millrace.operators.packing import pack_batches
 from millrace.plans.registry import query
 from millrace.session import table
 
@@ -431,3 +432,10 @@ def bootstrap_ci(spark, sf_dir):
     q = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("v"))
     parts = [bootstrap.interval(q, "doc_id", F.avg("v"), name).select(F.lit(name).alias("variant"), "lo", "hi", "kept") for name in ("metric", "reporting_mean", "paired_correctness")]
     return parts[0].union(parts[1]).union(parts[2])
+
+
+@query()
+def batch_pack(spark, sf_dir):
+    """Documents in judging batches: ten at most, one of each source, bounded bytes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.octet_length("text").alias("size"))
+    return pack_batches(docs, "doc_id", "source", "size", shards=2).select("doc_id", "source", "size", "batch")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import bootstrap, corpus, decontam, gates, metrics, numbering, quota, refusal, retrieval, splits, votes
+from millrace.operators import bootstrap, corpus, decontam, gates, metrics, numbering, packing, quota, refusal, retrieval, splits, votes
 
 VOTE = "task string, vote int, fact_scores array<int>, contradiction boolean, evidence_spans array<string>"
 
@@ -255,3 +255,14 @@ def test_row_numbers_follow_the_order(spark):
     tasks, rest = votes.blinded(rows, ["g"], ["k"])
     assert tasks.columns == ["evaluation_id", "g"] and rest.columns == ["k", "evaluation_id"]
     assert tasks.agg(F.min("evaluation_id"), F.max("evaluation_id"), F.countDistinct("evaluation_id")).first()[:] == ("e000000", "e000999", 1000)
+
+
+def test_batches_keep_their_bounds(spark):
+    rows = spark.createDataFrame([(i, f"g{i % 7}", 40 if i % 11 else 500) for i in range(200)], "i int, g string, n int")
+    got = packing.pack_batches(rows, "i", "g", "n", most=4, max_bytes=150, shards=3).collect()
+    batches = {}
+    for r in got:
+        batches.setdefault(r.batch, []).append(r)
+    assert sorted(r.i for r in got) == list(range(200))
+    assert all(len(b) <= 4 and len({r.g for r in b}) == len(b) and (sum(r.n for r in b) <= 150 or len(b) == 1) for b in batches.values())
+    assert packing.pack_batches(rows.limit(0), "i", "g", "n").count() == 0

@@ -31,11 +31,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of similar texts stays, that with the smallest id; of rows that share it, one."""
+    """One document of each class of similar texts stays, that with the smallest id; of rows that share it, one.
+
+    Rows without an id are in no class and all stay.
+    """
     docs = _documents(docs)
-    classes = jaccard_classes(docs).where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    kept = docs.join(classes, docs.doc_id.eqNullSafe(classes.doc_id), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    first = jaccard_classes(docs).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.union(docs.where("doc_id is null"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ The order only speeds things up: results are exact for any order. What is broadc
 
 Defined cases: null, empty and blank texts have an empty set and are linked with nothing; a text with fewer words than
 a shingle has one shingle, its whole sequence; repeated rows are rows of one class; rows that share an id are one node;
-an empty table gives an empty result; other columns are not read.
+a row without an id is linked with nothing and has no component; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -375,7 +375,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     order = Order(*frequent_shingles(texts, "text", words))
     profiles = materialize(texts.mapInArrow(_profile(order, words), PROFILE), "profiles")
-    full = profiles.where("n > 0")
+    full = profiles.where("n > 0 and id is not null")
     unique = full.groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "prefix", "listed", "sketch", "bits")).alias("r"))
     unique = unique.select(F.col("r.id").alias("node"), "n", F.col("r.prefix").alias("prefix"), F.col("r.listed").alias("listed"), F.col("r.sketch").alias("sketch"), F.col("r.bits").alias("bits"), "s1", "s2")
     unique = materialize(unique, "unique")
@@ -414,7 +414,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = unique.select("s1", "s2", F.col("n").alias("n_"), "node")
     rows = profiles.select("id", "n", "s1", "s2").join(found, (profiles.s1 == found.s1) & (profiles.s2 == found.s2) & (profiles.n == found.n_), "left")
     rows = rows.select("id", "n", "node").join(parts, "node", "left")
-    rows = materialize(rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "node", "id").alias("component_id")), "classes")
+    rows = materialize(rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "node", "id")).alias("component_id")), "classes")
     discard(profiles, unique, entries, near, apart, rest, links, more, parts)
     return rows
 

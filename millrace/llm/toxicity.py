@@ -294,8 +294,8 @@ def calibrate(z: np.ndarray, y: np.ndarray, langs: np.ndarray, least: int = 25)
 
 
 def held_out(id_col: Column) -> Column:
-    """Rows whose labels are never learnt: crc32 of the id as text, modulo 3, is 1."""
-    return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(3)) == 1
+    """Rows whose labels are never learnt: crc32 of the id as text, modulo 3, is 1. A row without an id has no label."""
+    return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, seed: int = 11) -> Network | None:
@@ -326,7 +326,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, seed: int
 
 
 def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with a ``score`` of every row: all columns are kept, the text alone is read."""
+    """``docs`` with a ``toxicity_score`` of every row in place of any such column; the text alone is read."""
+    docs = docs.drop("toxicity_score")
     names = docs.columns
     at = names.index(text_col)
 

@@ -9,7 +9,8 @@ decodes to a WARC header and ends where another member or the file ends, and own
 it reads on beyond the range to end its last record, and nothing is read twice but that.
 
 Defined cases: a null payload is empty; a null url is an empty target; of repeated rows with one id and payload one is
-the response and the others revisit it; an empty table writes no archive and reads no rows; other columns are not read.
+the response and the others revisit it; a row without an id revisits one with an id, and is a response where none of
+its group has one; an empty table writes no archive and reads no rows; other columns are not read.
 """
 
 from __future__ import annotations

@@ -57,9 +57,9 @@ def test_jaccard_classes_equal_brute_force(spark):
 
 def test_jaccard_repeated_rows_and_empty_table(spark):
     text = "a b c d e f g h i j"
-    df = spark.createDataFrame([(3, text, "", 0), (3, text, "", 0), (9, text, "", 0), (4, None, "", 0), (4, None, "", 0)], DOCS)
-    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_classes(df).collect())
-    assert got == [(3, 6, 3), (3, 6, 3), (4, 0, 4), (4, 0, 4), (9, 6, 3)]
+    df = spark.createDataFrame([(3, text, "", 0), (3, text, "", 0), (9, text, "", 0), (4, None, "", 0), (4, None, "", 0), (None, text, "", 0)], DOCS)
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id) for r in jaccard_classes(df).collect())
+    assert got == [(-1, 6, None), (3, 6, 3), (3, 6, 3), (4, 0, 4), (4, 0, 4), (9, 6, 3)]
     assert jaccard_classes(df.limit(0)).count() == 0
 
 
@@ -99,9 +99,11 @@ def test_near_vectors_equal_brute_force(spark):
     rows += [(len(rows) + i, rows[0][1], 0, "") for i in range(30)]  # copies
     n = len(rows)
     odd = [None, [], [0.0] * 16, [float("nan")] + [1.0] * 15, [None] + [1.0] * 15, [float("inf")] * 16, [1.0, 2.0], [2.0, 4.0]]
-    rows += [(n + i, v, 0, "") for i, v in enumerate(odd)] + [(n + 20, rows[0][1], None, ""), (n + 21, [3.0 * x for x in rows[0][1]], 0, "")]
+    rows += [(n + i, v, 0, "") for i, v in enumerate(odd)] + [(None, rows[0][1], 0, ""), (n + 20, rows[0][1], None, ""), (n + 21, [3.0 * x for x in rows[0][1]], 0, "")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, n_links string")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(df.repartition(5), window=8).collect()}
+    assert got.pop(None) == (0, None, True)
+    rows = [r for r in rows if r[0] is not None]
     links = []
     good = [(i, np.array(v), lab) for i, v, lab, _ in rows if lab is not None and v and None not in v and np.isfinite(v).all() and any(v)]
     for x, (i, u, a) in enumerate(good):

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from millrace.session import discard, materialize
 
 
+#: Rows of one file of a round's tables: few small files, and as many as there are rows for.
+ROWS_A_FILE = 500_000
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replace each batch's edges by a star forest with the same components (smallest id in the middle)."""
     for batch in batches:
@@ -34,39 +38,41 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids[label[keep]]), pa.array(ids[keep])], names=["a", "b"])
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether edges are star forests: no middle is a leaf and no leaf has two middles."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("middle"), F.lit(0).alias("leaf"))
+    ends = ends.union(edges.select("b", F.lit(0), F.lit(1)))
+    per = ends.groupBy("x").agg(F.max("middle").alias("middle"), F.sum("leaf").alias("leaf"))
+    return per.where("leaf > 1 or (leaf > 0 and middle > 0)").isEmpty()
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``; the component is its smallest node.
 
     Edges are first reduced to star forests batch by batch, so a dense group of m nodes sends on about m edges per
-    task and not m squared. Large-star and small-star rounds follow until nothing changes, each written to the shared
-    folder. Every neighbourhood is reduced by a ``min`` aggregate with map-side combine and joined back, so no task
-    gathers one node's neighbours. Loops and nulls are ignored; an empty input gives an empty result.
+    task and not m squared. Large-star and small-star rounds follow until every component is one star, each written to
+    the shared folder. Every neighbourhood is reduced by a ``min`` aggregate with map-side combine and joined back from
+    a written table, so no task gathers one node's neighbours and a hub's edges can be split. Loops and nulls are
+    ignored; an empty input gives an empty result.
     """
     pairs = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     pairs = pairs.where(F.col("a") != F.col("b"))
-    cur = materialize(pairs.mapInArrow(_forest, "a long, b long"), "edges")
-    before = None
+    cur = materialize(pairs.mapInArrow(_forest, "a long, b long").distinct(), "edges")
+    files = 1 + cur.count() // ROWS_A_FILE  # a round's tables have at most about as many rows
     for _ in range(max_rounds):
+        if _settled(cur):
+            break
         both = cur.select(F.col("a").alias("u"), F.col("b").alias("v")).union(cur.select(F.col("b"), F.col("a")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
-        large = large.where("a <> b").distinct()
-        # small star: every node points at its smallest lower neighbour
-        down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        lowest = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            down.join(lowest, "u")
-            .select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b"))
-            .where("a <> b")
-            .distinct()
-        )
-        new = materialize(small, "edges")
-        mark = new.agg(F.count("*"), F.expr("sum(cast(a as decimal(38,0)))"), F.expr("bit_xor(xxhash64(a, b))")).first()
-        discard(cur)
+        # written first: a join of two plain exchanges is one whose skewed side can be split
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).coalesce(files), "low")
+        large = both.where("v > u").join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
+        # small star: every node and its lower neighbours point at the lowest of these
+        down = materialize(large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).coalesce(files), "down")
+        lowest = materialize(down.groupBy("u").agg(F.min("v").alias("m")).coalesce(files), "low")
+        small = down.join(lowest, "u").select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b"))
+        new = materialize(small.where("a <> b").distinct().coalesce(files), "edges")
+        discard(cur, low, down, lowest)
         cur = new
-        if mark == before:
-            break
-        before = mark
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = cur.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()

@@ -58,10 +58,10 @@ def overlap_needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return -(-PERCENT * (a + b) // (100 + PERCENT))
 
 
-def _hash_buckets(docs: DataFrame) -> int:
-    """A power of two so that a bucket holds a few MB of remainders."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return 1 << min(18, max(6, (size >> 21).bit_length()))
+def hash_buckets(docs: DataFrame, text_col: str) -> int:
+    """A power of two so that a bucket holds a few MB of remainders; by the texts' size, not by a plan's estimate."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return 1 << min(18, max(4, (size >> 22).bit_length()))
 
 
 def _count_blobs(bits: int, words: int, flush: int = 3 << 20):
@@ -109,11 +109,11 @@ def _frequent(bits: int, least: int, most: int):
     return reduce
 
 
-def frequent_shingles(docs: DataFrame, text_col: str, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, int]:
+def frequent_shingles(docs: DataFrame, text_col: str, buckets: int, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, int]:
     """Sorted leading bits of frequent shingles, their counts, and how many bits to shift a hash by to compare."""
-    buckets = _hash_buckets(docs)
     bits = buckets.bit_length() - 1
     blobs = docs.select(text_col).mapInArrow(_count_blobs(bits, words), "bucket int, blob binary")
+    blobs = blobs.repartition(-(-buckets // BUCKETS_A_TASK), "bucket")  # tasks grow in number and not in size
     table = blobs.groupBy("bucket").applyInArrow(_frequent(bits, FREQUENT, max(1, MAX_FREQUENT // buckets)), "head long, n long").toArrow()
     head, n = (table.column(c).to_numpy() for c in ("head", "n"))
     order = np.argsort(head.astype(np.uint64))
@@ -212,8 +212,17 @@ def _profile(order: Order, words: int):
     return profile
 
 
+#: Positions in a prefix are kept in 16 bits: a smaller position only weakens a bound.
+MAX_PLACE = (1 << 16) - 1
+#: Buckets that one task reduces.
+BUCKETS_A_TASK = 4
+
+
 def _entry_blobs(bits: int, flush: int = 1 << 20):
-    """Prefix entries of shingles that are not listed: columns as blobs, dealt by the shingle's leading bits."""
+    """Prefix entries of shingles that are not listed: columns as blobs, dealt by the shingle's leading bits.
+
+    A shingle is known by its bucket and 32 more bits: two that share them only propose pairs that are then dropped.
+    """
     shift = np.uint64(64 - bits)
 
     def out(token, node, n, at) -> pa.RecordBatch:
@@ -221,9 +230,12 @@ def _entry_blobs(bits: int, flush: int = 1 << 20):
         order = np.argsort(token)
         token, node, n, at = token[order], node[order], n[order], at[order]
         bucket = (token >> shift).astype(np.int32)
+        token = ((token << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+        if node.min() >= 0 and node.max() < 1 << 32:
+            node = node.astype(np.uint32)  # the blob's length tells which
         cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(token)]]).astype(np.int64)
         columns = [pa.array(bucket[cut[:-1]])]
-        for x in (token, node, n.astype(np.int32), at.astype(np.int32)):
+        for x in (token, node, n.astype(np.uint32), np.minimum(at, MAX_PLACE).astype(np.uint16)):
             blob = pa.Array.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(cut * x.itemsize), pa.py_buffer(np.ascontiguousarray(x))])
             columns.append(blob.cast(pa.binary()))
         return pa.RecordBatch.from_arrays(columns, names=["bucket", "token", "node", "n", "at"])
@@ -251,16 +263,16 @@ def _entry_blobs(bits: int, flush: int = 1 << 20):
 
 def _shared(table: pa.Table) -> pa.Table:
     """Entries of shingles that two or more prefixes of a bucket hold."""
-    token, node, n, at = (
-        np.concatenate([np.frombuffer(b.as_buffer(), dtype=t) for b in table.column(c).combine_chunks()])
-        for c, t in (("token", np.uint64), ("node", np.int64), ("n", np.int32), ("at", np.int32))
-    )
+    blobs = {c: [b.as_buffer() for b in table.column(c).combine_chunks()] for c in ("token", "node", "n", "at")}
+    token, n, at = (np.concatenate([np.frombuffer(b, dtype=t) for b in blobs[c]]) for c, t in (("token", np.uint32), ("n", np.uint32), ("at", np.uint16)))
+    node = np.concatenate([np.frombuffer(b, dtype=np.uint32 if b.size == t.size else np.int64).astype(np.int64) for b, t in zip(blobs["node"], blobs["token"], strict=True)])
     order = np.argsort(token)
     token = token[order]
     same = token[1:] == token[:-1]
     keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
     order = order[keep]
-    return pa.table({"token": token[keep].view(np.int64), "node": node[order], "n": n[order].astype(np.int64), "at": at[order].astype(np.int64)})
+    head = np.int64(table.column("bucket")[0].as_py()) << np.int64(32)
+    return pa.table({"token": head | token[keep].astype(np.int64), "node": node[order], "n": n[order].astype(np.int64), "at": at[order].astype(np.int64)})
 
 
 def _close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -373,16 +385,17 @@ def _verify(pairs: DataFrame, docs: DataFrame, order: Order, words: int) -> Data
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """``(id, n_shingles, component_id)`` for every row of ``docs``: the smallest id reachable by similar texts."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    order = Order(*frequent_shingles(texts, "text", words))
+    buckets = hash_buckets(texts, "text")
+    order = Order(*frequent_shingles(texts, "text", buckets, words))
     profiles = materialize(texts.mapInArrow(_profile(order, words), PROFILE), "profiles")
     full = profiles.where("n > 0 and id is not null")
     unique = full.groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "prefix", "listed", "sketch", "bits")).alias("r"))
     unique = unique.select(F.col("r.id").alias("node"), "n", F.col("r.prefix").alias("prefix"), F.col("r.listed").alias("listed"), F.col("r.sketch").alias("sketch"), F.col("r.bits").alias("bits"), "s1", "s2")
     unique = materialize(unique, "unique")
 
-    bits = _hash_buckets(texts).bit_length() - 1
+    bits = buckets.bit_length() - 1
     rare = unique.select("node", "n", "prefix", "listed").mapInArrow(_entry_blobs(bits), "bucket int, token binary, node binary, n binary, at binary")
-    rare = rare.groupBy("bucket").applyInArrow(_shared, "token long, node long, n long, at long")
+    rare = rare.repartition(-(-buckets // BUCKETS_A_TASK), "bucket").groupBy("bucket").applyInArrow(_shared, "token long, node long, n long, at long")
     common = unique.where("listed > 0").select("node", "n", "listed", F.posexplode("prefix").alias("at", "token"))
     common = common.where(F.col("at") >= F.least(F.lit(1 << 30), _prefix_size() - F.col("listed"))).select("token", "node", "n", F.col("at").cast("long").alias("at"))
     entries = materialize(rare.union(common), "entries")

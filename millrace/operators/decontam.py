@@ -91,12 +91,14 @@ def cited_chunks(citations: DataFrame, chunks: DataFrame, band: int | None = 1)
 
     ``citations``: cite_id, filename, insurer, page (text), quote. ``chunks``: chunk_id, filename, insurer, page, text.
     """
-    c = citations.select("cite_id", "filename", F.lower("insurer").alias("who"), F.col("page").try_cast("int").alias("p"), norm_key(F.col("quote")).alias("q"))
-    k = chunks.select("chunk_id", "filename", F.lower("insurer").alias("who"), F.col("page").alias("page"), norm_key(F.col("text")).alias("t"), F.length("text").alias("size"))
-    ok = F.contains("t", F.col("q")) & (F.col("q") != "")
-    if band is not None:
-        ok = ok & (F.abs(F.col("p") - F.col("page")) <= band)
-    return c.join(k, ["filename", "who"]).where(ok).select("cite_id", "chunk_id", "size")
+    c = citations.select("cite_id", "filename", F.lower("insurer").alias("who"), F.col("page").try_cast("int").alias("p"), norm_key(F.col("quote")).alias("q")).where("q <> ''")
+    k = chunks.select("chunk_id", "filename", F.lower("insurer").alias("who"), F.col("page").cast("int").alias("p"), norm_key(F.col("text")).alias("t"), F.length("text").alias("size"))
+    on = ["filename", "who"]
+    if band is None:
+        c, k = c.drop("p"), k.drop("p")
+    else:  # the band becomes an equi join: a citation looks on each page that it may be on
+        c, on = c.withColumn("p", F.explode(F.sequence(F.col("p") - band, F.col("p") + band))), [*on, "p"]
+    return c.join(k, on).where(F.contains("t", F.col("q"))).select("cite_id", "chunk_id", "size")
 
 
 def shortest(rows: DataFrame, by: Sequence[str], size: str, key: str) -> DataFrame:

@@ -186,12 +186,12 @@ def leakage_reasons(spark, sf_dir):
 
 
 @query("""
-    WITH p AS (SELECT doc_id, unnest(list_transform(regexp_extract_all(left(text, 2000), '([0-9]+)', 1), lambda x: TRY_CAST(x AS INTEGER))) AS page FROM documents),
+    WITH p AS (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '([0-9]+)', 1), lambda x: TRY_CAST(x AS INTEGER))) AS page FROM documents),
     bad AS (SELECT DISTINCT doc_id FROM p WHERE page IN (SELECT CAST(item_id AS INTEGER) FROM benchmark))
     SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM bad)""")
 def protected_page_block(spark, sf_dir):
-    """Documents whose first 2,000 characters name no protected number."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.transform(F.regexp_extract_all(F.substring("text", 1, 2000), F.lit("([0-9]+)"), F.lit(1)), lambda x: x.try_cast("int")).alias("pages"), F.lit("all").alias("book"))
+    """Documents that name no protected number."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.transform(F.regexp_extract_all("text", F.lit("([0-9]+)"), F.lit(1)), lambda x: x.try_cast("int")).alias("pages"), F.lit("all").alias("book"))
     protected = table(spark, sf_dir, "benchmark").select(F.lit("all").alias("doc"), F.col("item_id").cast("int").alias("page"))
     return D.block_pages(docs, "book", "pages", protected).select("doc_id")
 
@@ -225,15 +225,15 @@ def span_lookup(spark, sf_dir):
     return rows.select("doc_id", F.sha2(X.resolve_span(F.lit("A1-A2"), F.col("p")), 256).alias("span_hash"), X.resolve_span(F.lit("A1-B2"), F.col("p")).alias("other"))
 
 
-NORMS_SQL = """regexp_replace(regexp_replace(translate(regexp_replace(lower(left(text, 300)), '<br[ \\t\\r\\n]*/?>|&lt;br[ \\t\\r\\n]*/?&gt;', ' ', 'g'),
+NORMS_SQL = """regexp_replace(regexp_replace(translate(regexp_replace(lower(text), '<br[ \\t\\r\\n]*/?>|&lt;br[ \\t\\r\\n]*/?&gt;', ' ', 'g'),
     '’‘“”–—', '''''""--'), '[ \\t\\r\\n*_#|•·]+', ' ', 'g'), '-{2,}', '-', 'g')"""
 
 
 @query(f"""
-    SELECT doc_id, sha256(trim({NORMS_SQL})) AS folded, sha256(trim(regexp_replace(lower(left(text, 300)), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))) AS words FROM documents""")
+    SELECT doc_id, sha256(trim({NORMS_SQL})) AS folded, sha256(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))) AS words FROM documents""")
 def normalisers(spark, sf_dir):
-    """Folded and words-only forms of openings."""
-    t = F.substring("text", 1, 300)
+    """Folded and words-only forms of texts."""
+    t = F.col("text")
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.fold(t), 256).alias("folded"), F.sha2(X.norm_words(t), 256).alias("words"))
 
 
@@ -316,37 +316,37 @@ def one_per_stratum(spark, sf_dir):
 
 
 @query("""
-    WITH RECURSIVE e AS (SELECT DISTINCT user_id AS a, 1000000 + CAST(floor(value * 7) AS BIGINT) AS b FROM events WHERE event_type = 'purchase' AND user_id % 9 = 0),
+    WITH RECURSIVE e AS (SELECT DISTINCT user_id * 100 + day(ts) AS a, 10000000 + day(ts) * 100000 + CAST(floor(value) AS BIGINT) AS b FROM events WHERE event_type = 'purchase'),
     n AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
     r AS (SELECT a AS node, a AS seen FROM n UNION SELECT r.node, n.b FROM r JOIN n ON n.a = r.seen)
     SELECT node, min(seen) AS component FROM r GROUP BY node""")
 def connected_components_query(spark, sf_dir):
-    """Components of users that share rounded amounts."""
-    e = table(spark, sf_dir, "events").where("event_type = 'purchase' and user_id % 9 = 0")
-    edges = e.select(F.col("user_id").alias("a"), (F.lit(1000000) + F.floor(F.col("value") * 7)).cast("long").alias("b")).distinct()
+    """Components of a day's users that share a rounded amount."""
+    e = table(spark, sf_dir, "events").where("event_type = 'purchase'").withColumn("day", F.dayofmonth("ts"))
+    edges = e.select((F.col("user_id") * 100 + F.col("day")).alias("a"), (10_000_000 + F.col("day") * 100_000 + F.floor("value")).cast("long").alias("b")).distinct()
     return connected_components(edges)
 
 
 @query("""
-    WITH c AS (SELECT doc_id AS cite_id, source AS filename, CAST(doc_id % 10 + 1 AS VARCHAR) AS page, lower(trim(regexp_replace(left(text, 30), '[ \\t\\r\\n]+', ' ', 'g'))) AS q FROM documents WHERE doc_id % 5 = 0),
+    WITH c AS (SELECT doc_id AS cite_id, source AS filename, CAST(doc_id % 10 + 1 AS VARCHAR) AS page, trim(regexp_replace(lower(string_split(text, chr(10))[1]), '[ \\t\\r\\n]+', ' ', 'g')) AS q FROM documents),
     k AS (SELECT doc_id AS chunk_id, source AS filename, doc_id % 10 AS page, trim(regexp_replace(lower(text), '[ \\t\\r\\n]+', ' ', 'g')) AS t, length(text) AS size FROM documents),
     m AS (SELECT cite_id, chunk_id, size FROM c JOIN k USING (filename) WHERE q <> '' AND contains(t, q) AND abs(CAST(c.page AS INTEGER) - k.page) <= 1)
     SELECT cite_id, arg_min(chunk_id, (size, chunk_id)) AS chunk_id FROM m GROUP BY cite_id""")
 def page_band_join(spark, sf_dir):
-    """For quotes, the shortest chunk of the same file within one page that holds them."""
+    """For first lines as quotes, the shortest chunk of the same file within one page that holds them."""
     docs = table(spark, sf_dir, "documents")
-    quotes = docs.where("doc_id % 5 = 0").select(F.col("doc_id").alias("cite_id"), F.col("source").alias("filename"), F.lit("X").alias("insurer"), (F.col("doc_id") % 10 + 1).cast("string").alias("page"), F.substring("text", 1, 30).alias("quote"))
+    quotes = docs.select(F.col("doc_id").alias("cite_id"), F.col("source").alias("filename"), F.lit("X").alias("insurer"), (F.col("doc_id") % 10 + 1).cast("string").alias("page"), F.substring_index("text", "\n", 1).alias("quote"))
     chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("filename"), F.lit("x").alias("insurer"), (F.col("doc_id") % 10).cast("int").alias("page"), "text")
     return D.shortest(D.cited_chunks(quotes, chunks), ["cite_id"], "size", "chunk_id")
 
 
 @query("""
     SELECT doc_id, CASE WHEN regexp_matches(cell, '^[=+\\-@\\t\\r]') THEN '''' || cell ELSE cell END AS cell FROM
-    (SELECT doc_id, ['=', '+', '-', '@', ' =', 'x'][CAST(doc_id % 6 AS INTEGER) + 1] || left(text, 20) AS cell FROM documents)""")
+    (SELECT doc_id, ['=', '+', '-', '@', ' =', 'x'][CAST(doc_id % 6 AS INTEGER) + 1] || text AS cell FROM documents)""")
 def formula_escape(spark, sf_dir):
     """Cells that no spreadsheet takes for formulas."""
     marks = F.array(*(F.lit(m) for m in ("=", "+", "-", "@", " =", "x")))
-    cells = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.get(marks, (F.col("doc_id") % 6).cast("int")), F.substring("text", 1, 20)).alias("cell"))
+    cells = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.get(marks, (F.col("doc_id") % 6).cast("int")), F.col("text")).alias("cell"))
     return for_display(cells)
 
 

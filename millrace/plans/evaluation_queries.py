@@ -20,7 +20,7 @@ REFUSAL = "The documents I have do not answer that."
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as answers: a sixth each bare refusals, with prose, with a citation, long, none, prose and citation."""
-    text = F.substring(F.regexp_replace("text", "[^A-Za-z ]", ""), 1, 40)
+    text = F.regexp_replace("text", "[^A-Za-z ]", "")
     kind = F.col("doc_id") % 6
     cite = F.concat(F.lit(" [Acme, Wording, Section A1, p."), (F.col("doc_id") % 7).cast("string"), F.lit("]"))
     s = F.lit(REFUSAL)
@@ -32,7 +32,7 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ANSWERS_SQL = f"""
     answers AS (SELECT doc_id AS id, doc_id % 4 <> 0 AS answerable, CASE doc_id % 6 WHEN 0 THEN s WHEN 1 THEN s || ' ' || t WHEN 2 THEN s || c WHEN 3 THEN s || ' 12. 34' WHEN 4 THEN t ELSE t || s || c END AS text
-        FROM (SELECT doc_id, '{REFUSAL}' AS s, left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 40) AS t, ' [Acme, Wording, Section A1, p.' || (doc_id % 7) || ']' AS c FROM documents))"""
+        FROM (SELECT doc_id, '{REFUSAL}' AS s, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS t, ' [Acme, Wording, Section A1, p.' || (doc_id % 7) || ']' AS c FROM documents))"""
 CITE_SQL = r"""\[\s*["'']?\s*([^,\[\]"'']+?)\s*,\s*["'']?([^,\[\]]+?)\s*,\s*([^,\[\]]+?)\s*,\s*p\.?\s*(\d+)[^\]]*\]"""
 READ_SQL = f"""
     read AS (SELECT *, contains(text, '{REFUSAL.rstrip(" .")}') AS loose, regexp_matches(text, '{CITE_SQL}') AS cited,

@@ -18,6 +18,7 @@ separate documents; an empty table gives an empty result; other columns are not
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -164,7 +165,7 @@ def mix(
     max_epochs: float = 2.0,
     block_words: int = 256,
     shard_slots: int = 8192,
-    docs_per_bucket: int = 4096,
+    docs_per_bucket: int = 1024,
     seed: int = 20240607,
 ) -> DataFrame:
     """The mix of ``docs``: one row per document and stretch of it that was taken.
@@ -181,7 +182,8 @@ def mix(
         raise ValueError(f"{len(per_source)} sources; weights are given for {MAX_SOURCES} at most")
     order = sorted(per_source, key=lambda r: (r.source is None, r.source or ""))
     wanted = targets([r.words for r in order], weights, share, max_epochs)
-    buckets = max(8, sum(r.rows for r in order) // docs_per_bucket)
+    rows = sum(r.rows for r in order)
+    buckets = max(8, rows // max(docs_per_bucket, math.isqrt(rows)))  # neither level outgrows a task
 
     plan, epochs = [], []
     for k, (r, want) in enumerate(zip(order, wanted, strict=True)):

@@ -14,21 +14,36 @@ from millrace.functions.text import difflib_ratio, norm_key, ratio_bounds
 MAX_PROTECTED = 5000
 
 
-def containment(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, shingle: int = 5) -> DataFrame:
+RUN = 5
+
+
+def with_runs(rows: DataFrame, words: str, out: str) -> DataFrame:
+    """``rows`` with hashes of all runs of :data:`RUN` words, made by joining runs of 1, 2 and 4 words."""
+    n = F.size(words)
+    later = lambda c, k: F.slice(c, F.lit(k + 1), F.greatest(n, F.lit(1)))
+    pair = lambda x, y: F.when(y.isNotNull(), F.xxhash64(x, y))
+    rows = rows.withColumn("_1", F.transform(words, lambda w: F.xxhash64(w)))
+    # a projection a step, so that no array is made twice; runs past the end are null
+    rows = rows.withColumn("_2", F.zip_with("_1", later("_1", 1), pair))
+    rows = rows.withColumn("_4", F.zip_with("_2", later("_2", 2), pair))
+    rows = rows.withColumn(out, F.zip_with("_4", later("_1", RUN - 1), pair))
+    return rows.drop("_1", "_2", "_4")
+
+
+def containment(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
     """Pairs of a record and a protected text that it contains, both normalised.
 
-    Items of at least ``shingle`` words are blocked on one of their word runs (their rarest ones are not known, so their
-    first), which every containing record has to hold; shorter ones, few by nature, are compared with every record.
-    The blocking key is an equi join, so neither side is broadcast unless Spark finds it small.
+    Items of more than :data:`RUN` + 1 words are blocked on one of their word runs, which every containing record has
+    to hold; shorter ones, few by nature, are compared with every record. The blocking key is an equi join, so neither
+    side is broadcast unless Spark finds it small.
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), norm_key(F.col(text)).alias("text"))
     i = items.select(F.col(item_id).alias("item_id"), norm_key(F.col(item_text)).alias("item")).where("item <> ''").withColumn("words", F.split("item", " "))
     # a record may begin or end inside a word of the item, so the key leaves the item's outer words out
-    long, short = i.where(F.size("words") >= shingle + 2), i.where(F.size("words") < shingle + 2)
-    keyed = long.select("item_id", "item", F.xxhash64(F.array_join(F.slice("words", 2, shingle), " ")).alias("key"))
-    words = F.split("text", " ")
-    runs = F.transform(F.sequence(F.lit(1), F.size("words") - (shingle - 1)), lambda k: F.xxhash64(F.array_join(F.slice("words", k, shingle), " ")))
-    runs = d.withColumn("words", words).where(F.size("words") >= shingle).select("doc_id", F.explode(F.array_distinct(runs)).alias("key"))
+    long, short = i.where(F.size("words") >= RUN + 2), i.where(F.size("words") < RUN + 2)
+    keyed = with_runs(long.withColumn("words", F.slice("words", 2, RUN)), "words", "runs").select("item_id", "item", F.col("runs")[0].alias("key"))
+    runs = with_runs(d.select("doc_id", F.split("text", " ").alias("words")), "words", "runs")
+    runs = runs.select("doc_id", F.explode(F.array_distinct("runs")).alias("key")).where("key is not null")
     found = runs.join(keyed, "key").select("doc_id", "item_id", "item").distinct().join(d, "doc_id").where(F.contains("text", F.col("item")))
     rest = d.join(short, F.contains(d.text, short.item))
     return found.select("doc_id", "item_id").union(rest.select("doc_id", "item_id")).distinct()

@@ -16,26 +16,43 @@ from millrace.session import discard, materialize
 ROWS_A_FILE = 500_000
 
 
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A star forest with the components of the edges ``a``, ``b``: middles (the smallest ids) and leaves."""
+    ids, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = flat[: len(a)], flat[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, label[x], low)
+        np.minimum.at(new, label[y], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    keep = label != np.arange(len(ids))
+    return ids[label[keep]], ids[keep]
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace each batch's edges by a star forest with the same components (smallest id in the middle)."""
+    """Replace a task's edges by star forests with the same components, holding about ROWS_A_FILE edges at a time."""
+    held_a, held_b, held = [], [], 0
+
+    def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
     for batch in batches:
-        a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        ids, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-        x, y = flat[: len(a)], flat[len(a) :]
-        label = np.arange(len(ids))
-        while True:
-            low = np.minimum(label[x], label[y])
-            new = label.copy()
-            np.minimum.at(new, x, low)
-            np.minimum.at(new, y, low)
-            np.minimum.at(new, label[x], low)
-            np.minimum.at(new, label[y], low)
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        keep = label != np.arange(len(ids))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[label[keep]]), pa.array(ids[keep])], names=["a", "b"])
+        held_a.append(batch.column(0).to_numpy(zero_copy_only=False))
+        held_b.append(batch.column(1).to_numpy(zero_copy_only=False))
+        held += batch.num_rows
+        if held >= 2 * ROWS_A_FILE:
+            a, b = _stars(np.concatenate(held_a), np.concatenate(held_b))
+            if len(a) > ROWS_A_FILE:  # a forest that stays large goes on as it is
+                yield out(a, b)
+                a, b = a[:0], b[:0]
+            held_a, held_b, held = [a], [b], len(a)
+    if held:
+        yield out(*_stars(np.concatenate(held_a), np.concatenate(held_b)))
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -49,9 +66,9 @@ def _settled(edges: DataFrame) -> bool:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``; the component is its smallest node.
 
-    Edges are first reduced to star forests batch by batch, so a dense group of m nodes sends on about m edges per
-    task and not m squared. Large-star and small-star rounds follow until every component is one star, each written to
-    the shared folder. Every neighbourhood is reduced by a ``min`` aggregate with map-side combine and joined back from
+    Edges are first reduced to star forests task by task, so a dense group of m nodes sends on about m edges per task
+    and not m squared. Rounds follow until every component is one star: forests of what fits a task, then large and
+    small stars across tasks, each written to the shared folder. Every neighbourhood is reduced by a ``min`` aggregate with map-side combine and joined back from
     a written table, so no task gathers one node's neighbours and a hub's edges can be split. Loops and nulls are
     ignored; an empty input gives an empty result.
     """
@@ -62,6 +79,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if _settled(cur):
             break
+        merged = materialize(cur.coalesce(files).mapInArrow(_forest, "a long, b long").distinct().coalesce(files), "edges")
+        discard(cur)
+        cur = merged
+        if files == 1 or _settled(cur):  # one task has seen all edges
+            break
         both = cur.select(F.col("a").alias("u"), F.col("b").alias("v")).union(cur.select(F.col("b"), F.col("a")))
         # written first: a join of two plain exchanges is one whose skewed side can be split
         low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).coalesce(files), "low")

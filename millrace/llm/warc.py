@@ -94,7 +94,10 @@ def _writer(folder: str, batch_html: int):
                 size += len(member)
         if out is not None:
             out.close()
-            fs.move(temporary, final)  # a repeated attempt writes the same bytes
+            # a repeated attempt has the same bytes; some stores do not move onto a file
+            if fs.get_file_info(final).type != pafs.FileType.NotFound:
+                fs.delete_file(final)
+            fs.move(temporary, final)
             yield pa.RecordBatch.from_pydict({"path": [f"{folder}/part-{part:06d}.warc.gz"], "bytes": [size]})
 
     return write

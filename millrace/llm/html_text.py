@@ -12,8 +12,10 @@ back to the pages is one small row a host, repeated over salts.
 
 Elements that are no article by their meaning (navigation, header, footer, aside, forms, scripts, styles, notices,
 adverts, comments) are left out by tag and by class or id; hosts with too few pages for a template have these rules
-alone. Where a page has an ``article`` or ``main`` element that is its main slot, and nothing in it counts as template
-text, so articles that a site repeats stay whole.
+alone, or the ``article`` or ``main`` element where there is one. With a template, text that it holds is left out inside
+these elements too, and they break the tie between slots: they are the main slot where they hold at least half of the
+prose that remains. Where more than half of what they hold is template text, the article is one that a site repeats, and
+stays whole.
 
 Defined cases: a null or empty page has an empty text; broken markup is read as far as it goes and unclosed elements
 end with their parents; pages are read whole; repeated rows give repeated results; an empty table an empty one; a null
@@ -215,15 +217,27 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
     return classes.groupBy("host").agg(F.sort_array(F.collect_list("class"), asc=False).alias("classes"))
 
 
+def _size(blocks: list[Block]) -> int:
+    return sum(len(b.text) for b in blocks)
+
+
 def extract_page(html: str, classes: list[dict] | None) -> str:
     """The article of a page, given its host's valid classes."""
     tokens, blocks = read_page(html)
     own = [b for b in blocks if not b.left_out]
-    if any(b.article for b in own):
-        return "\n\n".join(b.text for b in own if b.article)
+    marked = [b for b in own if b.article]
     template = {t for c in classes or () for t in c["tokens"]}
-    own = [b for b in own if not template or _id(f"={b.path}={b.text}") not in template]
-    if template and own:
+    if not template:
+        return "\n\n".join(b.text for b in marked or own)
+    varies = [_id(f"={b.path}={b.text}") not in template for b in own]
+    varying = [b for b, v in zip(own, varies, strict=True) if v]
+    # an article or main that is mostly template text is a copy of another page's, and no template
+    copied = 2 * _size([b for b in varying if b.article]) < _size(marked)
+    own = [b for b, v in zip(own, varies, strict=True) if v or copied and b.article]
+    marked = [b for b in own if b.article]
+    if marked and 2 * _size(marked) >= _size(own):
+        own = marked
+    elif own:
         # slots between template tokens: blocks by the deepest template element that holds them
         slots: dict[str, int] = {}
         for b in own:
@@ -234,7 +248,7 @@ def extract_page(html: str, classes: list[dict] | None) -> str:
             while parent:
                 slots[parent] = slots.get(parent, 0) + len(b.text)
                 parent = parent.rpartition("/")[0]
-        total = sum(len(b.text) for b in own)
+        total = _size(own)
         # the deepest slot that holds most of the prose
         main = max((s for s, n in slots.items() if 2 * n >= total), key=lambda s: s.count("/"), default="")
         own = [b for b in own if not main or b.path == main or b.path.startswith(f"{main}/")]

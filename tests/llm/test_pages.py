@@ -44,6 +44,19 @@ def test_repeated_articles_stay_whole(spark):
     assert set(texts(spark, [(i, "http://h.example/", html) for i in range(9)]).values()) == {"Same words on every page"}
 
 
+def test_template_decides_pages_with_an_article(spark):
+    """Text that a host repeats inside article or main goes; copied articles and articles beside a teaser card do not."""
+    own = [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(8)]
+    share, card = "<p>Send this page to a friend</p>", "<article><p>Read more</p></article>"
+    rows = [(i, f"http://a.example/{i}", f"<body><article><h1>Title {i}</h1><p>{t}</p>{share}</article></body>") for i, t in enumerate(own)]
+    rows += [(10 + i, f"http://b.example/{i}", f"<body><main><p>{t}</p>{share}</main></body>") for i, t in enumerate([own[0]] * 5 + own[1:4])]
+    rows += [(20 + i, f"http://c.example/{i}", f"<body><div class=x1><p>{t}</p></div>{card.replace('more', f'more {i}')}</body>") for i, t in enumerate(own)]
+    got = texts(spark, rows)
+    assert [got[i] for i in range(8)] == [f"Title {i}\n\n{t}" for i, t in enumerate(own)]
+    assert [got[10 + i] for i in range(8)] == [f"{own[0]}\n\nSend this page to a friend"] * 5 + own[1:4]
+    assert all(own[i] in got[20 + i] for i in range(8))
+
+
 def test_long_page_repeated_rows_and_empty_table(spark):
     html = "<article>" + "<p>word " * 30_000 + "</article>"
     df = spark.createDataFrame([(1, "u", html, ""), (1, "u", html, "")], PAGES)

@@ -3,8 +3,8 @@
 Pages of one host share a template. Every page is read as a sequence of tokens: tags with their path, and runs of text.
 Tokens that occur equally often on every page of a host (the same occurrence vector) form an equivalence class; classes
 found on enough pages are valid, are ordered by the places of their tokens and nest by the tokens' paths into the host's
-template. What lies below a template element is a slot; the main slot is the deepest that holds most of a page's prose.
-A page's text is what its main slot holds, without the template's own text.
+template. What the template leaves is in its slots; a page's text is what all of its slots hold, whatever their elements:
+headings, lists, quotes, cells and every part of an article that is split over several containers.
 
 Occurrence vectors are never gathered: a token's vector is a sum of page hashes weighted by its counts, added up by a
 plain aggregation with map-side combine, so a host with a third of all pages is spread like any other. What is joined
@@ -13,8 +13,8 @@ back to the pages is one small row a host, repeated over salts.
 Elements that are no article by their meaning (navigation, header, footer, aside, forms, scripts, styles, notices,
 adverts, comments) are left out by tag and by class or id; hosts with too few pages for a template have these rules
 alone, or the ``article`` or ``main`` element where there is one. With a template, text that it holds is left out inside
-these elements too, and they break the tie between slots: they are the main slot where they hold at least half of the
-prose that remains. Where more than half of what they hold is template text, the article is one that a site repeats, and
+these elements too, and they break the tie between slots: slots outside them are left out where they hold at least half
+of the prose that remains. Where more than half of what they hold is template text, the article is one that a site repeats, and
 stays whole.
 
 Defined cases: a null or empty page has an empty text; broken markup is read as far as it goes and unclosed elements
@@ -223,7 +223,7 @@ def _size(blocks: list[Block]) -> int:
 
 def extract_page(html: str, classes: list[dict] | None) -> str:
     """The article of a page, given its host's valid classes."""
-    tokens, blocks = read_page(html)
+    _, blocks = read_page(html)
     own = [b for b in blocks if not b.left_out]
     marked = [b for b in own if b.article]
     template = {t for c in classes or () for t in c["tokens"]}
@@ -237,21 +237,6 @@ def extract_page(html: str, classes: list[dict] | None) -> str:
     marked = [b for b in own if b.article]
     if marked and 2 * _size(marked) >= _size(own):
         own = marked
-    elif own:
-        # slots between template tokens: blocks by the deepest template element that holds them
-        slots: dict[str, int] = {}
-        for b in own:
-            slot = b.path
-            while slot and _id(slot) not in template:
-                slot = slot.rpartition("/")[0]
-            parent = slot
-            while parent:
-                slots[parent] = slots.get(parent, 0) + len(b.text)
-                parent = parent.rpartition("/")[0]
-        total = _size(own)
-        # the deepest slot that holds most of the prose
-        main = max((s for s, n in slots.items() if 2 * n >= total), key=lambda s: s.count("/"), default="")
-        own = [b for b in own if not main or b.path == main or b.path.startswith(f"{main}/")]
     return "\n\n".join(b.text for b in own)
 
 

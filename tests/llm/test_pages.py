@@ -57,6 +57,18 @@ def test_template_decides_pages_with_an_article(spark):
     assert all(own[i] in got[20 + i] for i in range(8))
 
 
+def test_all_slots_are_kept(spark):
+    """Headings, lists, quotes, cells and a second container stay, and as much of a page for a large host as for a small."""
+    prose = lambda i, k, n: " ".join(f"w{i}x{k}x{j}" for j in range(n))
+    parts = [[f"Head {i}", prose(i, 0, 60), prose(i, 1, 15), prose(i, 2, 18), prose(i, 3, 9), prose(i, 4, 5), prose(i, 5, 40)] for i in range(8)]
+    page = "<body><div class=top><p>Site name</div><div class=post><h1>{}</h1><p>{}</p><ul><li>{}<li>{}</ul><blockquote>{}</blockquote><table><tr><td>{}</td></tr></table></div><div class=more><p>{}</p></div></body>"
+    rows = [(i, f"http://large.example/{i}", page.format(*x)) for i, x in enumerate(parts)]
+    rows += [(10 + i, f"http://small.example/{i}", page.format(*x).replace("<p>Site name", "")) for i, x in enumerate(parts[:2])]
+    got = texts(spark, rows)
+    assert [got[i] for i in range(8)] == ["\n\n".join(x) for x in parts]
+    assert [got[10], got[11]] == [got[0], got[1]]
+
+
 def test_long_page_repeated_rows_and_empty_table(spark):
     html = "<article>" + "<p>word " * 30_000 + "</article>"
     df = spark.createDataFrame([(1, "u", html, ""), (1, "u", html, "")], PAGES)

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from difflib import SequenceMatcher
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import difflib_ratio, norm_key, ratio_bounds
+from millrace.functions.text import norm_key
+from millrace.session import scratch_path
 
 #: Protected texts that a containment join may compare with every record: beyond, block on shared shingles.
 MAX_PROTECTED = 5000
@@ -56,31 +61,163 @@ def equal_texts(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_
     return d.join(i, "k").select("doc_id", "item_id")
 
 
-def char_counts(text: Column) -> Column:
-    """Counts of lower-case letters, digits and spaces; what is left counts as one class each way."""
-    chars = "abcdefghijklmnopqrstuvwxyz0123456789 "
-    return F.array(*(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in chars))
+#: Counters of a text: of its characters and of its runs of :data:`GRAM` characters, by hash.
+CHARS, GRAMS, GRAM, LONG_GRAM = 64, 1024, 4, 8
+#: Rows and characters of a block of texts; a task holds two.
+BLOCK_ROWS, BLOCK_CHARS = 4096, 1 << 23
 
 
-def fuzzy_pairs(left: DataFrame, left_id: str, left_text: str, right: DataFrame, right_id: str, right_text: str, least: float = 0.85) -> DataFrame:
-    """Pairs whose SequenceMatcher ratio is at least ``least``.
+def _gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
+    n = max(len(codes) - q + 1, 0)
+    h = np.zeros(n, np.uint64)
+    for k in range(q):
+        h = (h + codes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
 
-    Two lossless bounds come first: lengths, as an equi join on length bands, and multisets of characters; only what
-    they leave reaches Python.
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _counters(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, int]:
+    """Counts by bucket, up to 255, and what lies above."""
+    full = np.bincount((hashes % np.uint64(buckets)).astype(np.int64), minlength=buckets)
+    held = np.minimum(full, 255)
+    return held.astype(np.uint8), int((full - held).sum())
+
+
+def _profile(text: str) -> tuple[int, int, int, bytes, int, bytes]:
+    """Length, most matching blocks of SequenceMatcher with this text second, and counters with their excess.
+
+    From 200 characters on it seeds matches only at characters that make up at most a hundredth of the second text, so
+    each block holds one of those, but for one that may begin both texts.
+    """
+    codes = _codes(text)
+    n = len(codes)
+    _, counts = np.unique(codes, return_counts=True)
+    seeds = n if n < 200 else int(counts[counts <= n // 100 + 1].sum())
+    chars, more_chars = _counters(_gram_hashes(codes, 1), CHARS)
+    grams, more_grams = _counters(_gram_hashes(codes, GRAM), GRAMS)
+    return n, seeds + 1, more_chars, chars.tobytes(), more_grams, grams.tobytes()
+
+
+def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
+        columns = zip(*map(_profile, batch.column(1).to_pylist()), strict=True)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary())
+        arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=["id", "text", "band", "part", "n", "blocks", "more_chars", "chars", "more_grams", "grams"])
+
+
+def _banded(rows: DataFrame, ratio: float) -> tuple[DataFrame, dict[int, int]]:
+    """Texts with their length band, and the number of blocks of each band."""
+    # bands of a fixed ratio, a little wider for rounding: texts that may match lie in the same or in neighbouring bands
+    band = F.floor(F.log(F.length("text").cast("double")) / F.lit(-math.log(ratio) * 1.0001)).cast("int")
+    rows = rows.where("text <> ''").withColumn("band", band)
+    sizes = rows.groupBy("band").agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars")).collect()
+    return rows, {r.band: max(-(-r.rows // BLOCK_ROWS), -(-r.chars // BLOCK_CHARS)) for r in sizes}
+
+
+def _write_blocks(rows: DataFrame, parts: dict[int, int], name: str) -> str:
+    """Writes the texts of the bands in ``parts`` with their counters, block by block, and returns the folder."""
+    folder = scratch_path(rows.sparkSession, name)
+    if parts:
+        of = F.create_map(*(F.lit(x) for item in parts.items() for x in item))
+        placed = rows.where(F.col("band").isin(*parts)).withColumn("part", F.pmod(F.xxhash64("id", "text"), of[F.col("band")]).cast("int"))
+        kind = rows.schema["id"].dataType.simpleString()
+        made = placed.repartition(sum(parts.values()), "band", "part").mapInArrow(_profiles, f"id {kind}, text string, band int, part int, n long, blocks long, more_chars long, chars binary, more_grams long, grams binary")
+        made.write.partitionBy("band", "part").parquet(folder)
+    return folder
+
+
+def _matches(a: pa.Table, b: pa.Table, least: float, below: bool) -> tuple[list[int], list[int], list[float]]:
+    """Rows of both blocks whose ratio is at least ``least``; only what the bounds leave is compared."""
+    column = lambda t, c: t[c].to_numpy()
+    counters = lambda t, c, k: np.frombuffer(b"".join(t[c].to_pylist()), np.uint8).reshape(-1, k)
+    n, more_chars, chars, more_grams, grams = column(a, "n"), column(a, "more_chars"), counters(a, "chars", CHARS), column(a, "more_grams"), counters(a, "grams", GRAMS)
+    order = np.argsort(n, kind="stable")
+    n, more_chars, chars, more_grams, grams = n[order], more_chars[order], chars[order], more_grams[order], grams[order]
+    b_chars, b_grams = counters(b, "chars", CHARS), counters(b, "grams", GRAMS)
+    a_ids, b_ids = a["id"].combine_chunks(), b["id"].combine_chunks()
+    long: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+
+    def long_grams(side: int, i: int) -> tuple[np.ndarray, np.ndarray]:
+        if (side, i) not in long:
+            if len(long) % 64 == 63 and sum(len(x) for x, _ in long.values()) > 1 << 21:
+                long.clear()
+            long[side, i] = np.unique(_gram_hashes(_codes((b if side else a)["text"][i].as_py()), LONG_GRAM), return_counts=True)
+        return long[side, i]
+
+    found: tuple[list[int], list[int], list[float]] = ([], [], [])
+    for j, (m, blocks, c, g) in enumerate(zip(*(column(b, x) for x in ("n", "blocks", "more_chars", "more_grams")), strict=True)):
+        # 2 * min / (n + m) bounds the ratio; ends with a margin for rounding
+        at = np.arange(*np.searchsorted(n, [math.floor(m * least / (2 - least)) - 1, math.ceil(m * (2 - least) / least) + 2]))
+        if below and len(at):
+            at = at[np.asarray(pc.fill_null(pc.less(a_ids.take(pa.array(order[at])), b_ids[j]), False))]
+        need = np.ceil(least * (n[at] + m) / 2 - 1e-6).astype(np.int64)
+        # blocks are apart, so their number is bounded by what is not matched too; each may cut GRAM - 1 runs
+        most = np.minimum(blocks, n[at] + m - 2 * need + 1)
+        keep = np.minimum(chars[at], b_chars[j]).sum(axis=1, dtype=np.int64) + np.minimum(more_chars[at], c) >= need
+        at, need, most = at[keep], need[keep], most[keep]
+        for lo in range(0, len(at), 1024):
+            near, floor, cuts = at[lo : lo + 1024], need[lo : lo + 1024], most[lo : lo + 1024]
+            shared = np.minimum(grams[near], b_grams[j]).sum(axis=1, dtype=np.int64) + np.minimum(more_grams[near], g)
+            keep = shared >= floor - (GRAM - 1) * cuts
+            for i, least_shared in zip(order[near[keep]].tolist(), (floor - (LONG_GRAM - 1) * cuts)[keep].tolist(), strict=True):
+                if least_shared > 0:
+                    (x, nx), (y, ny) = long_grams(0, i), long_grams(1, j)
+                    _, ix, iy = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+                    if np.minimum(nx[ix], ny[iy]).sum() < least_shared:
+                        continue
+                ratio = SequenceMatcher(None, a["text"][i].as_py(), b["text"][j].as_py()).ratio()
+                if ratio >= least:
+                    for held, x in zip(found, (i, j, ratio), strict=True):
+                        held.append(x)
+    return found
+
+
+def fuzzy_pairs(left: DataFrame, left_id: str, left_text: str, right: DataFrame, right_id: str, right_text: str, least: float = 0.85, below: bool = False) -> DataFrame:
+    """Pairs whose SequenceMatcher ratio, left text first, is at least ``least``; with ``below``, those with ``a < b``.
+
+    Whole texts are compared, block with block of neighbouring length bands, read from a shared table, so that no pair
+    is shuffled. Lossless bounds come first: lengths, characters, and runs of characters, of which a pair shares what
+    matches less what the ends of matching blocks may cut.
     """
     ratio = least / (2 - least)
-    a = left.select(F.col(left_id).alias("a"), F.col(left_text).alias("ta")).where("ta <> ''").withColumn("ca", char_counts(F.col("ta")))
-    b = right.select(F.col(right_id).alias("b"), F.col(right_text).alias("tb")).where("tb <> ''").withColumn("cb", char_counts(F.col("tb")))
-    # bands of a fixed ratio: texts that may match lie in the same or in neighbouring bands
-    band = lambda t: F.floor(F.log(F.length(t).cast("double")) / F.lit(-math.log(ratio))).cast("int")
-    a = a.withColumn("band", band(F.col("ta")))
-    b = b.withColumn("band", F.explode(F.array(*(band(F.col("tb")) + k for k in (-1, 0, 1)))))
-    pairs = a.join(b, "band").where(ratio_bounds(F.col("ta"), F.col("tb"), least))
-    shared = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    known = F.aggregate("ca", F.lit(0), lambda s, x: s + x), F.aggregate("cb", F.lit(0), lambda s, x: s + x)
-    other = F.least(F.length("ta") - known[0], F.length("tb") - known[1])
-    pairs = pairs.where(2 * (shared + other) >= least * (F.length("ta") + F.length("tb")))
-    return pairs.select("a", "b", difflib_ratio(F.col("ta"), F.col("tb")).alias("ratio")).where(F.col("ratio") >= least)
+    spark = left.sparkSession
+    a_rows = left.select(F.col(left_id).alias("id"), F.col(left_text).alias("text"))
+    same = left is right and (left_id, left_text) == (right_id, right_text)
+    a_rows, a_parts = _banded(a_rows, ratio)
+    b_rows, b_parts = (a_rows, a_parts) if same else _banded(right.select(F.col(right_id).alias("id"), F.col(right_text).alias("text")), ratio)
+    # bands without a neighbour on the other side have no pair
+    near = lambda parts, others: {k: n for k, n in parts.items() if {k - 1, k, k + 1} & set(others)}
+    a_parts, b_parts = near(a_parts, b_parts), near(b_parts, a_parts)
+    a_folder = _write_blocks(a_rows, a_parts, "fuzzy-left")
+    b_folder = a_folder if same else _write_blocks(b_rows, b_parts, "fuzzy-right")
+    tiles = [(x, i, y, j) for x in a_parts for y in b_parts if abs(x - y) <= 1 for i in range(a_parts[x]) for j in range(b_parts[y])]
+    kinds = left.schema[left_id].dataType, right.schema[right_id].dataType
+
+    def read(folder: str, band: int, part: int) -> pa.Table:
+        import pyarrow.dataset as ds
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        return ds.dataset(f"{path}/band={band}/part={part}", filesystem=store, format="parquet").to_table() if store.get_file_info(f"{path}/band={band}/part={part}").type == fs.FileType.Directory else pa.table({})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a_band, a_part, b_band, b_part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a, b = read(a_folder, a_band, a_part), read(b_folder, b_band, b_part)
+                if not a.num_rows or not b.num_rows:
+                    continue
+                i, j, ratios = _matches(a, b, least, below)
+                if i:
+                    ids = a["id"].combine_chunks().take(pa.array(i)), b["id"].combine_chunks().take(pa.array(j))
+                    yield pa.RecordBatch.from_arrays([*ids, pa.array(ratios, pa.float64())], names=["a", "b", "ratio"])
+
+    tasks = spark.createDataFrame(tiles, "a_band int, a_part int, b_band int, b_part int").repartition(max(1, min(len(tiles), 1000)))
+    return tasks.mapInArrow(run, f"a {kinds[0].simpleString()}, b {kinds[1].simpleString()}, ratio double")
 
 
 def reasons(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:

@@ -140,18 +140,17 @@ def benchmark_exact(spark, sf_dir):
 
 @query()
 def fuzzy_overlap(spark, sf_dir):
-    """First lines of documents against protected texts by SequenceMatcher ratio."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", X.norm_key(F.substring_index("text", "\n", 1)).alias("t"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", X.norm_key(F.substring_index("text", "\n", 1)).alias("t"))
-    return D.fuzzy_pairs(docs.where("length(t) >= 40"), "doc_id", "t", items, "item_id", "t", 0.85)
+    """Whole texts of documents against protected texts by SequenceMatcher ratio."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", X.norm_key(F.col("text")).alias("t"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", X.norm_key(F.col("text")).alias("t"))
+    return D.fuzzy_pairs(docs, "doc_id", "t", items, "item_id", "t", 0.85)
 
 
 @query()
 def near_duplicate_pairs(spark, sf_dir):
-    """Documents whose first lines nearly repeat each other."""
-    first = table(spark, sf_dir, "documents").select("doc_id", X.norm_words(F.substring_index("text", "\n", 1)).alias("t"))
-    first = first.where("length(t) >= 40")
-    return D.fuzzy_pairs(first, "doc_id", "t", first, "doc_id", "t", 0.9).where("a < b")
+    """Documents whose whole texts nearly repeat each other."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", X.norm_words(F.col("text")).alias("t"))
+    return D.fuzzy_pairs(docs, "doc_id", "t", docs, "doc_id", "t", 0.9, below=True)
 
 
 @query("""

@@ -192,6 +192,38 @@ def test_fuzzy_pairs_equal_all_pairs(spark):
     assert got == {(a, b) for a, x in enumerate(texts) for b, y in enumerate(texts) if difflib.SequenceMatcher(None, x, y).ratio() >= 0.85}
 
 
+def test_fuzzy_queries_compare_whole_texts(spark, tmp_path, monkeypatch):
+    """Short or changed first lines lose no pair, a shared opening line makes none; the same pairs as all comparisons."""
+    import difflib
+    import random
+    import re
+
+    from millrace.plans.corpus_queries import fuzzy_overlap, near_duplicate_pairs
+
+    monkeypatch.setattr(decontam, "BLOCK_ROWS", 7, raising=False)
+    rng = random.Random(3)
+    words = ["".join(rng.choices("etaoinshrdlucmfwypvbgkjqxzé", weights=range(27, 0, -1), k=rng.randint(1, 9))) for _ in range(90)]
+    prose = lambda n: " ".join(rng.choices(words, k=n))
+    texts = [f"{prose(rng.randint(1, 12))}\n{prose(rng.choice([2, 9, 30, 60, 200]))}" for _ in range(24)]
+    for t in texts[:18]:
+        w = t.split(" ")
+        for _ in range(max(1, len(w) // rng.choice([8, 12, 30]))):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        texts.append(" ".join(w))
+    opening = prose(12)
+    texts += [f"Short\n{prose(60)}"] * 2 + [f"{opening}\n{prose(60)}", f"{opening}\n{prose(60)}", "a\nb", "A b", "", "x" * 400, "x" * 401]
+    items = [texts[3], texts[8].replace("\n", " "), f"{prose(1)} {texts[12]}", texts[20], "", texts[-6]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    key = lambda t: re.sub(r"[ \t\r\n]+", " ", t.lower()).strip(" ")
+    plain = lambda t: re.sub(r"[^\w]+", " ", t.lower()).strip(" ")
+    ratio = lambda x, y: difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0
+    expected = {(a, b) for b, y in enumerate(texts) for a, x in enumerate(texts[:b]) if ratio(plain(x), plain(y)) >= 0.9}
+    assert {(r.a, r.b) for r in near_duplicate_pairs(spark, str(tmp_path)).collect()} == expected and len(expected) > 8
+    expected = {(a, b) for a, x in enumerate(texts) for b, y in enumerate(items) if ratio(key(x), key(y)) >= 0.85}
+    assert {(r.a, r.b) for r in fuzzy_overlap(spark, str(tmp_path)).collect()} == expected and len(expected) > 4
+
+
 def test_grouped_split_keeps_groups(spark):
     rows = spark.createDataFrame([(i, f"g{i // 2}") for i in range(50)], "i int, g string")
     got = splits.grouped_split(rows, "g", 3).collect()

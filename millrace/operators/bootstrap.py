@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.numbering import number_rows
+
 # Replicates, seed, and indices of the bounds as functions of the number of kept replicates.
 VARIANTS: dict[str, tuple[int, int, Callable[[int], tuple[int, int]]]] = {
     "metric": (1000, 0, lambda n: (int(0.025 * 1000), int(0.975 * 1000))),
@@ -22,23 +24,26 @@ VARIANTS: dict[str, tuple[int, int, Callable[[int], tuple[int, int]]]] = {
     "reporting_mean": (2000, 20261102, lambda n: (int(0.025 * 1999), int(0.975 * 1999))),
     "kappa": (2000, 0, lambda n: (int(0.025 * n), int(0.975 * n))),
 }
-#: Units of a resample; larger populations have no use for one.
-MAX_UNITS = 100_000
+#: Up to here units are numbered in one task, and up to here sent to every executor instead of shuffling the draws.
+MAX_UNITS, SENT_UNITS = 100_000, 1_000_000
 
 
 def replicates(units: DataFrame, order: str, statistic: Column, b: int, seed: int) -> DataFrame:
     """``(b, stat)``: the statistic of every resample of ``units`` with replacement."""
-    # the population is a list of evaluated items: bounded, checked, and small enough to number in one task
-    n = units.limit(MAX_UNITS + 1).count()
-    if n > MAX_UNITS:
-        raise ValueError(f"more than {MAX_UNITS} units")
+    n = units.count()
     spark = units.sparkSession
     if n == 0:
         return spark.createDataFrame([], "b long, stat double")
-    numbered = units.withColumn("i", F.row_number().over(Window.orderBy(order)) - 1)
-    grid = spark.range(b).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot"))
-    draws = grid.withColumn("i", F.pmod(F.xxhash64(F.lit(seed), "b", "slot"), F.lit(n)).cast("int"))
-    return draws.join(F.broadcast(numbered), "i").groupBy("b").agg(statistic.alias("stat"))
+    if n > MAX_UNITS:
+        numbered = number_rows(units, [order], "i")
+    else:
+        numbered = units.withColumn("i", F.row_number().over(Window.orderBy(order)) - 1)
+    if n <= SENT_UNITS:
+        numbered = F.broadcast(numbered)
+    slot = (F.col("id") % n).cast("int" if n < 1 << 31 else "long")
+    grid = spark.range(b * n).select(F.expr(f"id div {n}L").alias("b"), slot.alias("slot"))
+    draws = grid.withColumn("i", F.pmod(F.xxhash64(F.lit(seed), "b", "slot"), F.lit(n)))
+    return draws.join(numbered, "i").groupBy("b").agg(statistic.alias("stat"))
 
 
 def interval(units: DataFrame, order: str, statistic: Column, variant: str) -> DataFrame:

@@ -268,6 +268,16 @@ def test_gates_go_red(spark):
     assert [(r.path, r.points) for r in gates.leaked_points(report, ["a"]).collect()] == [("p", ["a"])]
 
 
+def test_bootstrap_beyond_one_task(spark, monkeypatch):
+    units = spark.range(60).select(F.col("id").alias("i"), (F.col("id") % 7 / 7).alias("v"))
+    small = {r.b: r.stat for r in bootstrap.replicates(units, "i", F.avg("v"), 50, 3).collect()}
+    for bound in ("MAX_UNITS", "SENT_UNITS"):
+        monkeypatch.setattr(bootstrap, bound, 20, raising=False)
+        large = {r.b: r.stat for r in bootstrap.replicates(units, "i", F.avg("v"), 50, 3).collect()}
+        assert large.keys() == small.keys() and len(large) == 50
+        assert all(abs(large[b] - small[b]) < 1e-12 for b in small)
+
+
 def test_bootstrap(spark):
     one = spark.createDataFrame([(1, 0.5)], "i int, v double")
     assert tuple(bootstrap.interval(one, "i", F.avg("v"), "reporting_mean").first()) == (0.5, 0.5, 2000)

@@ -57,6 +57,126 @@ def test_template_decides_pages_with_an_article(spark):
     assert all(own[i] in got[20 + i] for i in range(8))
 
 
+def brute_texts(pages):
+    """The template of one host by definition, all pages in memory: vectors as tuples, spans compared pair by pair."""
+    from itertools import combinations
+
+    read = [html_text.read_page(h) for h in pages]
+    seqs = [t for t, _ in read]
+    vectors = {}
+    for t in {t for s in seqs for t in s}:
+        v = tuple(s.count(t) for s in seqs)
+        if sum(n > 0 for n in v) >= max(4, len(pages) / 2):
+            mean = sum(s.index(t) for s in seqs if t in s) / sum(n > 0 for n in v)
+            vectors.setdefault(v, []).append((mean, html_text._id(t), t))
+    classes = [[t for *_, t in sorted(ts)] for ts in vectors.values()]
+    support = lambda c: sum(c[0] in s for s in seqs)
+    classes.sort(key=lambda c: (-support(c), -len(c), [html_text._id(t) for t in c]))
+    bad, gone, where = set(), set(), {}
+    for s in seqs:
+        valid = []
+        for k, c in enumerate(classes):
+            if c[0] not in s:
+                continue
+            rounds = list(zip(*([i for i, x in enumerate(s) if x == t] for t in c), strict=True))
+            out = set()
+            for r in rounds:  # the largest set of tokens in order, the first one by rank
+                best = next(x for m in range(len(c), 0, -1) for x in combinations(range(len(c)), m) if all(r[a] < r[b] for a, b in zip(x, x[1:])))
+                out |= set(range(len(c))) - set(best)
+            gone |= {(k, c[r]) for r in out}
+            spans = [[r[x] for x in range(len(c)) if x not in out] for r in rounds]
+            crossing = any(a[-1] > b[0] for a, b in zip(spans, spans[1:]))
+            inside = [("root",)] * len(spans)
+            for f, others in valid:
+                for a, span in enumerate(spans):
+                    for o in others:
+                        gaps = {sum(i > x for x in o) for i in span}
+                        held = any(0 < g < len(o) for g in gaps)
+                        crossing |= held and len(gaps) > 1
+                        if held and len(gaps) == 1 and (inside[a] == ("root",) or o[0] > inside[a][0]):
+                            inside[a] = (o[0], f, gaps.pop())
+            if crossing:
+                bad.add(k)
+                continue
+            where.setdefault(k, set()).update(x[1:] for x in inside)
+            if len(spans[0]) > 1:
+                valid.append((k, spans))
+    template = {t for k, c in enumerate(classes) if k not in bad and len(where[k]) == 1 for t in c if (k, t) not in gone}
+    chosen = [[b for b in blocks if not b.left_out] for _, blocks in read]
+    all_tokens = {t for c in classes for t in c}
+    if not any(f"={b.path}={b.text}" not in all_tokens for blocks in chosen for b in blocks):
+        template = set()
+    out = []
+    for blocks in chosen:
+        kept = [b for b in blocks if f"={b.path}={b.text}" not in template]
+        article = sum(len(b.text) for b in blocks if b.article)
+        copied = 2 * sum(len(b.text) for b in kept if b.article) < article
+        out.append("\n\n".join(b.text for b in blocks if b in kept or (copied and b.article)))
+    return out
+
+
+def host_pages(rng, i):
+    """A host with its own chrome, with or without an article, lines that repeat in place or out of place."""
+    words = [f"h{i}w{k}" for k in range(60)]
+    prose = lambda n: " ".join(rng.choices(words, k=n))
+    top, low, refrain, note = prose(3), prose(4), prose(5), prose(6)
+    tag = ["article", "div class=b1", "main"][i % 3]
+    pages = []
+    for _ in range(rng.randint(4, 9)):
+        parts = [f"<p>{prose(rng.randint(5, 30))}</p>" for _ in range(rng.randint(1, 5))]
+        if i % 2:
+            parts.insert(rng.randint(0, len(parts)), f"<p>{refrain}</p>")
+        if rng.random() < 0.7:
+            parts.append(f"<ul><li>{prose(4)}<li>{prose(3)}</ul>")
+        body = "".join(parts)
+        if i % 4 == 2:  # two lines of the template that change places, and a second content container
+            a, b = rng.sample([f"<h5>{note}</h5>", f"<h6>{low}</h6>"], 2)
+            body = f"{a}{body}{b}</{tag.split()[0]}><section><p>{prose(9)}</p></section><{tag}>"
+        rows = "".join(f"<tr><td>Name<td>{prose(2)}" for _ in range(rng.randint(1, 3))) if i % 5 == 3 else ""
+        table = f"<table>{rows}</table>" if rows else ""
+        pages.append(f"<body><div class=t{i}><p>{top}</p><p>Welcome</p></div><{tag}>{body}</{tag.split()[0]}>{table}<div class=l{i}>{low}</div></body>")
+    return pages
+
+
+def test_templates_equal_brute_force(spark):
+    rng = random.Random(21)
+    hosts = [host_pages(rng, i) for i in range(20)]
+    rows = [(100 * i + k, f"http://n{i}.example/{k}", html) for i, pages in enumerate(hosts) for k, html in enumerate(pages)]
+    got = texts(spark, rows)
+    plain = 0
+    for i, pages in enumerate(hosts):
+        expected = brute_texts(pages)
+        assert [got[100 * i + k] for k in range(len(pages))] == expected, i
+        # without its classes the template would leave other text
+        plain += expected != ["\n\n".join(b.text for b in html_text.read_page(h)[1] if not b.left_out) for h in pages]
+    assert plain == 20
+
+
+def test_order_and_nesting_decide():
+    classes = [["a", "b", "c", "d"], ["x", "y"]]
+    number = {t: i for i, t in enumerate("abcdxyz")}
+    ids = [[number[t] for t in c] for c in classes]
+    check = lambda text: html_text.check_page([number[t] for t in text], ids)
+    assert check("azbxycxyd") == (set(), set(), {0: {html_text.ROOT}, 1: {2, 3}})  # two gaps: no valid class
+    assert check("abxyzxycd")[2][1] == {2} and check("xyabcd")[2][1] == {html_text.ROOT}
+    assert check("abxcyd")[1] == {1}  # spans cross: the weaker class
+    assert check("abxxyycd")[1] == {1} and check("axbycd")[1] == {1}
+    assert check("bcad")[0] == {(0, 0)} and check("dabc")[0] == {(0, 3)} and check("badc")[0] == {(0, 1), (0, 3)}
+    assert html_text.longest_in_order([3, 1, 2, 0]) == {1, 2} and html_text.longest_in_order([1, 0, 3, 2]) == {0, 2}
+
+
+def test_article_text_stays(spark):
+    html = "<article><p>before <math><mi>x</mi><mo>=</mo><mn>2</mn></math> after <script>no()</script>all</p><fieldset><legend>Quiz</legend><p>one</p><label>two</label></fieldset><figure><figcaption>Shown</figcaption></figure></article><p>outside"
+    assert texts(spark, [(1, "http://m.example/", html)])[1] == "before x=2 after all\n\nQuiz\n\none\n\ntwo\n\nShown"
+    card = "<article><p>teaser</p></article><div class=x1><p>The body of the page stands outside of it</p></div>"
+    assert texts(spark, [(1, "http://m.example/", card)])[1] == "teaser\n\nThe body of the page stands outside of it"
+
+
+def test_menus_are_elements_of_links(spark):
+    rows = [(i, f"http://l.example/{i}", f"<body><ul class=k>{''.join(f'<li><a href=/>to {i} {k}</a>' for k in range(4))}</ul><div class=x><p>own {i} <a href=/>one link {i}</a></p></div></body>") for i in range(6)]
+    assert texts(spark, rows) == {i: f"own {i} one link {i}" for i in range(6)}
+
+
 def test_all_slots_are_kept(spark):
     """Headings, lists, quotes, cells and a second container stay, and as much of a page for a large host as for a small."""
     prose = lambda i, k, n: " ".join(f"w{i}x{k}x{j}" for j in range(n))

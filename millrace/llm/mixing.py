@@ -1,38 +1,43 @@
 """Mixing sources to target weights over fixed-length token blocks.
 
-Every source's words are one stream, in a pseudorandom document order, cut into blocks of ``block_words``. Output
-shards of ``shard_slots`` slots are filled by multinomial draws over the sources, conditioned on every source's total
-(so the totals hold exactly, whatever the draws). A source's j-th slot maps through a pseudorandom permutation of its
-block indices, one permutation an epoch, and blocks are joined by ``(source, block)``. The last slot of a source is cut
-to the words still wanted, so a source's taken words equal its rounded target, and as a target stops at
-``max_epochs`` times its source no document exceeds that many times its size.
-
-Offsets in a stream are prefix sums in two levels: documents fall in buckets by hash, a window runs within a bucket and
-another over bucket totals, so a source with a third of all rows is no single task. Everything random is a hash of the
-seed, the source and an index: reruns agree, at any partitioning.
-
-Defined cases: a null text has size 0 and takes nothing; null is a source of its own, ordered last; repeated rows are
-separate documents; an empty table gives an empty result; other columns are not read.
+Every source's words are one stream, in a pseudorandom document order, cut into blocks of ``block_words``; a source
+fills as many output slots as its target takes. A keyed pseudorandom permutation of all slots deals them to output
+shards of ``shard_slots``: the source counts of a shard are a multinomial draw given every source's total, so the
+totals hold exactly, whatever the draws. A source's j-th slot maps through a pseudorandom permutation of its block
+indices, one permutation an epoch, and blocks are joined by ``(source, block)``. The last slot of a source is cut to
+the words still wanted, so a source's taken words equal its rounded target, and as a target stops at ``max_epochs``
+times its source no document exceeds that many times its size.
+
+A shard needs nothing but its number and the plan, a row a source and epoch, so shards are made in parallel, at any
+number of slots. Offsets in a stream are prefix sums in two levels: documents fall in buckets by hash, a window runs
+within a bucket and another over bucket totals, so a source with a third of all rows is no single task. Everything
+random is a hash of the seed, the source and an index, or of a document's id and text: reruns agree, at any
+partitioning. The driver holds a row a source, as its weights are its configuration; it is joined by broadcast up to
+:data:`SENT_SOURCES` sources and by shuffle beyond.
+
+Defined cases: a null text has size 0 and takes nothing; null is a source of its own, ordered last; rows without an id
+and repeated rows are separate documents; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.words import mix64
 from millrace.session import materialize
 
 WORD_GAPS = r"[\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
-#: Bounds of what the driver plans: a row a source, and a draw for each source and output shard.
-MAX_SOURCES = 10_000
-MAX_SHARDS = 4096
+#: Up to so many sources their targets are sent to every executor.
+SENT_SOURCES = 100_000
+#: Slots that a task makes at a time.
+SLOTS_AT_ONCE = 1 << 18
 
 
 def word_count(text: Column) -> Column:
@@ -63,47 +68,48 @@ def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float
     return out
 
 
-def _keys(seed: int, source: int, epoch: int) -> list[int]:
-    raw = hashlib.blake2b(f"{seed}/{source}/{epoch}".encode(), digest_size=32).digest()
-    return [int.from_bytes(raw[i : i + 8], "little") for i in range(0, 32, 8)]
+#: Half the bits of the smallest even width that holds n numbers.
+_WIDTHS = np.array([1 << (2 * h) for h in range(32)], dtype=np.uint64)
+_SALT = np.uint64(0x9E3779B97F4A7C15)
+ROUNDS = 4
 
 
-def _feistel(x: np.ndarray, keys: list[int], bits: int) -> np.ndarray:
-    low, mask = np.uint64(bits // 2), np.uint64((1 << (bits // 2)) - 1)
+def _round(x: np.ndarray, key: np.ndarray, r: int, mask: np.ndarray) -> np.ndarray:
+    return (mix64((x + key) * _SALT + np.uint64(r)) >> np.uint64(32)) & mask
+
+
+def _feistel(x: np.ndarray, key: np.ndarray, low: np.ndarray) -> np.ndarray:
+    mask = (np.uint64(1) << low) - np.uint64(1)
     left, right = x >> low, x & mask
-    for k in keys:
-        f = (right + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
-        f = (f ^ (f >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        left, right = right, left ^ ((f >> np.uint64(32)) & mask)
+    for r in range(ROUNDS):
+        left, right = right, left ^ _round(right, key, r, mask)
     return (left << low) | right
 
 
-def _unfeistel(x: np.ndarray, keys: list[int], bits: int) -> np.ndarray:
-    low, mask = np.uint64(bits // 2), np.uint64((1 << (bits // 2)) - 1)
+def _unfeistel(x: np.ndarray, key: np.ndarray, low: np.ndarray) -> np.ndarray:
+    mask = (np.uint64(1) << low) - np.uint64(1)
     left, right = x >> low, x & mask
-    for k in reversed(keys):
-        f = (left + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
-        f = (f ^ (f >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        left, right = right ^ ((f >> np.uint64(32)) & mask), left
+    for r in reversed(range(ROUNDS)):
+        left, right = right ^ _round(left, key, r, mask), left
     return (left << low) | right
 
 
-def _bits(n: int) -> int:
-    bits = max(2, (max(n - 1, 1)).bit_length())
-    return bits + bits % 2
+def permute(index, n, seed: int, source, epoch, step=_feistel) -> np.ndarray:
+    """Pseudorandom permutations of range(n) at ``index``: a Feistel network, walked until it lands below n.
 
-
-def permute(index: np.ndarray, n: int, seed: int, source: int, epoch: int, step=_feistel) -> np.ndarray:
-    """A pseudorandom permutation of range(n) at ``index``: a Feistel network, walked until it lands below n."""
-    bits, keys = _bits(n), _keys(seed, source, epoch)
+    ``n``, ``source`` and ``epoch`` may be arrays: each element has its own permutation.
+    """
+    x, n, source, epoch = np.broadcast_arrays(*(np.asarray(v, dtype=np.int64).astype(np.uint64) for v in (index, n, source, epoch)))
     with np.errstate(over="ignore"):
-        out = step(index.astype(np.uint64), keys, bits)
-        while (far := out >= np.uint64(n)).any():
-            out[far] = step(out[far], keys, bits)
+        key = mix64(mix64(mix64(np.full(1, seed, np.uint64) * _SALT) + source) * _SALT + epoch)
+        low = np.maximum(np.searchsorted(_WIDTHS, n), 1).astype(np.uint64)
+        out = step(x, key, low)
+        while len(far := np.flatnonzero(out >= n)):
+            out[far] = step(out[far], key[far], low[far])
     return out.astype(np.int64)
 
 
-def unpermute(index: np.ndarray, n: int, seed: int, source: int, epoch: int) -> np.ndarray:
+def unpermute(index, n, seed: int, source, epoch) -> np.ndarray:
     """The inverse of :func:`permute`."""
     return permute(index, n, seed, source, epoch, _unfeistel)
 
@@ -129,30 +135,24 @@ def slots_needed(words: int, size: int, block: int, seed: int, source: int) -> l
     return out
 
 
-def _draw(plan: list[tuple[int, int]], slots: int, shard_slots: int, seed: int) -> Iterator[tuple[int, int, int, int]]:
-    """``(shard, source, first slot of the source, slots)``: multinomial counts per shard, given each source's total.
+class Plan:
+    """Slots of every source and epoch, end to end: source, epoch, slots, words in the last slot (0: all), blocks."""
 
-    A multinomial draw given its totals is a draw without replacement: shard by shard, source by source, each count is
-    hypergeometric in what is left.
-    """
-    rng = np.random.Generator(np.random.Philox(key=seed))
-    left = np.array([n for _, n in plan], dtype=np.int64)
-    taken = np.zeros_like(left)
-    shards = -(-slots // shard_slots)
-    for shard in range(shards):
-        room, total, count = min(shard_slots, int(left.sum())), int(left.sum()), np.zeros_like(left)
-        for i in range(len(left)):
-            if room == 0:
-                break
-            others = total - int(left[i])
-            count[i] = rng.hypergeometric(left[i], others, room) if left[i] and others else min(room, int(left[i]))
-            room -= int(count[i])
-            total = others
-        for i, n in enumerate(count):
-            if n:
-                yield shard, plan[i][0], int(taken[i]), int(n)
-        taken += count
-        left -= count
+    def __init__(self, epochs: list[tuple[int, int, int, int, int]]) -> None:
+        self.source, self.epoch, self.slots, self.last, self.blocks = np.array(epochs, dtype=np.int64).reshape(-1, 5).T
+        self.begin = np.concatenate([[0], np.cumsum(self.slots)])
+
+    @property
+    def total(self) -> int:
+        return int(self.begin[-1])
+
+    def deal(self, first: int, upto: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What fills output slots ``first`` to ``upto``: source, epoch, block, and words to take (0: all of it)."""
+        drawn = permute(np.arange(first, upto), self.total, seed, len(self.slots), 1 << 32)
+        k = np.searchsorted(self.begin, drawn, side="right") - 1
+        j = drawn - self.begin[k]
+        block = permute(j, self.blocks[k], seed, self.source[k], self.epoch[k])
+        return self.source[k], self.epoch[k], block, np.where(j == self.slots[k] - 1, self.last[k], 0)
 
 
 def mix(
@@ -167,47 +167,44 @@ def mix(
     shard_slots: int = 8192,
     docs_per_bucket: int = 1024,
     seed: int = 20240607,
+    order: Sequence[str] | None = None,
 ) -> DataFrame:
     """The mix of ``docs``: one row per document and stretch of it that was taken.
 
-    Columns: the id, ``source``, ``row`` (a key of the row within its source and bucket), ``bucket``, ``size``,
-    ``source_size``, ``target``, ``first`` and ``words`` (the stretch, in words of the document) and ``shard``,
-    ``slot``; a document of which nothing is taken has one row with null ``slot`` and ``words`` 0.
+    ``order`` names the columns whose hash orders documents, by default the id and the text. Columns: the id,
+    ``source``, ``bucket`` and ``place`` (a key of the row within its source), ``size``, ``source_size``, ``target``,
+    ``epoch``, ``first`` and ``words`` (the stretch, in words of the document) and ``shard``, ``slot``; a document of
+    which nothing is taken has one row with null ``slot`` and ``words`` 0.
     """
     spark = docs.sparkSession
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    h = F.xxhash64(F.lit(seed), *(order or (id_col, text_col)))
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), h.alias("h"))
     sized = materialize(sized, "sizes")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("rows")).collect()  # a row a source
-    if len(per_source) > MAX_SOURCES:
-        raise ValueError(f"{len(per_source)} sources; weights are given for {MAX_SOURCES} at most")
-    order = sorted(per_source, key=lambda r: (r.source is None, r.source or ""))
-    wanted = targets([r.words for r in order], weights, share, max_epochs)
-    rows = sum(r.rows for r in order)
+    per_source.sort(key=lambda r: (r.source is None, r.source or ""))
+    wanted = targets([r.words for r in per_source], weights, share, max_epochs)
+    rows = sum(r.rows for r in per_source)
     buckets = max(8, rows // max(docs_per_bucket, math.isqrt(rows)))  # neither level outgrows a task
 
-    plan, epochs = [], []
-    for k, (r, want) in enumerate(zip(order, wanted, strict=True)):
-        pieces = slots_needed(int(round(want)), r.words, block_words, seed, k) if r.words else []
-        plan.append((k, sum(n for _, n, _ in pieces)))
-        for epoch, n, last in pieces:
+    epochs = []
+    for k, (r, want) in enumerate(zip(per_source, wanted, strict=True)):
+        for epoch, n, last in slots_needed(int(round(want)), r.words, block_words, seed, k) if r.words else []:
             epochs.append((k, epoch, n, last, -(-r.words // block_words)))
-    slots = sum(n for _, n in plan)
-    shard_slots = max(shard_slots, -(-slots // MAX_SHARDS))
     names = spark.createDataFrame(
-        [(k, r.source, r.words, float(w)) for k, (r, w) in enumerate(zip(order, wanted, strict=True))], "k int, source string, source_size long, target double"
+        [(k, r.source, r.words, float(w)) for k, (r, w) in enumerate(zip(per_source, wanted, strict=True))], "k int, source string, source_size long, target double"
     )
-    names = names.hint("broadcast")  # a row a source
+    if len(per_source) <= SENT_SOURCES:
+        names = names.hint("broadcast")
 
-    h = F.xxhash64(F.lit(seed), F.col("id"))
-    placed = sized.join(names, sized.source.eqNullSafe(names.source)).drop(names.source).withColumn("h", h)
+    placed = sized.join(names, sized.source.eqNullSafe(names.source)).drop(names.source)
     placed = placed.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
     within = Window.partitionBy("k", "bucket").orderBy("h", "id", "size")
-    placed = placed.withColumn("row", F.row_number().over(within)).withColumn("upto", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)))
-    totals = sized.join(names, sized.source.eqNullSafe(names.source)).select("k", F.pmod(h, F.lit(buckets)).cast("int").alias("bucket"), "size")
+    placed = placed.withColumn("place", F.row_number().over(within)).withColumn("upto", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    totals = sized.join(names, sized.source.eqNullSafe(names.source)).select("k", F.pmod("h", F.lit(buckets)).cast("int").alias("bucket"), "size")
     totals = totals.groupBy("k", "bucket").agg(F.sum("size").alias("held"))
     totals = totals.withColumn("before", F.sum("held").over(Window.partitionBy("k").orderBy("bucket")) - F.col("held")).drop("held")
     placed = placed.join(totals, ["k", "bucket"]).withColumn("start", F.col("before") + F.col("upto") - F.col("size"))
-    placed = placed.select("id", "source", "k", "bucket", "row", "size", "source_size", "target", "start")
+    placed = placed.select("id", "source", "k", "bucket", "place", "size", "source_size", "target", "start")
 
     some = placed.where("size > 0").withColumn(
         "block", F.explode(F.sequence((F.col("start") / block_words).cast("long"), ((F.col("start") + F.col("size") - 1) / block_words).cast("long")))
@@ -216,46 +213,38 @@ def mix(
     some = some.withColumn("first", begin - F.col("start")).withColumn("offset", begin - F.col("block") * block_words)
     some = some.withColumn("held", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words) - begin)
 
-    drawn = _slots(spark, plan, epochs, slots, shard_slots, seed)
+    drawn = _slots(spark, Plan(epochs), shard_slots, seed)
     taken = some.join(drawn, ["k", "block"])
     # a slot that is cut takes the block's first `upto` words
     taken = taken.withColumn("words", F.when(F.col("upto") == 0, F.col("held")).otherwise(F.least(F.col("held"), F.greatest(F.col("upto") - F.col("offset"), F.lit(0)))))
-    taken = taken.where("words > 0").select("k", "bucket", "row", "first", "words", "shard", "slot")
-    out = placed.join(taken, ["k", "bucket", "row"], "left").withColumn("words", F.coalesce("words", F.lit(0).cast("long")))
-    return out.withColumnRenamed("id", id_col).select(id_col, "source", "bucket", "row", "size", "source_size", "target", "first", "words", "shard", "slot")
+    taken = taken.where("words > 0").select("k", "bucket", "place", "epoch", "first", "words", "shard", "slot")
+    out = placed.join(taken, ["k", "bucket", "place"], "left").withColumn("words", F.coalesce("words", F.lit(0).cast("long")))
+    return out.withColumnRenamed("id", id_col).select(id_col, "source", "bucket", "place", "size", "source_size", "target", "epoch", "first", "words", "shard", "slot")
 
 
-def _slots(spark, plan, epochs, slots: int, shard_slots: int, seed: int) -> DataFrame:
-    """``(k, block, shard, slot, upto)`` for every slot; ``upto`` is 0 but for a slot that is cut."""
-    of_epoch: dict[int, list[tuple[int, int, int, int, int]]] = {}
-    for k, epoch, n, last, blocks in epochs:
-        base = of_epoch.setdefault(k, [])
-        base.append((sum(x[1] for x in base), n, epoch, last, blocks))
+def _slots(spark, plan: Plan, shard_slots: int, seed: int) -> DataFrame:
+    """``(k, epoch, block, shard, slot, upto)`` for every output slot; ``upto`` is 0 but for a slot that is cut."""
+    shards = -(-plan.total // shard_slots)
 
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                shard, k, first, n = r["shard"], r["k"], r["first"], r["n"]
-                for base, held, epoch, last, blocks in of_epoch[k]:
-                    lo, hi = max(first, base), min(first + n, base + held)
-                    if lo >= hi:
-                        continue
-                    block = permute(np.arange(lo - base, hi - base), blocks, seed, k, epoch)
-                    upto = np.zeros(hi - lo, dtype=np.int64)
-                    if hi == base + held:
-                        upto[-1] = last
-                    yield pa.RecordBatch.from_pydict(
-                        {"k": np.full(hi - lo, k, np.int32), "block": block, "shard": np.full(hi - lo, shard, np.int64), "slot": np.arange(lo, hi), "upto": upto}
-                    )
-
-    rows = spark.createDataFrame(list(_draw(plan, slots, shard_slots, seed)), "shard long, k int, first long, n long")  # sources x shards
-    return rows.mapInArrow(expand, "k int, block long, shard long, slot long, upto long")
+            numbers = batch.column(0).to_numpy()  # a range
+            step = max(1, SLOTS_AT_ONCE // shard_slots)
+            for at in range(0, len(numbers), step):
+                some = numbers[at : at + step]
+                first, upto = int(some[0]) * shard_slots, min((int(some[-1]) + 1) * shard_slots, plan.total)
+                k, epoch, block, cut = plan.deal(first, upto, seed)
+                slot = np.arange(first, upto)
+                yield pa.RecordBatch.from_pydict({"k": k.astype(np.int32), "epoch": epoch.astype(np.int32), "block": block, "shard": slot // shard_slots, "slot": slot, "upto": cut})
+
+    tasks = max(1, min(shards, max(spark.sparkContext.defaultParallelism, -(-plan.total // (1 << 22)))))
+    return spark.range(0, shards, 1, tasks).mapInArrow(fill, "k int, epoch int, block long, shard long, slot long, upto long")
 
 
 def op10_mix(spark, sf_dir: str) -> DataFrame:
     """The contract's digest: words taken of every document."""
     mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    rows = mixed.groupBy("doc_id", "source", "bucket", "row").agg(
+    rows = mixed.groupBy("doc_id", "source", "bucket", "place").agg(
         F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("words").alias("taken")
     )
     return rows.select("doc_id", "size", "source_size", "target", "taken")

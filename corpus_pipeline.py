@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.mixing import mix
@@ -13,7 +13,7 @@ from millrace.llm.ngram_join import jaccard_classes
 from millrace.llm.pii import find_pii
 from millrace.llm.sentencepiece import default_model, encode_texts
 from millrace.llm.toxicity import THRESHOLD, score, train
-from millrace.session import scratch_path
+from millrace.session import materialize, scratch_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -23,6 +23,11 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS)
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """The documents with a ``row`` of their own, whatever their ids: written once, so that every reader sees the same."""
+    return materialize(_documents(docs).withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network scores at least 0.7 go; labels teach it as in the operator."""
     docs = _documents(docs)
@@ -31,14 +36,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of similar texts stays, that with the smallest id; of rows that share it, one.
+    """One document of each class of similar texts stays, that with the smallest id, ids that are null last.
 
-    Rows without an id are in no class and all stay.
+    Rows are compared, not ids: rows without an id and rows that share one are documents like any other.
     """
-    docs = _documents(docs)
-    first = jaccard_classes(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id is null"))
+    rows = _rows(docs)
+    classes = jaccard_classes(rows, id_col="row").select("row", "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    first = classes.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(order).alias("first")).select("first.row")
+    return rows.join(first, "row", "left_semi").select(*COLUMNS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,17 +63,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes: a row for each document and epoch, holding the stretches taken in that epoch.
 
     A document taken whole keeps its text as it is; else its stretches are cut at word starts and joined by line feeds.
-    Ids are those of the stage before, so no two texts share one; repeated rows are mixed as copies of one document.
+    Rows are mixed, not ids: every row has its own stretches, whether its id is null or not its own.
     """
-    docs = _documents(docs)
-    taken = mix(docs).where("words > 0").select("doc_id", "source", "size", "first", "words", "slot")
-    # the n-th copy of a stretch belongs to the n-th epoch; a stretch that is cut comes after whole ones
-    copies = Window.partitionBy("doc_id", "source", "size", "first").orderBy(F.desc("words"), "slot")
-    spans = taken.withColumn("epoch", F.row_number().over(copies))
-    spans = spans.groupBy("doc_id", "source", "size", "epoch").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("spans"))
-    docs = docs.dropDuplicates(["doc_id", "source", "text"])
-    rows = docs.withColumnRenamed("source", "own").withColumnRenamed("doc_id", "id")
-    rows = rows.join(spans, rows.id.eqNullSafe(spans.doc_id) & rows.own.eqNullSafe(spans.source)).select("id", "text", "lang", "own", "size", "spans")
+    docs = _rows(docs)
+    taken = mix(docs, id_col="row", order=("doc_id", "text")).where("words > 0")
+    spans = taken.groupBy("row", "size", "epoch").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("spans"))
+    rows = docs.join(spans, "row").select("doc_id", "text", "lang", "source", "size", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from millrace.llm.words import chunks, split_words

@@ -6,8 +6,8 @@ reads the pools. Pooling makes training sparse: only the words under each filter
 start from log odds in the training rows; hashes whose log odds are not significant share the unknown embedding, and a
 run of more unknown words than a filter is wide is cut to that width while training, which changes no maximum.
 
-The threshold is calibrated for each language on rows held out of the fit, so that 0.7 is the calibrated threshold
-everywhere. The language is guessed from function words of the text; the columns of the table are never read.
+The threshold is calibrated for each language on rows held out of the fit, shrunk towards that of all rows where a
+language has few, so that 0.7 is the calibrated threshold everywhere. The language is guessed from function words of the text; the columns of the table are never read.
 
 Defined cases: null, empty and blank texts are scored as a text without words; a label null or missing teaches
 nothing; several labels of an id count as their maximum; with fewer than :data:`LEAST_CLASS` training rows of either
@@ -39,6 +39,8 @@ PAD = max(WIDTHS)
 #: Buckets in fewer training rows, or with log odds of fewer standard errors, share the embedding of unknown words.
 LEAST_ROWS = 6
 LEAST_ODDS = 1.5
+#: Toxic rows of a language at which its threshold is half its own and half that of all rows.
+SHRINK = 10
 #: Bytes of a word that its second embedding is for; shorter words have the first alone.
 PREFIX = 6
 EPOCHS, BATCH = 10, 128
@@ -281,15 +283,19 @@ def _threshold(z: np.ndarray, y: np.ndarray) -> float:
     return float((z[order[i]] + below) / 2)
 
 
-def calibrate(z: np.ndarray, y: np.ndarray, langs: np.ndarray, least: int = 25) -> np.ndarray:
-    """Thresholds by language; languages with fewer than ``least`` toxic rows have that of all rows."""
+def calibrate(z: np.ndarray, y: np.ndarray, langs: np.ndarray) -> np.ndarray:
+    """Thresholds by language: each one's own, drawn towards that of all rows as if by :data:`SHRINK` toxic rows more.
+
+    A language without toxic rows has that of all rows.
+    """
     if not y.sum():
         return np.zeros(len(LANGUAGES))
-    out = np.full(len(LANGUAGES), _threshold(z, y))
+    pooled = _threshold(z, y)
+    out = np.full(len(LANGUAGES), pooled)
     for k in range(len(LANGUAGES)):
         own = langs == k
-        if y[own].sum() >= least:
-            out[k] = _threshold(z[own], y[own])
+        if toxic := y[own].sum():
+            out[k] = (toxic * _threshold(z[own], y[own]) + SHRINK * pooled) / (toxic + SHRINK)
     return out
 
 

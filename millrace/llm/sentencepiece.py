@@ -11,13 +11,19 @@ pieces; at each position the vectorised maximum over piece lengths gives the bes
 A word is a run of spaces with the characters up to the next space; no piece spans two words (checked when a model is
 loaded), so words are independent and each distinct one is encoded once, with a bounded cache between batches.
 
+Unbroken words of more than :data:`UNBROKEN` characters have nothing to advance with. They take the same steps one
+character at a time over the pieces that end there, block by block: a state and a backpointer of a few bytes a
+character are all that grows with the word, and which pieces stay apart is remembered by pair.
+
 Defined cases: null and empty texts have no ids; unknown characters become byte pieces, or one unknown id a run where
 a model has none; texts are encoded whole; repeated rows give repeated results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -38,6 +44,8 @@ UNKNOWN_PENALTY = 10.0
 MAX_MODEL_BYTES = 32 << 20
 #: Words longer than this are cut where no piece spans, and decoded one by one if still longer.
 LONG_WORD = 64
+#: Words longer than this are decoded alone, in blocks of as many characters.
+UNBROKEN = 1 << 14
 CACHE_WORDS = 1 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -344,7 +352,11 @@ def _ids(model: Model, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = at - back[rows, at]
         rows, at = rows[at > 0], at[at > 0]
     row, end = np.nonzero(ends)
-    value = piece[row, end]
+    return _known(model, piece[row, end], row, chars[row, end - 1], count)
+
+
+def _known(model: Model, value: np.ndarray, row: np.ndarray, char: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids with unknown characters (-1) as bytes or as one unknown id a run, and how many each of ``count`` rows has."""
     if (value < 0).any():
         unknown = value < 0
         if model.byte_ids is None:
@@ -352,7 +364,7 @@ def _ids(model: Model, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             again = np.append(False, unknown[1:] & unknown[:-1] & (row[1:] == row[:-1]))
             row, value = row[~again], value[~again]
         else:
-            raw, n = _utf8(chars[row[unknown], end[unknown] - 1])
+            raw, n = _utf8(char[unknown])
             width = np.ones(len(value), dtype=np.int64)
             width[unknown] = n
             row, spread = np.repeat(row, width), np.repeat(unknown, width)
@@ -361,6 +373,62 @@ def _ids(model: Model, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return value.astype(np.int32), np.bincount(row, minlength=count)
 
 
+def decode_alone(model: Model, chars: np.ndarray, block: int = UNBROKEN) -> np.ndarray:
+    """Ids of one long word: the steps of :func:`_best` for a single row, without a row of lengths for each character."""
+    keys, longest = model.keys
+    n, bpe = len(chars), model.model_type == BPE
+    none = len(model.left) - 1 if bpe else -1
+    last, back = array("i", [none]) * (n + 1), bytearray(b"\1") * (n + 1)
+    score = array("d", [] if bpe else [-math.inf]) * (n + 1)
+    if not bpe:
+        score[0] = 0.0
+    penalty = float(model.scores[model.kinds == NORMAL].min(initial=0)) - UNKNOWN_PENALTY
+    scores = model.scores.tolist()
+    apart: dict[int, bool] = {}
+    for lo in range(0, n, block):  # pieces that end in lo + 1 .. lo + block
+        hi, begin = min(lo + block, n), max(lo - longest + 1, 0)
+        part = chars[begin:hi]
+        live, h = np.arange(len(part)), np.zeros(len(part), dtype=np.uint64)
+        ends, sizes, values = [], [], []
+        for size in range(1, longest + 1):
+            live, h = live[live + size <= len(part)], h[live + size <= len(part)]
+            h = extend(h, part[live + size - 1])
+            found = keys.probe(h)
+            at = np.flatnonzero(((found >= 0) | (size == 1)) & (begin + live + size > lo))  # every character, if unknown
+            ends.append(begin + live[at] + size)
+            sizes.append(np.full(len(at), size))
+            values.append(np.maximum(found[at], -1))
+            live, h = live[found != -1], h[found != -1]  # beginnings of longer pieces only
+        end, size, value = (np.concatenate(x) for x in (ends, sizes, values))
+        order = np.lexsort((-size, end))
+        if bpe:
+            done = -1
+            for e, k, v in zip(end[order].tolist(), size[order].tolist(), value[order].tolist(), strict=True):
+                if e == done or v < 0:
+                    continue
+                pair = last[e - k] << 32 | v
+                ok = apart.get(pair)
+                if ok is None:
+                    if len(apart) > CACHE_WORDS:
+                        apart.clear()
+                    ok = apart[pair] = bool(stays_apart(model, np.array([pair >> 32]), np.array([v]))[0])
+                if ok:
+                    last[e], back[e], done = v, k, e
+            continue
+        for e, k, v in zip(end[order].tolist(), size[order].tolist(), value[order].tolist(), strict=True):
+            gain = score[e - k] + (scores[v] if v >= 0 else penalty)
+            if gain > score[e]:
+                score[e], last[e], back[e] = gain, v, k
+    cuts = []
+    at = n
+    while at:
+        cuts.append(at)
+        at -= back[at]
+    at = np.array(cuts[::-1])
+    value = np.frombuffer(last, dtype=np.int32)[at]
+    return _known(model, model.of_rank[value] if bpe else value, np.zeros(len(at), np.int64), chars[at - 1], 1)[0]
+
+
 class Encoder:
     """Encodes batches of texts; keeps ids of distinct words up to :data:`CACHE_WORDS`."""
 
@@ -446,19 +514,30 @@ class Encoder:
         if not len(points):
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         start, end = self._words(points, at)
+        unbroken = end - start > UNBROKEN
+        alone = np.flatnonzero(unbroken)
+        long_ids = [decode_alone(self.model, points[start[i] : end[i]]) for i in alone]
+        usual = np.flatnonzero(~unbroken)
+        word_start, word_end = start[usual], end[usual]
         padded = np.append(points, np.zeros(2, np.uint32))
-        h = Words(padded.view(np.uint8), start * 4, end * 4, np.array([0, len(start)]), np.array([0, len(points) * 4])).hashes()
+        h = Words(padded.view(np.uint8), word_start * 4, word_end * 4, np.array([0, len(usual)]), np.array([0, len(points) * 4])).hashes()
         keys, first, back = np.unique(h, return_index=True, return_inverse=True)
         new = np.flatnonzero(~np.isin(keys, self.known)) if len(self.known) else np.arange(len(keys))
         if len(self.known) + len(new) > CACHE_WORDS:
             self._forget()
             new = np.arange(len(keys))
         if len(new):
-            self._learn(points, start[first[new]], end[first[new]], keys[new])
+            self._learn(points, word_start[first[new]], word_end[first[new]], keys[new])
         spot = np.searchsorted(self.known, keys)
-        size, begin = self.size[spot][back], self.at[spot][back]
+        size, begin = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        size[usual], begin[usual] = self.size[spot][back], self.at[spot][back]
+        known = self.ids
+        if len(alone):
+            size[alone] = [len(x) for x in long_ids]
+            begin[alone] = len(known) + np.concatenate([[0], np.cumsum(size[alone])[:-1]])
+            known = np.concatenate([known, *long_ids])
         upto = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.repeat(begin - upto[:-1], size) + np.arange(upto[-1])]
+        ids = known[np.repeat(begin - upto[:-1], size) + np.arange(upto[-1])]
         # an unknown run may cross a cut only where a model has no byte pieces
         if self.model.byte_ids is None:
             owner = np.repeat(np.searchsorted(at, start, side="right"), size)

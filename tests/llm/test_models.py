@@ -53,6 +53,42 @@ def test_toxicity_odd_texts_and_too_few_labels(spark):
     assert toxicity.score(docs.limit(0), net).count() == 0
 
 
+def test_scores_equal_a_plain_forward_pass(spark):
+    """Word by word and filter by filter, as the network is defined."""
+    docs, labels = toxic_table(spark, 400)
+    net = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    rng = random.Random(3)
+    texts = ["", "!", *(" ".join(rng.choices([*WORDS, "vilecur", "grotbag", "the", "der", "und"], k=rng.randint(1, 30))) for _ in range(60))]
+
+    def plain(text):
+        h, p, first = toxicity._hash_both(pa.array([text]))
+        x = [net.embed[net.row_of[int(a >> np.uint64(48))]] + net.embed[net.row_of[int(b >> np.uint64(48)) + toxicity.BUCKETS]] for a, b in zip(h, p, strict=True)]
+        x += [np.zeros(toxicity.DIM)] * toxicity.PAD
+        z = float(net.bias)
+        for k, (w, bias) in enumerate(zip(net.filters, net.biases, strict=True)):
+            for f in range(toxicity.FILTERS):
+                windows = [sum(float(x[i + j] @ w[j][:, f]) for j in range(len(w))) for i in range(len(h) + 1)]
+                z += max(max(windows) + float(bias[f]), 0.0) * float(net.out[k * toxicity.FILTERS + f])
+        z += np.log(0.7 / 0.3) - net.shift[int(toxicity.guess_language(h, first)[0])]
+        return 1 / (1 + np.exp(-z))
+
+    assert np.allclose(net.scores(pa.array(texts)), [plain(t) for t in texts], atol=1e-5)
+
+
+def test_every_language_has_its_threshold():
+    rng = np.random.default_rng(5)
+    langs = np.repeat([1, 2, 3, 4], [900, 200, 150, 100])
+    y = (rng.random(len(langs)) < 0.06).astype(float)
+    y[[900, 1100, 1250]] = 1
+    z = 4 * y + rng.normal(0, 1, len(y)) + langs
+    shift = toxicity.calibrate(z, y, langs)
+    assert len(set(shift[1:].tolist())) == 4 and shift[0] == toxicity._threshold(z, y)
+    for k in range(1, 5):  # between its own and that of all, nearer to its own the more toxic rows it has
+        own, toxic = toxicity._threshold(z[langs == k], y[langs == k]), y[langs == k].sum()
+        assert np.isclose(shift[k], (toxic * own + toxicity.SHRINK * shift[0]) / (toxic + toxicity.SHRINK))
+    assert (toxicity.calibrate(z, 0 * y, langs) == 0).all()
+
+
 BRUTE = [
     (0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m, d: True),
     (1, r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m, d: all(int(x) <= 255 for x in m.split("."))),
@@ -136,6 +172,24 @@ def test_bpe_ids_equal_the_library():
     assert all(sentencepiece.decode(model, ids[at[i] : at[i + 1]]) == (t or "").replace("▁", " ") for i, t in enumerate(texts))
 
 
+@model_file
+def test_unbroken_words_equal_the_library():
+    import sentencepiece as library
+
+    with open(sentencepiece.default_model(), "rb") as file:
+        model = sentencepiece.Model.load(file.read())
+    library_model = library.SentencePieceProcessor(model_file=sentencepiece.default_model())
+    rng = random.Random(4)
+    words = ["a" * 20_001, "ab" * 11_000, "xyz" * 9_001, "é漢" * 9_000, "".join(rng.choices("abcdefgh", k=30_000)), "".join(rng.choices("etaoinshr", k=50_000)), "=" * 16_400]
+    words += [f"short {w} and é {w[:17_000]}" for w in words]
+    ids, at = sentencepiece.Encoder(model).encode(pa.array(words))
+    assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(words))] == library_model.encode(words, num_threads=1)
+    for _ in range(300):
+        text = "▁" + "".join(rng.choices("abcde ths漢".replace(" ", ""), k=rng.randint(1, 60)))
+        chars = np.array([ord(c) for c in text], dtype=np.uint32)
+        assert sentencepiece.decode_alone(model, chars, block=7).tolist() == sentencepiece._ids(model, chars[None])[0].tolist()
+
+
 def unigram_model(with_bytes):
     """A model file made by hand: the library's format, scores of our own."""
     import struct
@@ -170,6 +224,10 @@ def test_unigram_ids_equal_the_library(with_bytes):
     ids, at = sentencepiece.Encoder(model).encode(pa.array(texts))
     expected = library.SentencePieceProcessor(model_proto=raw).encode(texts, num_threads=1)
     assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == expected
+    for text in texts:
+        if text:
+            chars = np.array([ord(c) for c in text.replace(" ", "▁")], dtype=np.uint32)
+            assert sentencepiece.decode_alone(model, chars, block=5).tolist() == sentencepiece._ids(model, chars[None])[0].tolist()
 
 
 @model_file

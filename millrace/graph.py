@@ -16,7 +16,7 @@ from millrace.session import discard, materialize
 ROWS_A_FILE = 500_000
 
 
-def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def star_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A star forest with the components of the edges ``a``, ``b``: middles (the smallest ids) and leaves."""
     ids, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
     x, y = flat[: len(a)], flat[len(a) :]
@@ -46,13 +46,13 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_b.append(batch.column(1).to_numpy(zero_copy_only=False))
         held += batch.num_rows
         if held >= 2 * ROWS_A_FILE:
-            a, b = _stars(np.concatenate(held_a), np.concatenate(held_b))
+            a, b = star_forest(np.concatenate(held_a), np.concatenate(held_b))
             if len(a) > ROWS_A_FILE:  # a forest that stays large goes on as it is
                 yield out(a, b)
                 a, b = a[:0], b[:0]
             held_a, held_b, held = [a], [b], len(a)
     if held:
-        yield out(*_stars(np.concatenate(held_a), np.concatenate(held_b)))
+        yield out(*star_forest(np.concatenate(held_a), np.concatenate(held_b)))
 
 
 def _settled(edges: DataFrame) -> bool:

@@ -4,8 +4,10 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from millrace.graph import connected_components
+from millrace.llm import near_vectors as nv
 from millrace.llm.near_vectors import near_vectors
 from millrace.llm.ngram_join import PERCENT, Trie, jaccard_classes, least_difference, parity_sketch
 
@@ -116,6 +118,51 @@ def test_near_vectors_equal_brute_force(spark):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def test_cells_count_what_all_comparisons_count(spark, monkeypatch):
+    """Components over many cells: settled at once where they are dense, vector by vector where they are chains."""
+    monkeypatch.setattr(nv, "CELL", 16)
+    rng = np.random.default_rng(6)
+    rows, centre = [], rng.standard_normal(24)
+    for _ in range(90):  # all linked
+        rows.append((centre + rng.standard_normal(24) * 0.02).tolist())
+    angle = np.linspace(0, 2.6, 120)  # a chain: neighbours are linked, ends are not
+    rows += [[float(np.cos(a)), float(np.sin(a)), *[0.0] * 22] for a in angle]
+    rows += [rows[3]] * 5 + [(rng.standard_normal(24)).tolist() for _ in range(20)]
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(rows)], "vec_id long, embedding array<float>, label int")
+    x = np.array(rows, dtype=np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.93
+    expected = components(range(len(rows)), zip(*np.nonzero(near)))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(df, window=8).collect()}
+    assert got == {i: (int(near[i].sum()) - 1, expected[i]) for i in range(len(rows))}
+
+
+def test_passes_find_planted_pairs(spark):
+    """Recall of pairs at the threshold, among vectors without direction and among vectors that share one."""
+    rng = np.random.default_rng(8)
+    rows, planted = [], []
+    for label, shared in ((0, 0.0), (1, 0.8)):
+        x = rng.standard_normal((4000, 32))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        axis = np.zeros(32)
+        axis[0] = 1
+        x = np.sqrt(1 - shared) * x + np.sqrt(shared) * axis
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        for k in range(300):
+            side = rng.standard_normal(32)
+            side -= (side @ x[k]) * x[k]
+            side /= np.linalg.norm(side)
+            planted.append((len(rows) + k, len(rows) + 4000 + k))
+            x = np.concatenate([x, (0.935 * x[k] + np.sqrt(1 - 0.935**2) * side)[None]])
+        rows += [(len(rows) + i, v.tolist(), label) for i, v in enumerate(x)]
+    got = {r.vec_id: r.component_id for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    for side in (planted[:300], planted[300:]):
+        assert np.mean([got[a] == got[b] for a, b in side]) >= 0.95
+    n, shared = F.col("n"), F.col("s")
+    counts = spark.createDataFrame([(40, 0.0), (4000, 0.0), (10**6, 0.0), (10**6, 0.8), (10**9, 0.0), (100, 0.95)], "n long, s double").select(nv.passes_needed(n, shared, 48)).collect()
+    print([r[0] for r in counts])
+
+
 def test_connected_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5), (2000, 2001), (2001, 2000)]

@@ -14,7 +14,10 @@ How it stays linear where many texts are alike:
   round 1 left in different components. All links inside a component are implied, so no class is expanded in pairs.
 
 The order only speeds things up: results are exact for any order. What is broadcast is the list of frequent shingles
-(``MAX_FREQUENT`` at most, an ordering hint) and a bit set of fixed size.
+(``MAX_FREQUENT`` at most, the most frequent ones: an ordering hint) and a bit set of the candidates' ids, of
+``MAX_ID_BITS`` at most. Beyond some ten million candidates that set is full, and a round shingles and deals texts that
+are in no pair: at worst every text once a round, which is linear in the input; memory stays as it is. Buckets grow in
+number with the texts and not in size.
 
 Defined cases: null, empty and blank texts have an empty set and are linked with nothing; a text with fewer words than
 a shingle has one shingle, its whole sequence; repeated rows are rows of one class; rows that share an id are one node;
@@ -40,8 +43,8 @@ WORDS = 5
 #: A shingle in at least this many texts may be listed as frequent; at most so many are listed.
 FREQUENT = 32
 MAX_FREQUENT = 1 << 18
-#: Bits of the set of ids whose shingles are fetched for the trie; false positives only cost time.
-ID_BITS = 1 << 24
+#: Bits of the set of ids whose shingles are fetched for the trie, 16 a candidate; false positives only cost time.
+LEAST_ID_BITS, MAX_ID_BITS = 1 << 18, 1 << 26
 #: Bits of the sketches that the join of round 2 tests.
 SMALL_BITS = 512
 #: Sets in one trie.
@@ -61,10 +64,10 @@ def overlap_needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def hash_buckets(docs: DataFrame, text_col: str) -> int:
     """A power of two so that a bucket holds a few MB of remainders; by the texts' size, not by a plan's estimate."""
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    return 1 << min(18, max(4, (size >> 22).bit_length()))
+    return 1 << max(4, (size >> 22).bit_length())
 
 
-def _count_blobs(bits: int, words: int, flush: int = 3 << 20):
+def _count_blobs(bits: int, words: int, flush: int = 3 << 19):
     """Map side of the shingle count: remainders of hashes, a blob for each leading ``bits`` bits."""
     shift = np.uint64(64 - bits)
 
@@ -114,7 +117,8 @@ def frequent_shingles(docs: DataFrame, text_col: str, buckets: int, words: int =
     bits = buckets.bit_length() - 1
     blobs = docs.select(text_col).mapInArrow(_count_blobs(bits, words), "bucket int, blob binary")
     blobs = blobs.repartition(-(-buckets // BUCKETS_A_TASK), "bucket")  # tasks grow in number and not in size
-    table = blobs.groupBy("bucket").applyInArrow(_frequent(bits, FREQUENT, max(1, MAX_FREQUENT // buckets)), "head long, n long").toArrow()
+    listed = blobs.groupBy("bucket").applyInArrow(_frequent(bits, FREQUENT, max(16, MAX_FREQUENT // buckets)), "head long, n long")
+    table = listed.orderBy(F.desc("n"), "head").limit(MAX_FREQUENT).toArrow()
     head, n = (table.column(c).to_numpy() for c in ("head", "n"))
     order = np.argsort(head.astype(np.uint64))
     return head.astype(np.uint64)[order], n[order], 32 - bits
@@ -341,7 +345,7 @@ def _decide(table: pa.Table) -> pa.Table:
 
 
 def _ordered_sets(order: Order, words: int, members: np.ndarray):
-    bits = np.uint64(ID_BITS - 1)
+    bits = np.uint64(64 * len(members) - 1)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, 1):
@@ -364,11 +368,12 @@ def _ordered_sets(order: Order, words: int, members: np.ndarray):
 def _verify(pairs: DataFrame, docs: DataFrame, order: Order, words: int) -> DataFrame:
     """Pairs whose sets are similar, each probe against tries of its candidates."""
     spark = docs.sparkSession
-    spot = F.pmod(F.col("node"), F.lit(ID_BITS))
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    marks = nodes.groupBy(F.shiftright(spot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(node, {ID_BITS}) & 63 as int))")).alias("m"))
-    members = np.zeros(ID_BITS // 64, dtype=np.uint64)
-    marked = marks.toArrow()  # ID_BITS / 64 rows at most
+    bits = min(MAX_ID_BITS, max(LEAST_ID_BITS, 1 << (32 * pairs.count()).bit_length()))
+    spot = F.pmod(F.col("node"), F.lit(bits))
+    marks = nodes.groupBy(F.shiftright(spot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(node, {bits}) & 63 as int))")).alias("m"))
+    members = np.zeros(bits // 64, dtype=np.uint64)
+    marked = marks.toArrow()  # MAX_ID_BITS / 64 rows at most
     members[marked.column("w").to_numpy()] = marked.column("m").to_numpy().view(np.uint64)
     sets = docs.mapInArrow(_ordered_sets(order, words, members), "node long, tokens binary").join(nodes.distinct(), "node", "left_semi")
     sets = materialize(sets.dropDuplicates(["node", "tokens"]), "sets")

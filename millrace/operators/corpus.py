@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
+from itertools import accumulate, pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import collapse_blank_lines, heading
+from millrace.operators.numbering import number_rows
 
 # Fixed values of chunking.
 TARGET, OVERLAP, LEAST = 1700, 220, 350
 LEAST_SECTION = 40
+#: What separates paragraphs.
+GAP = "\n\n"
 
 
 def line_key(line: Column) -> Column:
@@ -30,9 +35,12 @@ def repeated_line_counts(lines: DataFrame) -> DataFrame:
     return short.groupBy("doc", "key").agg(F.count("*").alias("n_pages"))
 
 
-def strip_repeated_lines(lines: DataFrame, share: float = 0.5, least_pages: int = 6) -> DataFrame:
-    """Lines but for those on more than ``share`` of a document's pages, if it has at least ``least_pages``."""
-    pages = lines.groupBy("doc").agg(F.countDistinct("page").alias("pages"))
+def strip_repeated_lines(lines: DataFrame, share: float = 0.5, least_pages: int = 6, page_counts: DataFrame | None = None) -> DataFrame:
+    """Lines but for those on more than ``share`` of a document's pages, if it has at least ``least_pages``.
+
+    ``page_counts(doc, pages)`` spares counting pages over their lines, where a table of pages is at hand.
+    """
+    pages = lines.groupBy("doc").agg(F.countDistinct("page").alias("pages")) if page_counts is None else page_counts
     counts = repeated_line_counts(lines).join(pages, "doc")
     gone = counts.where((F.col("pages") >= least_pages) & (F.col("n_pages") > share * F.col("pages"))).select("doc", "key")
     return lines.join(gone, ["doc", "key"], "left_anti")
@@ -54,26 +62,43 @@ def sections(lines: DataFrame) -> DataFrame:
     return s.select("doc", "island", name("section_id").alias("section_id"), name("section_title").alias("section_title"), "page", "text")
 
 
+def chunk_cuts(sizes: Sequence[int], target: int, overlap: int) -> list[tuple[int, int, bool]]:
+    """Runs of paragraphs, as ``(first, end, led by an overlap)``; ``sizes`` count each paragraph with its separator.
+
+    A run ends before the paragraph that would pass the target, but holds one at least; it hands on an overlap if it is
+    longer than that itself.
+    """
+    ends = list(accumulate(sizes, initial=0))
+    cuts: list[tuple[int, int, bool]] = []
+    first, carried = 0, False
+    while first < len(sizes):
+        lead = overlap + len(GAP) if carried else 0
+        end = max(first + 1, bisect_right(ends, target - lead + ends[first]) - 1)
+        cuts.append((first, end, carried))
+        carried = lead + ends[end] - ends[first] > overlap
+        first = end
+    return cuts
+
+
 def pack(text: str, target: int = TARGET, overlap: int = OVERLAP, least: int = LEAST) -> list[str]:
     """Paragraphs packed up to ``target`` characters; a chunk starts with the end of the one before.
 
-    Paragraphs and tables are never split, so a chunk can be longer; a short tail joins the chunk before it.
+    Paragraphs and tables are never split, so a chunk can be longer; a short tail joins the chunk before it. Where the
+    runs of paragraphs end follows from their lengths alone; the chunks are slices of the text between those places.
     """
     if len(text) <= target:
         return [text]
-    done: list[str] = []
-    held = ""
-    for block in filter(str.strip, text.split("\n\n")):
-        if held and len(held) + len(block) + 2 > target:
-            done.append(held.strip())
-            held = f"{held[-overlap:]}\n\n" if len(held) > overlap else ""
-        held += f"{block}\n\n"
-    tail = held.strip()
-    if tail and done and len(tail) < least:
-        done[-1] += f"\n\n{tail}"
-    elif tail:
-        done.append(tail)
-    return done
+    paragraphs = [p for p in text.split(GAP) if p and not p.isspace()]
+    body = "".join(p + GAP for p in paragraphs)
+    at = list(accumulate((len(p) + len(GAP) for p in paragraphs), initial=0))
+    runs: list[str] = []
+    for first, end, carried in chunk_cuts([b - a for a, b in pairwise(at)], target, overlap):
+        lead = runs[-1][-overlap:] + GAP if carried else ""
+        runs.append(lead + body[at[first] : at[end]])
+    chunks = [r.strip() for r in runs]
+    if len(chunks) > 1 and len(chunks[-1]) < least:
+        chunks[-2:] = [GAP.join(chunks[-2:])]
+    return chunks
 
 
 def chunk(sectioned: DataFrame) -> DataFrame:
@@ -94,9 +119,16 @@ def chunk(sectioned: DataFrame) -> DataFrame:
 
 
 def suffix_duplicates(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Ids made unique in order of arrival: the second is ``id~2``."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return rows.withColumn("_n", n).withColumn(key, F.when(F.col("_n") == 1, F.col(key)).otherwise(F.concat(F.col(key), F.lit("~"), F.col("_n").cast("string")))).drop("_n")
+    """Ids made unique in order of arrival: the second is ``id~2``.
+
+    Rows are numbered in one order of ids and arrival, by ranges, so an id with a third of all rows is no single task;
+    a row's place among its id's is its number less that of the id's first row.
+    """
+    numbered = number_rows(rows, [key, order], "_n")
+    first = numbered.groupBy(F.col(key).alias("_key")).agg(F.min("_n").alias("_first"))
+    placed = numbered.join(first, F.col(key).eqNullSafe(F.col("_key"))).withColumn("_n", F.col("_n") - F.col("_first") + 1)
+    name = F.when(F.col("_n") == 1, F.col(key)).otherwise(F.concat(F.col(key), F.lit("~"), F.col("_n").cast("string")))
+    return placed.withColumn(key, name).drop("_n", "_key", "_first")
 
 
 def thin_documents(pages: DataFrame, doc: str, text: str, least: int = 100) -> DataFrame:

@@ -62,7 +62,8 @@ def repeated_lines(spark, sf_dir):
     FROM lines l WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc = l.doc AND g.key = l.key) GROUP BY page""")
 def strip_repeated_lines_docs(spark, sf_dir):
     """Lines left of every document without those on over 5 percent of its source's pages."""
-    kept = C.strip_repeated_lines(_lines(spark, sf_dir), share=0.05)
+    pages = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("doc")).agg(F.countDistinct("doc_id").alias("pages"))
+    kept = C.strip_repeated_lines(_lines(spark, sf_dir), share=0.05, page_counts=pages)
     return kept.groupBy(F.col("page").alias("doc_id")).agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).cast("long").alias("n_chars"))
 
 
@@ -72,13 +73,17 @@ def _marked(spark, sf_dir):
     return lines.withColumn("line", F.when(F.col("line_no") % 5 == 0, F.concat(F.lit("## "), F.col("line"))).otherwise(F.col("line"))).withColumn("doc", F.col("page"))
 
 
-@query("""
-    WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n, unnest(string_split(text, chr(10))) AS line FROM documents),
+SECTIONS_SQL = """
+    l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n, unnest(string_split(text, chr(10))) AS line FROM documents),
     h AS (SELECT *, n % 5 = 0 AND length(trim('## ' || line)) <= 120 AND regexp_matches(trim('## ' || line), '^#{1,4}[ \\t]+(.+)$')
                     AND trim(line, ' *:-–—·•|.') <> '' AS heading FROM l),
     i AS (SELECT *, sum(CASE WHEN heading THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS island FROM h),
     s AS (SELECT doc_id, island, string_agg(CASE WHEN n % 5 = 0 THEN '## ' || line ELSE line END, chr(10) ORDER BY n) FILTER (WHERE NOT heading) AS body FROM i GROUP BY ALL),
-    t AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(body, ''), '\\n{3,}', chr(10) || chr(10), 'g'), '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g') AS text FROM s)
+    t AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(body, ''), '\\n{3,}', chr(10) || chr(10), 'g'), '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g') AS text FROM s)"""
+
+
+@query(f"""
+    WITH {SECTIONS_SQL}
     SELECT doc_id, count(*) AS n_sections, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM t WHERE length(text) >= 40 GROUP BY doc_id""")
 def sections_by_heading(spark, sf_dir):
     """Sections of documents in which every fifth line is a heading."""
@@ -86,9 +91,26 @@ def sections_by_heading(spark, sf_dir):
     return s.groupBy(F.col("doc").alias("doc_id")).agg(F.count("*").alias("n_sections"), F.sum(F.length("text")).cast("long").alias("n_chars"))
 
 
-@query()
+#: What Python's ``strip`` takes off.
+SPACES = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+@query(rf"""
+    WITH RECURSIVE {SECTIONS_SQL.replace("SELECT doc_id, regexp_replace(regexp_replace(coalesce", "SELECT doc_id, island, regexp_replace(regexp_replace(coalesce")},
+    p AS (SELECT doc_id, island, text, list_filter(string_split(text, chr(10) || chr(10)), lambda x: regexp_replace(x, '{SPACES}+', '', 'g') <> '') AS blocks FROM t WHERE length(text) >= 40),
+    r AS (SELECT doc_id, island, blocks, 0 AS k, '' AS buf, CAST(NULL AS INTEGER) AS n FROM p WHERE length(text) > 1700
+          UNION ALL SELECT doc_id, island, blocks, k + 1, CASE WHEN full_ THEN CASE WHEN length(buf) > 220 THEN right(buf, 220) || chr(10) || chr(10) ELSE '' END ELSE buf END || blocks[k + 1] || chr(10) || chr(10),
+                           CASE WHEN full_ THEN length(regexp_replace(buf, '^{SPACES}+|{SPACES}+$', '', 'g')) END
+          FROM (SELECT *, buf <> '' AND length(buf) + length(blocks[k + 1]) + 2 > 1700 AS full_ FROM r WHERE k < len(blocks))),
+    done AS (SELECT doc_id, island, k, n FROM r WHERE n IS NOT NULL),
+    tail AS (SELECT doc_id, island, k + 1 AS k, length(regexp_replace(buf, '^{SPACES}+|{SPACES}+$', '', 'g')) AS n FROM r WHERE k = len(blocks) AND k > 0),
+    last AS (SELECT doc_id, island, max(k) AS k FROM done GROUP BY ALL),
+    joined AS (SELECT d.doc_id, d.island, d.k, d.n + CASE WHEN l.k = d.k AND t.n < 350 THEN t.n + 2 ELSE 0 END AS n FROM done d JOIN last l ON l.doc_id = d.doc_id AND l.island = d.island JOIN tail t ON t.doc_id = d.doc_id AND t.island = d.island
+               UNION ALL SELECT t.doc_id, t.island, t.k, t.n FROM tail t LEFT JOIN last l ON l.doc_id = t.doc_id AND l.island = t.island WHERE l.k IS NULL OR t.n >= 350
+               UNION ALL SELECT doc_id, island, 1, length(text) FROM p WHERE length(text) <= 1700)
+    SELECT doc_id, CAST(island AS BIGINT) AS island, CAST(row_number() OVER (PARTITION BY doc_id, island ORDER BY k) AS INTEGER) AS part, CAST(n AS INTEGER) AS n_chars FROM joined""")
 def chunk_pack(spark, sf_dir):
-    """Chunks of all sections: packing carries state along a section."""
+    """Chunks of all sections, by the lengths of their paragraphs."""
     chunks = C.chunk(C.sections(_marked(spark, sf_dir)))
     return chunks.select(F.col("doc").alias("doc_id"), "island", "part", F.length("text").alias("n_chars"))
 

@@ -120,46 +120,81 @@ def citation_problem(citations: Column, assessed: Column, answer: Column, eviden
     )
 
 
-def merge_semantic(votes: DataFrame, required: int = 3) -> DataFrame:
-    """One row per task: lower medians of nullable scores (a null makes null), a strict majority of categories, and flags.
+IDENTITY = ("provider", "model", "revision", "transport_version")
 
-    ``votes``: task, vote, correctness, evidence_support, category, materially_incorrect, unsupported_material_claim,
-    contradiction, needs_human_review, uncertainty_flags.
+
+def vote_set_problem(votes: DataFrame, most: int = 3) -> DataFrame:
+    """``(task, problem)`` of tasks whose votes may not be merged: the first of a repeated vote, a vote number that is
+    none, and several judges (as far as their columns are there)."""
+    judge = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in IDENTITY if c in votes.columns]
+    by = votes.groupBy("task").agg(
+        (F.count("*") > F.countDistinct("vote")).alias("repeated"),
+        F.bool_or(F.coalesce(~F.col("vote").between(1, most), F.lit(True))).alias("unknown"),
+        (F.countDistinct(F.struct(*judge)) > 1 if judge else F.lit(False)).alias("mixed"),
+    )
+    problem = F.when(F.col("unknown"), "invalid_vote_index").when(F.col("repeated"), "duplicate_vote").when(F.col("mixed"), "mixed_judges")
+    return by.select("task", problem.alias("problem")).where("problem is not null")
+
+
+def merge_semantic(votes: DataFrame, tasks: DataFrame, required: int = 3) -> DataFrame:
+    """One row per task with at least ``required`` votes: nothing that a judge left out is filled in.
+
+    ``votes``: task, vote, fact_scores, evidence_spans, correctness, evidence_support, category, materially_incorrect,
+    unsupported_material_claim, contradiction, needs_human_review, uncertainty_flags, material_conditions, and the
+    judge's identity; ``tasks``: task, gold_answerable, deterministic_abstention.
+
+    Scores are lower medians, null if a vote is; flags hold from half of the votes on; a category needs more than half.
+    A contradiction makes correctness 0. Full correctness of an answered, answerable question with a fact below 2 is
+    inconsistent: it becomes null and is reviewed. Votes that :func:`vote_set_problem` names fail the whole merge.
     """
+    bad = vote_set_problem(votes)
+    facts = merge_votes(votes, min_valid=required).select("task", "fact_scores", F.col("n_facts_disagreed").alias("n_facts_disagreed"))
     med = lambda c: F.when(F.count("*") == F.count(c), F.element_at(F.array_sort(F.collect_list(c)), F.ceil(F.count(c) / 2).cast("int")))
     half = lambda c: F.count_if(c) * 2 >= F.count("*")
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
     differ = F.lit(False)
-    for c in ("correctness", "evidence_support"):
+    for c in ("correctness", "evidence_support", "contradiction", "unsupported_material_claim", "materially_incorrect"):
         differ = differ | (F.countDistinct(F.coalesce(F.col(c).cast("string"), F.lit("null"))) > 1)
-    for c in ("contradiction", "unsupported_material_claim", "materially_incorrect"):
-        differ = differ | (F.countDistinct(c) > 1)
     base = votes.groupBy("task").agg(
         F.count("*").alias("n_votes"),
-        med("correctness").alias("correctness"),
+        med("correctness").alias("median"),
         med("evidence_support").alias("evidence_support"),
         half(F.col("contradiction")).alias("contradiction"),
         half(F.col("materially_incorrect")).alias("materially_incorrect"),
         half(F.col("unsupported_material_claim")).alias("unsupported_material_claim"),
-        F.bool_or("needs_human_review").alias("review"),
+        F.bool_or("needs_human_review").alias("asked"),
         F.countDistinct("category").alias("n_categories"),
-        differ.alias("disagreement"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("uncertainty_flags")))).alias("uncertainty_flags"),
+        differ.alias("differ"),
+        union("uncertainty_flags").alias("uncertainty_flags"),
+        union("material_conditions").alias("material_conditions"),
     )
     counts = votes.groupBy("task", "category").agg(F.count("*").alias("n"))
     top = counts.groupBy("task").agg(F.max_by("category", "n").alias("top"), F.max("n").alias("top_n"))
-    out = base.join(top, "task").where(F.col("n_votes") >= required)
-    return out.select(
+    rows = base.join(top, "task").join(facts, "task").join(tasks.select("task", "gold_answerable", "deterministic_abstention"), "task").join(bad, "task", "left")
+    rows = rows.withColumn("n_votes", F.when(F.col("problem").isNotNull(), F.raise_error(F.concat_ws(": ", F.col("task").cast("string"), "problem"))).otherwise(F.col("n_votes")))
+    rows = rows.where(F.col("n_votes") >= required)
+    score = F.when(F.col("contradiction") & F.col("median").isNotNull(), F.lit(0.0)).otherwise(F.col("median"))
+    low_fact = F.exists("fact_scores", lambda x: x < 2)
+    rows = rows.withColumn("score", score).withColumn(
+        "inconsistent", F.coalesce((F.col("score") == 1) & F.col("gold_answerable") & ~F.col("deterministic_abstention") & low_fact, F.lit(False))
+    )
+    return rows.select(
         "task",
         "n_votes",
-        F.when(F.col("contradiction") & F.col("correctness").isNotNull(), F.lit(0.0)).otherwise(F.col("correctness")).alias("correctness"),
+        "fact_scores",
+        "n_facts_disagreed",
+        F.when(~F.col("inconsistent"), F.col("score")).alias("correctness"),
         "evidence_support",
         F.when(F.col("top_n") * 2 > F.col("n_votes"), F.col("top")).otherwise("uncertain").alias("category"),
         "contradiction",
         "materially_incorrect",
         "unsupported_material_claim",
-        (F.col("review") | (F.col("n_categories") > 1)).alias("needs_human_review"),
-        "disagreement",
+        F.col("inconsistent").alias("fact_overall_inconsistency"),
+        (F.col("asked") | (F.col("n_categories") > 1) | F.col("inconsistent")).alias("needs_human_review"),
+        (F.col("differ") | (F.col("n_facts_disagreed") > 0)).alias("disagreement"),
         "uncertainty_flags",
+        "material_conditions",
+        F.when(F.col("n_votes") == 3, "three_vote").otherwise("preliminary_single_vote").alias("protocol"),
     )
 
 

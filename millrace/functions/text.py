@@ -159,6 +159,13 @@ def resolve_span(span_id: Column, parts: Column) -> Column:
     return F.when(ok, F.array_join(F.slice(parts, lo + 1, hi - lo + 1), ""))
 
 
+def adapt(prompt: Column, changes: Sequence[tuple[str, str]]) -> Column:
+    """A prompt with clauses replaced literally; one that lacks a clause is an error, as it was adapted to another."""
+    for old, new in changes:
+        prompt = F.when(F.contains(prompt, F.lit(old)), F.replace(prompt, F.lit(old), F.lit(new))).otherwise(F.raise_error(F.lit(f"the prompt lacks {old!r}")))
+    return prompt
+
+
 def tiers(title: Column, text: Column, names: Sequence[str] = ("Platinum", "Gold", "Essential", "Standard", "Premier", "Premium")) -> Column:
     """Sorted distinct tier names in a title and the first 400 characters of a text."""
     head = F.concat_ws(" ", title, F.substring(text, 1, 400))

@@ -1,4 +1,5 @@
-"""Bootstrap intervals as a replicate grid: draws are hashes of seed, replicate and slot, so any engine repeats them.
+"""Bootstrap intervals as a replicate grid: draws are plain integer arithmetic of seed, replicate and slot, so any
+engine repeats them.
 
 A draw picks a unit by its index; units are numbered once, replicates are a range, and a replicate's statistic is an
 aggregate over its draws. Variants differ in unit, replicates and which order statistics bound the interval, and stay
@@ -28,6 +29,22 @@ VARIANTS: dict[str, tuple[int, int, Callable[[int], tuple[int, int]]]] = {
 MAX_UNITS, SENT_UNITS = 100_000, 1_000_000
 
 
+#: A prime below 2^31: squares of remainders fit 64 bits.
+PRIME = 2_147_483_629
+
+
+def draw(seed: int, b: Column, slot: Column, n: int) -> Column:
+    """The unit drawn for a replicate's slot: squares modulo a prime, three times, scaled to ``n``."""
+    x = F.pmod(b * 48_271 + F.pmod(slot, F.lit(PRIME)) * 16_807 + seed % PRIME + 1, F.lit(PRIME))
+    for add in (12_345, 67_891, 24_683):
+        x = F.pmod(x * x + add, F.lit(PRIME))
+    if n < 1 << 31:
+        return F.call_function("div", x * n, F.lit(PRIME)).cast("long")
+    # more units than remainders: a second draw gives the low part
+    y = F.pmod(x * 69_621 + F.pmod(slot, F.lit(1 << 20)), F.lit(1 << 31))
+    return F.pmod(x * (1 << 31) + y, F.lit(n))
+
+
 def replicates(units: DataFrame, order: str, statistic: Column, b: int, seed: int) -> DataFrame:
     """``(b, stat)``: the statistic of every resample of ``units`` with replacement."""
     n = units.count()
@@ -42,7 +59,7 @@ def replicates(units: DataFrame, order: str, statistic: Column, b: int, seed: in
         numbered = F.broadcast(numbered)
     slot = (F.col("id") % n).cast("int" if n < 1 << 31 else "long")
     grid = spark.range(b * n).select(F.expr(f"id div {n}L").alias("b"), slot.alias("slot"))
-    draws = grid.withColumn("i", F.pmod(F.xxhash64(F.lit(seed), "b", "slot"), F.lit(n)))
+    draws = grid.withColumn("i", draw(seed, F.col("b"), F.col("slot"), n))
     return draws.join(numbered, "i").groupBy("b").agg(statistic.alias("stat"))
 
 
@@ -59,6 +76,19 @@ def interval(units: DataFrame, order: str, statistic: Column, variant: str) -> D
     return got.select(F.get("s", F.lit(lo)).alias("lo"), F.get("s", F.lit(hi)).alias("hi"), F.size("s").alias("kept"))
 
 
+def probability_above(units: DataFrame, order: str, difference: Column, variant: str = "paired_composite") -> DataFrame:
+    """``(n, p_above, lo, hi)``: how often the resampled difference of two rows is above 0, and its interval.
+
+    Both rows are resampled together: a unit holds what either says of one question. Without units the share is a half.
+    """
+    b, seed, bounds = VARIANTS[variant]
+    got = replicates(units, order, difference, b, seed).agg(F.avg((F.col("stat") > 0).cast("double")).alias("p"), F.array_sort(F.collect_list("stat")).alias("s"))  # b values
+    lo, hi = bounds(b)
+    n = units.agg(F.count("*").alias("n"))
+    none = F.lit(0.0)
+    return n.crossJoin(got).select("n", F.coalesce("p", F.lit(0.5)).alias("p_above"), F.coalesce(F.get("s", F.lit(lo)), none).alias("lo"), F.coalesce(F.get("s", F.lit(hi)), none).alias("hi"))
+
+
 def paired_groups(pairs: DataFrame, group: str, before: str, after: str) -> DataFrame:
     """Difference of means over groups of questions, with an interval only if there are at least two groups."""
     sums = pairs.where(F.col(before).isNotNull() & F.col(after).isNotNull()).groupBy(group).agg(F.sum(F.col(after) - F.col(before)).alias("d"), F.count("*").alias("n"))

@@ -20,24 +20,30 @@ def item_correctness(answerable: Column, refused: Column, contradiction: Column,
     return F.when(answerable, F.when(refused, F.lit(0.0)).otherwise(scored))
 
 
-def row_metrics(items: DataFrame, by: str | Sequence[str]) -> DataFrame:
-    """Correctness, citation support, abstention and composite per row of a board.
+def row_measures(prefix: str = "") -> dict[str, Column]:
+    """Aggregates over a row's items: answerable, refused, corr_item, n_sup, n_tot, with ``prefix`` before all but the
+    first. Empty groups of items count 0, 0, 1 and 1, as boards have it."""
+    a, c = F.col("answerable"), lambda name: F.col(f"{prefix}{name}")
+    corr = F.when(a, c("corr_item"))
+    refuse = safe_ratio(F.count_if(~a & c("refused")), F.count_if(~a), 1.0)
+    answer = 1 - safe_ratio(F.count_if(a & c("refused")), F.count_if(a), 0.0)
+    return {
+        "correctness": safe_ratio(F.sum(corr), F.count(corr), 0.0),
+        "citation_support": safe_ratio(F.sum(c("n_sup")), F.sum(c("n_tot")), 0.0),
+        "abstention": (refuse + answer) / 2,
+    }
 
-    ``items``: answerable, refused, corr_item, n_sup, n_tot. Empty groups of items count 0, 0, 1 and 1, as boards have it.
-    """
+
+def composite(prefix: str = "") -> Column:
+    """The weighted score of a row as one aggregate."""
+    return sum((x * WEIGHTS[name] for name, x in row_measures(prefix).items()), F.lit(0.0))
+
+
+def row_metrics(items: DataFrame, by: str | Sequence[str]) -> DataFrame:
+    """Correctness, citation support, abstention and composite per row of a board."""
     keys = [by] if isinstance(by, str) else list(by)
-    a = F.col("answerable")
-    m = items.groupBy(*keys).agg(
-        safe_ratio(F.sum(F.when(a, F.col("corr_item"))), F.count(F.when(a, F.col("corr_item"))), 0.0).alias("correctness"),
-        safe_ratio(F.sum("n_sup"), F.sum("n_tot"), 0.0).alias("citation_support"),
-        safe_ratio(F.count_if(~a & F.col("refused")), F.count_if(~a), 1.0).alias("refuse_rate"),
-        (1 - safe_ratio(F.count_if(a & F.col("refused")), F.count_if(a), 0.0)).alias("answer_rate"),
-        F.count("*").alias("n_items"),
-        F.count(F.when(a, F.col("corr_item"))).alias("n_scored"),
-    )
-    m = m.withColumn("abstention", (F.col("refuse_rate") + F.col("answer_rate")) / 2)
-    composite = sum((F.col(k) * w for k, w in WEIGHTS.items()), F.lit(0.0))
-    return m.select(*keys, "n_items", "n_scored", "correctness", "citation_support", "abstention", composite.alias("composite"))
+    scored = F.count(F.when(F.col("answerable"), F.col("corr_item"))).alias("n_scored")
+    return items.groupBy(*keys).agg(F.count("*").alias("n_items"), scored, *(x.alias(name) for name, x in row_measures().items()), composite().alias("composite"))
 
 
 def mean_triple(x: Column, prefix: str) -> list[Column]:
@@ -89,22 +95,19 @@ def cohen_kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return k.select(F.coalesce("n", F.lit(0).cast("long")).alias("n"), po.alias("observed"), pe.alias("expected"), F.when(pe != 1, (po - pe) / (1 - pe)).alias("kappa"))
 
 
+def weighted_kappa_of(a: str, b: str, k: int = 3) -> Column:
+    """Quadratic-weighted kappa of complete pairs of scores 0..k-1 as one aggregate: the chance part needs the marginals'
+    first two moments only. 1 where nothing can disagree, NaN without pairs."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y, n = F.when(both, F.col(a)), F.when(both, F.col(b)), F.count_if(both)
+    expected = (F.sum(x * x) + F.sum(y * y) - 2.0 * F.sum(x) * F.sum(y) / n) / (k - 1) ** 2
+    observed = F.sum((x - y) * (x - y)) / (k - 1) ** 2
+    return F.when(n == 0, F.lit(float("nan"))).when(F.abs(expected) < 1e-12, F.lit(1.0)).otherwise(1 - observed / expected)
+
+
 def weighted_kappa(pairs: DataFrame, a: str, b: str, k: int = 3) -> DataFrame:
-    """Quadratic-weighted kappa of scores 0..k-1: 1 where nothing can disagree, NaN without pairs."""
-    p = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    # sum of w * E needs the marginals' first two moments only
-    m = p.agg(
-        F.count("*").alias("n"),
-        F.sum(F.pow(F.col(a) - F.col(b), 2)).alias("d2"),
-        F.sum(F.col(a) * F.col(a)).alias("a2"),
-        F.sum(F.col(b) * F.col(b)).alias("b2"),
-        F.sum(a).alias("sa"),
-        F.sum(b).alias("sb"),
-    )
-    expected = (F.col("a2") + F.col("b2") - 2.0 * F.col("sa") * F.col("sb") / F.col("n")) / (k - 1) ** 2
-    observed = F.col("d2") / (k - 1) ** 2
-    value = F.when(F.col("n") == 0, F.lit(float("nan"))).when(F.abs(expected) < 1e-12, F.lit(1.0)).otherwise(1 - observed / expected)
-    return m.select("n", value.alias("kappa"))
+    """:func:`weighted_kappa_of` of a table, with its number of complete pairs."""
+    return pairs.agg(F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias("n"), weighted_kappa_of(a, b, k).alias("kappa"))
 
 
 def frequency(df: DataFrame, column: str, array: bool = False) -> DataFrame:
@@ -155,7 +158,14 @@ def claim_flags(labels: Column) -> Column:
     )
 
 
-def throughput(events: DataFrame, ts: str) -> DataFrame:
-    """Rows an hour between the first and last event."""
+def throughput(events: DataFrame, ts: str, remaining: int | None = None) -> DataFrame:
+    """Rows an hour between the first and last event, and the hours that ``remaining`` rows take at that rate."""
     span = F.unix_timestamp(F.max(ts)) - F.unix_timestamp(F.min(ts))
-    return events.agg(F.count("*").alias("n"), safe_ratio(F.count("*") * 3600, span).alias("per_hour"))
+    out = events.agg(F.count("*").alias("n"), safe_ratio(F.count("*") * 3600, span).alias("per_hour"))
+    return out if remaining is None else out.withColumn("eta_hours", F.try_divide(F.lit(float(remaining)), F.col("per_hour")))
+
+
+def extremes(rows: DataFrame, key: str, score: str) -> DataFrame:
+    """``(best, worst)`` keys by score; rows without a score are neither, and at ties the smaller key is taken."""
+    some = rows.where(F.col(score).isNotNull())
+    return some.agg(F.min_by(key, F.struct((-F.col(score)).alias("s"), F.col(key))).alias("best"), F.min_by(key, F.struct(F.col(score).alias("s"), F.col(key))).alias("worst"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
-from millrace.operators import bootstrap, gates
+from millrace.operators import gates
 from millrace.operators import metrics as M
 from millrace.operators import refusal as R
 from millrace.operators import retrieval
@@ -66,7 +66,7 @@ def refusal_lengths(spark, sf_dir):
            count(*) FILTER (NOT answerable AND loose AND prose) AS n_lost FROM read""")
 def refusal_reclassified(spark, sf_dir):
     """What the default reading recovers and loses against the loose rule."""
-    return R.reclassify(_answers(spark, sf_dir), REFUSAL).drop("recovered_ids", "lost_ids")
+    return R.reclassify(_answers(spark, sf_dir), REFUSAL)
 
 
 @query(f"""
@@ -165,30 +165,41 @@ def _semantic(spark, sf_dir):
     d, n = F.col("task"), F.col("vote")
     half = lambda x: F.get(F.array(F.lit(0.0), F.lit(0.5), F.lit(1.0)), x.cast("int"))
     return v.select(
-        "task", "vote",
-        F.when((d + n) % 7 != 0, half((d * n) % 3)).alias("correctness"),
+        "task", "vote", "fact_scores", "evidence_spans",
+        F.when((d + n) % 7 != 0, F.when(d % 3 == 0, F.lit(1.0)).otherwise(half((d * n) % 3))).alias("correctness"),
         F.when(d % 5 != 0, half((d + n) % 3)).alias("evidence_support"),
         F.get(F.array(*(F.lit(c) for c in V.CATEGORIES)), ((d + F.when(d % 4 == 0, n).otherwise(0)) % 6).cast("int")).alias("category"),
-        ((d + n) % 5 == 0).alias("materially_incorrect"), ((d * n) % 4 == 0).alias("unsupported_material_claim"), "contradiction", ((d + n) % 9 == 0).alias("needs_human_review"),
+        ((d + n) % 5 == 0).alias("materially_incorrect"), ((d * n) % 4 == 0).alias("unsupported_material_claim"), (F.col("contradiction") & (d % 2 == 0)).alias("contradiction"), ((d + n) % 9 == 0).alias("needs_human_review"),
         F.array(F.get(F.array(*(F.lit(c) for c in V.FLAGS)), ((d + n) % 6).cast("int"))).alias("uncertainty_flags"),
+        F.array(F.lit("b"), F.concat(F.lit("a"), (n % 2).cast("string"))).alias("material_conditions"), F.lit("judge").alias("model"),
     )
 
 
 @query("""
-    WITH v AS (SELECT doc_id AS task, n AS vote, CASE WHEN (doc_id + n) % 7 <> 0 THEN [0.0, 0.5, 1.0][(doc_id * n) % 3 + 1]::DOUBLE END AS c, CASE WHEN doc_id % 5 <> 0 THEN [0.0, 0.5, 1.0][(doc_id + n) % 3 + 1]::DOUBLE END AS e,
+    WITH v AS (SELECT doc_id AS task, n AS vote, quality, toxic, CASE WHEN (doc_id + n) % 7 <> 0 THEN CASE WHEN doc_id % 3 = 0 THEN 1.0::DOUBLE ELSE [0.0, 0.5, 1.0][(doc_id * n) % 3 + 1]::DOUBLE END END AS c, CASE WHEN doc_id % 5 <> 0 THEN [0.0, 0.5, 1.0][(doc_id + n) % 3 + 1]::DOUBLE END AS e,
          ['correct_abstention', 'incorrect_abstention', 'correct_answer', 'incorrect_unsupported_answer', 'incorrect_answer', 'uncertain'][(doc_id + CASE WHEN doc_id % 4 = 0 THEN n ELSE 0 END) % 6 + 1] AS category,
-         (doc_id + n) % 5 = 0 AS mi, (doc_id * n) % 4 = 0 AS um, (doc_id + n) % 4 = 0 AS ct, (doc_id + n) % 9 = 0 AS nr,
-         ['ambiguous_evidence', 'missing_reference', 'conflicting_passages', 'unsupported_gold_assumption', 'borderline', 'incomplete_output'][(doc_id + n) % 6 + 1] AS flag
-         FROM labels, (SELECT unnest([1, 2, 3]) AS n)),
-    k AS (SELECT task, category, count(*) AS n FROM v GROUP BY ALL), top AS (SELECT task, arg_max(category, n) AS category, max(n) AS n FROM k GROUP BY task),
-    b AS (SELECT task, count(*) AS n_votes, CASE WHEN count(c) = count(*) THEN percentile_disc(0.5) WITHIN GROUP (ORDER BY c) END AS c, CASE WHEN count(e) = count(*) THEN percentile_disc(0.5) WITHIN GROUP (ORDER BY e) END AS e,
-          count(*) FILTER (ct) * 2 >= count(*) AS ct, count(*) FILTER (mi) * 2 >= count(*) AS mi, count(*) FILTER (um) * 2 >= count(*) AS um, bool_or(nr) OR count(DISTINCT category) > 1 AS nr,
-          string_agg(DISTINCT flag, ',' ORDER BY flag) AS flags FROM v GROUP BY task)
-    SELECT b.task, n_votes, CASE WHEN ct AND c IS NOT NULL THEN 0.0 ELSE c END AS correctness, e AS evidence_support, CASE WHEN top.n * 2 > n_votes THEN top.category ELSE 'uncertain' END AS category,
-           ct AS contradiction, mi AS materially_incorrect, um AS unsupported_material_claim, nr AS needs_human_review, flags FROM b JOIN top USING (task)""")
+         (doc_id + n) % 5 = 0 AS mi, (doc_id * n) % 4 = 0 AS um, (doc_id + n) % 4 = 0 AND doc_id % 2 = 0 AS ct, (doc_id + n) % 9 = 0 AS nr,
+         ['ambiguous_evidence', 'missing_reference', 'conflicting_passages', 'unsupported_gold_assumption', 'borderline', 'incomplete_output'][(doc_id + n) % 6 + 1] AS flag,
+         [(doc_id + n) % 3, (doc_id + n * quality) % 3, toxic * 2] AS facts FROM labels, (SELECT unnest([1, 2, 3]) AS n)),
+    -- a fact's merged score is the middle one of three
+    f AS (SELECT task, k, list_sort(list(facts[k]))[2] AS score, min(facts[k]) <> max(facts[k]) AS split FROM v, (SELECT unnest([1, 2, 3]) AS k) GROUP BY task, k),
+    fm AS (SELECT task, string_agg(CAST(score AS VARCHAR), ',' ORDER BY k) AS fact_scores, count(*) FILTER (split) AS n_split, min(score) < 2 AS low FROM f GROUP BY task),
+    -- any null among three scores makes the merged score null
+    m AS (SELECT task, CASE WHEN bool_or(c IS NULL) THEN NULL ELSE list_sort(list(c))[2] END AS c, CASE WHEN bool_or(e IS NULL) THEN NULL ELSE list_sort(list(e))[2] END AS e,
+          sum(ct::INT) >= 2 AS ct, sum(mi::INT) >= 2 AS mi, sum(um::INT) >= 2 AS um, bool_or(nr) AS nr, mode(category) AS top, max(cnt) AS most, count(DISTINCT category) AS kinds, string_agg(DISTINCT flag, ',' ORDER BY flag) AS flags,
+          count(DISTINCT coalesce(CAST(c AS VARCHAR), '?')) > 1 OR count(DISTINCT coalesce(CAST(e AS VARCHAR), '?')) > 1 OR bool_or(ct) <> bool_and(ct) OR bool_or(mi) <> bool_and(mi) OR bool_or(um) <> bool_and(um) AS differ
+          FROM (SELECT *, count(*) OVER (PARTITION BY task, category) AS cnt FROM v) GROUP BY task),
+    s AS (SELECT m.*, fact_scores, n_split, low, CASE WHEN ct AND c IS NOT NULL THEN 0 ELSE c END AS score FROM m JOIN fm USING (task)),
+    i AS (SELECT *, coalesce(score = 1 AND task % 4 <> 0 AND task % 6 <> 0 AND low, false) AS odd FROM s)
+    SELECT task, 3 AS n_votes, fact_scores, n_split AS n_facts_disagreed, CASE WHEN NOT odd THEN score END AS correctness, e AS evidence_support, CASE WHEN most >= 2 THEN top ELSE 'uncertain' END AS category, ct AS contradiction,
+           mi AS materially_incorrect, um AS unsupported_material_claim, odd AS fact_overall_inconsistency, nr OR kinds > 1 OR odd AS needs_human_review, differ OR n_split > 0 AS disagreement, flags, 'a0,a1,b' AS conditions, 'three_vote' AS protocol FROM i""")
 def semantic_merge(spark, sf_dir):
-    """Three semantic votes merged: a null score stays null, a category needs a strict majority."""
-    return V.merge_semantic(_semantic(spark, sf_dir)).withColumn("flags", F.array_join("uncertainty_flags", ",")).drop("uncertainty_flags", "disagreement")
+    """Three semantic votes merged: a null score stays null, a category needs a strict majority, a full score with a low
+    fact is inconsistent."""
+    tasks = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("task"), (F.col("doc_id") % 4 != 0).alias("gold_answerable"), (F.col("doc_id") % 6 == 0).alias("deterministic_abstention"))
+    m = V.merge_semantic(_semantic(spark, sf_dir), tasks)
+    join = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return m.withColumn("fact_scores", join(F.col("fact_scores"))).withColumn("flags", join(F.col("uncertainty_flags"))).withColumn("conditions", join(F.col("material_conditions"))).drop("uncertainty_flags", "material_conditions")
 
 
 @query("""
@@ -426,16 +437,16 @@ def content_ids(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.digest24(("model", F.col("source")), ("condition", F.col("lang")), ("qid", F.col("doc_id"))).alias("id"))
 
 
-@query()
-def bootstrap_ci(spark, sf_dir):
-    """Intervals of mean quality by variant."""
-    q = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("v"))
-    parts = [bootstrap.interval(q, "doc_id", F.avg("v"), name).select(F.lit(name).alias("variant"), "lo", "hi", "kept") for name in ("metric", "reporting_mean", "paired_correctness")]
-    return parts[0].union(parts[1]).union(parts[2])
-
-
-@query()
+@query("""
+    WITH RECURSIVE t AS (SELECT CAST(doc_id AS VARCHAR) AS key, doc_id, source, strlen(text) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS round FROM documents),
+    p AS (SELECT *, CAST('0x' || substr(sha256(key), 1, 7) AS BIGINT) % 2 AS shard FROM t),
+    o AS (SELECT *, row_number() OVER (PARTITION BY round, shard ORDER BY key) AS k FROM p),
+    f AS (SELECT round, shard, k, doc_id, source, size, 0 AS batch, 1 AS held, size AS bytes FROM o WHERE k = 1
+          UNION ALL SELECT o.round, o.shard, o.k, o.doc_id, o.source, o.size, CASE WHEN f.held = 10 OR f.bytes + o.size > 175000 THEN f.batch + 1 ELSE f.batch END,
+                           CASE WHEN f.held = 10 OR f.bytes + o.size > 175000 THEN 1 ELSE f.held + 1 END, CASE WHEN f.held = 10 OR f.bytes + o.size > 175000 THEN o.size ELSE f.bytes + o.size END
+          FROM f JOIN o ON o.round = f.round AND o.shard = f.shard AND o.k = f.k + 1)
+    SELECT doc_id, source, CAST(size AS INTEGER) AS size, round || '-' || shard || '-' || batch AS batch FROM f""")
 def batch_pack(spark, sf_dir):
-    """Documents in judging batches: ten at most, one of each source, bounded bytes."""
+    """Documents in judging batches: ten at most, one of each source, bounded bytes; a larger one is a batch alone."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.octet_length("text").alias("size"))
-    return pack_batches(docs, "doc_id", "source", "size", shards=2).select("doc_id", "source", "size", "batch")
+    return pack_batches(docs, "doc_id", "source", "size", shards=2, oversized="alone").select("doc_id", "source", "size", "batch")

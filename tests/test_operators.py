@@ -301,7 +301,7 @@ def test_row_numbers_follow_the_order(spark):
 
 def test_batches_keep_their_bounds(spark):
     rows = spark.createDataFrame([(i, f"g{i % 7}", 40 if i % 11 else 500) for i in range(200)], "i int, g string, n int")
-    got = packing.pack_batches(rows, "i", "g", "n", most=4, max_bytes=150, shards=3).collect()
+    got = packing.pack_batches(rows, "i", "g", "n", most=4, max_bytes=150, shards=3, oversized="alone").collect()
     batches = {}
     for r in got:
         batches.setdefault(r.batch, []).append(r)

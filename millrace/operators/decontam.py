@@ -15,10 +15,8 @@ from pyspark.sql import functions as F
 from millrace.functions.text import norm_key
 from millrace.session import scratch_path
 
-#: Protected texts that a containment join may compare with every record: beyond, block on shared shingles.
-MAX_PROTECTED = 5000
-
-
+#: Up to so many characters of protected texts are sent to every executor; more are joined by shuffle.
+SENT_CHARS = 32 << 20
 RUN = 5
 
 
@@ -39,19 +37,25 @@ def containment(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_
     """Pairs of a record and a protected text that it contains, both normalised.
 
     Items of more than :data:`RUN` + 1 words are blocked on one of their word runs, which every containing record has
-    to hold; shorter ones, few by nature, are compared with every record. The blocking key is an equi join, so neither
-    side is broadcast unless Spark finds it small.
+    to hold; shorter ones, few by nature, are compared with every record. Up to :data:`SENT_CHARS` characters of items
+    are sent to the records, whose runs are then probed where they are made: nothing but pairs is shuffled. Beyond, runs
+    are shuffled to the items and records joined again for the pairs.
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), norm_key(F.col(text)).alias("text"))
     i = items.select(F.col(item_id).alias("item_id"), norm_key(F.col(item_text)).alias("item")).where("item <> ''").withColumn("words", F.split("item", " "))
     # a record may begin or end inside a word of the item, so the key leaves the item's outer words out
     long, short = i.where(F.size("words") >= RUN + 2), i.where(F.size("words") < RUN + 2)
     keyed = with_runs(long.withColumn("words", F.slice("words", 2, RUN)), "words", "runs").select("item_id", "item", F.col("runs")[0].alias("key"))
-    runs = with_runs(d.select("doc_id", F.split("text", " ").alias("words")), "words", "runs")
-    runs = runs.select("doc_id", F.explode(F.array_distinct("runs")).alias("key")).where("key is not null")
-    found = runs.join(keyed, "key").select("doc_id", "item_id", "item").distinct().join(d, "doc_id").where(F.contains("text", F.col("item")))
-    rest = d.join(short, F.contains(d.text, short.item))
-    return found.select("doc_id", "item_id").union(rest.select("doc_id", "item_id")).distinct()
+    few = (i.agg(F.sum(F.length("item"))).first()[0] or 0) <= SENT_CHARS
+    whole = with_runs(d.withColumn("words", F.split("text", " ")), "words", "runs").drop("words")
+    if few:
+        found = whole.select("doc_id", "text", F.explode(F.array_distinct("runs")).alias("key")).join(F.broadcast(keyed), "key")
+        found = found.where(F.contains("text", F.col("item"))).select("doc_id", "item_id")
+    else:
+        runs = whole.select("doc_id", F.explode(F.array_distinct("runs")).alias("key")).where("key is not null")
+        found = runs.join(keyed, "key").select("doc_id", "item_id", "item").distinct().join(d, "doc_id").where(F.contains("text", F.col("item"))).select("doc_id", "item_id")
+    rest = d.join(F.broadcast(short) if few else short, F.contains(d.text, short.item))
+    return found.union(rest.select("doc_id", "item_id")).distinct()
 
 
 def equal_texts(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
@@ -242,6 +246,8 @@ def cited_chunks(citations: DataFrame, chunks: DataFrame, band: int | None = 1)
     """Chunks that hold a cited quote: same file and insurer, page within ``band`` (any page if None), quote contained.
 
     ``citations``: cite_id, filename, insurer, page (text), quote. ``chunks``: chunk_id, filename, insurer, page, text.
+    A quote of more than :data:`RUN` + 1 words meets only chunks that hold one of its word runs, so a file with a third
+    of all chunks is no quadratic join; shorter quotes meet the chunks of their file and pages.
     """
     c = citations.select("cite_id", "filename", F.lower("insurer").alias("who"), F.col("page").try_cast("int").alias("p"), norm_key(F.col("quote")).alias("q")).where("q <> ''")
     k = chunks.select("chunk_id", "filename", F.lower("insurer").alias("who"), F.col("page").cast("int").alias("p"), norm_key(F.col("text")).alias("t"), F.length("text").alias("size"))
@@ -250,7 +256,13 @@ def cited_chunks(citations: DataFrame, chunks: DataFrame, band: int | None = 1)
         c, k = c.drop("p"), k.drop("p")
     else:  # the band becomes an equi join: a citation looks on each page that it may be on
         c, on = c.withColumn("p", F.explode(F.sequence(F.col("p") - band, F.col("p") + band))), [*on, "p"]
-    return c.join(k, on).where(F.contains("t", F.col("q"))).select("cite_id", "chunk_id", "size")
+    c = c.withColumn("words", F.split("q", " "))
+    long, short = c.where(F.size("words") >= RUN + 2), c.where(F.size("words") < RUN + 2).drop("words")
+    keyed = with_runs(long.withColumn("words", F.slice("words", 2, RUN)), "words", "runs").withColumn("key", F.col("runs")[0]).drop("runs", "words")
+    runs = with_runs(k.withColumn("words", F.split("t", " ")), "words", "runs").select(*on, "chunk_id", F.explode(F.array_distinct("runs")).alias("key")).where("key is not null")
+    met = keyed.join(runs, [*on, "key"]).select(*on, "cite_id", "q", "chunk_id").distinct().join(k, [*on, "chunk_id"])
+    both = met.select("cite_id", "q", "chunk_id", "t", "size").union(short.join(k, on).select("cite_id", "q", "chunk_id", "t", "size"))
+    return both.where(F.contains("t", F.col("q"))).select("cite_id", "chunk_id", "size")
 
 
 def shortest(rows: DataFrame, by: Sequence[str], size: str, key: str) -> DataFrame:

@@ -7,16 +7,41 @@ from pyspark.sql import functions as F
 
 
 def rolling_usage(events: DataFrame, by: str, ts: str, tokens: str, seconds: int) -> DataFrame:
-    """Requests and tokens of ``(now - seconds, now]`` at every event: the lower bound is strict."""
+    """Requests and tokens of ``(now - seconds, now]`` at every event: the lower bound is strict.
+
+    Events are windowed in time buckets as long as the window, each with the events of the bucket before, so a busy
+    owner is as many tasks as it has buckets and a row is copied once. Events without a time have nulls.
+    """
+    length = seconds * 1_000_000
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(by).orderBy("_us").rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    return events.withColumn("_us", micros).withColumn("n_window", F.count("*").over(w)).withColumn("tokens_window", F.sum(tokens).over(w)).drop("_us")
+    e = events.withColumn("_us", micros).withColumn("_own", F.floor(F.col("_us") / length))
+    e = e.withColumn("_bucket", F.explode(F.when(F.col("_us").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array("_own", F.col("_own") + 1))))
+    w = Window.partitionBy(by, "_bucket").orderBy("_us").rangeBetween(-(length - 1), 0)
+    timed = F.col("_us").isNotNull()
+    out = e.withColumn("n_window", F.when(timed, F.count("*").over(w))).withColumn("tokens_window", F.when(timed, F.sum(tokens).over(w)))
+    return out.where(F.col("_bucket").eqNullSafe(F.col("_own"))).drop("_us", "_own", "_bucket")
 
 
 def admits(n_window: Column, n_day: Column, tokens_window: Column, ask: Column, rpm: int, rpd: int, tpm: float) -> Column:
+    """Whether a request of ``ask`` tokens fits after what the last minute and the day hold."""
     return (n_window < rpm) & (n_day < rpd) & (tokens_window + ask <= tpm)
 
 
+def wait_until(now: Column, minute_full: Column, oldest_in_minute: Column, day_full: Column, day_reset: Column, tokens_full: Column, oldest_in_day: Column) -> Column:
+    """Epoch second at which a refused request may be tried again, ``now`` if it fits: the first rule that refuses.
+
+    The minute's rule waits for its oldest request to leave, the day's for its reset, the tokens' for the oldest request
+    of 24 hours to leave, each with a second to spare.
+    """
+    return F.when(minute_full, oldest_in_minute + 61).when(day_full, day_reset + 1).when(tokens_full, oldest_in_day + 86_401).otherwise(now)
+
+
+def day_reset(ts: Column, zone: str = "America/Los_Angeles") -> Column:
+    """Epoch second at which the local day of a UTC timestamp ends."""
+    midnight = F.date_add(calendar_day(ts, zone), 1).cast("timestamp")
+    return F.unix_timestamp(F.to_utc_timestamp(midnight, zone))
+
+
 def calendar_day(ts: Column, zone: str = "America/Los_Angeles") -> Column:
     """The local day of a UTC timestamp."""
     return F.to_date(F.from_utc_timestamp(ts.cast("timestamp"), zone))

@@ -52,26 +52,32 @@ def shows_refusal(text: Column, sentences: list[str]) -> Column:
     return found
 
 
+def _moved(answers: DataFrame, sentence: str, reading: str) -> DataFrame:
+    return answers.withColumn("loose", loose(F.col("text"), sentence)).withColumn("now", refuses(F.col("text"), sentence, reading))
+
+
 def reclassify(answers: DataFrame, sentence: str, reading: str = "B") -> DataFrame:
     """Both sides of moving from loose to a reading, in one row: over-refusals recovered, correct refusals lost.
 
-    ``answers``: id, text, answerable.
+    ``answers``: id, text, answerable. Which answers they are is :func:`reclassified`.
     """
-    a = answers.withColumn("loose", loose(F.col("text"), sentence)).withColumn("now", refuses(F.col("text"), sentence, reading))
-    ids = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col("id"))))
     over, ok = F.col("answerable") & F.col("loose"), ~F.col("answerable") & F.col("loose")
-    return a.agg(
+    return _moved(answers, sentence, reading).agg(
         F.count_if("answerable").alias("ans_n"),
         F.count_if(~F.col("answerable")).alias("unans_n"),
         F.count_if(over).alias("n_loose_over"),
         F.count_if(over & ~F.col("now")).alias("n_recovered"),
         F.count_if(ok).alias("n_loose_ok"),
         F.count_if(ok & ~F.col("now")).alias("n_lost"),
-        ids(over & ~F.col("now")).alias("recovered_ids"),
-        ids(ok & ~F.col("now")).alias("lost_ids"),
     )
 
 
+def reclassified(answers: DataFrame, sentence: str, reading: str = "B") -> DataFrame:
+    """``(id, side)`` of answers that the reading no longer counts as refusals: ``recovered`` or ``lost``, a row each."""
+    moved = _moved(answers, sentence, reading).where("loose and not now")
+    return moved.select("id", F.when(F.col("answerable"), "recovered").otherwise("lost").alias("side"))
+
+
 def reading_grid(answers: DataFrame, sentence: str) -> DataFrame:
     """Refusal counts by reading, for both kinds of question: one pass over the answers."""
     marks = [F.struct(F.lit(r).alias("reading"), refuses(F.col("text"), sentence, r).alias("refused")) for r in READINGS]

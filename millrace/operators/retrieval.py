@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import citations, norm_doc, norm_section
+from millrace.session import materialize
 
 POOL, TOP, TOLERANCE = 24, 6, 1
 
@@ -18,13 +23,63 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+#: Rows of a block of vectors, and bytes of queries that are sent to every executor at most.
+BLOCK_ROWS, SENT_BYTES = 4096, 64 << 20
+BLOCK = "ids binary, size int, units binary, n int"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ids and vectors as blocks of unit vectors of one length; vectors without a direction are left out."""
+    for batch in batches:
+        ids, lists = batch.column(0), batch.column(1)
+        begin = lists.offsets.to_numpy()
+        size = np.where(lists.is_valid().to_numpy(zero_copy_only=False) & ids.is_valid().to_numpy(zero_copy_only=False), np.diff(begin), 0)
+        flat = lists.values.to_numpy(zero_copy_only=False).astype(np.float64)
+        names = ids.fill_null(0).to_numpy().astype(np.int64)
+        for n in np.unique(size[size > 0]):
+            rows = np.flatnonzero(size == n)
+            for at in range(0, len(rows), BLOCK_ROWS):
+                some = rows[at : at + BLOCK_ROWS]
+                x = flat[begin[some][:, None] + np.arange(n)]
+                length = np.sqrt((x * x).sum(axis=1))
+                ok = np.isfinite(length) & (length > 0)
+                yield pa.RecordBatch.from_pydict(
+                    {"ids": pa.array([names[some][ok].tobytes()], pa.binary()), "size": pa.array([n], pa.int32()), "units": pa.array([(x[ok] / length[ok][:, None]).tobytes()], pa.binary()), "n": pa.array([int(ok.sum())], pa.int32())}
+                )
+
+
+def _nearest(k: int, digits: int):
+    margin = 2 * 10.0**-digits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each pair of blocks every query's ``k`` nearest, and those that rounding may put among them."""
+        for batch in batches:
+            for qi, q, vi, v, size in zip(*(batch.column(c).to_pylist() for c in ("qids", "qunits", "ids", "units", "size")), strict=True):
+                qi, vi = np.frombuffer(qi, np.int64), np.frombuffer(vi, np.int64)
+                if not len(qi) or not len(vi):
+                    continue
+                near = np.frombuffer(q).reshape(-1, size) @ np.frombuffer(v).reshape(-1, size).T
+                near[qi[:, None] == vi] = -np.inf
+                least = np.partition(near, -k, axis=1)[:, -k] - margin if len(vi) > k else np.full(len(qi), -2.0)
+                a, b = np.nonzero((near >= least[:, None]) & np.isfinite(near))
+                yield pa.RecordBatch.from_pydict({"query_id": qi[a], "vec_id": vi[b], "raw": near[a, b]})
+
+    return run
+
+
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = POOL, digits: int = 6) -> DataFrame:
     """The ``k`` nearest vectors of every query by cosine, ties by id.
 
-    ``queries(query_id, q)`` is a stated set compared with all of ``vectors(vec_id, v)``; the limit per query is pushed
-    below the shuffle, so a task sends on at most ``k`` rows a query.
+    ``queries(query_id, q)`` is a stated set compared with all of ``vectors(vec_id, v)``, block with block as a product
+    of matrices: a block of vectors sends on about ``k`` rows a query. Blocks of queries are sent to the vectors while
+    they have :data:`SENT_BYTES` at most, and both sides are dealt by block beyond. Vectors that are null or have no
+    direction are near nothing.
     """
-    scored = vectors.join(queries, F.lit(True)).where("query_id <> vec_id").select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("v")), digits).alias("score"))
+    q = materialize(queries.select("query_id", "q").mapInArrow(_blocks, BLOCK), "queries").select(F.col("ids").alias("qids"), "size", F.col("units").alias("qunits"))
+    v = vectors.select("vec_id", "v").mapInArrow(_blocks, BLOCK)
+    sent = (q.agg(F.sum(F.octet_length("qunits"))).first()[0] or 0) <= SENT_BYTES
+    pairs = v.join(F.broadcast(q), "size") if sent else v.withColumn("part", F.monotonically_increasing_id() % 64).join(q.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(63)))), ["size", "part"])
+    scored = pairs.mapInArrow(_nearest(k, digits), "query_id long, vec_id long, raw double").select("query_id", "vec_id", F.round("raw", digits).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -44,7 +44,7 @@ def quota_capacity(spark, sf_dir):
 def interval_overlap(spark, sf_dir):
     """Events of different types that run at the same time."""
     e = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", (F.col("ts") + F.expr("INTERVAL 90 SECOND")).alias("e"))
-    return Q.overlaps(e, "event_id", "event_type", "ts", "e")
+    return Q.overlaps(e, "event_id", "event_type", "ts", "e", bucket_seconds=90)
 
 
 @query("""
@@ -107,12 +107,14 @@ def session_counts(spark, sf_dir):
     return e.groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query()
+@query("""
+    SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL
+    HAVING time_bucket(INTERVAL 1 HOUR, any_value(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
 def stream_windows(spark, sf_dir):
     """Hourly counts as a stream with a watermark: windows that it has closed."""
     s = _stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     out = _drain(spark, J.windowed_counts(s, "ts", "event_type", "1 hour").select("event_type", F.col("w.start").alias("start"), "n", "total"), "append")
-    return out.select("event_type", "start", "n", "total")
+    return out.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
 
 
 @query("SELECT event_type, min(event_id) AS event_id FROM events GROUP BY event_type")
@@ -122,7 +124,12 @@ def stream_first_of_type(spark, sf_dir):
     return _drain(spark, s, "complete").select("event_type", "event_id")
 
 
-@query()
+@query("""
+    WITH h AS (SELECT CAST(user_id AS VARCHAR) AS task, event_id, CASE event_type WHEN 'view' THEN 'in_flight' WHEN 'click' THEN 'response_saved' WHEN 'purchase' THEN 'success' WHEN 'signup' THEN 'in_flight' WHEN 'logout' THEN 'request_rejected' ELSE 'known_invalid' END AS s FROM events),
+    e AS (SELECT task, min(event_id) AS ended FROM h WHERE s IN ('success', 'known_invalid', 'request_rejected') GROUP BY task),
+    k AS (SELECT h.* FROM h LEFT JOIN e USING (task) WHERE ended IS NULL OR event_id <= ended),
+    g AS (SELECT task, arg_max(s, event_id) AS status, CAST(count(*) FILTER (s = 'in_flight') AS INTEGER) AS attempts FROM k GROUP BY task)
+    SELECT task, status, attempts, status NOT IN ('success', 'known_invalid', 'request_rejected', 'in_flight', 'transport_uncertain', 'response_saved') AND attempts < 3 AS replay FROM g""")
 def stream_attempts(spark, sf_dir):
     """Attempt states of every user's history, kept by a stateful stream."""
     states = F.create_map(*(F.lit(x) for x in ("view", "in_flight", "click", "response_saved", "purchase", "success", "signup", "in_flight", "logout", "request_rejected")))

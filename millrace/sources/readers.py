@@ -7,7 +7,7 @@ import tarfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,10 +66,23 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, json_co
     return rows
 
 
-def read_tar_members(spark: SparkSession, path: str, wanted: str) -> DataFrame:
+def read_config(spark: SparkSession, path: str) -> dict:
+    """A JSON object from any store that Spark reads; repeated keys are an error."""
+    import json
+
+    def unique(pairs: list[tuple[str, object]]) -> dict:
+        if len({k for k, _ in pairs}) != len(pairs):
+            raise ValueError(f"{path}: repeated keys")
+        return dict(pairs)
+
+    return json.loads(spark.read.text(path, wholetext=True).first().value, object_pairs_hook=unique)
+
+
+def read_tar_members(spark: SparkSession, path: str, wanted: str, expected: DataFrame | None = None) -> DataFrame:
     """``(archive, member, content, sha256)`` of members of tar archives whose names match ``wanted``.
 
-    Archives are read one a task and members are streamed; a member is hashed as it is read.
+    Archives are read whole, one a task, by Spark, which reads any store; a member's hash is compared with
+    ``expected(member, sha256)``, if given, and a member that differs or is not listed there fails the read.
     """
     import re
 
@@ -84,7 +97,12 @@ def read_tar_members(spark: SparkSession, path: str, wanted: str) -> DataFrame:
                             yield pa.RecordBatch.from_pydict({"archive": [path], "member": [member.name], "content": [tar.extractfile(member).read()]})
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "archive string, member string, content binary").withColumn("sha256", F.sha2("content", 256))
+    members = files.mapInArrow(run, "archive string, member string, content binary").withColumn("sha256", F.sha2("content", 256))
+    if expected is None:
+        return members
+    listed = members.join(expected.select("member", F.lower("sha256").alias("_wanted")), "member", "left")
+    checked = F.when(F.col("sha256").eqNullSafe(F.col("_wanted")), F.col("sha256")).otherwise(F.raise_error(F.concat(F.lit("not the listed content: "), "member")))
+    return listed.select("archive", "member", "content", checked.alias("sha256"))
 
 
 def read_documents(spark: SparkSession, path: str, parse: Callable[[bytes], list[tuple[str, str]]], kept: float = 0.65, least_raw: int = 200) -> DataFrame:
@@ -116,8 +134,11 @@ def layout_order(blocks: DataFrame) -> DataFrame:
     middle = F.col("width") / 2
     column = F.when(F.col("x0") >= middle, 2).when(F.col("x1") <= middle, 1).otherwise(0)
     level = F.when(F.col("size") >= 16, F.lit("## ")).when(F.col("size") >= 9.5, F.lit("### ")).otherwise(F.lit(""))
-    line = F.struct(column.alias("column"), F.col("y0").alias("y"), F.col("x0").alias("x"), F.concat(level, F.col("text")).alias("line"))
-    pages = blocks.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    # a block across the middle opens a band: what stands above it is read before it, column by column
+    down = Window.partitionBy("doc_id", "page").orderBy("y0", "column", "x0")
+    placed = blocks.withColumn("column", column).withColumn("band", F.sum(F.when(F.col("column") == 0, 1).otherwise(0)).over(down))
+    line = F.struct("band", "column", F.col("y0").alias("y"), F.col("x0").alias("x"), F.concat(level, F.col("text")).alias("line"))
+    pages = placed.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(line)).alias("lines"))
     return pages.select("doc_id", "page", F.array_join(F.col("lines.line"), "\n").alias("text"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +47,33 @@ def write_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:
     writer.option("quoteAll", quote_all).csv(path)
 
 
+def write_sorted_csv(df: DataFrame, path: str, key: str) -> int:
+    """CSV with every cell quoted, nested cells as sorted JSON, in the order of ``key``; rows are counted again from the files."""
+    write_csv(df.orderBy(key), path, quote_all=True)
+    names = T.StructType([T.StructField(f.name, T.StringType()) for f in df.schema.fields])
+    again = df.sparkSession.read.schema(names).csv(path, header=True, quote='"', escape='"', multiLine=True)
+    wanted, got = df.count(), again.where(F.col(key).isNotNull()).count()
+    if wanted != got:
+        raise GateError(f"{path}: {got} rows with {key}, {wanted} expected")
+    return got
+
+
+def write_json(spark: SparkSession, value: object, path: str) -> None:
+    """One JSON value as a file that readers see whole or not at all: written beside its place, then moved there."""
+    import json
+
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    place, beside = hadoop.Path(path), hadoop.Path(f"{path}.writing")
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(beside, True)
+    out.write(bytearray(json.dumps(value, ensure_ascii=False, sort_keys=True, indent=1).encode()))
+    out.close()
+    if files.exists(place):
+        files.delete(place, False)
+    if not files.rename(beside, place):
+        raise GateError(f"{path}: not written")
+
+
 def union_columns(frames: Sequence[DataFrame]) -> DataFrame:
     """All rows; columns in the order in which they first appear."""
     out = frames[0]

@@ -38,14 +38,18 @@ def append_once(stream: DataFrame, path: str, keys: list[str], checkpoint: str)
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def attempt_states(stream: DataFrame) -> DataFrame:
+def attempt_states(stream: DataFrame, idle: str | None = None) -> DataFrame:
     """Latest status of every task and whether it may be tried again.
 
     ``stream(task, seq, status)``. Rows of a task may come in any order within a batch; terminal statuses stay, an
-    unknown outcome is never replayed, and a task has :data:`MAX_ATTEMPTS` attempts.
+    unknown outcome is never replayed, and a task has :data:`MAX_ATTEMPTS` attempts. State is kept for good, or with
+    ``idle`` (as ``"7 days"``) until a task has been silent that long.
     """
 
     def step(key: tuple[str], frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         status, attempts, seq = state.get if state.exists else ("", 0, -1)
         rows = pd.concat(list(frames)).sort_values("seq")
         for r in rows.itertuples():
@@ -54,10 +58,12 @@ def attempt_states(stream: DataFrame) -> DataFrame:
             attempts += r.status == "in_flight"
             status, seq = r.status, int(r.seq)
         state.update((status, int(attempts), int(seq)))
+        if idle:
+            state.setTimeoutDuration(idle)
         replay = status not in TERMINAL and status not in UNKNOWN and attempts < MAX_ATTEMPTS
         yield pd.DataFrame({"task": [key[0]], "status": [status], "attempts": [int(attempts)], "replay": [bool(replay)]})
 
-    return stream.groupBy("task").applyInPandasWithState(step, ATTEMPT_OUT, "status string, attempts int, seq long", "update", "NoTimeout")
+    return stream.groupBy("task").applyInPandasWithState(step, ATTEMPT_OUT, "status string, attempts int, seq long", "update", "ProcessingTimeTimeout" if idle else "NoTimeout")
 
 
 def windowed_counts(events: DataFrame, ts: str, key: str, length: str, slide: str | None = None, delay: str = "10 minutes") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import norm_key
-from millrace.session import scratch_path
+from millrace.session import qualified, scratch_path
 
 #: Up to so many characters of protected texts are sent to every executor; more are joined by shuffle.
 SENT_CHARS = 32 << 20
@@ -125,7 +125,7 @@ def _banded(rows: DataFrame, ratio: float) -> tuple[DataFrame, dict[int, int]]:
 
 def _write_blocks(rows: DataFrame, parts: dict[int, int], name: str) -> str:
     """Writes the texts of the bands in ``parts`` with their counters, block by block, and returns the folder."""
-    folder = scratch_path(rows.sparkSession, name)
+    folder = qualified(rows.sparkSession, scratch_path(rows.sparkSession, name))
     if parts:
         of = F.create_map(*(F.lit(x) for item in parts.items() for x in item))
         placed = rows.where(F.col("band").isin(*parts)).withColumn("part", F.pmod(F.xxhash64("id", "text"), of[F.col("band")]).cast("int"))
@@ -206,8 +206,8 @@ def fuzzy_pairs(left: DataFrame, left_id: str, left_text: str, right: DataFrame,
         import pyarrow.dataset as ds
         from pyarrow import fs
 
-        store, path = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
-        return ds.dataset(f"{path}/band={band}/part={part}", filesystem=store, format="parquet").to_table() if store.get_file_info(f"{path}/band={band}/part={part}").type == fs.FileType.Directory else pa.table({})
+        store, path = fs.FileSystem.from_uri(f"{folder}/band={band}/part={part}")
+        return ds.dataset(path, filesystem=store, format="parquet").to_table() if store.get_file_info(path).type == fs.FileType.Directory else pa.table({})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

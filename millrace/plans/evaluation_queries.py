@@ -191,7 +191,7 @@ def _semantic(spark, sf_dir):
           FROM (SELECT *, count(*) OVER (PARTITION BY task, category) AS cnt FROM v) GROUP BY task),
     s AS (SELECT m.*, fact_scores, n_split, low, CASE WHEN ct AND c IS NOT NULL THEN 0 ELSE c END AS score FROM m JOIN fm USING (task)),
     i AS (SELECT *, coalesce(score = 1 AND task % 4 <> 0 AND task % 6 <> 0 AND low, false) AS odd FROM s)
-    SELECT task, 3 AS n_votes, fact_scores, n_split AS n_facts_disagreed, CASE WHEN NOT odd THEN score END AS correctness, e AS evidence_support, CASE WHEN most >= 2 THEN top ELSE 'uncertain' END AS category, ct AS contradiction,
+    SELECT task, CAST(3 AS BIGINT) AS n_votes, fact_scores, n_split AS n_facts_disagreed, CASE WHEN NOT odd THEN score END AS correctness, e AS evidence_support, CASE WHEN most >= 2 THEN top ELSE 'uncertain' END AS category, ct AS contradiction,
            mi AS materially_incorrect, um AS unsupported_material_claim, odd AS fact_overall_inconsistency, nr OR kinds > 1 OR odd AS needs_human_review, differ OR n_split > 0 AS disagreement, flags, 'a0,a1,b' AS conditions, 'three_vote' AS protocol FROM i""")
 def semantic_merge(spark, sf_dir):
     """Three semantic votes merged: a null score stays null, a category needs a strict majority, a full score with a low

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.words import chunks
-from millrace.session import scratch_path
+from millrace.session import qualified, scratch_path
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
@@ -66,10 +66,6 @@ def encode_record(page_id: int | None, url: str, payload: bytes, response: bool,
     return packer.compress(raw) + packer.flush()
 
 
-def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
 def _writer(folder: str, batch_html: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -79,7 +75,7 @@ def _writer(folder: str, batch_html: int):
         for batch in chunks(batches, batch_html, CHUNK):
             for r in batch.to_pylist():
                 if out is None:
-                    fs, root = _filesystem(folder)
+                    fs, root = pafs.FileSystem.from_uri(folder)
                     fs.create_dir(root, recursive=True)
                     temporary, final = f"{root}/.part-{part:06d}-{attempt}", f"{root}/part-{part:06d}.warc.gz"
                     out = fs.open_output_stream(temporary, compression=None)
@@ -107,8 +103,10 @@ def write_warc(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, salts:
     """Write ``pages(page_id, url, html)``; returns the archives' paths and sizes, one a partition.
 
     Rows are dealt by payload hash and a salt of the id, so a payload that a third of all rows share is spread over
-    ``salts`` tasks; the table of shared payloads is repeated per salt, which is all that is joined to them.
+    ``salts`` tasks; the table of shared payloads is repeated per salt, which is all that is joined to them. A folder
+    without a scheme is one of Spark's default store.
     """
+    folder = qualified(pages.sparkSession, folder)
     rows = pages.select("page_id", "url", "html", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"))
     keys = pages.select("page_id", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).alias("n"))
     shared = keys.where(F.col("n") >= min_revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("response_id"), F.count("*").alias("copies"))
@@ -205,7 +203,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema(list(zip(names, types, strict=True)))
     for batch in batches:
         for r in batch.to_pylist():
-            fs, path = _filesystem(r["path"])
+            fs, path = pafs.FileSystem.from_uri(r["path"])
             with fs.open_input_file(path) as file:
                 window, rows, held = _Window(file, r["size"]), [], 0
                 record = _starts(window, r["lo"], r["hi"])
@@ -225,7 +223,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_warc(spark: SparkSession, archives: list[tuple[str, int]], split_bytes: int = 4 << 20) -> DataFrame:
     """The records of archives given by path and size, read in ranges of ``split_bytes``; columns: :data:`READ`."""
-    files = spark.createDataFrame([(p, n) for p, n in archives], "path string, size long")
+    files = spark.createDataFrame([(qualified(spark, p), n) for p, n in archives], "path string, size long")
     ranges = files.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("lo"))
     ranges = ranges.withColumn("hi", F.least(F.col("lo") + split_bytes, F.col("size")))
     count = max(1, min(100_000, sum(-(-n // split_bytes) for _, n in archives)))

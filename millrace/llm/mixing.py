@@ -214,7 +214,8 @@ def mix(
     some = some.withColumn("held", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words) - begin)
 
     drawn = _slots(spark, Plan(epochs), shard_slots, seed)
-    taken = some.join(drawn, ["k", "block"])
+    # a range's rows say nothing of the slots made from them: never broadcast by that estimate
+    taken = some.join(drawn.hint("merge"), ["k", "block"])
     # a slot that is cut takes the block's first `upto` words
     taken = taken.withColumn("words", F.when(F.col("upto") == 0, F.col("held")).otherwise(F.least(F.col("held"), F.greatest(F.col("upto") - F.col("offset"), F.lit(0)))))
     taken = taken.where("words > 0").select("k", "bucket", "place", "epoch", "first", "words", "shard", "slot")

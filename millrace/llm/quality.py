@@ -28,13 +28,24 @@ UNPUNCTUATED_CHARS = 250
 MAX_LINE_SYMBOL_PERCENT = 8
 #: Percent of a document's word characters that line rules may remove.
 MAX_LOST_PERCENT = 50
+# Menu entries and notices of sites in four languages.
 #: Navigation: a short line that is one menu entry, or a run of labels between separators.
-MENU_ENTRY = r"(?i)^\W*(home|menu|login|log in|sign in|sign up|register|search|contact( us)?|about( us)?|next|previous|back to top|skip to content|share( this)?|read more|subscribe)\W*$"
+MENU_ENTRIES = (
+    "home", "menu", "login", "log in", "sign in", "sign up", "register", "search", "contact( us)?", "about( us)?", "next", "previous", "back to top", "skip to content", "share( this)?", "read more", "subscribe",
+    "startseite", "men[üÜ]", "anmelden", "registrieren", "suchen?", "kontakt", "impressum", "[üÜ]ber uns", "weiter", "zur[üÜ]ck", "nach oben", "zum inhalt( springen)?", "teilen", "weiterlesen", "mehr lesen", "abonnieren",
+    "accueil", "connexion", "se connecter", "rechercher?", "contactez-nous", "[àÀ] propos", "suivant", "pr[éÉ]c[éÉ]dent", "haut de page", "aller au contenu", "partager", "lire la suite", "en savoir plus",
+    "inicio", "men[úÚ]", "iniciar sesi[óÓ]n", "registrarse", "buscar", "contacto", "acerca de( nosotros)?", "siguiente", "anterior", "volver arriba", "ir al contenido", "compartir", "leer m[áÁ]s", "suscribirse",
+)
+MENU_ENTRY = r"(?i)^\W*(" + "|".join(MENU_ENTRIES) + r")\W*$"
 MENU_ENTRY_CHARS = 40
 MENU_SEPARATORS = (" | ", " » ", " › ", " · ", " > ")
 MENU_RUN = r"( [|»›·>] \S+){3}"
 #: Boilerplate: phrases of notices that belong to a site and not to its text, in lower case.
-BOILERPLATE = ("lorem ipsum", "javascript", "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "uses cookies", "use of cookies")
+BOILERPLATE = (
+    "lorem ipsum", "javascript", "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "uses cookies", "use of cookies",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "verwendet cookies", "tous droits réservés", "politique de confidentialité", "utilise des cookies",
+    "todos los derechos reservados", "términos de uso", "política de privacidad", "utiliza cookies",
+)
 
 
 def _words(text: Column) -> Column:
@@ -78,7 +89,8 @@ def line_fails(line: Column) -> Column:
     shouting = (chars >= SHOUT_CHARS) & ~F.rlike(line, F.lit(r"\p{Ll}|\p{Lo}"))
     unpunctuated = (chars >= UNPUNCTUATED_CHARS) & ~F.rlike(line, F.lit(r"[.!?,;:…。।؟]"))
     menu = ((chars <= MENU_ENTRY_CHARS) & F.rlike(line, F.lit(MENU_ENTRY))) | (_any_of(line, MENU_SEPARATORS) & F.rlike(line, F.lit(MENU_RUN)))
-    return noisy | shouting | unpunctuated | menu | _any_of(F.lower(line), BOILERPLATE)
+    # one pattern, as nothing that is made of a line is kept between two expressions
+    return noisy | shouting | unpunctuated | menu | F.rlike(F.lower(line), F.lit("|".join(BOILERPLATE)))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -57,3 +57,11 @@ def test_no_python_in_the_plan(spark):
     df = quality_rules(spark.createDataFrame([(1, PROSE, "", 0)], SCHEMA).select("doc_id", "text"))
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_menus_and_notices_of_four_languages(spark):
+    gone = ["Impressum", "« Zurück »", "ÜBER UNS", "Lire la suite", "À PROPOS", "précédent", "Iniciar sesión", "MENÚ", "Leer más", "Read more", "Alle Rechte vorbehalten, 2024.", "© Tous Droits réservés.", "Esta página utiliza cookies."]
+    stays = ["Zurück in der Stadt.", "Le menu du jour, en détail.", "Buscar la verdad es difícil.", "Search for the truth, always."]
+    df = spark.createDataFrame([(i, t, "", 0) for i, t in enumerate([*gone, *stays])], SCHEMA)
+    got = {r.doc_id: r.clean_text for r in quality_rules(df).collect()}
+    assert [got[i] for i in range(len(gone))] == [""] * len(gone) and [got[len(gone) + i] for i in range(len(stays))] == stays

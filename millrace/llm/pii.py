@@ -117,6 +117,7 @@ order 4952935900253051 was sent	o o o o
 token = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda" here	o o o o
 id 908038b7daaf91e1 and 7536784127813051 end	o o o o o
 on 2024-01-31 at 10:30 we met	o o o o o o
+from 1987/05/09 until 03-11-2026 it rained	o o o o o o
 chapter 3 (12) and 5 (2001) follow	o o o o o o o
 see @someone and #tag and a+b	o o o o o o
 1 2 3 4 5 6	o o o o o o
@@ -138,8 +139,9 @@ _CLASS[ord("@")] = 5
 _CLASS[[ord("("), ord("[")]] = 6
 _CLASS[ord("+")] = 7
 #: Sizes of the features: first character, digits, dots, dashes, letters, @, brackets, Luhn.
-SIZES = (4, 8, 3, 3, 2, 2, 2, 2)
-_DIGITS = np.array([0, 1, 1, 2, 3, 4, 4, 5, 5, 5, 5, 5, 6, 6, 6, 6, 6, 6, 6, 6, 7])
+SIZES = (5, 9, 3, 3, 2, 2, 2, 2)
+#: Classes of digit counts: dates have up to 8, phone numbers mostly more, cards 12 to 19.
+_DIGITS = np.array([0, 1, 1, 2, 3, 4, 4, 5, 5, 6, 6, 6, 7, 7, 7, 7, 7, 7, 7, 7, 8])
 
 
 def shapes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -150,7 +152,7 @@ def shapes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     lo, hi = np.searchsorted(marked, start), np.searchsorted(marked, end)
     out = np.zeros((len(start), len(SIZES)), dtype=np.int64)
     first = kind[start] if len(start) else np.zeros(0, np.uint8)
-    out[:, 0] = np.select([first == 1, first == 6, first == 7], [1, 2, 3], 0)
+    out[:, 0] = np.select([first == 1, first == 6, first == 7, first == 4], [1, 2, 3, 4], 0)
     out[:, 4] = 1
     some = np.flatnonzero(hi > lo)
     counts = np.zeros((8, len(some)), dtype=np.int64)

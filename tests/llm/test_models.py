@@ -133,6 +133,44 @@ def test_field_keeps_base_spans_and_adds_only_checked_ones(spark):
     assert pii.find_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def luhn_number(rng, prefix="4", size=16):
+    digits = prefix + "".join(rng.choices("0123456789", k=size - len(prefix) - 1))
+    return next(digits + c for c in "0123456789" if pii.luhn(digits + c))
+
+
+def held_out_lines(rng, n):
+    """Sentences that the training table does not have, with what the patterns miss, and numbers that are no personal data."""
+    words = "we met them near old bridge after lunch while rain fell over quiet fields and nobody asked why".split()
+    prose = lambda k: " ".join(rng.choices(words, k=k))
+    d = lambda k: "".join(rng.choices("0123456789", k=k))
+    name = lambda: "".join(rng.choices("abcdefgh", k=5))
+    found = [
+        ("phone", lambda: f"({d(3)}) {d(3)}-{d(4)}"), ("phone", lambda: f"0{d(2)} {d(4)} {d(4)}"), ("phone", lambda: f"{d(3)}-{d(3)}-{d(4)}"),
+        ("email", lambda: f"{name()}(at){name()}.org"), ("email", lambda: f"{name()}.{name()}[at]{name()}.example.net"), ("email", lambda: f"{name()}@localhost"),
+        ("ip", lambda: f"10.{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}:{d(4)}"),
+        ("card", lambda: (lambda c: f"{c[:4]}.{c[4:8]}.{c[8:12]}.{c[12:]}")(luhn_number(rng))),
+    ]
+    nothing = [lambda: f"19{d(2)}", lambda: f"{rng.randint(2, 99)},{d(3)}", lambda: f"20{d(2)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}", lambda: f"v{rng.randint(1, 9)}.{d(1)}.{d(2)}", lambda: f"{rng.randint(1, 99)}%", lambda: f"#{d(3)}", lambda: "".join(rng.choices("0123456789abcdef", k=24))]
+    for i in range(n):
+        kind, make = rng.choice(found) if i % 2 else (None, rng.choice(nothing))
+        before, body = prose(rng.randint(2, 6)), make()
+        yield f"{before} {body} {prose(rng.randint(2, 6))}", kind and (kind, len(before) + 1, len(before) + 1 + len(body))
+
+
+def test_field_on_held_out_lines(spark):
+    """Precision and recall of what the field adds, on lines that it was not trained on."""
+    lines = list(held_out_lines(random.Random(9), 600))
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id: {(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)} for r in pii.find_pii(rows).collect()}
+    names = {i: {(pii.KINDS[k], a, b) for a, k, b in pii.base_spans(t)} for i, (t, _) in enumerate(lines)}
+    overlap = lambda x, y: x[0] == y[0] and x[1] < y[2] and y[1] < x[2]
+    added = {i: got[i] - names[i] for i in got}
+    hits = sum(any(overlap(x, want) for x in got[i]) for i, (_, want) in enumerate(lines) if want)
+    right = sum(bool(lines[i][1]) and overlap(x, lines[i][1]) for i, xs in added.items() for x in xs)
+    total = sum(map(len, added.values()))
+    assert hits >= 0.9 * sum(bool(w) for _, w in lines) and right >= 0.95 * total > 0, (hits, right, total)
+
+
 def test_viterbi_is_the_best_of_all_labelings():
     from itertools import product
 

@@ -53,6 +53,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/millrace-{name}-{uuid.uuid4().hex}"
 
 
+def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Arrow batches of at most ``most`` bytes in this session, unless it has a smaller bound.
+
+    By default a batch has 10,000 rows or 64 MB, on both sides of every Python task: long rows would make memory.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size, unit = re.fullmatch("([0-9]+) *([a-z]?).*", spark.conf.get(key, str(1 << 30)).lower()).groups()
+    if int(size) << {"k": 10, "m": 20, "g": 30}.get(unit, 0) > most:
+        spark.conf.set(key, str(most))
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """A path as a URI of the store that Spark reads it from: without a scheme that is the default store, not a local disk."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -184,9 +184,41 @@ def chunk_header(insurer: Column, doc: Column, section: Column, page: Column, ti
     return F.trim(F.format_string("[%s, %s, Section %s, p.%s] %s", insurer, doc, section, page.cast("string"), F.coalesce(title, F.lit(""))))
 
 
+#: What stands for the extracts where there are none.
+NO_EXTRACTS = "(no policy extracts provided)"
+
+
+def format_context(chunks: Column, most: int | None = None) -> Column:
+    """Numbered extracts with their headers, in the order of the array; ``most`` cuts each text where a prompt has to be short.
+
+    ``chunks``: structs of insurer, doc_short, section_id, page, section_title, text.
+    """
+    text = lambda c: c["text"] if most is None else F.substring(c["text"], 1, most)
+    block = lambda c, i: F.concat(F.lit("--- Extract "), (i + 1).cast("string"), F.lit(": "), chunk_header(c["insurer"], c["doc_short"], c["section_id"], c["page"], c["section_title"]), F.lit("\n"), text(c))
+    return F.when(F.coalesce(F.size(chunks), F.lit(0)) <= 0, F.lit(NO_EXTRACTS)).otherwise(F.array_join(F.transform(chunks, block), "\n\n"))
+
+
+def build_messages(system: str, question: Column, chunks: Column, switch: str | None = " /no_think") -> Column:
+    """System and user messages; the system text's ``{context}`` takes the extracts, and a soft switch ends it."""
+    filled = F.replace(F.lit(system), F.lit("{context}"), format_context(chunks))
+    filled = filled if switch is None else F.concat(filled, F.lit(switch))
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    return F.array(message("system", filled), message("user", question))
+
+
+def decimals(value: Column, digits: int = 6, missing: str = "Pending") -> Column:
+    """Fixed decimals, or a word where the value is missing."""
+    return F.when(value.isNull(), F.lit(missing)).otherwise(F.format_string(f"%.{digits}f", F.bround(value.cast("double"), digits)))
+
+
+def signed(value: Column, digits: int = 3, missing: str = "—") -> Column:
+    """Fixed decimals with their sign, or a word where the value is missing."""
+    return F.when(value.isNull(), F.lit(missing)).otherwise(F.format_string(f"%+.{digits}f", F.bround(value.cast("double"), digits)))
+
+
 def percent(value: Column, missing: str = "N/A") -> Column:
-    """One decimal, or a word where the value is missing: missing is not zero."""
-    return F.when(value.isNull(), F.lit(missing)).otherwise(F.format_string("%.1f%%", value * 100))
+    """One decimal, ties to even, or a word where the value is missing: missing is not zero."""
+    return F.when(value.isNull(), F.lit(missing)).otherwise(F.format_string("%.1f%%", F.bround(value.cast("double") * 100, 1)))
 
 
 def formula_safe(cell: Column, rule: str = "first") -> Column:

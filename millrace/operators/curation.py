@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import norm_key, template_key
+from millrace.functions.text import names_a_model, norm_key, template_key
 from millrace.operators.decontam import cited_chunks, fuzzy_pairs, reasons
 from millrace.operators.gates import breaches
 
@@ -223,6 +223,14 @@ def evidence_counts(records: DataFrame) -> DataFrame:
     )
 
 
+def unnamed(rows: DataFrame, text: str, names: Sequence[str], action: str = "raise") -> DataFrame:
+    """Rows whose text does not name the model that wrote it: others are left out, or an error where blinding is audited."""
+    named = F.coalesce(names_a_model(F.col(text), names), F.lit(False))
+    if action == "skip":
+        return rows.where(~named)
+    return rows.withColumn(text, F.when(named, F.raise_error(F.lit("a text names its model"))).otherwise(F.col(text)))
+
+
 def question_clusters(records: DataFrame, question: str, label: str) -> DataFrame:
     """``(size, clusters, mixed)``: clusters of equal questions by size, and those whose rows differ in ``label``."""
     clusters = records.groupBy(norm_key(F.col(question)).alias("q")).agg(F.count("*").alias("size"), F.countDistinct(label).alias("labels"))

@@ -583,3 +583,26 @@ def cheapest_first(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     costs = e.where("event_type = 'click'").groupBy("user_id").agg(F.round(F.sum("value"), 4).alias("cost"))
     return V.eligible(costs, "user_id", [e.where("event_type = 'purchase' and value > 150")], "cost", 900.0).orderBy("cost", "user_id").limit(20)
+
+
+@query(f"""
+    WITH c AS (SELECT conv_id, turn, '--- Extract ' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) || ': ' || trim('[' || role || ', d, Section ' || turn || ', p.' || turn || '] ' || CASE WHEN turn % 2 = 0 THEN '' ELSE 'Title' END) || chr(10) || text AS b FROM conversations WHERE conv_id % 5 <> 0),
+    x AS (SELECT conv_id, string_agg(b, chr(10) || chr(10) ORDER BY turn) AS t FROM c GROUP BY conv_id), a AS (SELECT DISTINCT conv_id FROM conversations)
+    SELECT a.conv_id, sha256('Extracts:' || chr(10) || coalesce(t, '{X.NO_EXTRACTS}') || '. /no_think') AS system, 'Q' || a.conv_id AS question FROM a LEFT JOIN x USING (conv_id)""")
+def context_messages(spark, sf_dir):
+    """Messages with numbered extracts, or a placeholder where there are none."""
+    c = table(spark, sf_dir, "conversations")
+    turn = F.col("turn")
+    chunk = F.struct(turn, F.col("role").alias("insurer"), F.lit("d").alias("doc_short"), turn.cast("string").alias("section_id"), turn.alias("page"), F.when(turn % 2 != 0, "Title").alias("section_title"), "text")
+    rows = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.when(F.col("conv_id") % 5 != 0, chunk))).alias("chunks"))
+    m = X.build_messages("Extracts:\n{context}.", F.concat(F.lit("Q"), F.col("conv_id").cast("string")), F.col("chunks"))
+    return rows.select("conv_id", m.alias("m")).select("conv_id", F.sha2(F.col("m")[0]["content"], 256).alias("system"), F.col("m")[1]["content"].alias("question"))
+
+
+@query("""
+    WITH s AS (SELECT source, avg(quality) AS q, avg(quality) - 0.5 AS d FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source)
+    SELECT source, CASE WHEN q IS NULL THEN 'N/A' ELSE printf('%.1f%%', 100 * q) END AS share, CASE WHEN d IS NULL THEN '—' ELSE printf('%+.3f', d) END AS change, CASE WHEN q IS NULL THEN 'Pending' ELSE printf('%.6f', q) END AS value FROM s""")
+def report_formats(spark, sf_dir):
+    """Shares, signed changes and decimals, with a word where a value is missing."""
+    d = _docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left").groupBy("source").agg(F.avg("quality").alias("q"))
+    return d.select("source", X.percent(F.col("q")).alias("share"), X.signed(F.col("q") - 0.5).alias("change"), X.decimals(F.col("q")).alias("value"))

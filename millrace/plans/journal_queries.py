@@ -135,3 +135,15 @@ def stream_attempts(spark, sf_dir):
     states = F.create_map(*(F.lit(x) for x in ("view", "in_flight", "click", "response_saved", "purchase", "success", "signup", "in_flight", "logout", "request_rejected")))
     s = _stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("task"), F.col("event_id").alias("seq"), F.coalesce(states[F.col("event_type")], F.lit("known_invalid")).alias("status"))
     return _drain(spark, J.attempt_states(s), "update").select("task", "status", "attempts", "replay")
+
+
+@query("""
+    WITH RECURSIVE e AS (SELECT event_id, event_type AS owner, epoch_us(ts) AS us, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts), event_id) AS k FROM events),
+    s AS (SELECT owner, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, false AS ok, CAST(NULL AS BIGINT) AS again, CAST([] AS BIGINT[]) AS held FROM (SELECT DISTINCT owner FROM e)
+          UNION ALL SELECT owner, k, event_id, len(h) < 3, CASE WHEN len(h) < 3 THEN us ELSE h[1] + 21600000000 END, CASE WHEN len(h) < 3 THEN list_append(h, us) ELSE h END
+          FROM (SELECT e.owner, e.k, e.event_id, e.us, list_filter(s.held, lambda x: x > e.us - 21600000000) AS h FROM s JOIN e ON e.owner = s.owner AND e.k = s.k + 1))
+    SELECT event_id, owner, ok AS admitted, again AS again_at FROM s WHERE k > 0""")
+def stream_admissions(spark, sf_dir):
+    """Requests that a rolling limit of three in six hours admits, kept by a stateful stream."""
+    s = _stream(spark, sf_dir).select("event_id", F.col("event_type").alias("owner"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.lit(1.0).alias("tokens"))
+    return _drain(spark, J.admissions(s, 21_600, 3, 1e9), "append").select("event_id", "owner", "admitted", "again_at")

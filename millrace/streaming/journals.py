@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -66,6 +68,37 @@ def attempt_states(stream: DataFrame, idle: str | None = None) -> DataFrame:
     return stream.groupBy("task").applyInPandasWithState(step, ATTEMPT_OUT, "status string, attempts int, seq long", "update", "ProcessingTimeTimeout" if idle else "NoTimeout")
 
 
+ADMITTED_OUT = "event_id long, owner string, admitted boolean, again_at long"
+
+
+def admissions(requests: DataFrame, seconds: int, most: int, most_tokens: float) -> DataFrame:
+    """Requests admitted under a rolling limit by owner, and when a refused one may be tried again.
+
+    ``requests(event_id, owner, us, tokens)``, times in microseconds. A request is admitted if, with those admitted in
+    ``(us - seconds, us]``, it keeps both limits; only admitted ones count later. Batches come in order of time; within
+    one, requests are taken by time and id. State is what was admitted in the last window.
+    """
+    length = seconds * 1_000_000
+
+    def step(key: tuple[str], frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = deque(tuple(x) for x in json.loads(state.get[0])) if state.exists else deque()
+        total = sum(t for _, t in held)
+        out = []
+        for r in pd.concat(list(frames)).sort_values(["us", "event_id"]).itertuples():
+            while held and held[0][0] <= r.us - length:
+                total -= held.popleft()[1]
+            ok = len(held) < most and total + r.tokens <= most_tokens
+            again = int(r.us) if ok else int(held[0][0]) + length if held else int(r.us) + length
+            if ok:
+                held.append((int(r.us), float(r.tokens)))
+                total += float(r.tokens)
+            out.append((int(r.event_id), key[0], ok, again))
+        state.update((json.dumps(list(held)),))
+        yield pd.DataFrame(out, columns=["event_id", "owner", "admitted", "again_at"])
+
+    return requests.groupBy("owner").applyInPandasWithState(step, ADMITTED_OUT, "held string", "append", "NoTimeout")
+
+
 def windowed_counts(events: DataFrame, ts: str, key: str, length: str, slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
     """Counts and sums by window, final once the watermark passes its end."""
     w = F.window(ts, length, slide) if slide else F.window(ts, length)

@@ -173,6 +173,13 @@ def test_schemas_and_clocks():
     assert [training.barrier_due(*x) for x in ((5, 0.0), (4, 299.0), (1, 300.0), (0, 999.0))] == [True, False, True, False]
 
 
+def test_named_models_are_skipped_or_errors(spark):
+    df = spark.createDataFrame([(1, "I am Qwen2.5, made to help"), (2, "the qwenish tale"), (3, None)], "i int, t string")
+    assert sorted(r.i for r in curation.unnamed(df, "t", ["qwen", "llama"], "skip").collect()) == [2, 3]
+    with pytest.raises(FAILS, match="names its model"):
+        curation.unnamed(df, "t", ["qwen"]).collect()
+
+
 def test_prompts_need_their_clauses(spark):
     df = spark.createDataFrame([("say A now",)], "t string")
     assert df.select(X.adapt(F.col("t"), [("A", "B"), ("B now", "C")])).first()[0] == "say C"

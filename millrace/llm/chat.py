@@ -9,8 +9,9 @@ becomes ``<\\|`` (and a line feed in a role ``<\\n``), so no control string surv
 only place where ``<`` is followed by exactly one backslash, which is why plain replacements undo it.
 
 Defined cases: a null text or role counts as empty; a null turn comes first; rows with equal turns are ordered by role,
-then text; repeated rows stay as repeated turns; an empty table gives an empty result; a null ``conv_id`` is a
-conversation of its own; other columns are not read. A conversation is one output row, so its turns meet in one task.
+then text; repeated rows stay as repeated turns; an empty table gives an empty result; every row without a ``conv_id``
+is a conversation of its own, so such rows never meet in one task; other columns are not read. A conversation is one
+output row, so its turns meet in one task.
 """
 
 from __future__ import annotations
@@ -69,18 +70,20 @@ def format_chat(rows: DataFrame, parts_col: str | None = None, train_role: str =
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
     plain = F.array(F.struct(F.lit("text").alias("kind"), text.alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(0.0).alias("units")))
     parts = plain if parts_col is None else F.coalesce(F.col(parts_col).cast(f"array<{PART}>"), plain)
-    turns = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), parts.alias("parts"))
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    own = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("own")
+    turns = rows.select("conv_id", own, "turn", role.alias("role"), text.alias("text"), parts.alias("parts"))
+    order = Window.partitionBy("conv_id", "own").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     turns = turns.withColumn("at", F.row_number().over(order))
     loss = F.col("role") == train_role
     head = _segment(F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")))
     turns = turns.select(
         "conv_id",
+        "own",
         "at",
         F.concat(F.array(head), F.transform("parts", lambda p: _visit(p, loss)), F.array(_segment(F.lit(END + "\n")))).alias("segments"),
         F.transform(F.filter("parts", lambda p: p["kind"] != "text"), lambda p: _attachment(p, F.col("at"))).alias("attachments"),
     )
-    grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("at", "segments", "attachments"))).alias("turns"))
+    grouped = turns.groupBy("conv_id", "own").agg(F.sort_array(F.collect_list(F.struct("at", "segments", "attachments"))).alias("turns"))
     grouped = grouped.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

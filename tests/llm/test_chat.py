@@ -57,3 +57,11 @@ def test_no_python_in_the_plan(spark):
     plan = format_chat(spark.range(1).selectExpr("id conv_id", "id turn", "'user' role", "'x' text"))._jdf.queryExecution().optimizedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
+
+
+def test_rows_without_an_id_are_conversations(spark):
+    from millrace.llm.chat import format_chat
+
+    df = spark.createDataFrame([(None, 0, "user", "x"), (None, 1, "user", "y"), (None, 1, "user", "y"), (7, 1, "user", "b"), (7, 0, "user", "a")], "conv_id long, turn long, role string, text string")
+    got = sorted((r.conv_id or 0, r.n_turns, r.formatted.replace("<|im_start|>user\n", "").replace("<|im_end|>\n", ";")) for r in format_chat(df).collect())
+    assert got == [(0, 1, "x;"), (0, 1, "y;"), (0, 1, "y;"), (7, 2, "a;b;")]

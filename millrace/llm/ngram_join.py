@@ -10,8 +10,10 @@ How it stays linear where many texts are alike:
 * equal sets are collapsed first, by a 128-bit signature of the set, with map-side combine;
 * frequent shingles are found by counting all of them (blobs of 32-bit remainders dealt by the leading bits) and come
   last in the order, so a passage that many texts share is in the prefix only of texts that consist of it;
-* round 1 compares every set with one pivot of each shingle (linear in entries); round 2 proposes only pairs that
-  round 1 left in different components. All links inside a component are implied, so no class is expanded in pairs.
+* round 1 compares every set with one pivot of each shingle (linear in entries): the set whose prefix has the largest
+  share of frequent shingles, as the text that a group's copies were made from has, and then the smallest id; round 2
+  proposes only pairs that round 1 left in different components. All links inside a component are implied, so no class
+  is expanded in pairs.
 
 The order only speeds things up: results are exact for any order. What is broadcast is the list of frequent shingles
 (``MAX_FREQUENT`` at most, the most frequent ones: an ordering hint) and a bit set of the candidates' ids, of
@@ -229,23 +231,23 @@ def _entry_blobs(bits: int, flush: int = 1 << 20):
     """
     shift = np.uint64(64 - bits)
 
-    def out(token, node, n, at) -> pa.RecordBatch:
-        token, node, n, at = (np.concatenate(x) for x in (token, node, n, at))
+    def out(*parts: list[np.ndarray]) -> pa.RecordBatch:
+        token, node, n, at, typical = (np.concatenate(x) for x in parts)
         order = np.argsort(token)
-        token, node, n, at = token[order], node[order], n[order], at[order]
+        token, node, n, at, typical = (x[order] for x in (token, node, n, at, typical))
         bucket = (token >> shift).astype(np.int32)
         token = ((token << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
         if node.min() >= 0 and node.max() < 1 << 32:
             node = node.astype(np.uint32)  # the blob's length tells which
         cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(token)]]).astype(np.int64)
         columns = [pa.array(bucket[cut[:-1]])]
-        for x in (token, node, n.astype(np.uint32), np.minimum(at, MAX_PLACE).astype(np.uint16)):
+        for x in (token, node, n.astype(np.uint32), np.minimum(at, MAX_PLACE).astype(np.uint16), typical.astype(np.uint16)):
             blob = pa.Array.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(cut * x.itemsize), pa.py_buffer(np.ascontiguousarray(x))])
             columns.append(blob.cast(pa.binary()))
-        return pa.RecordBatch.from_arrays(columns, names=["bucket", "token", "node", "n", "at"])
+        return pa.RecordBatch.from_arrays(columns, names=["bucket", "token", "node", "n", "at", "typical"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[], [], [], []]
+        held: list[list[np.ndarray]] = [[], [], [], [], []]
         count = 0
         for batch in batches:
             lists = batch.column(2)
@@ -253,12 +255,13 @@ def _entry_blobs(bits: int, flush: int = 1 << 20):
             begin = lists.offsets.to_numpy()[:-1]
             at = np.arange(size.sum()) - np.repeat(np.concatenate([[0], np.cumsum(size)[:-1]]), size)
             token = lists.values.to_numpy()[np.repeat(begin, size) + at].view(np.uint64)
-            for x, y in zip(held, (token, np.repeat(batch.column(0).to_numpy(), size), np.repeat(batch.column(1).to_numpy(), size), at), strict=True):
+            of = (np.repeat(batch.column(c).to_numpy(), size) for c in ("node", "n", "typical"))
+            for x, y in zip(held, (token, next(of), next(of), at, next(of)), strict=True):
                 x.append(y)
             count += len(token)
             if count >= flush:
                 yield out(*held)
-                held, count = [[], [], [], []], 0
+                held, count = [[], [], [], [], []], 0
         if count:
             yield out(*held)
 
@@ -267,8 +270,8 @@ def _entry_blobs(bits: int, flush: int = 1 << 20):
 
 def _shared(table: pa.Table) -> pa.Table:
     """Entries of shingles that two or more prefixes of a bucket hold."""
-    blobs = {c: [b.as_buffer() for b in table.column(c).combine_chunks()] for c in ("token", "node", "n", "at")}
-    token, n, at = (np.concatenate([np.frombuffer(b, dtype=t) for b in blobs[c]]) for c, t in (("token", np.uint32), ("n", np.uint32), ("at", np.uint16)))
+    blobs = {c: [b.as_buffer() for b in table.column(c).combine_chunks()] for c in ("token", "node", "n", "at", "typical")}
+    token, n, at, typical = (np.concatenate([np.frombuffer(b, dtype=t) for b in blobs[c]]) for c, t in (("token", np.uint32), ("n", np.uint32), ("at", np.uint16), ("typical", np.uint16)))
     node = np.concatenate([np.frombuffer(b, dtype=np.uint32 if b.size == t.size else np.int64).astype(np.int64) for b, t in zip(blobs["node"], blobs["token"], strict=True)])
     order = np.argsort(token)
     token = token[order]
@@ -276,7 +279,7 @@ def _shared(table: pa.Table) -> pa.Table:
     keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
     order = order[keep]
     head = np.int64(table.column("bucket")[0].as_py()) << np.int64(32)
-    return pa.table({"token": head | token[keep].astype(np.int64), "node": node[order], "n": n[order].astype(np.int64), "at": at[order].astype(np.int64)})
+    return pa.table({"token": head | token[keep].astype(np.int64), "node": node[order], "n": n[order].astype(np.int64), "at": at[order].astype(np.int64), "typical": typical[order].astype(np.int32)})
 
 
 def _close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -399,15 +402,16 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     unique = materialize(unique, "unique")
 
     bits = buckets.bit_length() - 1
-    rare = unique.select("node", "n", "prefix", "listed").mapInArrow(_entry_blobs(bits), "bucket int, token binary, node binary, n binary, at binary")
-    rare = rare.repartition(-(-buckets // BUCKETS_A_TASK), "bucket").groupBy("bucket").applyInArrow(_shared, "token long, node long, n long, at long")
-    common = unique.where("listed > 0").select("node", "n", "listed", F.posexplode("prefix").alias("at", "token"))
-    common = common.where(F.col("at") >= F.least(F.lit(1 << 30), _prefix_size() - F.col("listed"))).select("token", "node", "n", F.col("at").cast("long").alias("at"))
+    typical = (F.col("listed") * 1000 / F.size("prefix")).cast("int").alias("typical")
+    rare = unique.select("node", "n", "prefix", "listed", typical).mapInArrow(_entry_blobs(bits), "bucket int, token binary, node binary, n binary, at binary, typical binary")
+    rare = rare.repartition(-(-buckets // BUCKETS_A_TASK), "bucket").groupBy("bucket").applyInArrow(_shared, "token long, node long, n long, at long, typical int")
+    common = unique.where("listed > 0").select("node", "n", "listed", typical, F.posexplode("prefix").alias("at", "token"))
+    common = common.where(F.col("at") >= F.least(F.lit(1 << 30), _prefix_size() - F.col("listed"))).select("token", "node", "n", F.col("at").cast("long").alias("at"), "typical")
     entries = materialize(rare.union(common), "entries")
     sketches = unique.select("node", "sketch")
 
-    # round 1: every set against the smallest node of each shingle it shares
-    pivots = entries.groupBy("token").agg(F.min(F.struct("node", "n", "at")).alias("p"))
+    # round 1: every set against the most typical one, then the smallest node, of each shingle it shares
+    pivots = entries.groupBy("token").agg(F.min(F.struct((-F.col("typical")).alias("rank"), "node", "n", "at")).alias("p"))
     pairs = entries.join(pivots, "token").select(
         F.col("p.node").alias("a"), F.col("node").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"), F.col("p.at").alias("pa"), F.col("at").alias("pb")
     )
@@ -424,7 +428,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     differ = sum((F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(1, SMALL_BITS // 64)), F.bit_count(F.col("x")[0].bitwiseXOR(F.col("y")[0])))
     # every bound is part of the join's condition, so pairs that cannot be similar are never made
     pairs = x.join(y, "token").where("a < b and part_a <> part_b").where(differ <= F.col("na") + F.col("nb") - 2 * _overlap())
-    rest = _possible(pairs).distinct().join(near, ["a", "b"], "left_anti")
+    done = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = _possible(pairs).distinct().join(done, ["a", "b"], "left_anti")
     rest = materialize(_close(rest, sketches), "pairs")
     more = _verify(rest, texts, order, words)
     parts = materialize(connected_components(links.union(more)), "parts")

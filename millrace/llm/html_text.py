@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.words import chunks
-from millrace.session import discard, materialize
+from millrace.session import bounded_batches, discard, materialize
 
 #: A template needs at least this many pages of its host, and tokens on at least this share of them.
 LEAST_PAGES = 4
@@ -392,6 +392,7 @@ def slots_text(texts: list[str], token: list[int], path: list[int], flags: list[
 
 def extract_text(pages: DataFrame, salts: int = 64) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for every row of ``pages(page_id, url, html)``."""
+    bounded_batches(pages.sparkSession)
     host = F.lower(F.coalesce(F.regexp_extract("url", HOST, 1), F.lit("")))
     parsed = materialize(pages.select("page_id", "url", "html", host.alias("host")).mapInArrow(_parse, PARSED), "parsed")
     templates = _salted(deduce_templates(parsed, salts), salts)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.words import mix64
-from millrace.session import materialize
+from millrace.session import bounded_batches, materialize
 
 WORD_GAPS = r"[\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -177,6 +177,7 @@ def mix(
     which nothing is taken has one row with null ``slot`` and ``words`` 0.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     h = F.xxhash64(F.lit(seed), *(order or (id_col, text_col)))
     sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), h.alias("h"))
     sized = materialize(sized, "sizes")

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from millrace.graph import connected_components
 from millrace.llm.words import _M1, chunks, mix64, shingles, split_words
-from millrace.session import discard, materialize
+from millrace.session import bounded_batches, discard, materialize
 
 #: Similarity in percent: 100 * intersection >= 80 * union.
 PERCENT = 80
@@ -392,6 +392,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, order: Order, words: int) -> Data
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """``(id, n_shingles, component_id)`` for every row of ``docs``: the smallest id reachable by similar texts."""
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     buckets = hash_buckets(texts, "text")
     order = Order(*frequent_shingles(texts, "text", buckets, words))

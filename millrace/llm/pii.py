@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.words import chunks, split_words
+from millrace.session import bounded_batches
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, kind, end
@@ -373,6 +374,7 @@ RESULT = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """Counts, spans and the redacted text of every row of ``docs``."""
+    bounded_batches(docs.sparkSession)
     field, certain = _field()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.words import Words, chunks, mix64, text_bytes
+from millrace.session import bounded_batches
 
 SPACE = 0x2581
 UNIGRAM, BPE = 1, 2
@@ -560,6 +561,7 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     ``round_trip`` says that decoding gives the text again, which holds for every text under byte fallback and identity
     normalisation, but for U+2581, which stands for a space.
     """
+    bounded_batches(docs.sparkSession)
     with open(model_path, "rb") as file:
         model = Model.load(file.read())
 

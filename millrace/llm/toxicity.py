@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.words import Words, chunks, split_words
+from millrace.session import bounded_batches
 
 #: Bound of the labelled rows that the classifier is fitted on, taken in hash order.
 TRAIN_ROWS = 12_000
@@ -306,6 +307,7 @@ def held_out(id_col: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, seed: int = 11) -> Network | None:
     """Fit on at most ``rows`` labelled rows of ``docs``, none of them held out; None if a class is too small."""
+    bounded_batches(docs.sparkSession)
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id")))
     marks = marks.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("order", F.xxhash64(F.lit(seed), F.col("doc_id")))
     marks = marks.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy("order", "doc_id").limit(rows)
@@ -333,6 +335,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, seed: int
 
 def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with a ``toxicity_score`` of every row in place of any such column; the text alone is read."""
+    bounded_batches(docs.sparkSession)
     docs = docs.drop("toxicity_score")
     names = docs.columns
     at = names.index(text_col)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.words import chunks
-from millrace.session import qualified, scratch_path
+from millrace.session import bounded_batches, qualified, scratch_path
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
@@ -106,6 +106,7 @@ def write_warc(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, salts:
     ``salts`` tasks; the table of shared payloads is repeated per salt, which is all that is joined to them. A folder
     without a scheme is one of Spark's default store.
     """
+    bounded_batches(pages.sparkSession)
     folder = qualified(pages.sparkSession, folder)
     rows = pages.select("page_id", "url", "html", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"))
     keys = pages.select("page_id", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).alias("n"))

@@ -53,6 +53,20 @@ def test_toxicity_odd_texts_and_too_few_labels(spark):
     assert toxicity.score(docs.limit(0), net).count() == 0
 
 
+def plain_score(net, text):
+    """A text's score as the network is defined: window by window, filter by filter."""
+    h, p, first = toxicity._hash_both(pa.array([text]))
+    x = [net.embed[net.row_of[int(a >> np.uint64(48))]] + net.embed[net.row_of[int(b >> np.uint64(48)) + toxicity.BUCKETS]] for a, b in zip(h, p, strict=True)]
+    x += [np.zeros(toxicity.DIM)] * toxicity.PAD
+    z = float(net.bias)
+    for k, (w, bias) in enumerate(zip(net.filters, net.biases, strict=True)):
+        for f in range(toxicity.FILTERS):
+            windows = [sum(float(x[i + j] @ w[j][:, f]) for j in range(len(w))) for i in range(len(h) + 1)]
+            z += max(max(windows) + float(bias[f]), 0.0) * float(net.out[k * toxicity.FILTERS + f])
+    z += np.log(0.7 / 0.3) - net.shift[int(toxicity.guess_language(h, first)[0])]
+    return 1 / (1 + np.exp(-z))
+
+
 def test_scores_equal_a_plain_forward_pass(spark):
     """Word by word and filter by filter, as the network is defined."""
     docs, labels = toxic_table(spark, 400)
@@ -60,19 +74,7 @@ def test_scores_equal_a_plain_forward_pass(spark):
     rng = random.Random(3)
     texts = ["", "!", *(" ".join(rng.choices([*WORDS, "vilecur", "grotbag", "the", "der", "und"], k=rng.randint(1, 30))) for _ in range(60))]
 
-    def plain(text):
-        h, p, first = toxicity._hash_both(pa.array([text]))
-        x = [net.embed[net.row_of[int(a >> np.uint64(48))]] + net.embed[net.row_of[int(b >> np.uint64(48)) + toxicity.BUCKETS]] for a, b in zip(h, p, strict=True)]
-        x += [np.zeros(toxicity.DIM)] * toxicity.PAD
-        z = float(net.bias)
-        for k, (w, bias) in enumerate(zip(net.filters, net.biases, strict=True)):
-            for f in range(toxicity.FILTERS):
-                windows = [sum(float(x[i + j] @ w[j][:, f]) for j in range(len(w))) for i in range(len(h) + 1)]
-                z += max(max(windows) + float(bias[f]), 0.0) * float(net.out[k * toxicity.FILTERS + f])
-        z += np.log(0.7 / 0.3) - net.shift[int(toxicity.guess_language(h, first)[0])]
-        return 1 / (1 + np.exp(-z))
-
-    assert np.allclose(net.scores(pa.array(texts)), [plain(t) for t in texts], atol=1e-5)
+    assert np.allclose(net.scores(pa.array(texts)), [plain_score(net, t) for t in texts], atol=1e-5)
 
 
 def test_every_language_has_its_threshold():

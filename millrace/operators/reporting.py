@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.metrics import claim_flags
+from millrace.operators.metrics import claim_flags, weighted_kappa_of
 
 #: What each metric means; a metric's place here is its place in a report.
 DEFINITIONS: Mapping[str, str] = {
@@ -172,3 +172,114 @@ def faithfulness(answers: DataFrame, keys: Sequence[str], labels: str = "labels"
         F.count("*").alias("n"), rate(F.col("f.unsupported")).alias("any_unsupported"), rate((F.col("_n") > 0) & F.col("f.faithful")).alias("fully_supported"),
         rate(F.col("f.contradicted")).alias("any_contradicted"), rate(F.col("_partial")).alias("any_partial"), rate(F.col("_n") == 0).alias("no_factual_claims"),
     )
+
+
+def _status(scored: Column) -> Column:
+    return F.when(scored == 0, "unjudged").otherwise("preliminary_unvalidated")
+
+
+def answerability_strata(items: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Correctness by cell and population: answerable, unanswerable, and answerable questions that were attempted.
+
+    ``items``: answerable, abstention, correctness. Populations overlap; a cell without one has no row for it.
+    """
+    a = F.col("answerable")
+    populations = F.array(F.when(a, "answerable").otherwise("unanswerable"), F.when(a & ~F.col("abstention"), "answerable_attempts"))
+    rows = items.withColumn("population", F.explode(F.filter(populations, lambda x: x.isNotNull())))
+    n = F.count("correctness")
+    return rows.groupBy(*keys, "population").agg(F.count("*").alias("eligible_n"), n.alias("scored_n"), F.avg("correctness").alias("mean_correctness"), _status(n).alias("status"))
+
+
+def question_types(items: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Correctness by cell and type of question; questions without one are ``unspecified``."""
+    n = F.count("correctness")
+    rows = items.withColumn("question_type", F.coalesce("question_type", F.lit("unspecified")))
+    return rows.groupBy(*keys, "question_type").agg(F.count("*").alias("population_n"), n.alias("judged_n"), F.avg("correctness").alias("mean_correctness"), _status(n).alias("status"))
+
+
+def matched_summary(items: DataFrame, item: str, arm: str, arms: int) -> DataFrame:
+    """Every arm over the same questions, those scored in all of them: complete cases are never compared across samples.
+
+    ``items``: answerable, abstention, correctness, evidence_support, unsupported_material_claim.
+    """
+    scored = items.where(F.col("correctness").isNotNull())
+    common = scored.groupBy(item).agg(F.countDistinct(arm).alias("_n")).where(F.col("_n") == arms).select(item)
+    a, r = F.col("answerable"), F.col("abstention").cast("double")
+    claims = F.col("evidence_support").isNotNull() | F.col("abstention")
+    return scored.join(common, item, "left_semi").groupBy(arm).agg(
+        F.count("*").alias("population_n"),
+        F.count_if(a).alias("answerable_n"),
+        F.avg("correctness").alias("mean_correctness"),
+        F.avg("evidence_support").alias("mean_reference_support"),
+        F.count("evidence_support").alias("reference_support_judged_n"),
+        F.avg(F.when(claims, F.col("unsupported_material_claim").cast("double"))).alias("unsupported_material_claim_rate"),
+        F.count_if(claims).alias("unsupported_claim_judged_n"),
+        F.avg(F.when(a, r)).alias("unnecessary_refusal_rate"),
+        F.avg(F.when(~a, r)).alias("correct_refusal_rate"),
+    )
+
+
+def repeat_agreement(votes: DataFrame, pairs: Sequence[tuple[int, int]] = ((1, 2), (1, 3), (2, 3))) -> DataFrame:
+    """``(vote_a, vote_b, paired_scored_n, exact_agreement, kappa)`` of repeated votes on the same tasks.
+
+    ``votes``: task, vote, correctness of 0, 0.5 or 1. Kappa is quadratic-weighted, and null where all scores are equal.
+    """
+    numbers = sorted({n for pair in pairs for n in pair})
+    wide = votes.groupBy("task").agg(*(F.max(F.when(F.col("vote") == n, (F.col("correctness") * 2).cast("int"))).alias(f"v{n}") for n in numbers))
+    both = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"v{a}").alias("x"), F.col(f"v{b}").alias("y")) for a, b in pairs))).alias("p")
+    rows = wide.select(both).select("p.*").withColumn("ok", F.col("x").isNotNull() & F.col("y").isNotNull())
+    some = F.col("ok")
+    low, high = F.min(F.when(some, F.least("x", "y"))), F.max(F.when(some, F.greatest("x", "y")))
+    return rows.groupBy(F.col("a").alias("vote_a"), F.col("b").alias("vote_b")).agg(
+        F.count_if(some).alias("paired_scored_n"),
+        F.avg(F.when(some, (F.col("x") == F.col("y")).cast("double"))).alias("exact_agreement"),
+        F.when(low < high, weighted_kappa_of("x", "y")).alias("kappa"),
+    )
+
+
+def run_summary(grid: DataFrame, keys: Sequence[str], judges: Sequence[str], answerable_n: int, unanswerable_n: int, retrieves: Column) -> DataFrame:
+    """One row a cell over all questions: responses, refusals, citations, time, and what each of two judges gave.
+
+    ``grid``, a row a question and cell: answerable, responded, refused, n_cited, n_resolved, answer_present, seconds, and
+    for each judge ``<judge>_correctness`` and ``<judge>_support``. Refusal rates are null until every question has a
+    response; judges are compared on the questions that both scored.
+    """
+    said, a = F.col("responded"), F.col("answerable")
+    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    population = answerable_n + unanswerable_n
+    bad, good, n = count(said & a & F.col("refused")), count(said & ~a & F.col("refused")), count(said)
+    full = n == population
+    x, y = (F.when(said, F.col(f"{j}_correctness")) for j in judges)
+    both = x.isNotNull() & y.isNotNull()
+    cited = F.sum(F.when(said & retrieves, F.col("n_cited")))
+    scores = [
+        c
+        for j, v in zip(judges, (x, y), strict=True)
+        for c in (F.avg(v).alias(f"{j}_correctness"), F.count(v).alias(f"{j}_correctness_scored"), F.avg(F.when(said, F.col(f"{j}_support"))).alias(f"{j}_reference_support"))
+    ]
+    return grid.groupBy(*keys).agg(
+        n.alias("responses"),
+        (F.lit(population) - n).alias("missing_responses"),
+        count(said & (F.col("refused") | (F.col("n_cited") > 0))).alias("parsed_responses"),
+        count(said & ~F.col("answer_present")).alias("final_answer_failures"),
+        bad.alias("unnecessary_refusals"),
+        good.alias("appropriate_refusals"),
+        F.when(full, bad / float(answerable_n)).alias("false_refusal_rate"),
+        F.try_divide(good.cast("double"), bad + good).alias("refusal_correctness"),
+        F.when(full, 0.5 * ((answerable_n - bad) / float(answerable_n) + good / float(unanswerable_n))).alias("balanced_abstention"),
+        F.try_divide(F.sum(F.when(said & retrieves, F.col("n_resolved"))).cast("double"), cited).alias("citation_resolution"),
+        cited.alias("citation_denominator"),
+        *scores,
+        F.count_if(both).alias("judge_paired_denominator"),
+        F.avg(F.when(both, (x == y).cast("double"))).alias("correctness_agreement"),
+        F.sum(F.when(said, F.col("seconds"))).alias("inference_seconds"),
+    )
+
+
+def judge_disagreements(grid: DataFrame, judges: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """Rows that both judges voted on and whose ``<judge>_<field>`` differ in any field; nulls are equal."""
+    first, second = judges
+    differ = F.lit(False)
+    for f in fields:
+        differ = differ | ~F.col(f"{first}_{f}").eqNullSafe(F.col(f"{second}_{f}"))
+    return grid.where(F.col(f"{first}_voted") & F.col(f"{second}_voted") & differ)

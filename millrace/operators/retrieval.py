@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions.text import citations, norm_doc, norm_section
 from millrace.session import materialize
@@ -91,6 +92,27 @@ def rerank(pool: DataFrame, scorer=None, top: int = TOP) -> DataFrame:
     return pool.withColumn("final_rank", rank).where(F.col("final_rank") <= top)
 
 
+def rerank_with(pool: DataFrame, model: Callable[[], Callable[[list[dict]], list[float]]], top: int = TOP) -> DataFrame:
+    """The first ``top`` of a pool by a model that is made once a task and scores its rows a batch at a time.
+
+    Where the model cannot be made (its library or file is missing), the pool keeps its first order and says so in
+    ``reranked``; a model that fails on rows fails the job.
+    """
+    schema = T.StructType([*pool.schema.fields, T.StructField("model_score", T.DoubleType()), T.StructField("reranked", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            scorer = model()
+        except (ImportError, OSError):
+            scorer = None
+        for batch in batches:
+            scores = [float(x) for x in scorer(batch.to_pylist())] if scorer else [None] * batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array([scorer is not None] * batch.num_rows)], names=[*batch.schema.names, "model_score", "reranked"])
+
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("model_score"), "rank"))
+    return pool.mapInArrow(run, schema).withColumn("final_rank", rank).where(F.col("final_rank") <= top)
+
+
 def resolve_citations(answers: DataFrame, contexts: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
     """Support of every citation occurrence of ``answers(answer_id, text)``.
 

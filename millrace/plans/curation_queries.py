@@ -606,3 +606,119 @@ def report_formats(spark, sf_dir):
     """Shares, signed changes and decimals, with a word where a value is missing."""
     d = _docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left").groupBy("source").agg(F.avg("quality").alias("q"))
     return d.select("source", X.percent(F.col("q")).alias("share"), X.signed(F.col("q") - 0.5).alias("change"), X.decimals(F.col("q")).alias("value"))
+
+
+def _judged(spark, sf_dir):
+    """Documents of all sources as questions in two arms, with a type, scores and refusals."""
+    doc_id = F.col("doc_id")
+    d = _docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left").withColumn("arm", F.explode(F.array(F.lit("base"), F.lit("sft"))))
+    sft = F.col("arm") == "sft"
+    score = F.when(~sft | (doc_id % 5 != 0), F.when(sft, F.col("toxic") / 2.0).otherwise(F.col("quality") / 1.0))
+    return d.select(
+        "doc_id", F.col("lang").alias("model"), "arm", (doc_id % 4 != 0).alias("answerable"), (doc_id % F.when(sft, 6).otherwise(7) == 0).alias("abstention"), score.alias("correctness"),
+        F.when(doc_id % 3 != 0, (doc_id % 2) / 1.0).alias("evidence_support"), (doc_id % 9 == 0).alias("unsupported_material_claim"), F.when(doc_id % 4 != 3, _pick(doc_id, "limit", "scope", "excess", "x")).alias("question_type"),
+    )
+
+
+JUDGED_SQL = """
+    j AS (SELECT doc_id, lang AS model, arm, doc_id % 4 <> 0 AS a, doc_id % CASE WHEN arm = 'sft' THEN 6 ELSE 7 END = 0 AS r, CASE WHEN arm = 'base' THEN quality::DOUBLE WHEN doc_id % 5 <> 0 THEN toxic / 2.0 END AS c,
+          CASE WHEN doc_id % 3 <> 0 THEN doc_id % 2 END AS e, CAST(doc_id % 9 = 0 AS INT) AS u, coalesce(['limit', 'scope', 'excess', NULL][doc_id % 4 + 1], 'unspecified') AS t
+          FROM documents LEFT JOIN labels USING (doc_id), (SELECT unnest(['base', 'sft']) AS arm))"""
+
+
+@query(f"""
+    WITH {JUDGED_SQL}, p AS (SELECT *, unnest(list_filter([CASE WHEN a THEN 'answerable' ELSE 'unanswerable' END, CASE WHEN a AND NOT r THEN 'answerable_attempts' END], lambda x: x IS NOT NULL)) AS population FROM j)
+    SELECT model, arm, population, count(*) AS eligible_n, count(c) AS scored_n, round(avg(c), 6) AS mean_correctness, CASE WHEN count(c) = 0 THEN 'unjudged' ELSE 'preliminary_unvalidated' END AS status FROM p GROUP BY ALL""")
+def answerability_strata(spark, sf_dir):
+    """Correctness of answerable, unanswerable and attempted questions."""
+    s = P.answerability_strata(_judged(spark, sf_dir), ["model", "arm"])
+    return s.withColumn("mean_correctness", F.round("mean_correctness", 6))
+
+
+@query(f"""
+    WITH {JUDGED_SQL}
+    SELECT model, arm, t AS question_type, count(*) AS population_n, count(c) AS judged_n, round(avg(c), 6) AS mean_correctness, CASE WHEN count(c) = 0 THEN 'unjudged' ELSE 'preliminary_unvalidated' END AS status FROM j GROUP BY ALL""")
+def question_types(spark, sf_dir):
+    """Correctness by type of question."""
+    return P.question_types(_judged(spark, sf_dir), ["model", "arm"]).withColumn("mean_correctness", F.round("mean_correctness", 6))
+
+
+@query(f"""
+    WITH {JUDGED_SQL}, k AS (SELECT doc_id FROM j WHERE c IS NOT NULL GROUP BY doc_id HAVING count(DISTINCT arm) = 2), m AS (SELECT * FROM j WHERE c IS NOT NULL AND doc_id IN (SELECT doc_id FROM k))
+    SELECT arm, count(*) AS population_n, count(*) FILTER (a) AS answerable_n, round(avg(c), 6) AS mean_correctness, round(avg(e), 6) AS mean_reference_support, count(e) AS reference_support_judged_n,
+           round(avg(u) FILTER (e IS NOT NULL OR r), 6) AS unsupported_material_claim_rate, count(*) FILTER (e IS NOT NULL OR r) AS unsupported_claim_judged_n, round(avg(r::INT) FILTER (a), 6) AS unnecessary_refusal_rate, round(avg(r::INT) FILTER (NOT a), 6) AS correct_refusal_rate
+    FROM m GROUP BY arm""")
+def matched_pilot(spark, sf_dir):
+    """Both arms over the questions scored in both."""
+    m = P.matched_summary(_judged(spark, sf_dir), "doc_id", "arm", 2)
+    kinds = {f.name: f.dataType.simpleString() for f in m.schema.fields}
+    return m.select(*(F.round(c, 6).alias(c) if kinds[c] == "double" else F.col(c) for c in m.columns))
+
+
+@query("""
+    WITH v AS (SELECT doc_id AS task, n AS vote, CASE WHEN (doc_id + n) % 7 <> 0 THEN [0, 1, 2][(doc_id * n + quality) % 3 + 1] END AS s FROM labels, (SELECT unnest([1, 2, 3]) AS n)),
+    w AS (SELECT task, max(s) FILTER (vote = 1) AS a, max(s) FILTER (vote = 2) AS b, max(s) FILTER (vote = 3) AS c FROM v GROUP BY task),
+    p AS (SELECT 1 AS vote_a, 2 AS vote_b, a AS x, b AS y FROM w UNION ALL SELECT 1, 3, a, c FROM w UNION ALL SELECT 2, 3, b, c FROM w),
+    k AS (SELECT * FROM p WHERE x IS NOT NULL AND y IS NOT NULL),
+    m AS (SELECT vote_a, vote_b, count(*) AS n, avg(CAST(x = y AS INT)) AS same, sum((x - y) * (x - y)) / 4.0 AS o, (sum(x * x) + sum(y * y) - 2.0 * sum(x) * sum(y) / count(*)) / 4 AS e, min(least(x, y)) < max(greatest(x, y)) AS spread FROM k GROUP BY ALL)
+    SELECT vote_a, vote_b, n AS paired_scored_n, round(same, 6) AS exact_agreement, round(CASE WHEN spread THEN CASE WHEN abs(e) < 1e-12 THEN 1.0 ELSE 1 - o / e END END, 6) AS kappa FROM m""")
+def repeat_agreement(spark, sf_dir):
+    """Agreement of repeated votes on the same tasks."""
+    t, v = F.col("task"), F.col("vote")
+    rows = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("task"), "quality", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("vote"))
+    votes = rows.select("task", "vote", F.when((t + v) % 7 != 0, ((t * v + F.col("quality")) % 3) / 2.0).alias("correctness"))
+    return P.repeat_agreement(votes).select("vote_a", "vote_b", "paired_scored_n", F.round("exact_agreement", 6).alias("exact_agreement"), F.round("kappa", 6).alias("kappa"))
+
+
+def _two_judges(spark, sf_dir):
+    x = F.col("doc_id") + F.substring("model", 2, 1).cast("int") * 7
+    cells = _cells(spark, sf_dir)
+    return cells.select(
+        *CELLS, "doc_id", "answerable", "responded", "refused", "n_cited", "n_resolved", (x % 11 != 0).alias("answer_present"), ((x % 13) / 4.0).alias("seconds"),
+        F.when(x % 5 != 0, F.when(x % 7 != 0, (x % 3) / 2.0)).alias("p_correctness"), F.when(x % 4 != 0, F.when(x % 7 != 0, (x % 2) / 1.0)).alias("q_correctness"), F.when(x % 8 != 0, (x % 2) / 1.0).alias("p_support"),
+        F.when(x % 9 != 0, (x % 3) / 2.0).alias("q_support"), (x % 5 != 0).alias("p_voted"), (x % 4 != 0).alias("q_voted"),
+    )
+
+
+JUDGES_SQL = f"""{CELLS_SQL},
+    t AS (SELECT *, CASE WHEN x % 5 <> 0 AND x % 7 <> 0 THEN (x % 3) / 2.0 END AS pc, CASE WHEN x % 4 <> 0 AND x % 7 <> 0 THEN (x % 2) / 1.0 END AS qc, CASE WHEN x % 8 <> 0 THEN (x % 2) / 1.0 END AS ps, CASE WHEN x % 9 <> 0 THEN (x % 3) / 2.0 END AS qs FROM i)"""
+
+
+@query(f"""
+    WITH {JUDGES_SQL}, s AS (SELECT * FROM t WHERE responded)
+    SELECT model, condition, count(*) AS responses, 76 - count(*) AS missing_responses, count(*) FILTER (refused OR cited > 0) AS parsed_responses, count(*) FILTER (x % 11 = 0) AS final_answer_failures,
+           count(*) FILTER (answerable AND refused) AS unnecessary_refusals, count(*) FILTER (NOT answerable AND refused) AS appropriate_refusals, round(CASE WHEN count(*) = 76 THEN count(*) FILTER (answerable AND refused) / 67.0 END, 6) AS false_refusal_rate,
+           round(count(*) FILTER (NOT answerable AND refused) / nullif(count(*) FILTER (refused), 0), 6) AS refusal_correctness,
+           round(CASE WHEN count(*) = 76 THEN 0.5 * ((67 - count(*) FILTER (answerable AND refused)) / 67.0 + count(*) FILTER (NOT answerable AND refused) / 9.0) END, 6) AS balanced_abstention,
+           round(sum(least(cited, x % 3)) FILTER (condition = 'base-rag') / nullif(sum(cited) FILTER (condition = 'base-rag'), 0), 6) AS citation_resolution, CAST(sum(cited) FILTER (condition = 'base-rag') AS BIGINT) AS citation_denominator,
+           round(avg(pc), 6) AS p_correctness, count(pc) AS p_correctness_scored, round(avg(ps), 6) AS p_reference_support, round(avg(qc), 6) AS q_correctness, count(qc) AS q_correctness_scored, round(avg(qs), 6) AS q_reference_support,
+           count(*) FILTER (pc IS NOT NULL AND qc IS NOT NULL) AS judge_paired_denominator, round(avg(CAST(pc = qc AS INT)) FILTER (pc IS NOT NULL AND qc IS NOT NULL), 6) AS correctness_agreement, round(sum((x % 13) / 4.0), 6) AS inference_seconds
+    FROM s GROUP BY model, condition""")
+def run_summary(spark, sf_dir):
+    """Responses, refusals, citations, time and two judges' scores of every cell over all questions."""
+    s = P.run_summary(_two_judges(spark, sf_dir), CELLS, ["p", "q"], 67, 9, F.col("condition") == "base-rag")
+    kinds = {f.name: f.dataType.simpleString() for f in s.schema.fields}
+    return s.select(*(F.round(c, 6).alias(c) if kinds[c] == "double" else F.col(c) for c in s.columns))
+
+
+@query(f"""
+    WITH {JUDGES_SQL}
+    SELECT model, condition, doc_id FROM t WHERE x % 5 <> 0 AND x % 4 <> 0 AND (pc IS DISTINCT FROM qc OR ps IS DISTINCT FROM qs)""")
+def judge_disagreements(spark, sf_dir):
+    """Questions on which two judges differ."""
+    return P.judge_disagreements(_two_judges(spark, sf_dir), ["p", "q"], ["correctness", "support"]).select(*CELLS, "doc_id")
+
+
+@query("""
+    WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0),
+    s AS (SELECT query_id, vec_id, round(list_cosine_similarity(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS score FROM q, embeddings WHERE query_id <> vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s),
+    f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY (vec_id * 37) % 101 DESC, rank) AS final_rank FROM r WHERE rank <= 24)
+    SELECT query_id, vec_id, CAST(final_rank AS INTEGER) AS final_rank, true AS reranked FROM f WHERE final_rank <= 6""")
+def model_rerank(spark, sf_dir):
+    """The first six of every query's pool by a model that is made once a task."""
+    from millrace.operators import retrieval
+    from millrace.plans.corpus_queries import _vectors
+
+    pool = retrieval.top_k(*_vectors(spark, sf_dir))
+    return retrieval.rerank_with(pool, lambda: lambda rows: [(r["vec_id"] * 37) % 101 for r in rows]).select("query_id", "vec_id", "final_rank", "reranked")

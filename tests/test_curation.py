@@ -113,6 +113,18 @@ def test_nearest_vectors_by_either_way(spark, monkeypatch):
         assert {(r.query_id, r.vec_id) for r in retrieval.top_k(q, v, k=7).collect()} == expected
 
 
+def test_missing_models_keep_the_first_order(spark):
+    pool = spark.createDataFrame([(1, 10, 0.9, 1), (1, 11, 0.8, 2), (1, 12, 0.7, 3)], "query_id long, vec_id long, score double, rank int")
+
+    def missing():
+        raise ImportError("no such library")
+
+    got = retrieval.rerank_with(pool, missing, top=2).orderBy("final_rank").collect()
+    assert [(r.vec_id, r.reranked, r.model_score) for r in got] == [(10, False, None), (11, False, None)]
+    got = retrieval.rerank_with(pool, lambda: lambda rows: [r["rank"] for r in rows], top=2).orderBy("final_rank").collect()
+    assert [(r.vec_id, r.reranked) for r in got] == [(12, True), (11, True)]
+
+
 def test_usage_crosses_buckets(spark):
     import random
 

@@ -22,20 +22,29 @@ def once(journal: DataFrame, key: str, ts: str | None = None, delay: str = "1 ho
     return journal.dropDuplicates([key]) if ts is None else journal.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
+#: Folders by hash of the keys that an appended table has in each batch.
+BUCKETS = 64
+
+
 def append_once(stream: DataFrame, path: str, keys: list[str], checkpoint: str) -> StreamingQuery:
-    """Append rows whose keys the table at ``path`` lacks; a batch that is repeated adds nothing."""
+    """Append rows whose keys the table at ``path`` lacks; a batch that is repeated adds nothing.
+
+    Rows are stored by a hash of their keys, so a batch reads the key columns of the folders that its own keys fall in
+    and not the whole table.
+    """
 
     def add(batch: DataFrame, epoch: int) -> None:
         target = f"{path}/batch={epoch:09d}"
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(keys)
+        fresh = batch.dropDuplicates(keys).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
         if files.exists(hadoop) and len(files.listStatus(hadoop)):
+            met = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # BUCKETS at most
             # the batch's own folder is left out: a repeated batch replaces it with the same rows
-            old = spark.read.parquet(path).where(F.col("batch") < epoch)
+            old = spark.read.parquet(path).where((F.col("batch") < epoch) & F.col("bucket").isin(met))
             fresh = fresh.join(old.select(*keys).distinct(), keys, "left_anti")
-        fresh.write.mode("overwrite").parquet(target)
+        fresh.write.mode("overwrite").partitionBy("bucket").parquet(target)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

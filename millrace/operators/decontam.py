@@ -247,7 +247,8 @@ def cited_chunks(citations: DataFrame, chunks: DataFrame, band: int | None = 1)
 
     ``citations``: cite_id, filename, insurer, page (text), quote. ``chunks``: chunk_id, filename, insurer, page, text.
     A quote of more than :data:`RUN` + 1 words meets only chunks that hold one of its word runs, so a file with a third
-    of all chunks is no quadratic join; shorter quotes meet the chunks of their file and pages.
+    of all chunks is no quadratic join; shorter quotes meet the chunks of their file and pages. Up to
+    :data:`SENT_CHARS` characters of quotes are sent to the chunks, more are joined by shuffle.
     """
     c = citations.select("cite_id", "filename", F.lower("insurer").alias("who"), F.col("page").try_cast("int").alias("p"), norm_key(F.col("quote")).alias("q")).where("q <> ''")
     k = chunks.select("chunk_id", "filename", F.lower("insurer").alias("who"), F.col("page").cast("int").alias("p"), norm_key(F.col("text")).alias("t"), F.length("text").alias("size"))
@@ -259,10 +260,16 @@ def cited_chunks(citations: DataFrame, chunks: DataFrame, band: int | None = 1)
     c = c.withColumn("words", F.split("q", " "))
     long, short = c.where(F.size("words") >= RUN + 2), c.where(F.size("words") < RUN + 2).drop("words")
     keyed = with_runs(long.withColumn("words", F.slice("words", 2, RUN)), "words", "runs").withColumn("key", F.col("runs")[0]).drop("runs", "words")
-    runs = with_runs(k.withColumn("words", F.split("t", " ")), "words", "runs").select(*on, "chunk_id", F.explode(F.array_distinct("runs")).alias("key")).where("key is not null")
-    met = keyed.join(runs, [*on, "key"]).select(*on, "cite_id", "q", "chunk_id").distinct().join(k, [*on, "chunk_id"])
-    both = met.select("cite_id", "q", "chunk_id", "t", "size").union(short.join(k, on).select("cite_id", "q", "chunk_id", "t", "size"))
-    return both.where(F.contains("t", F.col("q"))).select("cite_id", "chunk_id", "size")
+    whole = with_runs(k.withColumn("words", F.split("t", " ")), "words", "runs").drop("words")
+    if (c.agg(F.sum(F.length("q"))).first()[0] or 0) <= SENT_CHARS:
+        runs = whole.select(*on, "chunk_id", "t", "size", F.explode(F.array_distinct("runs")).alias("key"))
+        met = runs.join(F.broadcast(keyed), [*on, "key"])
+    else:
+        runs = whole.select(*on, "chunk_id", F.explode(F.array_distinct("runs")).alias("key")).where("key is not null")
+        met = keyed.join(runs, [*on, "key"]).select(*on, "cite_id", "q", "chunk_id").distinct().join(k, [*on, "chunk_id"])
+    met = met.where(F.contains("t", F.col("q"))).select("cite_id", "chunk_id", "size")
+    rest = short.join(k, on).where(F.contains("t", F.col("q"))).select("cite_id", "chunk_id", "size")
+    return met.union(rest).distinct()
 
 
 def shortest(rows: DataFrame, by: Sequence[str], size: str, key: str) -> DataFrame:

@@ -86,7 +86,9 @@ def test_containment_by_either_way(spark, monkeypatch):
     assert {tuple(r) for r in decontam.containment(d, "d", "t", i, "i", "t").collect()} == expected
 
 
-def test_cited_chunks_of_short_and_long_quotes(spark):
+@pytest.mark.parametrize("sent", [32 << 20, 0])
+def test_cited_chunks_of_short_and_long_quotes(spark, monkeypatch, sent):
+    monkeypatch.setattr(decontam, "SENT_CHARS", sent)
     text = "the quick brown fox jumps over the lazy dog and runs far away"
     chunks = spark.createDataFrame([(1, "f", "A", 3, text), (2, "f", "a", 5, text), (3, "g", "a", 3, text)], "chunk_id int, filename string, insurer string, page int, text string")
     quotes = [(1, "f", "a", "2", "Quick  brown fox jumps over the lazy dog"), (2, "f", "a", "4", "lazy dog"), (3, "f", "a", "x", "lazy dog"), (4, "f", "b", "3", "lazy dog"), (5, "f", "a", "3", "ick brown fox jumps over the lazy do"), (6, "f", "a", "3", " ")]

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from millrace.graph import connected_components
@@ -137,6 +138,19 @@ def test_cells_count_what_all_comparisons_count(spark, monkeypatch):
     assert got == {i: (int(near[i].sum()) - 1, expected[i]) for i in range(len(rows))}
 
 
+def test_rounded_vectors_bound_every_cosine():
+    rng = np.random.default_rng(5)
+    for size in (2, 16, 300):
+        x = rng.standard_normal((60, size)) * rng.choice([1e-3, 1, 1e5], (60, 1))
+        x[::3] = x[0] + rng.standard_normal((20, size)) * 0.2 * np.abs(x[0]).max()
+        raw = pa.array([bytes([8]) + r.tobytes() for r in x], pa.binary())
+        [batch] = nv._tiny(iter([pa.RecordBatch.from_arrays([raw], names=["raw"])]))
+        q, error = nv._from_tiny(batch.column("tiny").to_pylist())
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        slack = error[:, None] + error + 3 * error[:, None] * error + 1e-12
+        assert (np.abs(q @ q.T - u @ u.T) <= slack).all() and slack.max() < 0.1
+
+
 def test_passes_find_planted_pairs(spark):
     """Recall of pairs at the threshold, among vectors without direction and among vectors that share one."""
     rng = np.random.default_rng(8)

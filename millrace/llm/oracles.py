@@ -56,4 +56,13 @@ WARC = f"""
     SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((strpos('{_FIVES}', substr(bits, CAST(1 + 5 * i AS BIGINT), 5) || ',') - 1) // 6 AS BIGINT), 1)), '') AS payload_digest,
            CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to FROM b"""
 
-ORACLE_SQL = {"op1_quality_rules": QUALITY, "op2_near_vectors": NEAR_VECTORS, "op3_ngram_jaccard": NGRAM_JACCARD, "op6_chat_format": CHAT, "op7_warc": WARC}
+FILL_IN_MIDDLE = r"""
+    WITH h AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+    d AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS u, CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2, CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM h),
+    c AS (SELECT *, CAST(len(u) AS BIGINT) AS n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM d),
+    p AS (SELECT *, array_to_string(list_slice(u, 1, a), '') AS pre, array_to_string(list_slice(u, a + 1, b), '') AS mid, array_to_string(list_slice(u, b + 1, n), '') AS suf,
+              CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM c)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
+
+ORACLE_SQL = {"op1_quality_rules": QUALITY, "op2_near_vectors": NEAR_VECTORS, "op3_ngram_jaccard": NGRAM_JACCARD, "op6_chat_format": CHAT, "op7_warc": WARC, "op11_fill_in_middle": FILL_IN_MIDDLE}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from millrace.llm.chat import op6_chat_format
+from millrace.llm.fill_middle import op11_fill_in_middle
 from millrace.llm.html_text import op5_html_text
 from millrace.llm.mixing import op10_mix
 from millrace.llm.near_vectors import op2_near_vectors
@@ -15,7 +16,6 @@ from millrace.llm.toxicity import op4_toxicity
 from millrace.llm.warc import op7_warc
 
 
-
 def pipeline(spark, sf_dir: str):
     """All stages of the pipeline over ``documents``."""
     import corpus_pipeline
@@ -34,6 +34,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_pii": op9_pii,
     "op10_mix": op10_mix,
+    "op11_fill_in_middle": op11_fill_in_middle,
     "pipeline": pipeline,
 }
 

@@ -12,6 +12,7 @@ from millrace.llm.oracles import ORACLE_SQL
 from millrace.llm.pii import op9_pii
 from millrace.llm.quality import op1_quality_rules
 from millrace.llm.sentencepiece import op8_sentencepiece
+from millrace.llm.token_files import op12_token_files
 from millrace.llm.toxicity import op4_toxicity
 from millrace.llm.warc import op7_warc
 
@@ -35,6 +36,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_mix": op10_mix,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_token_files": op12_token_files,
     "pipeline": pipeline,
 }
 

@@ -21,10 +21,13 @@ an empty table writes the table only and reads no rows; other columns are not re
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +46,13 @@ FILE_IDS = 1 << 24
 LOW = 1 << 31
 MAGIC, TABLE_MAGIC, VERSION = b"MRTOKENS", b"MRTABLE1", 1
 HEAD = struct.Struct("<8sIBxxxIIII")  # magic, version, scale bits, lanes, checkpoint, block, checksum of the table
-SEGMENT_HEAD = struct.Struct("<QQIIII")  # ids before it in the file, start of its first document, ids, documents, blocks, checksum of the documents
-BLOCK_HEAD = struct.Struct("<III")  # ids, words, checksum of the checkpoints
+SEGMENT_HEAD = struct.Struct("<QQIIII")  # ids before it in the file, start of its first document, ids, documents, blocks, checksum of these and the documents
+BLOCK_HEAD = struct.Struct("<III")  # ids, words, checksum of these and the checkpoints
 TAIL = struct.Struct("<QIIQ8s")  # place of the list, segments, checksum of the list, ids, magic
 #: Words whose ids a task keeps; longer words than KEPT_CHARS are not kept.
-CACHE_WORDS, KEPT_CHARS = 300_000, 64
+CACHE_WORDS, KEPT_CHARS = 500_000, 64
+#: Latin letters that stay single letters when lower-cased and composed, then punctuation that takes no mark.
+STEM = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?]*)")
 READ = "doc_id long, start long, n_tokens long, ids binary"
 
 
@@ -58,7 +63,8 @@ class WordEncoder:
     """Ids of texts by a tokenizer that drops white space: words between ASCII white space are encoded once and kept.
 
     Such a tokenizer never joins, composes or lower-cases across white space, so the ids of a text are those of its
-    words. ``apart=False`` encodes whole texts, for tokenizers whose pieces hold spaces.
+    words; and it parts letters from punctuation, so those of a word of :data:`STEM` are its letters' and its tail's.
+    ``apart=False`` encodes whole texts, for tokenizers whose pieces hold spaces.
     """
 
     def __init__(self, path: str, end_id: int, apart: bool = True):
@@ -66,6 +72,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id, self.apart = Tokenizer.from_file(path), end_id, apart
+        self.stems: dict[str, list[int]] = {}
         self.forget()
 
     def forget(self) -> None:
@@ -74,14 +81,23 @@ class WordEncoder:
         self.at, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)  # entry 0 is the end
 
     def _learn(self, words: list[str]) -> None:
-        found = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.array([len(f) for f in found], dtype=np.int64)
-        for i, word in enumerate(words, len(self.at)):
-            if len(word) <= KEPT_CHARS:
-                self.known[word] = i
+        if len(self.stems) > CACHE_WORDS:
+            self.stems = {}
+        cut = [(m[1].lower(), m[2]) if (m := STEM.fullmatch(w)) else (w, "") for w in words]
+        new = list({part for parts in cut for part in parts if part and part not in self.stems})
+        stems = self.stems
+        stems.update(zip(new, (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        stems[""] = []
+        found = [stems[stem] + stems[tail] if tail else stems[stem] for stem, tail in cut]
+        for part in new:
+            if len(part) > KEPT_CHARS:
+                del stems[part]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
+        self.known.update((w, i) for i, w in enumerate(words, len(self.at)) if len(w) <= KEPT_CHARS)
         self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.ids = np.concatenate([self.ids, *found])
+        self.ids = np.concatenate([self.ids, ids])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, each followed by the end id, and n + 1 offsets."""
@@ -89,7 +105,7 @@ class WordEncoder:
         if not self.apart:
             found = [np.array([*e.ids, self.end_id], np.uint32) for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
             return np.concatenate([np.zeros(0, np.uint32), *found]), np.concatenate([[0], np.cumsum([len(f) for f in found], dtype=np.int64)])
-        if len(self.known) > CACHE_WORDS:
+        if len(self.at) > CACHE_WORDS or len(self.ids) > 8 * CACHE_WORDS:
             self.forget()
         words = pc.ascii_split_whitespace(texts)
         coded = words.flatten().dictionary_encode()
@@ -109,6 +125,12 @@ class WordEncoder:
         return ids, upto[at + np.arange(len(at))]
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str, end_id: int, apart: bool) -> WordEncoder:
+    """One encoder a worker: the words that a task met are known to the next."""
+    return WordEncoder(path, end_id, apart)
+
+
 def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     width = data.dtype.itemsize
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
@@ -119,7 +141,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, width: i
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path, end_id, apart)
+        encoder = encoder_of(tokenizer_path, end_id, apart)
         for batch in chunks(batches, 1):
             ids, at = encoder.encode(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), _binary(ids.astype(f"<u{width}"), at)], names=["doc_id", "ids"])
@@ -244,7 +266,8 @@ def _encode_blocks(table: Table, ids: np.ndarray, n: int) -> list[bytes]:
         points = b"".join(
             struct.pack("<II", held[k * every, b], _crc(ids[b, k * CHECKPOINT : min((k + 1) * CHECKPOINT, real)])) + states[k, b].astype("<u8").tobytes() for k in range(len(states))
         )
-        out.append(BLOCK_HEAD.pack(real, held[-1, b], zlib.crc32(points)) + points + words[b][sent[b]].astype("<u4").tobytes())
+        sizes = struct.pack("<II", real, held[-1, b])
+        out.append(sizes + struct.pack("<I", zlib.crc32(points, zlib.crc32(sizes))) + points + words[b][sent[b]].astype("<u4").tobytes())
     return out
 
 
@@ -273,11 +296,13 @@ class _Block:
 
 
 def _block(raw: memoryview, at: int) -> tuple[_Block, int]:
+    begin = at + BLOCK_HEAD.size
+    if begin > len(raw):
+        raise ValueError("a block is cut off")
     n, n_words, crc = BLOCK_HEAD.unpack_from(raw, at)
     count = -(-n // CHECKPOINT)
-    begin = at + BLOCK_HEAD.size
     points, end = raw[begin : begin + count * POINT], begin + count * POINT + 4 * n_words
-    if zlib.crc32(points) != crc or end > len(raw):
+    if zlib.crc32(points, zlib.crc32(raw[at : at + 8])) != crc or end > len(raw):
         raise ValueError("a block's checkpoints are damaged")
     table = np.frombuffer(points, np.uint8).reshape(count, POINT)
     head = np.ascontiguousarray(table[:, :8]).view("<u4")
@@ -364,8 +389,8 @@ class _SegmentWriter:
         names = np.array([0 if d[0] is None else d[0] for d in self.docs], "<i8").tobytes()
         docs = names + np.array([d[1] for d in self.docs], "<i8").tobytes() + np.array([d[0] is None for d in self.docs], np.uint8).tobytes()
         blocks = encode_ids(self.table, ids)
-        head = SEGMENT_HEAD.pack(self.done, self.docs[0][2] if self.docs else 0, len(ids), len(self.docs), len(blocks), zlib.crc32(docs))
-        raw = b"".join([head, docs, *blocks])
+        head = SEGMENT_HEAD.pack(self.done, self.docs[0][2] if self.docs else 0, len(ids), len(self.docs), len(blocks), 0)[:-4]
+        raw = b"".join([head, struct.pack("<I", zlib.crc32(docs, zlib.crc32(head))), docs, *blocks])
         self.listed.append((self.size, len(raw)))
         self.out.write(raw)
         self.size += len(raw)
@@ -465,7 +490,7 @@ class _Segment:
         raw = memoryview(file.read(size))
         self.before, self.first_start, self.n, n_docs, n_blocks, crc = SEGMENT_HEAD.unpack_from(raw)
         at, end = SEGMENT_HEAD.size, SEGMENT_HEAD.size + 17 * n_docs
-        if zlib.crc32(raw[at:end]) != crc:
+        if zlib.crc32(raw[at:end], zlib.crc32(raw[: at - 4])) != crc:
             raise ValueError("a segment's documents are damaged")
         self.doc_id = np.frombuffer(raw, "<i8", n_docs, at)
         self.length = np.frombuffer(raw, "<i8", n_docs, at + 8 * n_docs)

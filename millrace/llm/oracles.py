@@ -65,4 +65,31 @@ FILL_IN_MIDDLE = r"""
     SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
            sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
 
-ORACLE_SQL = {"op1_quality_rules": QUALITY, "op2_near_vectors": NEAR_VECTORS, "op3_ngram_jaccard": NGRAM_JACCARD, "op6_chat_format": CHAT, "op7_warc": WARC, "op11_fill_in_middle": FILL_IN_MIDDLE}
+
+
+def _crc_table() -> list[int]:
+    """The table of CRC-32, from its polynomial."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [x >> 1 ^ 0xEDB88320 * (x & 1) for x in table]
+    return table
+
+
+PREFIX_TRIE = rf"""
+    WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id
+                      ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS i FROM conversations WHERE conv_id IS NOT NULL),
+    c AS (SELECT DISTINCT conv_id, list_reduce([4294967295] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+                      lambda a, b: xor(a >> 8, ({_crc_table()})[1 + (xor(a, b) & 255)])) AS r FROM conversations WHERE conv_id IS NOT NULL),
+    h AS (SELECT conv_id, xor(r, 4294967295) % 4 AS h FROM c),
+    s AS (SELECT h.conv_id, t.i, t.role, t.text FROM h JOIN t ON t.conv_id = h.conv_id - h.conv_id % 20 AND t.i <= h UNION ALL SELECT h.conv_id, t.i, t.role, t.text FROM h JOIN t USING (conv_id) WHERE t.i > h),
+    m AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS d, sha256(strlen(role)::VARCHAR || ':' || role || text) AS k, len(list_filter(regexp_split_to_array(text, '[ 	-]+'), lambda x: x <> '')) AS w FROM s),
+    p AS (SELECT conv_id, d AS depth, string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY d) AS k, w FROM m UNION ALL SELECT conv_id, 0, '', 0 FROM h),
+    n AS (SELECT k, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w FROM p GROUP BY k),
+    e AS (SELECT arg_max(k, depth) AS k, conv_id FROM p GROUP BY conv_id),
+    x AS (SELECT k, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends FROM e GROUP BY k),
+    u AS (SELECT left(k, length(k) - 64) AS k, count(*) AS n_children FROM n WHERE k <> '' GROUP BY 1),
+    a AS (SELECT left(n.k, 64 * CAST(g AS BIGINT)) AS k, count(*) FILTER (u.k IS NULL) AS n_leaves, sum((n_convs - 1) * w) AS saved FROM n LEFT JOIN u ON u.k = n.k, unnest(range(0, n.depth + 1)) AS r(g) GROUP BY 1)
+    SELECT n.conv_id, n.depth, q.conv_id AS parent_conv_id, n.n_convs, coalesce(u.n_children, 0) AS n_children, a.n_leaves, CAST(a.saved AS BIGINT) AS saved_tokens, coalesce(x.ends, sha256('')) AS ends_sha256
+    FROM n JOIN a ON a.k = n.k LEFT JOIN u ON u.k = n.k LEFT JOIN x ON x.k = n.k LEFT JOIN n AS q ON n.k <> '' AND q.k = left(n.k, length(n.k) - 64)"""
+
+ORACLE_SQL = {"op1_quality_rules": QUALITY, "op2_near_vectors": NEAR_VECTORS, "op3_ngram_jaccard": NGRAM_JACCARD, "op6_chat_format": CHAT, "op7_warc": WARC, "op11_fill_in_middle": FILL_IN_MIDDLE, "op13_prefix_trie": PREFIX_TRIE}

@@ -10,6 +10,7 @@ from millrace.llm.near_vectors import op2_near_vectors
 from millrace.llm.ngram_join import op3_ngram_jaccard
 from millrace.llm.oracles import ORACLE_SQL
 from millrace.llm.pii import op9_pii
+from millrace.llm.prefix_trie import op13_prefix_trie
 from millrace.llm.quality import op1_quality_rules
 from millrace.llm.sentencepiece import op8_sentencepiece
 from millrace.llm.token_files import op12_token_files
@@ -37,6 +38,7 @@ QUERIES = {
     "op10_mix": op10_mix,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_token_files": op12_token_files,
+    "op13_prefix_trie": op13_prefix_trie,
     "pipeline": pipeline,
 }
 

@@ -31,16 +31,15 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.words import chunks
+from millrace.llm.words import LOWER, SPACE, Words, chunks, text_bytes
 from millrace.session import bounded_batches, discard, materialize, qualified, scratch_path
 
-LANES, CHECKPOINT, BLOCK, SEGMENT = 16, 1 << 12, 1 << 14, 1 << 20
+LANES, CHECKPOINT, BLOCK, SEGMENT = 16, 1 << 12, 1 << 14, 1 << 21
 #: Ids a file; more ids make more files.
 FILE_IDS = 1 << 24
 LOW = 1 << 31
@@ -49,10 +48,19 @@ HEAD = struct.Struct("<8sIBxxxIIII")  # magic, version, scale bits, lanes, check
 SEGMENT_HEAD = struct.Struct("<QQIIII")  # ids before it in the file, start of its first document, ids, documents, blocks, checksum of these and the documents
 BLOCK_HEAD = struct.Struct("<III")  # ids, words, checksum of these and the checkpoints
 TAIL = struct.Struct("<QIIQ8s")  # place of the list, segments, checksum of the list, ids, magic
-#: Words whose ids a task keeps; longer words than KEPT_CHARS are not kept.
-CACHE_WORDS, KEPT_CHARS = 500_000, 64
-#: Latin letters that stay single letters when lower-cased and composed, then punctuation that takes no mark.
-STEM = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?]*)")
+#: Pieces whose ids a worker keeps, and the slots of their table.
+MOST_PIECES, TABLE_BITS = 600_000, 21
+#: Bytes from which a text is encoded in parts.
+LONG_TEXT = 4 << 20
+#: Classes of bytes. Marks are what no tokenizer word and no special token begins with or joins to letters.
+SPACES, LETTERS, MARKS, OTHER = range(4)
+KIND = np.full(256, OTHER, dtype=np.uint8)
+KIND[0x80:0xC0] = KIND[0xC3:0xCA] = LETTERS
+KIND[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = LETTERS
+KIND[list(b".,;:!?()[]{}\"#$%&*+-/=>@\\^_`|~")] = MARKS
+KIND[SPACE] = SPACES
+#: Multiplication and division signs, and the one Latin letter that lower-cases to two characters.
+NOT_LETTERS = np.array([0xC397, 0xC3B7, 0xC4B0])
 READ = "doc_id long, start long, n_tokens long, ids binary"
 
 
@@ -60,11 +68,13 @@ READ = "doc_id long, start long, n_tokens long, ids binary"
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer that drops white space: words between ASCII white space are encoded once and kept.
+    """Ids of texts by a tokenizer that drops white space: pieces of words are encoded once and kept.
 
-    Such a tokenizer never joins, composes or lower-cases across white space, so the ids of a text are those of its
-    words; and it parts letters from punctuation, so those of a word of :data:`STEM` are its letters' and its tail's.
-    ``apart=False`` encodes whole texts, for tokenizers whose pieces hold spaces.
+    Such a tokenizer never joins, composes or lower-cases across white space, and it parts letters from punctuation. So
+    a word of Latin letters and ASCII punctuation is cut in its runs of either (letters of A-Z lower-cased, as the
+    tokenizer does), any other word is one piece, and the ids of a text are those of its pieces. Pieces are met by a
+    64-bit hash in an open table and held against their size and first eight bytes; a text whose pieces clash is
+    encoded whole. ``apart=False`` encodes all texts whole, for tokenizers whose pieces hold spaces.
     """
 
     def __init__(self, path: str, end_id: int, apart: bool = True):
@@ -72,57 +82,148 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id, self.apart = Tokenizer.from_file(path), end_id, apart
-        self.stems: dict[str, list[int]] = {}
+        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if apart and not all((KIND[list(t)] == OTHER).any() for t in added):
+            raise ValueError("a special token of this tokenizer looks like a word: encode whole texts")
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a run of letters
+        if suffix:
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.keys, self.entry = np.zeros(1 << TABLE_BITS, np.uint64), np.zeros(1 << TABLE_BITS, np.int32)
         self.ids = np.array([self.end_id], dtype=np.uint32)
-        self.at, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)  # entry 0 is the end
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.stems) > CACHE_WORDS:
-            self.stems = {}
-        cut = [(m[1].lower(), m[2]) if (m := STEM.fullmatch(w)) else (w, "") for w in words]
-        new = list({part for parts in cut for part in parts if part and part not in self.stems})
-        stems = self.stems
-        stems.update(zip(new, (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        stems[""] = []
-        found = [stems[stem] + stems[tail] if tail else stems[stem] for stem, tail in cut]
-        for part in new:
-            if len(part) > KEPT_CHARS:
-                del stems[part]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
-        self.known.update((w, i) for i, w in enumerate(words, len(self.at)) if len(w) <= KEPT_CHARS)
-        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.ids = np.concatenate([self.ids, ids])
+        self.at, self.size, self.sign = np.zeros(1, np.int64), np.ones(1, np.int64), np.zeros(1, np.uint64)  # entry 0 is the end
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The entry of each hash, or -1."""
+        out, live, slot = np.full(len(h), -1, np.int64), np.arange(len(h)), (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        while len(live):
+            key = self.keys[slot]
+            hit = key == h[live]
+            out[live[hit]] = self.entry[slot[hit]]
+            on = ~hit & (key != 0)
+            live, slot = live[on], slot[on] + 1 & (1 << TABLE_BITS) - 1
+        return out
+
+    def _put(self, h: np.ndarray, first: int) -> None:
+        live, slot = np.arange(len(h)), (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        while len(live):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = h[live[free]]
+            mine = self.keys[slot] == h[live]  # of some that want one slot, one has it
+            self.entry[slot[mine]] = first + live[mine]
+            live, slot = live[~mine], slot[~mine] + 1 & (1 << TABLE_BITS) - 1
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self._library(texts)
+        at = np.concatenate([[0], np.cumsum([len(f) + 1 for f in found], dtype=np.int64)])
+        return np.fromiter(chain.from_iterable((*f, self.end_id) for f in found), np.uint32, int(at[-1])), at
+
+    def _learn(self, pieces: list[bytes], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of pieces, of which ``letters`` are runs of letters: those go to the library many a text."""
+        size, found = np.zeros(len(pieces), np.int64), [np.zeros(0, np.uint32)] * len(pieces)
+        runs, rest = np.flatnonzero(letters & self.ends.any()).tolist(), np.flatnonzero(~(letters & self.ends.any())).tolist()
+        joined = self._library([b" ".join([pieces[i] for i in runs[k : k + 256]]).decode() for k in range(0, len(runs), 256)])
+        ids = np.fromiter(chain.from_iterable(joined), np.uint32)
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) == len(runs):
+            for i, lo, hi in zip(runs, [0, *(last[:-1] + 1).tolist()], (last + 1).tolist(), strict=False):
+                found[i] = ids[lo:hi]
+        else:
+            rest = list(range(len(pieces)))
+        for i, x in zip(rest, self._library([pieces[i].decode() for i in rest]), strict=True):
+            found[i] = np.array(x, np.uint32)
+        size[:] = [len(f) for f in found]
+        return np.concatenate([np.zeros(0, np.uint32), *found]), size
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, each followed by the end id, and n + 1 offsets."""
-        texts = texts.fill_null("")
+        data, offsets = text_bytes(texts)
         if not self.apart:
-            found = [np.array([*e.ids, self.end_id], np.uint32) for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
-            return np.concatenate([np.zeros(0, np.uint32), *found]), np.concatenate([[0], np.cumsum([len(f) for f in found], dtype=np.int64)])
-        if len(self.at) > CACHE_WORDS or len(self.ids) > 8 * CACHE_WORDS:
+            return self._whole(texts.fill_null("").to_pylist())
+        if len(texts) == 1 and offsets[1] > LONG_TEXT:
+            return self._long(data[: offsets[1]].tobytes())
+        if len(self.at) > MOST_PIECES or len(self.ids) > 8 * MOST_PIECES:
             self.forget()
-        words = pc.ascii_split_whitespace(texts)
-        coded = words.flatten().dictionary_encode()
-        distinct, mark = coded.dictionary.to_pylist(), len(self.at)
-        entry = np.fromiter((self.known.get(w, -1) for w in distinct), np.int64, len(distinct))
+        start, end, plain = _pieces(data, offsets)
+        low = LOWER[data]
+        h, sign = _marks(low, start, end)
+        odd = np.flatnonzero(~plain)
+        h[odd], sign[odd] = _marks(data, start[odd], end[odd])
+        entry = self._find(h)
         new = np.flatnonzero(entry < 0)
         if len(new):
-            self._learn([distinct[i] for i in new])
-            entry[new] = mark + np.arange(len(new))
-        at = words.offsets.to_numpy().astype(np.int64)
-        at -= at[0]
-        # the end follows the words of each text
-        entry = np.insert(entry[coded.indices.to_numpy()] if len(distinct) else np.zeros(0, np.int64), at[1:], 0)
+            keys, first, back = np.unique(h[new], return_index=True, return_inverse=True)
+            at = new[first]
+            raw, lowered = data.tobytes(), low.tobytes()
+            pieces = [(lowered if p else raw)[s:e] for s, e, p in zip(start[at].tolist(), end[at].tolist(), plain[at].tolist(), strict=True)]
+            ids, size = self._learn(pieces, plain[at] & (KIND[data[start[at]]] == LETTERS))
+            entry[new] = len(self.at) + back
+            self._put(keys, len(self.at))
+            self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(size) - size])
+            self.size, self.sign = np.concatenate([self.size, size]), np.concatenate([self.sign, sign[at]])
+            self.ids = np.concatenate([self.ids, ids])
+        if (self.sign[entry] != sign).any():
+            return self._whole(texts.fill_null("").to_pylist())
+        first = np.searchsorted(start, offsets)
+        entry = np.insert(entry, first[1:], 0)  # the end follows the pieces of each text
         size = self.size[entry]
         upto = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.repeat(self.at[entry] - upto[:-1], size) + np.arange(upto[-1])]
-        return ids, upto[at + np.arange(len(at))]
+        return ids, upto[first + np.arange(len(first))]
+
+    def _long(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """A long text in parts that end before white space."""
+        parts, lo = [], 0
+        while lo < len(text):
+            hi = len(text)
+            if hi - lo > LONG_TEXT:
+                space = re.compile(rb"[\x20\x09-\x0d]").search(text, lo + LONG_TEXT // 2)
+                hi = space.start() if space else hi
+            part = pa.array([text[lo:hi]], pa.binary()).view(pa.string())
+            parts.append((self._whole([text[lo:hi].decode()]) if hi - lo > LONG_TEXT else self.encode(part))[0][:-1])
+            lo = hi
+        ids = np.concatenate([*parts, np.array([self.end_id], np.uint32)])
+        return ids, np.array([0, len(ids)])
+
+
+def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each piece in padded bytes, and whether it is a run of a plain word."""
+    n = int(offsets[-1])
+    kind = KIND[data[:n]]
+    lead = np.flatnonzero((data[:n] >= 0xC3) & (data[:n] <= 0xC9))
+    pair = data[lead].astype(np.int32) << 8 | data[lead + 1]
+    kind[lead[np.isin(pair, NOT_LETTERS) | (pair >= 0xC990)]] = OTHER
+    inner = offsets[(offsets > 0) & (offsets < n)]
+    before, after = np.full(n, SPACES, np.uint8), np.full(n, SPACES, np.uint8)
+    before[1:], after[: max(n - 1, 0)] = kind[:-1], kind[1:]
+    before[inner], after[inner - 1] = SPACES, SPACES
+    full = kind != SPACES
+    start = np.flatnonzero(full & (kind != before))
+    opens = before[start] == SPACES
+    word = np.cumsum(opens) - 1
+    plain = np.ones(int(opens.sum()), bool)
+    plain[word[np.searchsorted(start, np.flatnonzero(kind == OTHER), side="right") - 1]] = False
+    keep = opens | plain[word]
+    start, opens, word = start[keep], opens[keep], word[keep]
+    end = np.flatnonzero(full & (after == SPACES))[word] + 1
+    same = np.flatnonzero(~opens)  # a piece in a word ends the one before
+    end[same - 1] = start[same]
+    return start, end, plain[word]
+
+
+def _marks(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of pieces, never 0, and a sign of their size and first eight bytes."""
+    h = Words(data, start, end, np.array([0, len(start)]), np.array([0, len(data) - 8])).hashes()
+    lanes = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+    size = np.minimum(end - start, 8)
+    first = lanes[start] << ((8 - size) * 8).astype(np.uint64)
+    return np.maximum(h, np.uint64(1)), first ^ (end - start).astype(np.uint64)
 
 
 @lru_cache(maxsize=1)
@@ -136,17 +237,32 @@ def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, width: int, apart: bool = True) -> DataFrame:
-    """``(doc_id, ids)``: each document's ids and the end id as ``width``-byte little-endian integers."""
+def id_bytes(vocabulary: int) -> int:
+    return 2 if vocabulary <= 1 << 16 else 4
+
+
+def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, vocabulary: int, apart: bool = True) -> DataFrame:
+    """``(doc_id, ids, counts)``: each document's ids and the end id as ``width``-byte little-endian integers.
+
+    A task's last row has no ids and counts what it met: pairs of 64-bit integers, an id and its count.
+    """
     bounded_batches(docs.sparkSession)
+    width = id_bytes(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer_path, end_id, apart)
+        met = np.zeros(vocabulary, np.int64)
         for batch in chunks(batches, 1):
             ids, at = encoder.encode(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), _binary(ids.astype(f"<u{width}"), at)], names=["doc_id", "ids"])
+            met += np.bincount(ids, minlength=len(met))
+            yield pa.RecordBatch.from_arrays([batch.column(0), _binary(ids.astype(f"<u{width}"), at), pa.nulls(batch.num_rows, pa.binary())], names=names)
+        some = np.flatnonzero(met)
+        if len(some):
+            counts = np.stack([some, met[some]], axis=1).astype("<i8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([counts], pa.binary())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
+    names = ["doc_id", "ids", "counts"]
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary, counts binary")
 
 
 def _values(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,19 +274,20 @@ def _values(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return flat.view(f"<u{width}") if flat.ctypes.data % width == 0 else flat.copy().view(f"<u{width}"), (at - at[0]) // width
 
 
-def count_ids(tokens: DataFrame, vocabulary: int, width: int) -> np.ndarray:
-    """How often each id occurs in all documents; tasks send one row an id they met, the driver gets one an id."""
+def count_ids(tokens: DataFrame, vocabulary: int) -> np.ndarray:
+    """How often each id occurs in all documents, by the counts of :func:`encode_documents`; the driver gets one row an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            if batch.num_rows:
-                counts += np.bincount(_values(batch.column(0), width)[0], minlength=vocabulary)
+            for raw in batch.column(0).to_pylist():
+                found = np.frombuffer(raw, "<i8").reshape(-1, 2)
+                counts[found[:, 0]] += found[:, 1]
         met = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int64)), pa.array(counts[met])], names=["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(counts[met])], names=["id", "n"])
 
     out = np.zeros(vocabulary, np.int64)
-    for r in tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in tokens.where("counts IS NOT NULL").select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r.id] = r.n
     return out
 
@@ -188,14 +305,14 @@ class Table:
     def __post_init__(self) -> None:
         if int(self.freq.sum(dtype=np.int64)) != 1 << self.scale:
             raise ValueError("frequencies do not add up")
-        self.start = (np.cumsum(self.freq, dtype=np.int64) - self.freq).astype(np.uint64)
-        self.wide = self.freq.astype(np.uint64)
+        start = (np.cumsum(self.freq, dtype=np.int64) - self.freq).astype(np.uint64)
+        self.both = self.freq.astype(np.uint64) << np.uint64(32) | start  # one look-up for frequency and start
         self.common = int(np.argmax(self.freq))  # fills up a step
 
     @classmethod
     def of(cls, counts: np.ndarray, scale: int | None = None) -> Table:
         """Every id that occurs gets at least one slot."""
-        scale = scale or max(20, len(counts).bit_length() + 3)
+        scale = scale or max(16, len(counts).bit_length() + 2)
         if scale > 30:
             raise ValueError(f"{len(counts)} ids are too many")
         slots = 1 << scale
@@ -217,7 +334,8 @@ class Table:
 
     @property
     def slots(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.freq), dtype=np.uint32), self.freq)
+        """The id of each slot."""
+        return np.repeat(np.arange(len(self.freq), dtype=f"u{id_bytes(len(self.freq))}"), self.freq)
 
     def dump(self) -> bytes:
         body = TABLE_MAGIC + struct.pack("<II", self.scale, len(self.freq)) + zlib.compress(self.freq.astype("<u4").tobytes())
@@ -247,15 +365,15 @@ def _encode_blocks(table: Table, ids: np.ndarray, n: int) -> list[bytes]:
     state = np.full((blocks, LANES), LOW, dtype=np.uint64)
     words, sent = np.zeros((steps, blocks, LANES), np.uint32), np.zeros((steps, blocks, LANES), bool)
     states = np.zeros((-(-steps // every), blocks, LANES), np.uint64)
-    half = np.uint64(32)
+    half, low = np.uint64(32), np.uint64(0xFFFFFFFF)
     for t in range(steps - 1, -1, -1):
-        s = symbols[:, t]
-        freq = table.wide[s]
+        both = table.both[symbols[:, t]]
+        freq = both >> half
         full = state >= freq << up
         words[t], sent[t] = state.astype(np.uint32), full
         state = np.where(full, state >> half, state)
         q, r = np.divmod(state, freq)
-        state = (q << scale) + r + table.start[s]
+        state = (q << scale) + r + (both & low)
         if t % every == 0:
             states[t // every] = state
     held = np.concatenate([np.zeros((1, blocks), np.int64), np.cumsum(sent.sum(axis=2), axis=0)])
@@ -333,6 +451,7 @@ def decode_blocks(table: Table, blocks: list[_Block], first: int, last: int, slo
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(picked)
     steps_of = np.array([-(-size // LANES) for _, _, size in picked])
     mask, scale, half, low = np.uint64((1 << table.scale) - 1), np.uint64(table.scale), np.uint64(32), np.uint64(LOW)
+    right = np.uint64(0xFFFFFFFF)
     for steps in np.unique(steps_of):
         some = np.flatnonzero(steps_of == steps)
         state = np.stack([picked[i][0].states[picked[i][1]] for i in some]).astype(np.uint64)
@@ -342,7 +461,8 @@ def decode_blocks(table: Table, blocks: list[_Block], first: int, last: int, slo
             slot = state & mask
             s = slots[slot]
             got[:, t] = s
-            state = table.wide[s] * (state >> scale) + slot - table.start[s]
+            both = table.both[s]
+            state = (both >> half) * (state >> scale) + slot - (both & right)
             short = state < low
             order = np.cumsum(short, axis=1)
             word = pool[np.minimum(place[:, None] + order - 1, len(pool) - 1)]
@@ -457,18 +577,17 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     from tokenizers import Tokenizer
 
     vocabulary = max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1)
-    width = 2 if vocabulary <= 1 << 16 else 4
     folder = qualified(spark, folder)
-    tokens = materialize(encode_documents(docs, tokenizer_path, end_id, width, apart), "ids")
-    counts = count_ids(tokens, vocabulary, width)
+    tokens = materialize(encode_documents(docs, tokenizer_path, end_id, vocabulary, apart), "ids")
+    counts = count_ids(tokens, vocabulary)
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
     with fs.open_output_stream(f"{root}/table", compression=None) as file:
         file.write(Table.of(counts).dump())
     keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"), F.col("row")]
     count = max(spark.sparkContext.defaultParallelism, -(-int(counts.sum()) // file_ids))
-    rows = tokens.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(count, *keys).sortWithinPartitions(*keys)
-    written = rows.select("doc_id", "ids").mapInArrow(_writer(folder, width), "part long, path string, bytes long, n_ids long, n_docs long").collect()  # a row a file
+    rows = tokens.where("counts IS NULL").select("doc_id", "ids").withColumn("row", F.monotonically_increasing_id()).repartitionByRange(count, *keys).sortWithinPartitions(*keys)
+    written = rows.select("doc_id", "ids").mapInArrow(_writer(folder, id_bytes(vocabulary)), "part long, path string, bytes long, n_ids long, n_docs long").collect()  # a row a file
     discard(tokens)
     return [TokenFile(r.path, r.bytes, r.n_ids, r.n_docs) for r in sorted(written, key=lambda r: r.part)]
 

@@ -49,6 +49,26 @@ def test_equals_the_library(spark):
     assert sorted(map(tuple, got), key=lambda r: r[1]) == library([(r[1], r[0]) for r in rows])
 
 
+def test_long_texts_in_parts(monkeypatch):
+    rng = random.Random(6)
+    text = " ".join(rng.choice(odd_texts()) for _ in range(200)) + "x" * 900
+    tokenizer = Tokenizer.from_file(T.default_tokenizer())
+    monkeypatch.setattr(T, "LONG_TEXT", 300)
+    ids, at = T.WordEncoder(T.default_tokenizer(), 1).encode(pa.array([text]))
+    assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1] and at.tolist() == [0, len(ids)]
+
+
+def test_kept_pieces_are_forgotten_and_clashes_seen(monkeypatch):
+    texts = odd_texts()
+    tokenizer = Tokenizer.from_file(T.default_tokenizer())
+    expected = [i for t in texts for i in [*tokenizer.encode(t, add_special_tokens=False).ids, 1]]
+    monkeypatch.setattr(T, "MOST_PIECES", 50)
+    encoder = T.WordEncoder(T.default_tokenizer(), 1)
+    assert [i for k in range(0, 300, 20) for i in encoder.encode(pa.array(texts[k : k + 20]))[0].tolist()] == expected
+    monkeypatch.setattr(T, "_marks", lambda data, start, end, f=T._marks: (f(data, start, end)[0] | np.uint64(2**64 - 4), f(data, start, end)[1]))
+    assert T.WordEncoder(T.default_tokenizer(), 1).encode(pa.array(texts))[0].tolist() == expected
+
+
 def test_whole_texts_where_pieces_hold_spaces(spark):
     import public_tokenizers
 

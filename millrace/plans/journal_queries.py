@@ -8,6 +8,7 @@ from millrace.operators import metrics as M
 from millrace.operators import quota as Q
 from millrace.plans.registry import query
 from millrace.session import scratch_path, table
+from millrace.sources import readers as R
 from millrace.streaming import journals as J
 
 
@@ -147,3 +148,41 @@ def stream_admissions(spark, sf_dir):
     """Requests that a rolling limit of three in six hours admits, kept by a stateful stream."""
     s = _stream(spark, sf_dir).select("event_id", F.col("event_type").alias("owner"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.lit(1.0).alias("tokens"))
     return _drain(spark, J.admissions(s, 21_600, 3, 1e9), "append").select("event_id", "owner", "admitted", "again_at")
+
+
+#: Appends of these events were torn: half a line, and the next event on a line of its own.
+_TORN = "event_type = 'purchase' AND value > 120"
+_TORN_SQL = f"""
+    WITH t AS (SELECT CAST(ts AS DATE) AS day, min(event_id) FILTER ({_TORN}) AS tear FROM events GROUP BY day)
+    SELECT event_id, user_id, event_type, value FROM events JOIN t ON t.day = CAST(ts AS DATE) WHERE tear IS NULL OR event_id < tear"""
+_EVENT = "event_id long, user_id long, event_type string, value double"
+
+
+def _journals(spark, sf_dir: str, path: str, days: str = "true") -> str:
+    """The events of every day as a journal of JSON lines, with torn ones."""
+    line = F.to_json(F.struct("event_id", "user_id", "event_type", "value", "props"))
+    torn = F.when(F.expr(_TORN), F.substring(line, F.lit(1), (F.length(line) / 2).cast("int"))).otherwise(line)
+    rows = table(spark, sf_dir, "events").where(days).select(F.to_date("ts").alias("day"), "event_id", torn.alias("value"))
+    rows.repartition("day").sortWithinPartitions("day", "event_id").select("day", "value").write.partitionBy("day").mode("append").text(path)
+    return path
+
+
+@query(_TORN_SQL)
+def torn_journal(spark, sf_dir):
+    """Daily journals read in ranges of 16 kB, each up to its first torn line."""
+    return R.read_torn(spark, _journals(spark, sf_dir, scratch_path(spark, "journals")), _EVENT, split_bytes=16 << 10).select("event_id", "user_id", "event_type", "value")
+
+
+@query(_TORN_SQL)
+def stream_torn_journal(spark, sf_dir):
+    """The same journals followed as a stream: half of a month, then a restart and the rest, in batches of bounded bytes."""
+    path, out = scratch_path(spark, "journals"), scratch_path(spark, "followed")
+    for days in ("day(ts) <= 15", "day(ts) > 15"):
+        _journals(spark, sf_dir, path, days)
+        q = J.append_before_tears(path, out, f"{out}-state", spark, split_bytes=16 << 10, max_bytes=4 << 20)
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+    rows = spark.read.schema("file string, offset long, line string, batch long").parquet(out)
+    return rows.select(F.from_json("line", _EVENT).alias("r")).select("r.event_id", "r.user_id", "r.event_type", "r.value")

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import io
+import json
 import tarfile
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.session import materialize
+from millrace.sources.journal_lines import register
+
 
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -30,18 +35,49 @@ def read_jsonl_skipping(spark: SparkSession, path: str, schema: T.StructType | s
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def read_torn(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+def journal_lines(spark: SparkSession, path: str, split_bytes: int = 32 << 20, complete: bool = False) -> DataFrame:
+    """``(file, offset, line)`` of journals, by ranges of ``split_bytes``; see :mod:`millrace.sources.journal_lines`."""
+    register(spark)
+    lines = spark.read.format("journal_lines").option("splitBytes", split_bytes).option("complete", str(complete).lower()).load(path)
+    return lines.withColumn("line", F.col("line").cast("string"))
+
+
+@F.pandas_udf(T.BooleanType())
+def _no_json(lines: pd.Series) -> pd.Series:
+    def fails(line: str) -> bool:
+        try:
+            json.loads(line)
+        except ValueError:
+            return True
+        return False
+
+    return lines.map(fails)
+
+
+def first_tears(lines: DataFrame) -> DataFrame:
+    """``(file, tear)``: where each torn file's first line stands that is not one JSON value.
+
+    Spark's parser takes what follows a value for nothing and repeated keys for an error, so a line has to parse within
+    brackets and as a member, and the few that do not are asked again.
+    """
+    alone = [F.try_parse_json(F.concat(F.lit(before), "line", F.lit(after))).isNull() for before, after in (("[", "]"), ('{"v":', "}"))]
+    return lines.where(alone[0] | alone[1]).where(_no_json("line")).groupBy("file").agg(F.min("offset").alias("tear"))
+
+
+def before_tears(lines: DataFrame, tears: DataFrame) -> DataFrame:
+    return lines.join(tears, "file", "left").where("tear IS NULL OR offset < tear").drop("tear")
+
+
+def read_torn(spark: SparkSession, path: str, schema: T.StructType | str, split_bytes: int = 32 << 20, complete: bool = False) -> DataFrame:
     """Per file, the JSON lines before its first bad one: a torn append loses its tail and nothing else.
 
-    Columns: those of ``schema``, ``file`` and ``line``. Journals are files of bounded size, read whole so that lines
-    keep their order; files are spread over tasks.
+    Columns: those of ``schema``, ``file`` and ``offset``. Ranges of one file are many tasks: a first pass finds the
+    first bad line of every range, a file is cut at the least of them, and the second pass joins lines to the cuts, a
+    row a torn file. ``complete`` leaves out a last line without a line feed even where it is JSON.
     """
-    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    lines = F.split(F.regexp_replace("value", "\n\\z", ""), "\n")
-    bad = F.filter(F.transform(lines, lambda x, i: F.when(F.try_parse_json(x).isNull(), i)), lambda i: i.isNotNull())
-    good = F.slice(lines, F.lit(1), F.when(F.size(bad) > 0, bad[0]).otherwise(F.size(lines)))
-    rows = files.select("file", F.posexplode(good).alias("line", "json")).where("json <> ''")
-    return rows.select("file", "line", F.from_json("json", schema).alias("r")).select("r.*", "file", "line")
+    lines = journal_lines(spark, path, split_bytes, complete)
+    tears = materialize(first_tears(lines), "tears")  # its size is known, so Spark decides how to join it
+    return before_tears(lines, tears).select(F.from_json("line", schema).alias("r"), "file", "offset").select("r.*", "file", "offset")
 
 
 def complete_lines(text: Column) -> Column:
@@ -68,7 +104,6 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, json_co
 
 def read_config(spark: SparkSession, path: str) -> dict:
     """A JSON object from any store that Spark reads; repeated keys are an error."""
-    import json
 
     def unique(pairs: list[tuple[str, object]]) -> dict:
         if len({k for k, _ in pairs}) != len(pairs):

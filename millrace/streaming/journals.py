@@ -7,10 +7,13 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from millrace.sources.journal_lines import register
+from millrace.sources.readers import before_tears, first_tears
+
 TERMINAL = ("success", "known_invalid", "request_rejected")
 UNKNOWN = ("in_flight", "transport_uncertain", "response_saved")
 MAX_ATTEMPTS = 3
@@ -49,6 +52,32 @@ def append_once(stream: DataFrame, path: str, keys: list[str], checkpoint: str)
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def append_before_tears(path: str, target: str, checkpoint: str, spark: SparkSession, split_bytes: int = 32 << 20, max_bytes: int | None = None) -> StreamingQuery:
+    """Follow journals: ``(file, offset, line)`` of their lines before the first bad one, appended to ``target``.
+
+    Each batch takes the bytes that came since the last one, up to a line feed, in ranges of ``split_bytes``. A batch
+    writes the tears that it finds, a row a torn file for good, and then its lines before the tears known so far; both
+    are folders of the batch's number, so a batch that is repeated after a crash replaces them with the same rows.
+    """
+    register(spark)
+    source = spark.readStream.format("journal_lines").option("splitBytes", split_bytes)
+    stream = (source.option("maxBytes", max_bytes) if max_bytes else source).load(path).withColumn("line", F.col("line").cast("string"))
+    tears = f"{target}-tears"
+
+    def known(until: int) -> DataFrame:
+        rows = spark.read.schema("file string, tear long, batch long").parquet(tears)
+        return rows.where(F.col("batch") < until).groupBy("file").agg(F.min("tear").alias("tear"))
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        found = first_tears(batch)
+        if epoch:
+            found = found.join(known(epoch).select("file"), "file", "left_anti")
+        found.write.mode("overwrite").parquet(f"{tears}/batch={epoch}")
+        before_tears(batch, known(epoch + 1)).write.mode("overwrite").parquet(f"{target}/batch={epoch}")
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).start()
+
+
 def attempt_states(stream: DataFrame, idle: str | None = None) -> DataFrame:
     """Latest status of every task and whether it may be tried again.
 

@@ -1,4 +1,6 @@
 import io
+import json
+import random
 import tarfile
 
 import pytest
@@ -37,6 +39,73 @@ def test_torn_tail_drops_what_follows(spark, tmp_path):
     assert [r[0] for r in cut.collect()] == ["a\n", "a\n", ""]
 
 
+def test_one_journal_is_many_tasks(spark, tmp_path):
+    """Ranges of a few bytes, lines longer than ranges, blank and broken lines, no line feed at the end."""
+    rng = random.Random(8)
+    for k in range(16):
+        lines = [json.dumps({"x": i, "pad": "é" * rng.choice([0, 3, 200])}, ensure_ascii=False) for i in range(40)]
+        for _ in range(rng.randrange(3)):
+            lines.insert(rng.randrange(5, 41), rng.choice(['{"x": 1', "", "   ", "nope", '{"x": 1}{"x": 2}', '{"x": 1}, {"x": 2}', '{"x": 1} ]', '{"x": 0, "x": 7}', '{"x": 1}}']))
+        put(tmp_path / f"j/{k}.jsonl", "\n".join(lines) + rng.choice(["", "\n"]))
+    put(tmp_path / "j/_hidden.jsonl", "not read")
+    expected = []
+    for p in sorted((tmp_path / "j").glob("[0-9]*.jsonl")):
+        at = 0
+        for line in p.read_bytes().split(b"\n"):
+            if line.strip():
+                try:
+                    expected.append((p.name, at, json.loads(line)["x"]))
+                except json.JSONDecodeError:
+                    break
+            at += len(line) + 1
+    for split in (700, 1 << 20):
+        got = readers.read_torn(spark, str(tmp_path / "j"), "x int", split_bytes=split)
+        assert sorted((r.file.rpartition("/")[2], r.offset, r.x) for r in got.collect()) == sorted(expected), split
+    lines = readers.journal_lines(spark, str(tmp_path / "j/3.jsonl"), split_bytes=100)
+    assert lines.rdd.getNumPartitions() > 10 and lines.count() > 0
+
+
+def test_complete_lines_only(spark, tmp_path):
+    put(tmp_path / "j/a.jsonl", '{"x": 1}\n{"x": 2}')
+    put(tmp_path / "j/b.jsonl", '{"x": 3}')
+    put(tmp_path / "j/c.jsonl", "")
+    read = lambda complete: sorted(r.x for r in readers.read_torn(spark, str(tmp_path / "j"), "x int", complete=complete).collect())
+    assert read(False) == [1, 2, 3] and read(True) == [1]
+
+
+def test_a_followed_journal_goes_on_where_it_stopped(spark, tmp_path):
+    """Files that grow in the middle of a line, tear, and come new; a restart between; every line before a tear once."""
+    folder, out, state = tmp_path / "j", str(tmp_path / "out"), str(tmp_path / "state")
+    folder.mkdir()
+
+    def write(name, text):
+        with (folder / name).open("a") as f:
+            f.write(text)
+
+    def follow(**options):
+        q = journals.append_before_tears(str(folder), out, state, spark, split_bytes=11, **options)
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+        rows = spark.read.schema("file string, offset long, line string, batch long").parquet(out).collect()
+        assert len({(r.file, r.offset) for r in rows}) == len(rows)
+        return sorted(json.loads(r.line)["x"] for r in rows)
+
+    write("a", '{"x": 1}\n{"x": 2}\n{"x"')
+    write("b", '{"x": 10}\n{"x": 11\n{"x": 12}\n')
+    assert follow() == [1, 2, 10]
+    write("a", ': 3}\n{"x": 4}')  # the last line is not ended yet
+    write("b", '{"x": 13}\n')  # after the tear
+    write("c", '{"x": 20}\n')
+    assert follow(max_bytes=6) == [1, 2, 3, 10, 20]
+    write("a", "\nbroken\n")
+    write("c", '{"x": 21}\n')
+    assert follow() == [1, 2, 3, 4, 10, 20, 21]
+    write("a", '{"x": 5}\n')
+    assert follow(max_bytes=3) == [1, 2, 3, 4, 10, 20, 21]
+
+
 def test_identity_from_file_names(spark, tmp_path):
     put(tmp_path / "v/shard_3_v2.jsonl", '{"x": 1}\n')
     put(tmp_path / "v/notes.jsonl", '{"x": 9}\n')

@@ -251,11 +251,11 @@ def strict_json(text: Column) -> Column:
 
 def difflib_ratio(candidate: Column, protected: Column) -> Column:
     """Similarity of two texts as the standard library's SequenceMatcher gives it, in that argument order."""
+    from millrace.functions import sequence
+
     @F.pandas_udf(T.DoubleType())
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
-
-        return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+        return pd.Series([None if x is None or y is None else sequence.ratio(sequence.Text(x), sequence.Text(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
 
     return ratio(candidate, protected)
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Mapping, Sequence
-from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.sequence import Text, ratio_from
 from millrace.functions.text import norm_key
-from millrace.session import qualified, scratch_path
+from millrace.session import materialize, qualified, scratch_path
 
 #: Up to so many characters of protected texts are sent to every executor; more are joined by shuffle.
 SENT_CHARS = 32 << 20
@@ -65,8 +65,12 @@ def equal_texts(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_
     return d.join(i, "k").select("doc_id", "item_id")
 
 
-#: Counters of a text: of its characters and of its runs of :data:`GRAM` characters, by hash.
-CHARS, GRAMS, GRAM, LONG_GRAM = 64, 1024, 4, 8
+#: Counters of a text: of its characters, of its runs of :data:`GRAM` and of :data:`LONG_GRAM` characters, by hash.
+CHARS, GRAMS, LONG_GRAMS, GRAM, LONG_GRAM = 64, 1024, 4096, 4, 8
+#: Characters of texts whose rare characters a task keeps listed.
+PLACED_CHARS = 1 << 23
+#: Tasks at most; more tiles than that share tasks.
+MOST_TASKS = 100_000
 #: Rows and characters of a block of texts; a task holds two.
 BLOCK_ROWS, BLOCK_CHARS = 4096, 1 << 23
 
@@ -144,14 +148,26 @@ def _matches(a: pa.Table, b: pa.Table, least: float, below: bool) -> tuple[list[
     n, more_chars, chars, more_grams, grams = n[order], more_chars[order], chars[order], more_grams[order], grams[order]
     b_chars, b_grams = counters(b, "chars", CHARS), counters(b, "grams", GRAMS)
     a_ids, b_ids = a["id"].combine_chunks(), b["id"].combine_chunks()
-    long: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-
-    def long_grams(side: int, i: int) -> tuple[np.ndarray, np.ndarray]:
-        if (side, i) not in long:
-            if len(long) % 64 == 63 and sum(len(x) for x, _ in long.values()) > 1 << 21:
-                long.clear()
-            long[side, i] = np.unique(_gram_hashes(_codes((b if side else a)["text"][i].as_py()), LONG_GRAM), return_counts=True)
-        return long[side, i]
+    tables = a, b
+    texts: dict[tuple[int, int], Text] = {}
+    placed = 0
+    eights = tuple((np.zeros((t.num_rows, LONG_GRAMS), np.uint8), np.full(t.num_rows, -1, np.int64)) for t in tables)
+
+    def text_of(side: int, i: int) -> Text:
+        nonlocal placed
+        if (side, i) not in texts:
+            if placed > PLACED_CHARS:
+                texts.clear()
+                placed = 0
+            texts[side, i] = Text(tables[side]["text"][i].as_py())
+            placed += len(texts[side, i].text)
+        return texts[side, i]
+
+    def long_counters(side: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        held, more = eights[side]
+        for i in at[more[at] < 0].tolist():
+            held[i], more[i] = _counters(_gram_hashes(_codes(tables[side]["text"][i].as_py()), LONG_GRAM), LONG_GRAMS)
+        return held[at], more[at]
 
     found: tuple[list[int], list[int], list[float]] = ([], [], [])
     for j, (m, blocks, c, g) in enumerate(zip(*(column(b, x) for x in ("n", "blocks", "more_chars", "more_grams")), strict=True)):
@@ -168,14 +184,14 @@ def _matches(a: pa.Table, b: pa.Table, least: float, below: bool) -> tuple[list[
             near, floor, cuts = at[lo : lo + 1024], need[lo : lo + 1024], most[lo : lo + 1024]
             shared = np.minimum(grams[near], b_grams[j]).sum(axis=1, dtype=np.int64) + np.minimum(more_grams[near], g)
             keep = shared >= floor - (GRAM - 1) * cuts
-            for i, least_shared in zip(order[near[keep]].tolist(), (floor - (LONG_GRAM - 1) * cuts)[keep].tolist(), strict=True):
-                if least_shared > 0:
-                    (x, nx), (y, ny) = long_grams(0, i), long_grams(1, j)
-                    _, ix, iy = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-                    if np.minimum(nx[ix], ny[iy]).sum() < least_shared:
-                        continue
-                ratio = SequenceMatcher(None, a["text"][i].as_py(), b["text"][j].as_py()).ratio()
-                if ratio >= least:
+            near, floor = order[near[keep]], (floor - (LONG_GRAM - 1) * cuts)[keep]
+            if not len(near):
+                continue
+            (x, more_x), (y, more_y) = long_counters(0, near), long_counters(1, np.array([j]))
+            keep = np.minimum(x, y).sum(axis=1, dtype=np.int64) + np.minimum(more_x, more_y) >= floor
+            for i in near[keep].tolist():
+                ratio = ratio_from(text_of(0, i), text_of(1, j), least)
+                if ratio is not None:
                     for held, x in zip(found, (i, j, ratio), strict=True):
                         held.append(x)
     return found
@@ -199,7 +215,14 @@ def fuzzy_pairs(left: DataFrame, left_id: str, left_text: str, right: DataFrame,
     a_parts, b_parts = near(a_parts, b_parts), near(b_parts, a_parts)
     a_folder = _write_blocks(a_rows, a_parts, "fuzzy-left")
     b_folder = a_folder if same else _write_blocks(b_rows, b_parts, "fuzzy-right")
-    tiles = [(x, i, y, j) for x in a_parts for y in b_parts if abs(x - y) <= 1 for i in range(a_parts[x]) for j in range(b_parts[y])]
+    # every block with those of its own and the neighbouring bands
+    def blocks(parts: dict[int, int], side: str) -> DataFrame:
+        rows = spark.createDataFrame(list(parts.items()), "band int, parts int")  # a row a band
+        return rows.select(F.col("band").alias(f"{side}_band"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(f"{side}_part"))
+
+    tiles = blocks(a_parts, "a").withColumn("near", F.explode(F.array(*(F.col("a_band") + k for k in (-1, 0, 1)))))
+    tiles = tiles.join(blocks(b_parts, "b"), F.col("near") == F.col("b_band")).select("a_band", "a_part", "b_band", "b_part")
+    count = sum(n * b_parts.get(band + k, 0) for band, n in a_parts.items() for k in (-1, 0, 1))
     kinds = left.schema[left_id].dataType, right.schema[right_id].dataType
 
     def read(folder: str, band: int, part: int) -> pa.Table:
@@ -220,8 +243,22 @@ def fuzzy_pairs(left: DataFrame, left_id: str, left_text: str, right: DataFrame,
                     ids = a["id"].combine_chunks().take(pa.array(i)), b["id"].combine_chunks().take(pa.array(j))
                     yield pa.RecordBatch.from_arrays([*ids, pa.array(ratios, pa.float64())], names=["a", "b", "ratio"])
 
-    tasks = spark.createDataFrame(tiles, "a_band int, a_part int, b_band int, b_part int").repartition(max(1, min(len(tiles), 1000)))
-    return tasks.mapInArrow(run, f"a {kinds[0].simpleString()}, b {kinds[1].simpleString()}, ratio double")
+    return tiles.repartition(max(1, min(count, MOST_TASKS))).mapInArrow(run, f"a {kinds[0].simpleString()}, b {kinds[1].simpleString()}, ratio double")
+
+
+def near_copies(docs: DataFrame, doc_id: str, text: str, least: float) -> DataFrame:
+    """``(a, b, ratio)``: pairs of like texts among the first document of each text, and each first document with its copies.
+
+    Equal texts are one when texts are compared, so a group of copies costs a row a copy and not one a pair.
+    """
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text <> ''")
+    rows = rows.withColumn("digest", F.sha2("text", 256))
+    first = materialize(rows.select("id", "digest").groupBy("digest").agg(F.min("id").alias("first")), "first-copies")
+    alone = rows.join(first, F.col("id") == F.col("first"), "left_semi").select("id", "text").dropDuplicates(["id"])
+    alone = materialize(alone, "distinct-texts")  # read for sizes and for blocks
+    pairs = fuzzy_pairs(alone, "id", "text", alone, "id", "text", least, below=True)
+    copies = rows.select("id", "digest").join(first, "digest").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("ratio"))
+    return pairs.unionByName(copies.distinct())
 
 
 def reasons(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:

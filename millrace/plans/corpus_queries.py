@@ -174,9 +174,9 @@ def fuzzy_overlap(spark, sf_dir):
 
 @query()
 def near_duplicate_pairs(spark, sf_dir):
-    """Documents whose whole texts nearly repeat each other."""
+    """Documents whose whole texts nearly repeat each other, of equal texts the first one; and that one with its copies."""
     docs = table(spark, sf_dir, "documents").select("doc_id", X.norm_words(F.col("text")).alias("t"))
-    return D.fuzzy_pairs(docs, "doc_id", "t", docs, "doc_id", "t", 0.9, below=True)
+    return D.near_copies(docs, "doc_id", "t", 0.9)
 
 
 @query("""

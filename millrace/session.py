@@ -18,6 +18,10 @@ SETTINGS = {
 }
 
 
+#: Scratch folders of local applications whose ``spark.checkpoint.dir`` is unset.
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "millrace") -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
@@ -42,9 +46,12 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
+        # a session's setting cannot be changed, so the folder is kept by application
+        application = spark.sparkContext.applicationId
+        if application not in _LOCAL_ROOTS:
+            _LOCAL_ROOTS[application] = "file://" + tempfile.mkdtemp(prefix="millrace-")
+            spark.sparkContext.setCheckpointDir(_LOCAL_ROOTS[application])
+        root = _LOCAL_ROOTS[application]
     return root.rstrip("/")
 
 

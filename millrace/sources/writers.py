@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.text import formula_safe
 from millrace.operators.gates import GateError
+from millrace.sources.readers import read_config
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -106,22 +107,47 @@ def for_display(df: DataFrame, rule: str = "first") -> DataFrame:
     return df.select(*(formula_safe(F.col(f.name), rule).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in df.schema.fields))
 
 
-def fingerprint(df: DataFrame) -> tuple[int, int | None]:
-    """Row count and an order-free hash of all rows."""
-    row = df.agg(F.count("*").alias("n"), F.expr(f"bit_xor(xxhash64({', '.join(f'`{c}`' for c in df.columns)}))").alias("h")).first()
-    return row.n, row.h
+def fingerprint(df: DataFrame) -> tuple[int, int, int]:
+    """Row count and two sums of row hashes: equal for equal multisets of rows, in any order.
+
+    Sums keep how often a row occurs, which an exclusive or forgets. Both are modulo 2**64, of a hash and of its
+    hash under another seed, so they can be added up over parts.
+    """
+    columns = ", ".join(f"`{f.name}`" if not isinstance(f.dataType, T.MapType) else f"array_sort(map_entries(`{f.name}`))" for f in df.schema.fields)
+    h = F.expr(f"xxhash64({columns})") if df.columns else F.lit(0)
+    # halves are added apart: a sum of 64-bit integers would overflow
+    half = lambda x: [F.coalesce(F.sum(F.expr(e)), F.lit(0)) for e in (f"{x} & 4294967295", f"shiftrightunsigned({x}, 32)")]
+    row = df.select(h.alias("h")).select("h", F.xxhash64("h", F.lit(1)).alias("g")).agg(F.count("*"), *half("h"), *half("g")).first()
+    return row[0], row[1] + (row[2] << 32) & 2**64 - 1, row[3] + (row[4] << 32) & 2**64 - 1
 
 
 def write_snapshot(df: DataFrame, root: str, version: str) -> DataFrame:
-    """Parquet under ``root/version``, verified by reading it back."""
+    """Parquet under ``root/version``, verified by reading it back.
+
+    The manifest beside it holds the schema and the :func:`fingerprint`; :func:`read_snapshot` holds later reads
+    against it. A version without a manifest was not finished, or differs from its source.
+    """
     path = f"{root}/{version}"
     df.write.mode("errorifexists").parquet(path)
-    again = df.sparkSession.read.parquet(path)
-    if fingerprint(again.select(*df.columns)) != fingerprint(df):
+    spark = df.sparkSession
+    again = spark.read.schema(df.schema).parquet(path)
+    wanted, got = fingerprint(df), fingerprint(again)
+    if got != wanted:
         raise GateError(f"{path}: the snapshot differs from its source")
+    write_json(spark, {"schema": df.schema.jsonValue(), "rows": got[0], "hashes": [str(h) for h in got[1:]]}, f"{path}.manifest.json")
     return again
 
 
+def read_snapshot(spark: SparkSession, root: str, version: str) -> DataFrame:
+    """A snapshot whose rows still are those of its manifest."""
+    path = f"{root}/{version}"
+    manifest = read_config(spark, f"{path}.manifest.json")
+    rows = spark.read.schema(T.StructType.fromJson(manifest["schema"])).parquet(path)
+    if fingerprint(rows) != (manifest["rows"], *map(int, manifest["hashes"])):
+        raise GateError(f"{path}: the snapshot differs from its manifest")
+    return rows
+
+
 def write_vectors(df: DataFrame, path: str, expected: int) -> DataFrame:
     """A vector table; a count other than ``expected`` is an error."""
     df.write.mode("errorifexists").parquet(path)

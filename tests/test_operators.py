@@ -192,6 +192,45 @@ def test_fuzzy_pairs_equal_all_pairs(spark):
     assert got == {(a, b) for a, x in enumerate(texts) for b, y in enumerate(texts) if difflib.SequenceMatcher(None, x, y).ratio() >= 0.85}
 
 
+def test_ratio_equals_the_standard_library():
+    """Texts around 200 characters, of few and many kinds, edited and unlike; given up only below the bound."""
+    import difflib
+    import random
+
+    from millrace.functions.sequence import Text, ratio, ratio_from
+
+    rng = random.Random(11)
+    for _ in range(1500):
+        letters = rng.choice(["ab", "abc ", "abcdefghij klmnop", "abcdefghijklmnopqrstuvwxyz      ABCDEFGHIJ.,;:0123456789é漢🙂"])
+        a = "".join(rng.choices(letters, k=rng.choice([0, 1, 5, 50, 199, 200, 201, 400, 900])))
+        b = list(a) if rng.random() < 0.8 else rng.choices(letters, k=rng.randrange(500))
+        for _ in range(rng.choice([0, 1, 5, len(b) // 10, len(b) // 2])):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choices(letters, k=rng.randrange(2))
+        b = "".join(b)
+        expected = difflib.SequenceMatcher(None, a, b).ratio()
+        assert ratio(Text(a), Text(b)) == expected
+        least = rng.choice([0.0, expected, expected + 0.01, 0.5, 0.9])
+        assert ratio_from(Text(a), Text(b), least) == (expected if expected >= least else None)
+
+
+def test_near_copies_lose_no_like_texts(spark):
+    """Many copies of one text, near copies in different order of ids, long and short texts, nulls and repeated ids."""
+    import difflib
+    import random
+
+    rng = random.Random(12)
+    base = ["".join(rng.choices("abcdefghijklmnop   QRSTU.,", k=n)) for n in (30, 150, 260, 700, 2600)]
+    texts = base + [t[: len(t) // 3] + "xyz" + t[len(t) // 3 :] for t in base] + [t[:-3] for t in base] + ["".join(rng.choices("abcdefghijklmnop   ", k=300)) for _ in range(10)]
+    rows = list(enumerate(texts)) + [(1000 + i, texts[2]) for i in range(60)] + [(2000, None), (2001, ""), (None, texts[3]), (4, texts[4])]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "i int, t string")
+    got = {(r.a, r.b): r.ratio for r in decontam.near_copies(df, "i", "t", 0.9).collect()}
+    ratio = lambda x, y: difflib.SequenceMatcher(None, x, y).ratio()
+    expected = {(a, b): ratio(x, y) for a, x in enumerate(texts) for b, y in enumerate(texts) if a < b and ratio(x, y) >= 0.9}
+    assert got == expected | {(2, 1000 + i): 1.0 for i in range(60)}
+
+
 def test_fuzzy_queries_compare_whole_texts(spark, tmp_path, monkeypatch):
     """Short or changed first lines lose no pair, a shared opening line makes none; the same pairs as all comparisons."""
     import difflib

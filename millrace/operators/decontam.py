@@ -68,11 +68,11 @@ def equal_texts(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_
 #: Counters of a text: of its characters, of its runs of :data:`GRAM` and of :data:`LONG_GRAM` characters, by hash.
 CHARS, GRAMS, LONG_GRAMS, GRAM, LONG_GRAM = 64, 1024, 4096, 4, 8
 #: Characters of texts whose rare characters a task keeps listed.
-PLACED_CHARS = 1 << 23
+PLACED_CHARS = 1 << 21
 #: Tasks at most; more tiles than that share tasks.
 MOST_TASKS = 100_000
 #: Rows and characters of a block of texts; a task holds two.
-BLOCK_ROWS, BLOCK_CHARS = 4096, 1 << 23
+BLOCK_ROWS, BLOCK_CHARS = 2048, 1 << 22
 
 
 def _gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
@@ -95,27 +95,28 @@ def _counters(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, int]:
     return held.astype(np.uint8), int((full - held).sum())
 
 
-def _profile(text: str) -> tuple[int, int, int, bytes, int, bytes]:
-    """Length, most matching blocks of SequenceMatcher with this text second, and counters with their excess.
+def _profile(text: str) -> tuple[int, bytes, int, bytes, int, bytes]:
+    """Length, counters of what SequenceMatcher indexes of this text as the second one, and counters with their excess.
 
     From 200 characters on it seeds matches only at characters that make up at most a hundredth of the second text, so
     each block holds one of those, but for one that may begin both texts.
     """
     codes = _codes(text)
     n = len(codes)
-    _, counts = np.unique(codes, return_counts=True)
-    seeds = n if n < 200 else int(counts[counts <= n // 100 + 1].sum())
+    kinds, counts = np.unique(codes, return_counts=True)
+    seeds = (kinds, counts) if n < 200 else (kinds[counts <= n // 100 + 1], counts[counts <= n // 100 + 1])
+    rare = np.bincount((_gram_hashes(seeds[0], 1) % np.uint64(CHARS)).astype(np.int64), weights=seeds[1], minlength=CHARS).astype(np.int32)
     chars, more_chars = _counters(_gram_hashes(codes, 1), CHARS)
     grams, more_grams = _counters(_gram_hashes(codes, GRAM), GRAMS)
-    return n, seeds + 1, more_chars, chars.tobytes(), more_grams, grams.tobytes()
+    return n, rare.tobytes(), more_chars, chars.tobytes(), more_grams, grams.tobytes()
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
         columns = zip(*map(_profile, batch.column(1).to_pylist()), strict=True)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary())
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary())
         arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=["id", "text", "band", "part", "n", "blocks", "more_chars", "chars", "more_grams", "grams"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=["id", "text", "band", "part", "n", "rare", "more_chars", "chars", "more_grams", "grams"])
 
 
 def _banded(rows: DataFrame, ratio: float) -> tuple[DataFrame, dict[int, int]]:
@@ -134,7 +135,7 @@ def _write_blocks(rows: DataFrame, parts: dict[int, int], name: str) -> str:
         of = F.create_map(*(F.lit(x) for item in parts.items() for x in item))
         placed = rows.where(F.col("band").isin(*parts)).withColumn("part", F.pmod(F.xxhash64("id", "text"), of[F.col("band")]).cast("int"))
         kind = rows.schema["id"].dataType.simpleString()
-        made = placed.repartition(sum(parts.values()), "band", "part").mapInArrow(_profiles, f"id {kind}, text string, band int, part int, n long, blocks long, more_chars long, chars binary, more_grams long, grams binary")
+        made = placed.repartition(sum(parts.values()), "band", "part").mapInArrow(_profiles, f"id {kind}, text string, band int, part int, n long, rare binary, more_chars long, chars binary, more_grams long, grams binary")
         made.write.partitionBy("band", "part").parquet(folder)
     return folder
 
@@ -147,6 +148,9 @@ def _matches(a: pa.Table, b: pa.Table, least: float, below: bool) -> tuple[list[
     order = np.argsort(n, kind="stable")
     n, more_chars, chars, more_grams, grams = n[order], more_chars[order], chars[order], more_grams[order], grams[order]
     b_chars, b_grams = counters(b, "chars", CHARS), counters(b, "grams", GRAMS)
+    rare = np.frombuffer(b"".join(b["rare"].to_pylist()), np.int32).reshape(-1, CHARS)
+    open_chars = chars.astype(np.int32)
+    open_chars[chars == 255] = np.iinfo(np.int32).max  # a full counter bounds nothing
     a_ids, b_ids = a["id"].combine_chunks(), b["id"].combine_chunks()
     tables = a, b
     texts: dict[tuple[int, int], Text] = {}
@@ -170,16 +174,18 @@ def _matches(a: pa.Table, b: pa.Table, least: float, below: bool) -> tuple[list[
         return held[at], more[at]
 
     found: tuple[list[int], list[int], list[float]] = ([], [], [])
-    for j, (m, blocks, c, g) in enumerate(zip(*(column(b, x) for x in ("n", "blocks", "more_chars", "more_grams")), strict=True)):
+    for j, (m, c, g) in enumerate(zip(*(column(b, x) for x in ("n", "more_chars", "more_grams")), strict=True)):
         # 2 * min / (n + m) bounds the ratio; ends with a margin for rounding
         at = np.arange(*np.searchsorted(n, [math.floor(m * least / (2 - least)) - 1, math.ceil(m * (2 - least) / least) + 2]))
         if below and len(at):
             at = at[np.asarray(pc.fill_null(pc.less(a_ids.take(pa.array(order[at])), b_ids[j]), False))]
         need = np.ceil(least * (n[at] + m) / 2 - 1e-6).astype(np.int64)
-        # blocks are apart, so their number is bounded by what is not matched too; each may cut GRAM - 1 runs
-        most = np.minimum(blocks, n[at] + m - 2 * need + 1)
         keep = np.minimum(chars[at], b_chars[j]).sum(axis=1, dtype=np.int64) + np.minimum(more_chars[at], c) >= need
-        at, need, most = at[keep], need[keep], most[keep]
+        at, need = at[keep], need[keep]
+        # each block but one holds an indexed character that both texts have, and blocks are apart, so their number is
+        # bounded by what is not matched too; each may cut GRAM - 1 runs
+        met = rare[j].nonzero()[0]
+        most = np.minimum(np.minimum(open_chars[at[:, None], met], rare[j][met]).sum(axis=1, dtype=np.int64) + 1, n[at] + m - 2 * need + 1)
         for lo in range(0, len(at), 1024):
             near, floor, cuts = at[lo : lo + 1024], need[lo : lo + 1024], most[lo : lo + 1024]
             shared = np.minimum(grams[near], b_grams[j]).sum(axis=1, dtype=np.int64) + np.minimum(more_grams[near], g)
@@ -239,6 +245,7 @@ def fuzzy_pairs(left: DataFrame, left_id: str, left_text: str, right: DataFrame,
                 if not a.num_rows or not b.num_rows:
                     continue
                 i, j, ratios = _matches(a, b, least, below)
+                pa.default_memory_pool().release_unused()
                 if i:
                     ids = a["id"].combine_chunks().take(pa.array(i)), b["id"].combine_chunks().take(pa.array(j))
                     yield pa.RecordBatch.from_arrays([*ids, pa.array(ratios, pa.float64())], names=["a", "b", "ratio"])
@@ -252,10 +259,9 @@ def near_copies(docs: DataFrame, doc_id: str, text: str, least: float) -> DataFr
     Equal texts are one when texts are compared, so a group of copies costs a row a copy and not one a pair.
     """
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text <> ''")
-    rows = rows.withColumn("digest", F.sha2("text", 256))
+    rows = materialize(rows.withColumn("digest", F.sha2("text", 256)), "texts")  # a text may be a costly expression
     first = materialize(rows.select("id", "digest").groupBy("digest").agg(F.min("id").alias("first")), "first-copies")
     alone = rows.join(first, F.col("id") == F.col("first"), "left_semi").select("id", "text").dropDuplicates(["id"])
-    alone = materialize(alone, "distinct-texts")  # read for sizes and for blocks
     pairs = fuzzy_pairs(alone, "id", "text", alone, "id", "text", least, below=True)
     copies = rows.select("id", "digest").join(first, "digest").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("ratio"))
     return pairs.unionByName(copies.distinct())

@@ -10,6 +10,7 @@ from millrace.plans.registry import query
 from millrace.session import scratch_path, table
 from millrace.sources import readers as R
 from millrace.streaming import journals as J
+from millrace.streaming import stateful as S
 
 
 @query("""
@@ -169,8 +170,8 @@ def _journals(spark, sf_dir: str, path: str, days: str = "true") -> str:
 
 @query(_TORN_SQL)
 def torn_journal(spark, sf_dir):
-    """Daily journals read in ranges of 16 kB, each up to its first torn line."""
-    return R.read_torn(spark, _journals(spark, sf_dir, scratch_path(spark, "journals")), _EVENT, split_bytes=16 << 10).select("event_id", "user_id", "event_type", "value")
+    """Daily journals read in ranges of 32 kB, each up to its first torn line."""
+    return R.read_torn(spark, _journals(spark, sf_dir, scratch_path(spark, "journals")), _EVENT, split_bytes=32 << 10).select("event_id", "user_id", "event_type", "value")
 
 
 @query(_TORN_SQL)
@@ -179,10 +180,101 @@ def stream_torn_journal(spark, sf_dir):
     path, out = scratch_path(spark, "journals"), scratch_path(spark, "followed")
     for days in ("day(ts) <= 15", "day(ts) > 15"):
         _journals(spark, sf_dir, path, days)
-        q = J.append_before_tears(path, out, f"{out}-state", spark, split_bytes=16 << 10, max_bytes=4 << 20)
+        q = J.append_before_tears(path, out, f"{out}-state", spark, split_bytes=32 << 10, max_bytes=4 << 20)
         try:
             q.processAllAvailable()
         finally:
             q.stop()
     rows = spark.read.schema("file string, offset long, line string, batch long").parquet(out)
     return rows.select(F.from_json("line", _EVENT).alias("r")).select("r.event_id", "r.user_id", "r.event_type", "r.value")
+
+
+@query("""
+    SELECT CAST(user_id AS VARCHAR) || ' ' || event_type AS task, min(event_id) AS seq, sha256(arg_min(props, event_id)) AS reply_sha256 FROM events GROUP BY user_id, event_type""")
+def stream_replies_once(spark, sf_dir):
+    """The first reply of every user and type, recorded once: all events come twice, the second time after a restart."""
+    events = table(spark, sf_dir, "events")
+    source, out = scratch_path(spark, "replies"), scratch_path(spark, "recorded")
+    for _ in range(2):
+        events.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(events.schema).parquet(source)
+        replies = stream.select(S.identity("user_id", "event_type").alias("identity"), F.col("event_id").alias("seq"), F.col("props").alias("reply"))
+        S.record_replies(replies, out, f"{out}-state").awaitTermination()
+    done = spark.read.schema("identity string, seq long, reply_sha256 string, batch long").parquet(f"{out}/successes")
+    names = events.select(S.identity("user_id", "event_type").alias("identity"), F.concat_ws(" ", F.col("user_id").cast("string"), "event_type").alias("task")).distinct()
+    return done.join(names, "identity").select("task", "seq", "reply_sha256")
+
+
+#: Runs of the barrier query: a type's events of a day, paused after 5 or two hours, stopped 15 minutes before 20 hours.
+_EVERY, _MOST, _STOP = 5, 7_200_000, (72_000 - 900) * 1000
+
+
+@query(f"""
+    WITH RECURSIVE e AS (SELECT event_type || ' ' || CAST(CAST(ts AS DATE) AS VARCHAR) AS run, epoch_us(ts) // 1000 AS t FROM events),
+    o AS (SELECT run, t, row_number() OVER (PARTITION BY run ORDER BY t) AS k, min(t) OVER (PARTITION BY run) AS launch FROM e
+          UNION ALL SELECT run, (SELECT epoch_us(max(ts)) // 1000 FROM events) AS t, count(*) + 1 AS k, min(t) AS launch FROM e GROUP BY run),
+    z AS (SELECT run, max(k) AS ends FROM o GROUP BY run),
+    s AS (SELECT run, CAST(0 AS BIGINT) AS k, launch AS l, launch AS last, CAST(0 AS BIGINT) AS f, CAST(0 AS BIGINT) AS n, false AS stopped, CAST(NULL AS BIGINT) AS b1, CAST(0 AS BIGINT) AS n1, CAST(NULL AS BIGINT) AS b2, CAST(0 AS BIGINT) AS n2, CAST(NULL AS BIGINT) AS b3 FROM o WHERE k = 1
+          UNION ALL SELECT run, k, l, CASE WHEN hit THEN t ELSE last1 END, CASE WHEN NOT stopped1 AND m = 0 THEN t ELSE f END, CASE WHEN stopped1 OR hit THEN 0 WHEN closing THEN m ELSE m + 1 END, stopped1, b1, n1, CASE WHEN NOT stopped AND stopped1 THEN l + {_STOP} END, m, CASE WHEN hit THEN t END
+          FROM (SELECT *, NOT stopped1 AND NOT closing AND (m + 1 >= {_EVERY} OR greatest(last1 + {_MOST}, CASE WHEN m = 0 THEN t ELSE f END) <= t) AS hit
+                FROM (SELECT s.run, o.k, o.t, s.l, s.f, s.stopped, o.k = z.ends AS closing, s.stopped OR o.t >= s.l + {_STOP} AS stopped1,
+                      CASE WHEN due THEN greatest(s.last + {_MOST}, s.f) END AS b1, s.n AS n1, CASE WHEN due THEN greatest(s.last + {_MOST}, s.f) ELSE s.last END AS last1, CASE WHEN due THEN 0 ELSE s.n END AS m
+                      FROM (SELECT s.*, o.t AS at, NOT s.stopped AND s.n > 0 AND greatest(s.last + {_MOST}, s.f) <= least(o.t, s.l + {_STOP}) AS due FROM s JOIN o ON o.run = s.run AND o.k = s.k + 1) s
+                      JOIN o ON o.run = s.run AND o.k = s.k + 1 JOIN z ON z.run = s.run)))
+    SELECT run, 'barrier' AS kind, b1 AS at_ms, n1 AS results FROM s WHERE b1 IS NOT NULL
+    UNION ALL SELECT run, 'stop', b2, n2 FROM s WHERE b2 IS NOT NULL
+    UNION ALL SELECT x.run, 'barrier', x.b3, y.m FROM s x JOIN (SELECT run, k, CASE WHEN b1 IS NOT NULL THEN 1 ELSE 0 END AS q, lag(n) OVER (PARTITION BY run ORDER BY k) AS p, CASE WHEN b1 IS NOT NULL THEN 1 ELSE 1 + lag(n) OVER (PARTITION BY run ORDER BY k) END AS m FROM s) y ON y.run = x.run AND y.k = x.k WHERE x.b3 IS NOT NULL""")
+def stream_barriers(spark, sf_dir):
+    """Pauses and the stop of every type's daily run, by counters and timers of a stream."""
+    rows = _stream(spark, sf_dir).select(F.concat_ws(" ", "event_type", F.to_date("ts").cast("string")).alias("run"), F.col("ts").cast("timestamp").alias("ts"))
+    with S.keyed_state(spark):
+        out = _drain(spark, S.barriers(rows, every=_EVERY, most_seconds=_MOST / 1000), "append")
+    return out.select("run", "kind", F.unix_millis("at").alias("at_ms"), "results")
+
+
+#: Events as work of a user's queue: views and clicks add items, sign-ups and errors ask, purchases end an item.
+_WORK = "CASE WHEN event_type IN ('view', 'click') THEN 'item' WHEN event_type = 'purchase' THEN 'done' ELSE 'ask' END"
+_WORKER = "CASE WHEN event_type = 'signup' OR (event_type = 'purchase' AND value < 30) THEN 'one' ELSE 'two' END"
+
+
+@query(f"""
+    WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS queue, event_id AS seq, {_WORK} AS kind, {_WORKER} AS worker, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+    s AS (SELECT DISTINCT queue, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, '' AS worker, CAST([] AS BIGINT[]) AS free, CAST([] AS BIGINT[]) AS one, CAST([] AS BIGINT[]) AS two, CAST([] AS BIGINT[]) AS given FROM e
+          UNION ALL SELECT queue, k, seq, worker, CASE WHEN kind = 'item' THEN list_append(free, seq) ELSE free[1 + len(fresh):] END,
+                CASE WHEN worker = 'one' THEN now ELSE one END, CASE WHEN worker = 'two' THEN now ELSE two END, CASE WHEN kind = 'ask' THEN now[1:2] ELSE CAST([] AS BIGINT[]) END
+          FROM (SELECT *, CASE kind WHEN 'item' THEN held WHEN 'done' THEN held[2:] ELSE held || fresh END AS now
+                FROM (SELECT *, CASE WHEN kind = 'ask' THEN free[1:greatest(0, 2 - len(held))] ELSE CAST([] AS BIGINT[]) END AS fresh
+                      FROM (SELECT e.queue, e.k, e.seq, e.kind, e.worker, s.free, s.one, s.two, CASE WHEN e.worker = 'one' THEN s.one ELSE s.two END AS held FROM s JOIN e ON e.queue = s.queue AND e.k = s.k + 1))))
+    SELECT queue, seq, worker, CAST(unnest(given) AS VARCHAR) AS item FROM s WHERE len(given) > 0""")
+def stream_assignments(spark, sf_dir):
+    """Two workers ask for items of users' queues; the stream restarts in the middle of the month and no owner changes."""
+    events = table(spark, sf_dir, "events")
+    source, out = scratch_path(spark, "work"), scratch_path(spark, "assigned")
+    for k, days in enumerate(("day(ts) <= 15", "day(ts) > 15")):
+        events.where(days).write.mode("append").parquet(source)
+        rows = spark.readStream.schema(events.schema).parquet(source).select(
+            F.col("user_id").cast("string").alias("queue"), F.col("event_id").alias("seq"), F.expr(_WORK).alias("kind"), F.expr(_WORKER).alias("worker"),
+            F.when(F.expr(_WORK) == "item", F.col("event_id").cast("string")).alias("item"), F.lit(2).alias("n"))
+
+        def put(batch, epoch):
+            batch.write.mode("overwrite").parquet(f"{out}/batch={epoch}")
+
+        with S.keyed_state(spark):
+            q = S.assignments(rows).writeStream.outputMode("append").foreachBatch(put).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.schema(S.ASSIGNED + ", batch long").parquet(out).select("queue", "seq", "worker", "item")
+
+
+@query("""
+    WITH a AS (SELECT event_id, ts, (day(ts) - 1) // 6 + CASE WHEN event_type = 'error' AND value > 60 THEN 1 ELSE 0 END AS part FROM events),
+    m AS (SELECT part, max(max(ts)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 2 HOUR AS w FROM a GROUP BY part)
+    SELECT event_id, coalesce(ts < w, false) AS late FROM a JOIN m USING (part)""")
+def stream_quarantine(spark, sf_dir):
+    """Large errors arrive with the next six days' events: those behind the watermark are quarantined, no row is lost."""
+    events = table(spark, sf_dir, "events")
+    part = F.expr("(day(ts) - 1) div 6 + CASE WHEN event_type = 'error' AND value > 60 THEN 1 ELSE 0 END")
+    source, out = scratch_path(spark, "arrivals"), scratch_path(spark, "quarantine")
+    for k in range(7):
+        events.where(part == k).write.mode("append").parquet(source)
+        J.quarantine_late(spark.readStream.schema(events.schema).parquet(source), "ts", out, f"{out}-state", "2 hours").awaitTermination()
+    return spark.read.schema("event_id long, late boolean, batch long").parquet(f"{out}/rows").select("event_id", "late")

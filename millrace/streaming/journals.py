@@ -153,6 +153,27 @@ def split_late(rows: DataFrame, ts: str, seen_until: str) -> tuple[DataFrame, Da
     return rows.where(~late), rows.where(late)
 
 
+def quarantine_late(stream: DataFrame, ts: str, path: str, checkpoint: str, delay: str = "1 hour") -> StreamingQuery:
+    """Write every row of a stream to ``path/rows``, by batch and by whether it came ``late``: behind the watermark.
+
+    The watermark is the latest time of all batches before, less ``delay``; a row older than it, or without a time, is
+    late: it is kept, and whoever reads the rows in time neither scores it nor hands it out again. A batch reads the
+    time that the batch before left, and writes folders of its number, so a repeated batch changes nothing.
+    """
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.schema("latest timestamp").parquet(f"{path}/times/batch={epoch - 1}").first().latest if epoch else None
+        own = batch.agg(F.max(F.col(ts).cast("timestamp")).alias("latest"))
+        latest = F.greatest("latest", F.lit(before).cast("timestamp"))
+        own.select(latest.alias("latest")).write.mode("overwrite").parquet(f"{path}/times/batch={epoch}")
+        old = F.col(ts).cast("timestamp") < F.lit(before).cast("timestamp") - F.expr(f"INTERVAL {delay}")
+        late = F.col(ts).isNull() | F.coalesce(old, F.lit(False))
+        batch.withColumn("late", late).write.mode("overwrite").partitionBy("late").parquet(f"{path}/rows/batch={epoch}")
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def assign(queue: DataFrame, taken: DataFrame, worker: str, n: int) -> DataFrame:
     """The next ``n`` items that nobody has, in order: assigned work keeps its owner."""
     return queue.join(taken.select("id"), "id", "left_anti").orderBy("id").limit(n).withColumn("owner", F.lit(worker))

@@ -1,8 +1,10 @@
-"""Bootstrap intervals as a replicate grid: draws are plain integer arithmetic of seed, replicate and slot, so any
-engine repeats them.
+"""Bootstrap intervals: resamples are multinomial counts split down blocks of units, drawn in place.
 
-A draw picks a unit by its index; units are numbered once, replicates are a range, and a replicate's statistic is an
-aggregate over its draws. Variants differ in unit, replicates and which order statistics bound the interval, and stay
+A resample of n units draws n times with replacement. Each draw first picks a block of units, by integer arithmetic of
+seed, replicate and slot; only the counts of (replicate, block) are shuffled. Each block's units are one row, where as
+many draws of a replicate as fell to the block pick units by the same arithmetic of another seed, and what they pick is
+aggregated where it stands: no draw is shuffled or joined, and the cost is linear in units and replicates. Any engine
+repeats the draws. Variants differ in unit, replicates and which order statistics bound the interval, and stay
 separate: they are entries of :data:`VARIANTS`.
 """
 
@@ -25,19 +27,31 @@ VARIANTS: dict[str, tuple[int, int, Callable[[int], tuple[int, int]]]] = {
     "reporting_mean": (2000, 20261102, lambda n: (int(0.025 * 1999), int(0.975 * 1999))),
     "kappa": (2000, 0, lambda n: (int(0.025 * n), int(0.975 * n))),
 }
-#: Up to here units are numbered in one task, and up to here sent to every executor instead of shuffling the draws.
-MAX_UNITS, SENT_UNITS = 100_000, 1_000_000
-
-
+#: Up to here units are numbered in one task.
+MAX_UNITS = 100_000
+#: Units of a block: the least, the most, and how many blocks are aimed at in between.
+LEAST_BLOCK, MOST_BLOCK, BLOCKS = 1024, 65_536, 256
 #: A prime below 2^31: squares of remainders fit 64 bits.
 PRIME = 2_147_483_629
+#: What the seed of the draws within blocks adds to the seed.
+WITHIN = 1_013_904_223
 
 
-def draw(seed: int, b: Column, slot: Column, n: int) -> Column:
-    """The unit drawn for a replicate's slot: squares modulo a prime, three times, scaled to ``n``."""
+def block_size(n: int) -> int:
+    return min(MOST_BLOCK, max(LEAST_BLOCK, -(-n // BLOCKS)))
+
+
+def remainder(seed: int, b: Column, slot: Column) -> Column:
+    """A number below :data:`PRIME` for a replicate's slot: squares modulo a prime, three times."""
     x = F.pmod(b * 48_271 + F.pmod(slot, F.lit(PRIME)) * 16_807 + seed % PRIME + 1, F.lit(PRIME))
     for add in (12_345, 67_891, 24_683):
         x = F.pmod(x * x + add, F.lit(PRIME))
+    return x
+
+
+def draw(seed: int, b: Column, slot: Column, n: int) -> Column:
+    """The place among ``n`` that a slot draws."""
+    x = remainder(seed, b, slot)
     if n < 1 << 31:
         return F.call_function("div", x * n, F.lit(PRIME)).cast("long")
     # more units than remainders: a second draw gives the low part
@@ -46,21 +60,28 @@ def draw(seed: int, b: Column, slot: Column, n: int) -> Column:
 
 
 def replicates(units: DataFrame, order: str, statistic: Column, b: int, seed: int) -> DataFrame:
-    """``(b, stat)``: the statistic of every resample of ``units`` with replacement."""
+    """``(b, stat)``: the statistic of every resample of ``units`` with replacement; ``statistic`` aggregates its columns."""
     n = units.count()
     spark = units.sparkSession
     if n == 0:
         return spark.createDataFrame([], "b long, stat double")
     if n > MAX_UNITS:
-        numbered = number_rows(units, [order], "i")
+        numbered = number_rows(units, [order], "_i")
     else:
-        numbered = units.withColumn("i", F.row_number().over(Window.orderBy(order)) - 1)
-    if n <= SENT_UNITS:
-        numbered = F.broadcast(numbered)
+        numbered = units.withColumn("_i", F.row_number().over(Window.orderBy(order)) - 1)
+    size = block_size(n)
+    blocks = -(-n // size)
+    div = lambda x, k: F.call_function("div", x, F.lit(k)).cast("long")
     slot = (F.col("id") % n).cast("int" if n < 1 << 31 else "long")
     grid = spark.range(b * n).select(F.expr(f"id div {n}L").alias("b"), slot.alias("slot"))
-    draws = grid.withColumn("i", draw(seed, F.col("b"), F.col("slot"), n))
-    return draws.join(numbered, "i").groupBy("b").agg(statistic.alias("stat"))
+    counts = grid.select("b", div(draw(seed, F.col("b"), F.col("slot"), n), size).alias("block")).groupBy("block", "b").agg(F.count("*").alias("m"))
+    counts = counts.groupBy("block").agg(F.collect_list(F.struct("b", "m")).alias("counts"))  # b at most
+    held = numbered.select(div(F.col("_i"), size).alias("block"), F.struct("_i", *units.columns).alias("unit"))
+    held = held.groupBy("block").agg(F.sort_array(F.collect_list("unit")).alias("units"))  # a block at most
+    drawn = held.join(counts, "block").select("block", "units", F.explode("counts").alias("c"))
+    drawn = drawn.select("block", "units", F.col("c.b").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("c.m") - 1)).alias("t"))
+    place = F.call_function("div", remainder(seed + WITHIN, F.col("b"), F.col("t") * blocks + F.col("block")) * F.size("units"), F.lit(PRIME)).cast("int")
+    return drawn.select("b", F.get("units", place).alias("u")).select("b", "u.*").groupBy("b").agg(statistic.alias("stat"))
 
 
 def interval(units: DataFrame, order: str, statistic: Column, variant: str) -> DataFrame:

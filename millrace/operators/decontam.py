@@ -66,7 +66,7 @@ def equal_texts(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_
 
 
 #: Counters of a text: of its characters, of its runs of :data:`GRAM` and of :data:`LONG_GRAM` characters, by hash.
-CHARS, GRAMS, LONG_GRAMS, GRAM, LONG_GRAM = 64, 1024, 4096, 4, 8
+CHARS, GRAMS, LONG_GRAMS, GRAM, LONG_GRAM = 64, 1024, 4096, 4, (8,)
 #: Characters of texts whose rare characters a task keeps listed.
 PLACED_CHARS = 1 << 21
 #: Tasks at most; more tiles than that share tasks.
@@ -155,7 +155,7 @@ def _matches(a: pa.Table, b: pa.Table, least: float, below: bool) -> tuple[list[
     tables = a, b
     texts: dict[tuple[int, int], Text] = {}
     placed = 0
-    eights = tuple((np.zeros((t.num_rows, LONG_GRAMS), np.uint8), np.full(t.num_rows, -1, np.int64)) for t in tables)
+    long = {(side, q): (np.zeros((t.num_rows, LONG_GRAMS), np.uint8), np.full(t.num_rows, -1, np.int64)) for side, t in enumerate(tables) for q in LONG_GRAM}
 
     def text_of(side: int, i: int) -> Text:
         nonlocal placed
@@ -167,10 +167,10 @@ def _matches(a: pa.Table, b: pa.Table, least: float, below: bool) -> tuple[list[
             placed += len(texts[side, i].text)
         return texts[side, i]
 
-    def long_counters(side: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        held, more = eights[side]
+    def long_counters(side: int, q: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        held, more = long[side, q]
         for i in at[more[at] < 0].tolist():
-            held[i], more[i] = _counters(_gram_hashes(_codes(tables[side]["text"][i].as_py()), LONG_GRAM), LONG_GRAMS)
+            held[i], more[i] = _counters(_gram_hashes(_codes(tables[side]["text"][i].as_py()), q), LONG_GRAMS)
         return held[at], more[at]
 
     found: tuple[list[int], list[int], list[float]] = ([], [], [])
@@ -190,12 +190,16 @@ def _matches(a: pa.Table, b: pa.Table, least: float, below: bool) -> tuple[list[
             near, floor, cuts = at[lo : lo + 1024], need[lo : lo + 1024], most[lo : lo + 1024]
             shared = np.minimum(grams[near], b_grams[j]).sum(axis=1, dtype=np.int64) + np.minimum(more_grams[near], g)
             keep = shared >= floor - (GRAM - 1) * cuts
-            near, floor = order[near[keep]], (floor - (LONG_GRAM - 1) * cuts)[keep]
-            if not len(near):
-                continue
-            (x, more_x), (y, more_y) = long_counters(0, near), long_counters(1, np.array([j]))
-            keep = np.minimum(x, y).sum(axis=1, dtype=np.int64) + np.minimum(more_x, more_y) >= floor
-            for i in near[keep].tolist():
+            near, floor, cuts = order[near[keep]], floor[keep], cuts[keep]
+            for q in LONG_GRAM:
+                least_shared = floor - (q - 1) * cuts
+                ask = np.flatnonzero(least_shared > 0)
+                if len(ask):
+                    (x, more_x), (y, more_y) = long_counters(0, q, near[ask]), long_counters(1, q, np.array([j]))
+                    keep = np.ones(len(near), bool)
+                    keep[ask] = np.minimum(x, y).sum(axis=1, dtype=np.int64) + np.minimum(more_x, more_y) >= least_shared[ask]
+                    near, floor, cuts = near[keep], floor[keep], cuts[keep]
+            for i in near.tolist():
                 ratio = ratio_from(text_of(0, i), text_of(1, j), least)
                 if ratio is not None:
                     for held, x in zip(found, (i, j, ratio), strict=True):

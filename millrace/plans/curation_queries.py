@@ -394,15 +394,22 @@ def faithfulness_rates(spark, sf_dir):
 PRIME = bootstrap.PRIME
 
 
+def _squares_sql(name: str, source: str, seed: int, slot: str, keep: str) -> str:
+    """Steps ``name0`` to ``name2``: the remainders of :func:`bootstrap.remainder` for the slots of ``source``."""
+    first = f"(b * 48271 + ({slot}) % {PRIME} * 16807 + {seed % PRIME + 1}) % {PRIME}"
+    steps = [f"{name}0 AS (SELECT {keep}, (x * x + 12345) % {PRIME} AS x FROM (SELECT {keep}, {first} AS x FROM {source}))"]
+    steps += [f"{name}{i + 1} AS (SELECT {keep}, (x * x + {add}) % {PRIME} AS x FROM {name}{i})" for i, add in enumerate((67891, 24683))]
+    return ", ".join(steps)
+
+
 def _draw_sql(seed: int, units: str, b: int) -> str:
-    """Draws of ``b`` replicates over the rows of ``units(i, n, ...)`` in SQL."""
-    x = f"(r.b * 48271 + CAST(s.slot AS BIGINT) * 16807 + {seed % PRIME + 1}) % {PRIME}"
-    for add in (12345, 67891, 24683):
-        x = f"(({x}) * ({x}) + {add}) % {PRIME}" if add == 12345 else x
+    """Draws of ``b`` replicates over the rows of ``units(i, n, ...)``: counts by block, then places within blocks."""
     return f"""
-        x0 AS (SELECT r.b, s.i AS slot, {x.replace("s.slot", "s.i")} AS x FROM (SELECT unnest(range({b})) AS b) r, {units} s),
-        x1 AS (SELECT b, slot, (x * x + 67891) % {PRIME} AS x FROM x0), x2 AS (SELECT b, slot, (x * x + 24683) % {PRIME} AS x FROM x1),
-        drawn AS (SELECT x2.b, u.* FROM x2, (SELECT max(n) AS n FROM {units}) k JOIN {units} u ON u.i = x2.x * k.n // {PRIME})"""
+        k AS (SELECT max(n) AS n, least({bootstrap.MOST_BLOCK}, greatest({bootstrap.LEAST_BLOCK}, CAST(ceil(max(n) / {bootstrap.BLOCKS}.0) AS BIGINT))) AS size FROM {units}),
+        sl AS (SELECT r.b, s.i FROM (SELECT unnest(range({b})) AS b) r, {units} s), {_squares_sql("x", "sl", seed, "i", "b, i")},
+        c AS (SELECT b, x * k.n // {PRIME} // k.size AS blk, count(*) AS m FROM x2, k GROUP BY ALL),
+        dr AS (SELECT b, blk, unnest(range(m)) AS t FROM c), tl AS (SELECT dr.*, (k.n + k.size - 1) // k.size AS blocks FROM dr, k), {_squares_sql("y", "tl", seed + bootstrap.WITHIN, "t * blocks + blk", "b, blk")},
+        drawn AS (SELECT y2.b, u.* FROM y2, k JOIN {units} u ON u.i = blk * k.size + x * least(k.size, k.n - blk * k.size) // {PRIME})"""
 
 
 def _interval_sql(variant: str, units: str, statistic: str, lo: str, hi: str) -> str:
@@ -444,6 +451,18 @@ def bootstrap_kappa(spark, sf_dir):
     return _interval(bootstrap.interval(p, "doc_id", M.weighted_kappa_of("a", "c"), "kappa"), "").drop("variant")
 
 
+@query(f"""
+    WITH p AS (SELECT d.lang || '/' || d.source AS grp, l.quality::DOUBLE AS x, l.toxic::DOUBLE AS y FROM labels l JOIN documents d USING (doc_id) WHERE l.quality IS NOT NULL AND l.toxic IS NOT NULL AND d.lang IS NOT NULL AND d.source IS NOT NULL),
+    g AS (SELECT grp, sum(y - x) AS d, count(*) AS c FROM p GROUP BY grp), u AS (SELECT row_number() OVER (ORDER BY grp) - 1 AS i, count(*) OVER () AS n, d, c FROM g),
+    {_draw_sql(bootstrap.VARIANTS["paired_group"][1], "u", bootstrap.VARIANTS["paired_group"][0])}, st AS (SELECT b, sum(d) / sum(c) AS v FROM drawn GROUP BY b), o AS (SELECT list_sort(list(v)) AS s FROM st)
+    SELECT round((SELECT sum(d) / sum(c) FROM g), 6) AS difference, (SELECT count(*) FROM g) AS groups, round(s[101], 6) AS lo, round(s[3901], 6) AS hi FROM o""")
+def bootstrap_paired_groups(spark, sf_dir):
+    """Difference of two labels' means, resampling whole groups of documents: those of a language and a source."""
+    docs = table(spark, sf_dir, "documents").where("lang IS NOT NULL AND source IS NOT NULL").select("doc_id", F.concat_ws("/", "lang", "source").alias("grp"))
+    pairs = table(spark, sf_dir, "labels").join(docs, "doc_id").select("grp", F.col("quality").cast("double").alias("x"), F.col("toxic").cast("double").alias("y"))
+    return bootstrap.paired_groups(pairs, "grp", "x", "y").select(F.round("difference", 6).alias("difference"), "groups", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+
+
 def _composite_sql(p: str) -> str:
     return f"""(0.5 * coalesce(sum(CASE WHEN a THEN {p}c END) / nullif(count(CASE WHEN a THEN {p}c END), 0), 0) + 0.3 * coalesce(sum({p}s) / nullif(sum({p}t), 0), 0)
         + 0.2 * (coalesce(count(*) FILTER (NOT a AND {p}r) / nullif(count(*) FILTER (NOT a), 0), 1) + 1 - coalesce(count(*) FILTER (a AND {p}r) / nullif(count(*) FILTER (a), 0), 0)) / 2)"""

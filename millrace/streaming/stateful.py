@@ -131,14 +131,15 @@ class _Barriers(StatefulProcessor):
                 out.append(("barrier", t, results))
                 last, results = t, 0
             state[:] = [launch, last, first, results, False]
-        yield self._keep(key, state, out)
+        yield from self._keep(key, state, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         state, out = list(self.clock.get()), []
-        self._settle(state, expiredTimerInfo.getExpiryTimeInMs(), out)
-        yield self._keep(key, state, out)
+        # all that the watermark has passed, as a timer set now would wait for another batch
+        self._settle(state, max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()), out)
+        yield from self._keep(key, state, out)
 
-    def _keep(self, key, state: list, out: list) -> pd.DataFrame:
+    def _keep(self, key, state: list, out: list) -> Iterator[pd.DataFrame]:
         self.clock.update(tuple(state))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
@@ -146,8 +147,9 @@ class _Barriers(StatefulProcessor):
         if not stopped:
             end = launch + self.stop
             self.handle.registerTimer(min(self._due(last, first), end) if results else end)
-        at = pd.to_datetime([o[1] for o in out], unit="ms")
-        return pd.DataFrame({"run": [key[0]] * len(out), "kind": [o[0] for o in out], "at": at, "results": [o[2] for o in out]})
+        if out:
+            at = pd.to_datetime([o[1] for o in out], unit="ms")
+            yield pd.DataFrame({"run": [key[0]] * len(out), "kind": [o[0] for o in out], "at": at, "results": [o[2] for o in out]})
 
     def close(self) -> None:
         pass
@@ -203,7 +205,8 @@ class _Assign(StatefulProcessor):
                 out += [(int(seq), worker, x) for x in held[: int(n)]]
             self.owned.updateValue((worker,), (held,))
         self.ends.update((head, tail))
-        yield pd.DataFrame({"queue": [key[0]] * len(out), "seq": [o[0] for o in out], "worker": [o[1] for o in out], "item": [o[2] for o in out]})
+        if out:
+            yield pd.DataFrame({"queue": [key[0]] * len(out), "seq": [o[0] for o in out], "worker": [o[1] for o in out], "item": [o[2] for o in out]})
 
     def close(self) -> None:
         pass

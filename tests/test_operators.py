@@ -1,5 +1,6 @@
 """Operators on the cases that they exist for."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -307,14 +308,25 @@ def test_gates_go_red(spark):
     assert [(r.path, r.points) for r in gates.leaked_points(report, ["a"]).collect()] == [("p", ["a"])]
 
 
-def test_bootstrap_beyond_one_task(spark, monkeypatch):
-    units = spark.range(60).select(F.col("id").alias("i"), (F.col("id") % 7 / 7).alias("v"))
-    small = {r.b: r.stat for r in bootstrap.replicates(units, "i", F.avg("v"), 50, 3).collect()}
-    for bound in ("MAX_UNITS", "SENT_UNITS"):
-        monkeypatch.setattr(bootstrap, bound, 20, raising=False)
-        large = {r.b: r.stat for r in bootstrap.replicates(units, "i", F.avg("v"), 50, 3).collect()}
-        assert large.keys() == small.keys() and len(large) == 50
-        assert all(abs(large[b] - small[b]) < 1e-12 for b in small)
+def test_bootstrap_over_many_blocks(spark, monkeypatch):
+    """Every resample draws as often as there are units; units and blocks are drawn evenly, by themselves and in pairs."""
+    monkeypatch.setattr(bootstrap, "LEAST_BLOCK", 10)
+    monkeypatch.setattr(bootstrap, "BLOCKS", 6)
+    monkeypatch.setattr(bootstrap, "MAX_UNITS", 20)  # numbered by ranges
+    n, b = 64, 4000  # blocks of 11, the last one of 9
+    units = spark.range(n).select((F.col("id") * 37 % n).alias("i"))
+    got = bootstrap.replicates(units, "i", F.collect_list("i"), b, 3).collect()
+    counts = np.zeros((b, n), int)
+    for r in got:
+        np.add.at(counts[r.b], r.stat, 1)
+    assert len(got) == b and (counts.sum(axis=1) == n).all()
+    # each unit's count is binomial (n, 1/n); sums and variances over replicates lie within five deviations
+    assert abs(counts.mean(axis=0) - 1).max() < 5 / np.sqrt(b)
+    assert abs(counts.var(axis=0) - (1 - 1 / n)).max() < 5 * np.sqrt(3 / b)
+    together = np.corrcoef(counts.T) + np.eye(n) * -1
+    assert abs(together[~np.eye(n, dtype=bool)] + 1 / (n - 1)).max() < 6 / np.sqrt(b)
+    plan = bootstrap.replicates(units, "i", F.avg("i"), b, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
 
 
 def test_bootstrap(spark):

@@ -138,11 +138,27 @@ def test_snapshots_are_verified(spark, tmp_path):
     assert writers.write_snapshot(df, str(tmp_path), "v1").count() == 5
     with pytest.raises(PySparkException):
         writers.write_snapshot(df, str(tmp_path), "v1")
+    assert writers.read_snapshot(spark, str(tmp_path), "v1").count() == 5
+    spark.range(6).toDF("i").write.mode("overwrite").parquet(str(tmp_path / "v1"))
+    with pytest.raises(GateError):
+        writers.read_snapshot(spark, str(tmp_path), "v1")
     with pytest.raises(GateError):
         writers.write_vectors(df, str(tmp_path / "vec"), 6)
     assert writers.markdown_table(spark.createDataFrame([(None, 0.5, "a|b")], "n int, d double, t string")).splitlines()[2] == "| N/A | 0.500 | a\\|b |"
 
 
+def test_fingerprints_count_repeated_rows(spark):
+    """A repeated row swapped for another repeated row is seen, order and partitions are not."""
+    frame = lambda rows: spark.createDataFrame(rows, "a int, t string, m map<string,int>")
+    x, y, z = (1, "x", {"k": 1, "l": 2}), (2, None, None), (3, "", {})
+    mark = writers.fingerprint(frame([x, x, y, z]))
+    assert mark == writers.fingerprint(frame([z, x, y, x]).repartition(3)) and mark[0] == 4
+    for other in ([y, y, x, z], [x, x, z, z], [x, y, z], [x, x, y, y]):
+        assert mark != writers.fingerprint(frame(other))
+    assert writers.fingerprint(frame([x, x, y, y, z])) != writers.fingerprint(frame([z, z, y, y, x]))
+    assert writers.fingerprint(frame([])) == (0, 0, 0)
+
+
 def test_archives(spark, tmp_path):
     buffer = io.BytesIO()
     with tarfile.open(fileobj=buffer, mode="w:gz") as tar:

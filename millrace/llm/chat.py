@@ -8,6 +8,9 @@ Template: ``<|im_start|>role\\n`` + body + ``<|im_end|>\\n`` per turn. Escaping:
 becomes ``<\\|`` (and a line feed in a role ``<\\n``), so no control string survives inside a text. An escape is the
 only place where ``<`` is followed by exactly one backslash, which is why plain replacements undo it.
 
+Placeholders have the names of :data:`UNIT_TOKENS`; a part of any other kind gets the one of :data:`OTHER_KIND`, and its
+kind, whatever it says, is recorded with the attachment only. :func:`read_parts` gives parts back.
+
 Defined cases: a null text or role counts as empty; a null turn comes first; rows with equal turns are ordered by role,
 then text; repeated rows stay as repeated turns; an empty table gives an empty result; every row without a ``conv_id``
 is a conversation of its own, so such rows never meet in one task; other columns are not read. A conversation is one
@@ -22,6 +25,8 @@ from pyspark.sql import functions as F
 START, END = "<|im_start|>", "<|im_end|>"
 #: Expanded tokens of one unit of an attachment: a tile of an image, a second of audio, a page of a document.
 UNIT_TOKENS = {"image": 256, "audio": 25, "document": 512}
+OTHER_KIND = "attachment"
+_PLACEHOLDER = r"<\|(?:" + "|".join([*UNIT_TOKENS, OTHER_KIND]) + r")\|>"
 PART = "struct<kind:string,text:string,ref:string,units:double>"
 
 
@@ -48,9 +53,8 @@ def _segment(text: Column, loss: Column | None = None) -> Column:
 def _visit(part: Column, loss: Column) -> Column:
     """The segment of one part."""
     kind = F.coalesce(part["kind"], F.lit("text"))
-    return F.when(kind == "text", _segment(escape(F.coalesce(part["text"], F.lit(""))), loss)).otherwise(
-        _segment(F.concat(F.lit("<|"), escape_role(kind), F.lit("|>")))
-    )
+    name = F.when(kind.isin(*UNIT_TOKENS), kind).otherwise(F.lit(OTHER_KIND))
+    return F.when(kind == "text", _segment(escape(F.coalesce(part["text"], F.lit(""))), loss)).otherwise(_segment(F.concat(F.lit("<|"), name, F.lit("|>"))))
 
 
 def _attachment(part: Column, turn: Column) -> Column:
@@ -112,6 +116,26 @@ def read_back(formatted: Column) -> Column:
     )
 
 
+def read_parts(formatted: Column) -> Column:
+    """The turns of a formatted conversation with their parts: array of role and an array of kind and text, in order.
+
+    Text parts beside each other have become one; the others have a null text, and their references are in order those
+    of ``attachments``.
+    """
+    turns = F.slice(F.split(formatted, r"<\|im_start\|>"), F.lit(2), F.greatest(F.size(F.split(formatted, r"<\|im_start\|>")) - 1, F.lit(0)))
+
+    def part(x: Column) -> Column:
+        kind = F.when(F.rlike(x, F.lit(f"^{_PLACEHOLDER}$")), F.substring(x, F.lit(3), F.length(x) - 4)).otherwise(F.lit("text"))
+        return F.struct(kind.alias("kind"), F.when(kind == "text", unescape(x)).alias("text"))
+
+    def turn(t: Column) -> Column:
+        body = F.regexp_replace(F.substr(t, F.locate("\n", t) + 1), r"<\|im_end\|>\n\z", "")
+        pieces = F.filter(F.split(body, f"(?={_PLACEHOLDER})|(?<={_PLACEHOLDER})"), lambda x: x != "")
+        return F.struct(unescape_role(F.substring_index(t, "\n", 1)).alias("role"), F.transform(pieces, part).alias("parts"))
+
+    return F.transform(turns, turn)
+
+
 def masked_text(segments: Column) -> Column:
     """All text under the loss mask, unescaped and joined."""
     return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")

@@ -30,6 +30,8 @@ from millrace.session import bounded_batches
 
 #: Bound of the labelled rows that the classifier is fitted on, taken in hash order.
 TRAIN_ROWS = 12_000
+#: Bound of the words that a text gives to the fit (texts are scored whole), and the runs that a longer one gives them in.
+FIT_WORDS, FIT_RUNS = 8192, 32
 #: Of those, one in so many calibrates and stops the fit.
 HOLD_OUT = 5
 LEAST_CLASS = 10
@@ -305,6 +307,22 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
+def spread(words: np.ndarray, first: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``most`` words of each text (:data:`FIT_WORDS`), in :data:`FIT_RUNS` runs from all over it, and offsets."""
+    most = most or FIT_WORDS
+    size = np.diff(first)
+    if (size <= most).all():
+        return words, first
+    parts, run = [], max(1, most // FIT_RUNS)
+    for lo, n in zip(first[:-1].tolist(), size.tolist(), strict=True):
+        if n <= most:
+            parts.append(words[lo : lo + n])
+        else:
+            begins = lo + np.linspace(0, n - run, most // run).astype(np.int64)
+            parts.append(words[(begins[:, None] + np.arange(run)).reshape(-1)])
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, seed: int = 11) -> Network | None:
     """Fit on at most ``rows`` labelled rows of ``docs``, none of them held out; None if a class is too small."""
     bounded_batches(docs.sparkSession)
@@ -315,13 +333,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, seed: int
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, 1):
             h, p, first = _hash_both(batch.column(1))
-            words = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(pack(h, p).view(np.int32)))
+            packed, at = spread(pack(h, p).view(np.int32), first)
+            words = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(packed))
             lang = pa.array(guess_language(h, first).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), words, lang, batch.column(2), batch.column(3)], names=["doc_id", "words", "lang", "toxic", "order"])
 
     marks = F.broadcast(marks)  # at most `rows` rows
     sample = docs.select("doc_id", "text").join(marks, "doc_id").mapInArrow(hashed, "doc_id long, words array<int>, lang int, toxic int, order long")
-    table = sample.toArrow()
+    # an id may have many documents, so rows are cut again where the driver takes them
+    table = sample.orderBy("order", "doc_id", F.xxhash64("words"), "words").limit(rows).toArrow()
     order = np.lexsort((table.column("doc_id").to_numpy(), table.column("order").to_numpy()))
     lists = table.column("words").combine_chunks()
     words, at = lists.values.to_numpy().view(np.uint32), lists.offsets.to_numpy()

@@ -6,7 +6,9 @@ name its digest and id and leave the payload out.
 
 The reader cuts archives in byte ranges. A task looks for the gzip magic in its range, takes a candidate only if it
 decodes to a WARC header and ends where another member or the file ends, and owns the records that start in its range;
-it reads on beyond the range to end its last record, and nothing is read twice but that.
+it reads on beyond the range to end its last record. Members that stand inside a record's stored block look like
+records, however many there are, but end before it does: a first pass finds where each range's last record ends, and a
+range begins where the farthest of those before it ends, so what lies within a record of theirs is never taken.
 
 Defined cases: a null payload is empty; a null url is an empty target; of repeated rows with one id and payload one is
 the response and the others revisit it; a row without an id revisits one with an id, and is a response where none of
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.words import chunks
@@ -198,6 +200,24 @@ def _starts(window: _Window, lo: int, hi: int) -> tuple[bytes, int, int] | None:
     return None
 
 
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Where the last record that starts in each range ends; ranges without one have no row."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            fs, path = pafs.FileSystem.from_uri(r["path"])
+            with fs.open_input_file(path) as file:
+                window, end = _Window(file, r["size"]), None
+                record = _starts(window, r["lo"], r["hi"])
+                while record is not None:
+                    end = max(end or 0, record[2])
+                    if end >= r["hi"]:
+                        break
+                    member = _member(window, record[2])
+                    record = (member[0], record[2], member[1]) if member else _starts(window, record[2] + 1, r["hi"])
+            if end is not None:
+                yield pa.RecordBatch.from_pydict({"path": [r["path"]], "lo": [r["lo"]], "end": [end]})
+
+
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in READ.split(", ")]
     types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
@@ -207,7 +227,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fs, path = pafs.FileSystem.from_uri(r["path"])
             with fs.open_input_file(path) as file:
                 window, rows, held = _Window(file, r["size"]), [], 0
-                record = _starts(window, r["lo"], r["hi"])
+                record = _starts(window, max(r["lo"], r["begin"]), r["hi"])
                 while record is not None:
                     rows.append(_parse(record[0]))
                     held += len(record[0])
@@ -228,7 +248,13 @@ def read_warc(spark: SparkSession, archives: list[tuple[str, int]], split_bytes:
     ranges = files.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("lo"))
     ranges = ranges.withColumn("hi", F.least(F.col("lo") + split_bytes, F.col("size")))
     count = max(1, min(100_000, sum(-(-n // split_bytes) for _, n in archives)))
-    return ranges.repartition(count, F.xxhash64("path", "lo")).mapInArrow(_reader, READ)
+    dealt = ranges.repartition(count, F.xxhash64("path", "lo"))
+    cut = dealt.where(F.col("size") > split_bytes)  # an archive of one range has nothing before it
+    ends = cut.mapInArrow(_ends, "path string, lo long, end long")
+    before = Window.partitionBy("path").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
+    begins = ranges.join(ends, ["path", "lo"], "left").select("path", "lo", F.coalesce(F.max("end").over(before), F.lit(0).cast("long")).alias("begin"))
+    placed = ranges.join(begins, ["path", "lo"]).where("begin < hi")  # a row a range
+    return placed.repartition(count, F.xxhash64("path", "lo")).mapInArrow(_reader, READ)
 
 
 def op7_warc(spark, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import pii, sentencepiece, toxicity
 
@@ -67,6 +68,19 @@ def plain_score(net, text):
     return 1 / (1 + np.exp(-z))
 
 
+def test_the_fit_is_bounded_in_rows_and_words(spark, monkeypatch):
+    """One id with many documents, and very long texts, send no more to the driver than the documented bounds."""
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic, *rest: seen.append((len(texts), max(map(len, texts)), len(toxic))))
+    many = next(i for i in range(2000) if zlib.crc32(str(i).encode()) % 3 != 1)  # not held out
+    docs = spark.range(3000).select(F.when(F.col("id") < 2000, F.lit(many)).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 500 == 0, F.repeat(F.lit("word "), 50_000)).otherwise(F.lit("a b")).alias("text"))
+    labels = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    toxicity.train(docs, labels, rows=700)
+    assert seen == [(700, toxicity.FIT_WORDS, 700)]
+    words, at = toxicity.spread(np.arange(100), np.array([0, 3, 3, 100]), 32)
+    assert at.tolist() == [0, 3, 3, 35] and words[:3].tolist() == [0, 1, 2] and words[3] == 3 and words[-1] == 99 and (np.diff(words) > 0).all()
+
+
 def test_scores_equal_a_plain_forward_pass(spark):
     """Word by word and filter by filter, as the network is defined."""
     docs, labels = toxic_table(spark, 400)

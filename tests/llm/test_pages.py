@@ -229,6 +229,20 @@ def test_nested_members_are_not_records(spark, tmp_path):
     assert sorted(r.page_id for r in got) == [1, 2]
 
 
+@pytest.mark.parametrize("inner", [2, 3])
+def test_chains_of_nested_members_are_not_records(spark, tmp_path, inner):
+    """Members one after another in a stored block, at splits that begin before, in and behind each of them."""
+    nested = b"".join(warc.encode_record(70 + i, "u", b"inner %d" % i, True, None) for i in range(inner))
+    head = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nWARC-Target-URI: u\r\nContent-Length: "
+    block = b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % len(nested) + nested
+    outer = gzip.compress(head + b"%d\r\n\r\n" % len(block) + block + b"\r\n\r\n", compresslevel=0)
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(warc.encode_record(5, "u", b"five", True, None) + outer + warc.encode_record(2, "u", b"two", True, None) + outer + warc.encode_record(3, "u", b"three", True, None))
+    for split in range(40, path.stat().st_size + 50, 97):
+        got = warc.read_warc(spark, [(str(path), path.stat().st_size)], split).collect()
+        assert sorted(r.page_id for r in got) == [1, 1, 2, 3, 5], split
+
+
 def test_empty_table_writes_nothing(spark):
     folder = scratch_path(spark, "warc")
     assert warc.write_warc(spark.createDataFrame([], PAGES), folder) == []

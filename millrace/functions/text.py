@@ -166,8 +166,12 @@ def adapt(prompt: Column, changes: Sequence[tuple[str, str]]) -> Column:
     return prompt
 
 
-def tiers(title: Column, text: Column, names: Sequence[str] = ("Platinum", "Gold", "Essential", "Standard", "Premier", "Premium")) -> Column:
-    """Sorted distinct tier names in a title and the first 400 characters of a text."""
+# Tier names, those of a brand first.
+TIERS = ("Admiral Platinum", "Admiral Gold", "Platinum", "Gold", "Essential", "Standard", "Premier", "Premium")
+
+
+def tiers(title: Column, text: Column, names: Sequence[str] = TIERS) -> Column:
+    """Sorted distinct tier names in a title and the first 400 characters of a text; a longer name is taken whole."""
     head = F.concat_ws(" ", title, F.substring(text, 1, 400))
     return F.array_sort(F.array_distinct(F.regexp_extract_all(head, F.lit("\\b(" + "|".join(names) + ")\\b"), F.lit(1))))
 
@@ -245,8 +249,12 @@ def digest24(*fields: tuple[str, Column]) -> Column:
 
 
 def strict_json(text: Column) -> Column:
-    """Whether a text is JSON without repeated keys or non-finite numbers."""
-    return F.try_parse_json(text).isNotNull()
+    """Whether a text is one JSON value without repeated keys or non-finite numbers.
+
+    The parser takes what follows a value for nothing, so the text has to parse within brackets and as a member.
+    """
+    within = [F.try_parse_json(F.concat(F.lit(before), text, F.lit(after))).isNotNull() for before, after in (("[", "]"), ('{"v":', "}"))]
+    return F.coalesce(within[0] & within[1], F.lit(False))
 
 
 def difflib_ratio(candidate: Column, protected: Column) -> Column:

@@ -118,6 +118,34 @@ def chunk(sectioned: DataFrame) -> DataFrame:
     return sectioned.select(*names, "text").mapInArrow(run, f"{ddl}, part int, text string")
 
 
+class PackChunks:
+    """A table function: rows ``(doc, island, at, paragraph)`` of a section, in order, become its chunks.
+
+    Its argument is a table partitioned by document and section and ordered by ``at``, so it never sees two sections at
+    once; what it holds is one section.
+    """
+
+    COLUMNS = "doc long, island long, part int, text string"
+
+    def __init__(self):
+        self.key, self.paragraphs = None, []
+
+    def eval(self, row):
+        self.key = row["doc"], row["island"]
+        self.paragraphs.append(row["paragraph"])
+
+    def terminate(self):
+        if self.key is not None:
+            for part, text in enumerate(pack(GAP.join(self.paragraphs)), 1):
+                yield *self.key, part, text
+
+
+def chunk_by_function(sectioned: DataFrame) -> DataFrame:
+    """As :func:`chunk`, ``(doc, island, part, text)``, by the table function over exploded paragraphs."""
+    rows = sectioned.select("doc", "island", F.posexplode(F.split(F.coalesce("text", F.lit("")), GAP)).alias("at", "paragraph"))
+    return F.udtf(PackChunks, returnType=PackChunks.COLUMNS)(rows.asTable().partitionBy("doc", "island").orderBy("at"))
+
+
 def suffix_duplicates(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Ids made unique in order of arrival: the second is ``id~2``.
 

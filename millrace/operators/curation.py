@@ -248,12 +248,28 @@ def latest_checkpoints(members: DataFrame, complete: DataFrame) -> DataFrame:
     return kept.select(*members.columns).unionByName(members.where("step is null"))
 
 
+#: Rows of a group that meet in one task; larger groups are compared in tiles.
+TILE_ROWS = 2048
+
+
 def uncovered_pairs(rows: DataFrame, group: str, order: str, covered: Sequence[str]) -> DataFrame:
-    """``(group, a, b)``: pairs of a group, first to last, of which neither lists the other in a ``covered`` array."""
-    c = [F.col(n) for n in covered]
-    a = rows.select(F.col(group).alias("group"), F.col(order).alias("a"), *(x.alias(f"a_{i}") for i, x in enumerate(c)))
-    b = rows.select(F.col(group).alias("group"), F.col(order).alias("b"), *(x.alias(f"b_{i}") for i, x in enumerate(c)))
+    """``(group, a, b)``: pairs of a group, first to last, of which neither lists the other in a ``covered`` array.
+
+    A group of more than :data:`TILE_ROWS` rows is dealt into parts, and every two parts, or one with itself, are a
+    key of their own: no task joins more than two parts, however large a group is. That there is a row a pair is the
+    feature; what is shuffled is a row a part.
+    """
+    c = [F.col(n).alias(f"_{i}") for i, n in enumerate(covered)]
+    held = rows.select(F.col(group).alias("group"), F.col(order).alias("at"), *c)
+    large = held.groupBy("group").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("parts")).where("parts > 1")  # a row a large group
+    held = held.join(large, "group", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    held = held.withColumn("part", F.pmod(F.xxhash64("at"), F.col("parts")).cast("int"))
+    tiled = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tiled = tiled.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
+    side = lambda s: tiled.select("group", "low", "high", F.col("at").alias(s), F.col("part").alias(f"{s}_part"), *(F.col(f"_{i}").alias(f"{s}_{i}") for i in range(len(c))))
     known = F.lit(False)
     for i in range(len(c)):
         known = known | F.coalesce(F.array_contains(f"a_{i}", F.col("b")), F.lit(False)) | F.coalesce(F.array_contains(f"b_{i}", F.col("a")), F.lit(False))
-    return a.join(b, "group").where((F.col("a") < F.col("b")) & ~known).select("group", "a", "b")
+    # two rows of one part meet in that part's own tile only
+    once = (F.col("low") == F.col("high")) | (F.col("a_part") != F.col("b_part"))
+    return side("a").join(side("b"), ["group", "low", "high"]).where((F.col("a") < F.col("b")) & once & ~known).select("group", "a", "b")

@@ -10,6 +10,7 @@ from millrace.graph import connected_components
 from millrace.operators import corpus as C
 from millrace.operators import decontam as D
 from millrace.operators import retrieval as R
+from millrace.operators import vector_cells as VC
 from millrace.operators import splits as S
 from millrace.plans.registry import query
 from millrace.session import table
@@ -95,7 +96,7 @@ def sections_by_heading(spark, sf_dir):
 SPACES = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
-@query(rf"""
+_CHUNKS_SQL = rf"""
     WITH RECURSIVE {SECTIONS_SQL.replace("SELECT doc_id, regexp_replace(regexp_replace(coalesce", "SELECT doc_id, island, regexp_replace(regexp_replace(coalesce")},
     p AS (SELECT doc_id, island, text, list_filter(string_split(text, chr(10) || chr(10)), lambda x: regexp_replace(x, '{SPACES}+', '', 'g') <> '') AS blocks FROM t WHERE length(text) >= 40),
     r AS (SELECT doc_id, island, blocks, 0 AS k, '' AS buf, CAST(NULL AS INTEGER) AS n FROM p WHERE length(text) > 1700
@@ -108,13 +109,23 @@ SPACES = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}
     joined AS (SELECT d.doc_id, d.island, d.k, d.n + CASE WHEN l.k = d.k AND t.n < 350 THEN t.n + 2 ELSE 0 END AS n FROM done d JOIN last l ON l.doc_id = d.doc_id AND l.island = d.island JOIN tail t ON t.doc_id = d.doc_id AND t.island = d.island
                UNION ALL SELECT t.doc_id, t.island, t.k, t.n FROM tail t LEFT JOIN last l ON l.doc_id = t.doc_id AND l.island = t.island WHERE l.k IS NULL OR t.n >= 350
                UNION ALL SELECT doc_id, island, 1, length(text) FROM p WHERE length(text) <= 1700)
-    SELECT doc_id, CAST(island AS BIGINT) AS island, CAST(row_number() OVER (PARTITION BY doc_id, island ORDER BY k) AS INTEGER) AS part, CAST(n AS INTEGER) AS n_chars FROM joined""")
+    SELECT doc_id, CAST(island AS BIGINT) AS island, CAST(row_number() OVER (PARTITION BY doc_id, island ORDER BY k) AS INTEGER) AS part, CAST(n AS INTEGER) AS n_chars FROM joined"""
+
+
+@query(_CHUNKS_SQL)
 def chunk_pack(spark, sf_dir):
     """Chunks of all sections, by the lengths of their paragraphs."""
     chunks = C.chunk(C.sections(_marked(spark, sf_dir)))
     return chunks.select(F.col("doc").alias("doc_id"), "island", "part", F.length("text").alias("n_chars"))
 
 
+@query(_CHUNKS_SQL)
+def chunk_pack_by_function(spark, sf_dir):
+    """The same by a table function over a partitioned, ordered table of paragraphs."""
+    chunks = C.chunk_by_function(C.sections(_marked(spark, sf_dir)).withColumn("island", F.col("island").cast("long")))
+    return chunks.select(F.col("doc").alias("doc_id"), "island", "part", F.length("text").alias("n_chars"))
+
+
 @query("""
     SELECT source || CASE WHEN n = 1 THEN '' ELSE '~' || n END AS id, doc_id
     FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)""")
@@ -262,16 +273,25 @@ def normalisers(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.fold(t), 256).alias("folded"), F.sha2(X.norm_words(t), 256).alias("words"))
 
 
-@query("""
+_TOPK_SQL = """
     WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0),
     s AS (SELECT query_id, vec_id, round(list_cosine_similarity(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS score FROM q, embeddings WHERE query_id <> vec_id),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
-    SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 6""")
+    SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 6"""
+
+
+@query(_TOPK_SQL)
 def vector_topk(spark, sf_dir):
     """Six nearest vectors of every query; queries are the ids divisible by 100."""
     return R.rerank(R.top_k(*_vectors(spark, sf_dir))).select("query_id", "vec_id", "score", "rank")
 
 
+@query(_TOPK_SQL)
+def vector_topk_in_cells(spark, sf_dir):
+    """The same by cells of the vectors, leaving out those that cannot hold a near one."""
+    return R.rerank(VC.top_k_in_cells(*_vectors(spark, sf_dir))).select("query_id", "vec_id", "score", "rank")
+
+
 def _vectors(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     queries = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))

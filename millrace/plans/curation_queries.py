@@ -521,12 +521,12 @@ def shown_refusals(spark, sf_dir):
 
 
 @query("""
-    WITH t AS (SELECT doc_id, regexp_extract_all(['Gold', 'cover', 'Platinum'][doc_id % 3 + 1] || ' ' || substr(['x Premier Gold ', 'Essential '][doc_id % 2 + 1] || text, 1, 400), '\\b(Platinum|Gold|Essential|Standard|Premier|Premium)\\b', 1) AS t FROM documents)
+    WITH t AS (SELECT doc_id, regexp_extract_all(['Gold', 'cover', 'Platinum'][doc_id % 3 + 1] || ' ' || substr(['x Premier Gold ', 'Admiral Gold or Gold '][doc_id % 2 + 1] || text, 1, 400), '\\b(Admiral Platinum|Admiral Gold|Platinum|Gold|Essential|Standard|Premier|Premium)\\b', 1) AS t FROM documents)
     SELECT doc_id, array_to_string(list_sort(list_distinct(t)), ',') AS tiers FROM t""")
 def tier_tags(spark, sf_dir):
     """Sorted tier names in a title and the first 400 characters of a text."""
     doc_id = F.col("doc_id")
-    text = F.concat(_pick(doc_id % 2, "x Premier Gold ", "Essential "), "text")
+    text = F.concat(_pick(doc_id % 2, "x Premier Gold ", "Admiral Gold or Gold "), "text")
     return _docs(spark, sf_dir).select("doc_id", F.array_join(X.tiers(_pick(doc_id, "Gold", "cover", "Platinum"), text), ",").alias("tiers"))
 
 

@@ -255,3 +255,14 @@ def test_wide_form_of_metrics(spark):
     long = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0)], "k string, metric string, value double")
     assert metrics.to_wide(long, ["k"], ["x", "y"]).first().asDict() == {"k": "a", "x": 1.0, "y": 2.0}
     assert gates.GateError is GateError and set(ORACLE_SQL) <= set(QUERIES)
+
+
+def test_tiles_of_a_group_meet_each_pair_once(spark, monkeypatch):
+    """A group far beyond a tile, with repeated rows, gives the pairs of one join, and no key holds more than two parts."""
+    monkeypatch.setattr(curation, "TILE_ROWS", 8)
+    rows = [("g", i, [i + 1, i + 2], [i - 5] if i % 3 == 0 else None) for i in range(90)] + [("g", 7, [], None), ("h", 1, [], None), ("h", 2, [1], None), ("h", 3, None, None), (None, 1, [], None), (None, 2, [], None)]
+    df = spark.createDataFrame(rows, "q string, k int, near array<int>, far array<int>")
+    got = [tuple(r) for r in curation.uncovered_pairs(df, "q", "k", ["near", "far"]).collect()]
+    lists = lambda r: (r[2] or []) + (r[3] or [])
+    expected = [(x[0], x[1], y[1]) for x in rows for y in rows if x[0] and x[0] == y[0] and x[1] < y[1] and y[1] not in lists(x) and x[1] not in lists(y)]
+    assert sorted(got) == sorted(expected) and len(got) > 3000

@@ -450,3 +450,57 @@ def batch_pack(spark, sf_dir):
     """Documents in judging batches: ten at most, one of each source, bounded bytes; a larger one is a batch alone."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.octet_length("text").alias("size"))
     return pack_batches(docs, "doc_id", "source", "size", shards=2, oversized="alone").select("doc_id", "source", "size", "batch")
+
+
+_VOTED = """
+    SELECT d.doc_id, d.n_chars AS n, l.quality = 1 AS answerable, l.toxic = 1 AS abstains, d.text, left(d.text, 200) AS ref, d.lang <> 'de' AS complete, d.n_chars < 9000 AS ended,
+        CASE d.n_chars % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 WHEN 2 THEN 0.0 END AS c, CASE WHEN l.toxic = 1 AND d.n_chars % 8 > 0 THEN NULL WHEN d.n_chars % 3 = 0 THEN 1.0 WHEN d.n_chars % 3 = 1 THEN 0.5 ELSE 0.0 END AS s,
+        d.n_chars % 4 = 2 AS wrong, d.n_chars % 5 = 0 AS claim, d.n_chars % 7 = 0 AS contra, d.n_chars % 9 > 2 AS review, d.n_chars % 3 AS f1,
+        left(d.text, 30) AS e1, CASE WHEN d.n_chars % 19 = 0 THEN 'not said anywhere' ELSE substr(d.text, 11, 20) END AS e2,
+        CASE WHEN d.n_chars % 23 = 0 THEN ['invented'] WHEN d.n_chars % 10 < 8 THEN [left(d.text, 20)] ELSE [] END AS refs,
+        CASE WHEN l.toxic = 1 AND d.n_chars % 8 <> 3 THEN CASE WHEN l.quality = 1 THEN 'incorrect_abstention' ELSE 'correct_abstention' END WHEN d.n_chars % 29 = 0 THEN 'other' ELSE 'correct_answer' END AS cat,
+        CASE WHEN d.n_chars % 31 = 0 THEN 'sure' WHEN d.n_chars % 9 > 6 THEN 'low' ELSE 'high' END AS conf,
+        CASE WHEN d.n_chars % 37 = 0 THEN ['odd'] WHEN d.n_chars % 12 = 5 THEN ['borderline'] WHEN d.n_chars % 17 = 0 THEN ['missing_reference'] WHEN d.n_chars >= 9000 AND d.n_chars % 2 = 0 THEN ['incomplete_output'] ELSE [] END AS flags, left(d.text, 10) AS why
+    FROM documents d JOIN labels l ON l.doc_id = d.doc_id"""
+_CATEGORY_SQL, _FLAG_SQL, _SEVERE_SQL = ("(" + ", ".join(f"'{x}'" for x in names) + ")" for names in (V.CATEGORIES, V.FLAGS, V.SEVERE))
+_VOTE_RULES = [
+    ("ungrounded_span", "contains(text, e1) AND (f1 = 0 OR trim(e1, ' ') <> '') AND contains(text, e2) AND trim(e2, ' ') <> ''"),
+    ("invented_reference", "len(refs) = 0 OR (trim(refs[1], ' ') <> '' AND contains(ref, refs[1]))"),
+    ("category", f"cat IN {_CATEGORY_SQL} AND conf IN ('high', 'medium', 'low')"),
+    ("reason", f"len(list_filter(flags, lambda x: x NOT IN {_FLAG_SQL})) = 0 AND trim(why, ' ') <> ''"),
+    ("material_error_scores_zero", "NOT (wrong OR contra) OR c IS NOT DISTINCT FROM 0.0"),
+    ("contradicted_support", "NOT contra OR s IS NULL OR s = 0"),
+    ("unsupported_full_support", "NOT (claim AND s IS NOT DISTINCT FROM 1.0)"),
+    ("refusal_scores", "NOT (abstains AND answerable) OR c IS NULL OR c = 0"),
+    ("refusal_support", "NOT abstains OR s IS NULL"),
+    ("missing_reference_scored", "complete OR (abstains AND NOT answerable) OR (c IS NULL AND s IS NULL)"),
+    ("support_without_span", "coalesce(s, 0) = 0 OR len(refs) > 0"),
+    ("absent_support_unflagged", "s IS DISTINCT FROM 0.0 OR len(refs) > 0 OR claim OR contra"),
+    ("severe_flag_scored", f"len(list_filter(flags, lambda x: x IN {_SEVERE_SQL})) = 0 OR (c IS NULL AND s IS NULL)"),
+    ("uncertainty_needs_review", "NOT (c IS NULL OR len(flags) > 0 OR conf = 'low') OR review"),
+    ("incomplete_unflagged", "ended OR list_contains(flags, 'incomplete_output')"),
+    ("abstention_category", "NOT abstains OR cat = 'uncertain' OR cat = CASE WHEN answerable THEN 'incorrect_abstention' ELSE 'correct_abstention' END"),
+]
+
+
+@query(f"SELECT doc_id, CASE {' '.join(f'''WHEN NOT coalesce({rule}, false) THEN '{name}' ''' for name, rule in _VOTE_RULES)} END AS problem FROM ({_VOTED})")
+def semantic_vote_rules(spark, sf_dir):
+    """The first cross-field rule that a vote on a labelled document breaks, of votes made from its length, labels and text."""
+    n, t = F.col("n_chars"), F.col("text")
+    toxic, quality = F.col("toxic") == 1, F.col("quality") == 1
+    none = F.array().cast("array<string>")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
+    category = F.when(toxic & (n % 8 != 3), F.when(quality, "incorrect_abstention").otherwise("correct_abstention")).when(n % 29 == 0, "other").otherwise("correct_answer")
+    flags = F.when(n % 37 == 0, F.array(F.lit("odd"))).when(n % 12 == 5, F.array(F.lit("borderline"))).when(n % 17 == 0, F.array(F.lit("missing_reference")))
+    flags = flags.when((n >= 9000) & (n % 2 == 0), F.array(F.lit("incomplete_output"))).otherwise(none)
+    vote = F.struct(
+        F.col("doc_id").cast("string").alias("evaluation_id"), F.when(n % 4 == 0, 1.0).when(n % 4 == 1, 0.5).when(n % 4 == 2, 0.0).alias("correctness"),
+        F.when(toxic & (n % 8 > 0), F.lit(None).cast("double")).when(n % 3 == 0, 1.0).when(n % 3 == 1, 0.5).otherwise(0.0).alias("evidence_support"),
+        (n % 4 == 2).alias("materially_incorrect"), (n % 5 == 0).alias("unsupported_material_claim"), (n % 7 == 0).alias("contradiction"), (n % 9 > 2).alias("needs_human_review"),
+        F.array((n % 3).cast("int"), F.lit(1)).alias("fact_scores"), F.array(F.substring(t, 1, 30), F.when(n % 19 == 0, "not said anywhere").otherwise(F.substring(t, 11, 20))).alias("evidence_spans"),
+        F.when(n % 23 == 0, F.array(F.lit("invented"))).when(n % 10 < 8, F.array(F.substring(t, 1, 20))).otherwise(none).alias("reference_spans"), category.alias("abstention_category"),
+        F.when(n % 31 == 0, "sure").when(n % 9 > 6, "low").otherwise("high").alias("judge_confidence"), flags.alias("uncertainty_flags"), F.substring(t, 1, 10).alias("reason"))
+    task = F.struct(
+        F.col("doc_id").cast("string").alias("evaluation_id"), F.array("lang", "text").alias("key_facts"), F.array(F.struct(F.substring(t, 1, 200).alias("text"))).alias("reference_evidence"), t.alias("model_answer"),
+        quality.alias("gold_answerable"), toxic.alias("deterministic_abstention"), (F.col("lang") != "de").alias("reference_complete"), (n < 9000).alias("output_complete"))
+    return rows.select("doc_id", vote.alias("v"), task.alias("t")).select("doc_id", V.first_breach(V.semantic_rules()).alias("problem"))

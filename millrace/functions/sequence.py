@@ -11,6 +11,10 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
+import numpy as np
+
+NONE = np.zeros(0, np.int64)
+
 
 def _right(places: list[int]) -> list[int]:
     """How many places on end begin with each one."""
@@ -21,14 +25,20 @@ def _right(places: list[int]) -> list[int]:
     return out
 
 
+def indexed_characters(text: str) -> str:
+    """The characters of a second text that matches start at."""
+    n = len(text)
+    return "".join(c for c in set(text) if n < 200 or text.count(c) <= n // 100 + 1)
+
+
 class Text:
     """A text, where its characters stand, and its runs of indexed characters."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, indexed: str | None = None):
         self.text = text
-        n = len(text)
         # what a second text is indexed by
-        self.indexed = [c for c in set(text) if n < 200 or text.count(c) <= n // 100 + 1]
+        self.indexed = indexed_characters(text) if indexed is None else indexed
+        self._arrays: dict[str, np.ndarray] = {}
         self._places: dict[str, list[int]] = {}
         self._starts: tuple[list[int], list[int]] | None = None
         self._runs: dict[int, dict[str, list[int]]] = {}
@@ -42,6 +52,11 @@ class Text:
             self._places[c] = found
         return self._places[c]
 
+    def place_array(self, c: str) -> np.ndarray:
+        if c not in self._arrays:
+            self._arrays[c] = np.array(self.places(c), np.int64)
+        return self._arrays[c]
+
     def runs(self, k: int) -> dict[str, list[int]]:
         """Places of runs of ``k`` indexed characters by their text."""
         if k not in self._runs:
@@ -79,13 +94,14 @@ class _Pair:
 
     def __init__(self, first: Text, second: Text):
         self.a, self.second = first.text, second
-        places = sorted(i for c in second.indexed for i in first.places(c))
-        self.starts: dict[int, list[int]] = {1: places}
-        self.length = _right(places)
+        self.all = np.sort(np.concatenate([NONE, *(first.place_array(c) for c in second.indexed)]))
+        self.starts: dict[int, list[int]] = {1: self.all.tolist()}
 
     def starts_of(self, k: int) -> list[int]:
         if k not in self.starts:
-            self.starts[k] = [i for i, n in zip(self.starts[1], self.length, strict=True) if n >= k]
+            # k places on end begin where the place k - 1 further on is k - 1 larger
+            at = self.all
+            self.starts[k] = at[: len(at) - k + 1][at[k - 1 :] - at[: len(at) - k + 1] == k - 1].tolist() if len(at) >= k else []
         return self.starts[k]
 
     def first_run(self, k: int, alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int] | None:

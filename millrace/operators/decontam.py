@@ -95,8 +95,8 @@ def _counters(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, int]:
     return held.astype(np.uint8), int((full - held).sum())
 
 
-def _profile(text: str) -> tuple[int, bytes, int, bytes, int, bytes]:
-    """Length, counters of what SequenceMatcher indexes of this text as the second one, and counters with their excess.
+def _profile(text: str) -> tuple[int, str, bytes, int, bytes, int, bytes]:
+    """Length, characters and counters of what SequenceMatcher indexes of this text as the second one, and counters with their excess.
 
     From 200 characters on it seeds matches only at characters that make up at most a hundredth of the second text, so
     each block holds one of those, but for one that may begin both texts.
@@ -108,15 +108,15 @@ def _profile(text: str) -> tuple[int, bytes, int, bytes, int, bytes]:
     rare = np.bincount((_gram_hashes(seeds[0], 1) % np.uint64(CHARS)).astype(np.int64), weights=seeds[1], minlength=CHARS).astype(np.int32)
     chars, more_chars = _counters(_gram_hashes(codes, 1), CHARS)
     grams, more_grams = _counters(_gram_hashes(codes, GRAM), GRAMS)
-    return n, rare.tobytes(), more_chars, chars.tobytes(), more_grams, grams.tobytes()
+    return n, "".join(map(chr, seeds[0].tolist())), rare.tobytes(), more_chars, chars.tobytes(), more_grams, grams.tobytes()
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
         columns = zip(*map(_profile, batch.column(1).to_pylist()), strict=True)
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary())
+        kinds = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary())
         arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=["id", "text", "band", "part", "n", "rare", "more_chars", "chars", "more_grams", "grams"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=["id", "text", "band", "part", "n", "indexed", "rare", "more_chars", "chars", "more_grams", "grams"])
 
 
 def _banded(rows: DataFrame, ratio: float) -> tuple[DataFrame, dict[int, int]]:
@@ -135,7 +135,7 @@ def _write_blocks(rows: DataFrame, parts: dict[int, int], name: str) -> str:
         of = F.create_map(*(F.lit(x) for item in parts.items() for x in item))
         placed = rows.where(F.col("band").isin(*parts)).withColumn("part", F.pmod(F.xxhash64("id", "text"), of[F.col("band")]).cast("int"))
         kind = rows.schema["id"].dataType.simpleString()
-        made = placed.repartition(sum(parts.values()), "band", "part").mapInArrow(_profiles, f"id {kind}, text string, band int, part int, n long, rare binary, more_chars long, chars binary, more_grams long, grams binary")
+        made = placed.repartition(sum(parts.values()), "band", "part").mapInArrow(_profiles, f"id {kind}, text string, band int, part int, n long, indexed string, rare binary, more_chars long, chars binary, more_grams long, grams binary")
         made.write.partitionBy("band", "part").parquet(folder)
     return folder
 
@@ -163,7 +163,7 @@ def _matches(a: pa.Table, b: pa.Table, least: float, below: bool) -> tuple[list[
             if placed > PLACED_CHARS:
                 texts.clear()
                 placed = 0
-            texts[side, i] = Text(tables[side]["text"][i].as_py())
+            texts[side, i] = Text(tables[side]["text"][i].as_py(), tables[side]["indexed"][i].as_py())
             placed += len(texts[side, i].text)
         return texts[side, i]
 

@@ -13,7 +13,8 @@ kind, whatever it says, is recorded with the attachment only. :func:`read_parts`
 
 Defined cases: a null text or role counts as empty; a null turn comes first; rows with equal turns are ordered by role,
 then text; repeated rows stay as repeated turns; an empty table gives an empty result; every row without a ``conv_id``
-is a conversation of its own, so such rows never meet in one task; other columns are not read. A conversation is one
+is a conversation of its own, so such rows never meet in one task; texts are formatted whole, however long; other
+columns are not read. A conversation is one
 output row, so its turns meet in one task.
 """
 

@@ -4,7 +4,8 @@ Each ``\\n``-split line is judged by punctuation, navigation and boilerplate rul
 document that loses too much of its text is rejected. Everything is computed within the row: no shuffle, no Python.
 
 Defined cases: a null text counts as an empty one (no words, ``base_failed``); rows are judged one by one, so repeated
-ids and rows give repeated results; an empty table gives an empty result; other columns of the input are not read.
+ids and rows give repeated results; texts are read whole, however long, a line
+as one value; an empty table gives an empty result; other columns of the input are not read.
 """
 
 from __future__ import annotations

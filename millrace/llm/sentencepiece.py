@@ -16,7 +16,8 @@ character at a time over the pieces that end there, block by block: a state and
 character are all that grows with the word, and which pieces stay apart is remembered by pair.
 
 Defined cases: null and empty texts have no ids; unknown characters become byte pieces, or one unknown id a run where
-a model has none; texts are encoded whole; repeated rows give repeated results; an empty table gives an empty result.
+a model has none; texts are encoded whole; repeated rows give repeated results; an empty table gives an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations

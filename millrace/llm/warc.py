@@ -12,7 +12,8 @@ range begins where the farthest of those before it ends, so what lies within a r
 
 Defined cases: a null payload is empty; a null url is an empty target; of repeated rows with one id and payload one is
 the response and the others revisit it; a row without an id revisits one with an id, and is a response where none of
-its group has one; an empty table writes no archive and reads no rows; other columns are not read.
+its group has one; payloads are written and read whole, however long; an empty table writes no archive and reads no
+rows; other columns are not read.
 """
 
 from __future__ import annotations

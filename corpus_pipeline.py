@@ -1,4 +1,10 @@
-"""The training-data pipeline: five stages over ``documents``, each written as Parquet and read again."""
+"""The training-data pipeline: five stages over ``documents``, each written as Parquet and read again.
+
+Defined cases, of every stage: a null text is a document without words and stays null where texts are not changed; an
+empty text stays; texts are read whole, however long; rows without an id and repeated rows are documents of their own
+(of equal texts the near-copy stage keeps one, an id before none); a null source is a source, a null language stays;
+columns besides those of ``documents`` are dropped, so clashing names do not matter; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.sequence import Text, ratio_from
 from millrace.functions.text import norm_key
-from millrace.session import materialize, qualified, scratch_path
+from millrace.session import discard, materialize, qualified, scratch_path
 
 #: Up to so many characters of protected texts are sent to every executor; more are joined by shuffle.
 SENT_CHARS = 32 << 20
@@ -263,12 +263,15 @@ def near_copies(docs: DataFrame, doc_id: str, text: str, least: float) -> DataFr
     Equal texts are one when texts are compared, so a group of copies costs a row a copy and not one a pair.
     """
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text <> ''")
-    rows = materialize(rows.withColumn("digest", F.sha2("text", 256)), "texts")  # a text may be a costly expression
-    first = materialize(rows.select("id", "digest").groupBy("digest").agg(F.min("id").alias("first")), "first-copies")
-    alone = rows.join(first, F.col("id") == F.col("first"), "left_semi").select("id", "text").dropDuplicates(["id"])
-    pairs = fuzzy_pairs(alone, "id", "text", alone, "id", "text", least, below=True)
-    copies = rows.select("id", "digest").join(first, "digest").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("ratio"))
-    return pairs.unionByName(copies.distinct())
+    # a text may be a costly expression, and rows of one id are told apart by a row of their own
+    rows = materialize(rows.select("*", F.sha2("text", 256).alias("digest"), F.monotonically_increasing_id().alias("row")), "texts")
+    first = rows.select("id", "digest", "row").groupBy("digest").agg(F.min(F.struct("id", "row")).alias("first"))
+    first = materialize(first.select("digest", F.col("first.id").alias("first"), F.col("first.row").alias("row")), "first-copies")
+    copies = rows.select("id", "digest").join(first.drop("row"), "digest").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("ratio"))
+    copies = materialize(copies.distinct(), "copies")
+    alone = materialize(rows.join(first.select("row"), "row", "left_semi").select("id", "text"), "distinct-texts")
+    discard(rows, first)
+    return fuzzy_pairs(alone, "id", "text", alone, "id", "text", least, below=True).unionByName(copies)
 
 
 def reasons(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:

@@ -224,12 +224,14 @@ def test_near_copies_lose_no_like_texts(spark):
     base = ["".join(rng.choices("abcdefghijklmnop   QRSTU.,", k=n)) for n in (30, 150, 260, 700, 2600)]
     texts = base + [t[: len(t) // 3] + "xyz" + t[len(t) // 3 :] for t in base] + [t[:-3] for t in base] + ["".join(rng.choices("abcdefghijklmnop   ", k=300)) for _ in range(10)]
     rows = list(enumerate(texts)) + [(1000 + i, texts[2]) for i in range(60)] + [(2000, None), (2001, ""), (None, texts[3]), (4, texts[4])]
+    rows += [(3000, "zyxwv" * 20), (3000, "0123456789" * 12), (3001, "0123456789" * 12 + "?"), (3002, "zyxwv" * 20 + "!")]  # two texts of one id
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "i int, t string")
     got = {(r.a, r.b): r.ratio for r in decontam.near_copies(df, "i", "t", 0.9).collect()}
     ratio = lambda x, y: difflib.SequenceMatcher(None, x, y).ratio()
     expected = {(a, b): ratio(x, y) for a, x in enumerate(texts) for b, y in enumerate(texts) if a < b and ratio(x, y) >= 0.9}
-    assert got == expected | {(2, 1000 + i): 1.0 for i in range(60)}
+    assert {k: v for k, v in got.items() if k[0] != 3000} == expected | {(2, 1000 + i): 1.0 for i in range(60)}
+    assert {k for k in got if k[0] == 3000} == {(3000, 3001), (3000, 3002)}
 
 
 def test_fuzzy_queries_compare_whole_texts(spark, tmp_path, monkeypatch):

@@ -33,7 +33,7 @@ def jsonl_skipping_bad_lines(spark, sf_dir):
 
 
 @query("SELECT 0 AS missing, count(*) AS found FROM region")
-def optional_table(spark, sf_dir):
+def maybe_missing_table(spark, sf_dir):
     """A missing table that may be missing has no rows; one that is there is read."""
     path = scratch_path(spark, "optional")
     region = table(spark, sf_dir, "region")

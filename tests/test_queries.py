@@ -53,7 +53,7 @@ def test_runs(spark, small, name):
 
 def test_no_plan_is_a_cross_join(spark, small):
     """Neither a cartesian product nor a nested loop but where one side is a single row, or a stated set of short texts."""
-    one_row = {"bootstrap_paired_composite", "label_kappa", "error_taxonomy", "status_frequency", "optional_table", "bootstrap_paired_groups"}
+    one_row = {"bootstrap_paired_composite", "label_kappa", "error_taxonomy", "status_frequency", "maybe_missing_table", "bootstrap_paired_groups"}
     stated = {"benchmark_containment", "leakage_reasons"}
     for name, f in QUERIES.items():
         plan = f(spark, small)._jdf.queryExecution().executedPlan().toString()

@@ -43,7 +43,7 @@ def block_size(n: int) -> int:
 
 def remainder(seed: int, b: Column, slot: Column) -> Column:
     """A number below :data:`PRIME` for a replicate's slot: squares modulo a prime, three times."""
-    x = F.pmod(b * 48_271 + F.pmod(slot, F.lit(PRIME)) * 16_807 + seed % PRIME + 1, F.lit(PRIME))
+    x = F.pmod(b * 48_271 + F.pmod(slot.cast("long"), F.lit(PRIME)) * 16_807 + seed % PRIME + 1, F.lit(PRIME))
     for add in (12_345, 67_891, 24_683):
         x = F.pmod(x * x + add, F.lit(PRIME))
     return x

@@ -331,6 +331,27 @@ def test_bootstrap_over_many_blocks(spark, monkeypatch):
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
 
 
+def test_bootstrap_of_many_units(spark):
+    """Slots beyond 2^31 / 16,807 draw what plain integers say."""
+    n, b, seed = 140_000, 2, 3
+
+    def remainder(seed, b, slot):
+        x = (b * 48_271 + slot % bootstrap.PRIME * 16_807 + seed % bootstrap.PRIME + 1) % bootstrap.PRIME
+        for add in (12_345, 67_891, 24_683):
+            x = (x * x + add) % bootstrap.PRIME
+        return x
+
+    size = bootstrap.block_size(n)
+    blocks = -(-n // size)
+    expected = {}
+    for k in range(b):
+        counts = np.bincount([remainder(seed, k, slot) * n // bootstrap.PRIME // size for slot in range(n)])
+        drawn = (block * size + remainder(seed + bootstrap.WITHIN, k, t * blocks + block) * min(size, n - block * size) // bootstrap.PRIME for block, m in enumerate(counts.tolist()) for t in range(m))
+        expected[k] = sum(drawn)
+    got = bootstrap.replicates(spark.range(n).select(F.col("id").alias("i")), "i", F.sum("i"), b, seed).collect()
+    assert {r.b: r.stat for r in got} == expected
+
+
 def test_bootstrap(spark):
     one = spark.createDataFrame([(1, 0.5)], "i int, v double")
     assert tuple(bootstrap.interval(one, "i", F.avg("v"), "reporting_mean").first()) == (0.5, 0.5, 2000)

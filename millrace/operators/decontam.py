@@ -20,8 +20,11 @@ SENT_CHARS = 32 << 20
 RUN = 5
 
 
-def with_runs(rows: DataFrame, words: str, out: str) -> DataFrame:
-    """``rows`` with hashes of all runs of :data:`RUN` words, made by joining runs of 1, 2 and 4 words."""
+def with_runs(rows: DataFrame, words: str, out: str, shorter: bool = False) -> DataFrame:
+    """``rows`` with hashes of all runs of :data:`RUN` words, made by joining runs of 1, 2 and 4 words.
+
+    With ``shorter``, runs of 1, 2 and 4 words come before them, and none are null.
+    """
     n = F.size(words)
     later = lambda c, k: F.slice(c, F.lit(k + 1), F.greatest(n, F.lit(1)))
     pair = lambda x, y: F.when(y.isNotNull(), F.xxhash64(x, y))
@@ -30,6 +33,8 @@ def with_runs(rows: DataFrame, words: str, out: str) -> DataFrame:
     rows = rows.withColumn("_2", F.zip_with("_1", later("_1", 1), pair))
     rows = rows.withColumn("_4", F.zip_with("_2", later("_2", 2), pair))
     rows = rows.withColumn(out, F.zip_with("_4", later("_1", RUN - 1), pair))
+    if shorter:
+        rows = rows.withColumn(out, F.array_compact(F.concat("_1", "_2", "_4", out)))
     return rows.drop("_1", "_2", "_4")
 
 
@@ -292,34 +297,59 @@ def token_budget(rows: DataFrame, n_tokens: str, budget: int = 2048) -> DataFram
     return rows.withColumn("kept", F.coalesce(F.col(n_tokens) <= budget, F.lit(False))).withColumn("reason", F.when(~F.col("kept"), "over_budget"))
 
 
+def _quotes(citations: DataFrame, band: int | None) -> tuple[DataFrame, list[str]]:
+    """Normalised quotes on each page that they may be on, and the columns that a quote and its chunk share."""
+    c = citations.select("cite_id", "filename", F.lower("insurer").alias("who"), F.col("page").try_cast("int").alias("p"), norm_key(F.col("quote")).alias("q")).where("q <> ''")
+    if band is None:
+        return c.drop("p"), ["filename", "who"]
+    # the band becomes an equi join: a citation looks on each page that it may be on
+    return c.withColumn("p", F.explode(F.sequence(F.col("p") - band, F.col("p") + band))), ["filename", "who", "p"]
+
+
+def _quote_matches(c: DataFrame, chunks: DataFrame, on: list[str]) -> DataFrame:
+    """``(*on, q, chunk_id, size)``: chunks that hold a quote, a row for each different quote and not for each citation.
+
+    A quote's inner words are whole words of a chunk that holds it, so a quote of three words or more meets only chunks
+    with a run of its inner words: the first five, or four, two or one of a shorter quote. Keys of all quotes are
+    sent to the chunks while they have :data:`SENT_CHARS` bytes at most, and only runs that are keys leave their task.
+    Quotes of one or two words, few by nature, meet the chunks of their file and pages.
+    """
+    k = chunks.select("chunk_id", "filename", F.lower("insurer").alias("who"), F.col("page").cast("int").alias("p"), norm_key(F.col("text")).alias("t"), F.length("text").alias("size"))
+    k = k.select(*on, "chunk_id", "t", "size")
+    different = c.select(*on, "q").distinct().withColumn("words", F.split("q", " "))
+    inner = F.size("words") - 2
+    long, short = different.where(inner > 0), different.where(inner <= 0).drop("words")
+    keyed = with_runs(long.withColumn("words", F.slice("words", F.lit(2), F.least(inner, F.lit(RUN)))), "words", "runs", shorter=True)
+    keyed = materialize(keyed.select(*on, "q", F.element_at("runs", -1).alias("key")), "quotes")
+    keys = keyed.select("key").distinct()
+    whole = with_runs(k.withColumn("words", F.split("t", " ")), "words", "runs", shorter=True)
+    run = F.explode(F.array_distinct("runs")).alias("key")
+    if 8 * keys.count() <= SENT_CHARS:
+        held = whole.select(*on, "chunk_id", "t", "size", run).join(F.broadcast(keys), "key", "left_semi")
+    else:
+        held = whole.select(*on, "chunk_id", run).join(keys, "key", "left_semi").join(k, [*on, "chunk_id"])
+    met = held.join(keyed, [*on, "key"]).where(F.contains("t", F.col("q"))).select(*on, "q", "chunk_id", "size")
+    return met.union(short.join(k, on).where(F.contains("t", F.col("q"))).select(*on, "q", "chunk_id", "size"))
+
+
 def cited_chunks(citations: DataFrame, chunks: DataFrame, band: int | None = 1) -> DataFrame:
     """Chunks that hold a cited quote: same file and insurer, page within ``band`` (any page if None), quote contained.
 
     ``citations``: cite_id, filename, insurer, page (text), quote. ``chunks``: chunk_id, filename, insurer, page, text.
-    A quote of more than :data:`RUN` + 1 words meets only chunks that hold one of its word runs, so a file with a third
-    of all chunks is no quadratic join; shorter quotes meet the chunks of their file and pages. Up to
-    :data:`SENT_CHARS` characters of quotes are sent to the chunks, more are joined by shuffle.
+    Citations with one quote are matched once; the result has a row for each of them.
     """
-    c = citations.select("cite_id", "filename", F.lower("insurer").alias("who"), F.col("page").try_cast("int").alias("p"), norm_key(F.col("quote")).alias("q")).where("q <> ''")
-    k = chunks.select("chunk_id", "filename", F.lower("insurer").alias("who"), F.col("page").cast("int").alias("p"), norm_key(F.col("text")).alias("t"), F.length("text").alias("size"))
-    on = ["filename", "who"]
-    if band is None:
-        c, k = c.drop("p"), k.drop("p")
-    else:  # the band becomes an equi join: a citation looks on each page that it may be on
-        c, on = c.withColumn("p", F.explode(F.sequence(F.col("p") - band, F.col("p") + band))), [*on, "p"]
-    c = c.withColumn("words", F.split("q", " "))
-    long, short = c.where(F.size("words") >= RUN + 2), c.where(F.size("words") < RUN + 2).drop("words")
-    keyed = with_runs(long.withColumn("words", F.slice("words", 2, RUN)), "words", "runs").withColumn("key", F.col("runs")[0]).drop("runs", "words")
-    whole = with_runs(k.withColumn("words", F.split("t", " ")), "words", "runs").drop("words")
-    if (c.agg(F.sum(F.length("q"))).first()[0] or 0) <= SENT_CHARS:
-        runs = whole.select(*on, "chunk_id", "t", "size", F.explode(F.array_distinct("runs")).alias("key"))
-        met = runs.join(F.broadcast(keyed), [*on, "key"])
-    else:
-        runs = whole.select(*on, "chunk_id", F.explode(F.array_distinct("runs")).alias("key")).where("key is not null")
-        met = keyed.join(runs, [*on, "key"]).select(*on, "cite_id", "q", "chunk_id").distinct().join(k, [*on, "chunk_id"])
-    met = met.where(F.contains("t", F.col("q"))).select("cite_id", "chunk_id", "size")
-    rest = short.join(k, on).where(F.contains("t", F.col("q"))).select("cite_id", "chunk_id", "size")
-    return met.union(rest).distinct()
+    c, on = _quotes(citations, band)
+    return c.join(_quote_matches(c, chunks, on), [*on, "q"]).select("cite_id", "chunk_id", "size").distinct()
+
+
+def shortest_cited_chunks(citations: DataFrame, chunks: DataFrame, band: int | None = 1) -> DataFrame:
+    """``(cite_id, chunk_id)``: of :func:`cited_chunks` each citation's shortest, then the smallest id.
+
+    It is found for each different quote, so many citations of one quote that many chunks hold make no row a pair.
+    """
+    c, on = _quotes(citations, band)
+    best = _quote_matches(c, chunks, on).groupBy(*on, "q").agg(F.min(F.struct("size", "chunk_id")).alias("best"))
+    return c.join(best, [*on, "q"]).groupBy("cite_id").agg(F.min("best").alias("best")).select("cite_id", F.col("best.chunk_id").alias("chunk_id"))
 
 
 def shortest(rows: DataFrame, by: Sequence[str], size: str, key: str) -> DataFrame:

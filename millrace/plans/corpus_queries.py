@@ -382,7 +382,7 @@ def page_band_join(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     quotes = docs.select(F.col("doc_id").alias("cite_id"), F.col("source").alias("filename"), F.lit("X").alias("insurer"), (F.col("doc_id") % 10 + 1).cast("string").alias("page"), F.substring_index("text", "\n", 1).alias("quote"))
     chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("filename"), F.lit("x").alias("insurer"), (F.col("doc_id") % 10).cast("int").alias("page"), "text")
-    return D.shortest(D.cited_chunks(quotes, chunks), ["cite_id"], "size", "chunk_id")
+    return D.shortest_cited_chunks(quotes, chunks)
 
 
 @query("""

@@ -97,6 +97,18 @@ def test_cited_chunks_of_short_and_long_quotes(spark, monkeypatch, sent):
     assert sorted((r.cite_id, r.chunk_id) for r in decontam.cited_chunks(c, chunks, band=None).collect()) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (3, 2), (5, 1), (5, 2)]
 
 
+def test_many_citations_of_one_quote_are_matched_once(spark):
+    """Citations of one quote and chunks that hold it meet once, and none of their pairs are rows."""
+    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta"]
+    chunks = spark.createDataFrame([(i, "f", "a", 1, "x " + " ".join(words) + " y" * (i % 7 + 1)) for i in range(100)], "chunk_id int, filename string, insurer string, page int, text string")
+    quotes = [(n * 1000 + i, "f", "a", "1", " ".join(words[:n])) for n in range(1, 9) for i in range(50)]
+    c = spark.createDataFrame(quotes, "cite_id int, filename string, insurer string, page string, quote string")
+    assert {r.chunk_id for r in decontam.shortest_cited_chunks(c, chunks).collect()} == {0}
+    assert decontam.shortest_cited_chunks(c, chunks).count() == 400
+    rows, on = decontam._quotes(c, 1)
+    assert decontam._quote_matches(rows, chunks, on).count() == 8 * 100
+
+
 def test_nearest_vectors_by_either_way(spark, monkeypatch):
     import numpy as np
 

@@ -7,19 +7,30 @@ from pyspark.sql import functions as F
 
 
 def rolling_usage(events: DataFrame, by: str, ts: str, tokens: str, seconds: int) -> DataFrame:
-    """Requests and tokens of ``(now - seconds, now]`` at every event: the lower bound is strict.
+    """Requests and tokens of ``(now - seconds, now]`` at every event, and the oldest's time in microseconds: the lower bound is strict.
 
-    Events are windowed in time buckets as long as the window, each with the events of the bucket before, so a busy
-    owner is as many tasks as it has buckets and a row is copied once. Events without a time have nulls.
+    Time is cut in buckets as long as the window. An event is a row of its own bucket and, where it leaves the window, a
+    row of the next one: the window at an event holds what came in its bucket until then, and what of the bucket before
+    is still to leave. Both are running aggregates, one forwards and one backwards, so the cost does not depend on how
+    many events a window holds, and a busy owner is as many tasks as it has buckets. Events without a time have nulls.
     """
     length = seconds * 1_000_000
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    e = events.withColumn("_us", micros).withColumn("_own", F.floor(F.col("_us") / length))
-    e = e.withColumn("_bucket", F.explode(F.when(F.col("_us").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array("_own", F.col("_own") + 1))))
-    w = Window.partitionBy(by, "_bucket").orderBy("_us").rangeBetween(-(length - 1), 0)
+    e = events.withColumn("_us", micros).withColumn("_bucket", F.floor(F.col("_us") / length))
+    nothing = F.lit(None).cast("long")
+    places = F.when(F.col("_us").isNull(), F.array(F.struct(nothing.alias("bucket"), nothing.alias("at"), F.lit(True).alias("own"))))
+    both = F.array(F.struct(F.col("_bucket").alias("bucket"), F.col("_us").alias("at"), F.lit(True).alias("own")), F.struct((F.col("_bucket") + 1).alias("bucket"), (F.col("_us") + length).alias("at"), F.lit(False).alias("own")))
+    e = e.withColumn("_place", F.explode(places.otherwise(both))).select("*", F.col("_place.bucket").alias("_in"), F.col("_place.at").alias("_at"), F.col("_place.own").alias("_own"))
+    rows = Window.partitionBy(by, "_in")
+    came, leaving = rows.orderBy("_at").rangeBetween(Window.unboundedPreceding, 0), rows.orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, -1)
+    own = lambda x: F.when(F.col("_own"), x)
+    old = lambda x: F.when(~F.col("_own"), x)
+    n = F.count(own(F.lit(1))).over(came) + F.count(old(F.lit(1))).over(leaving)
+    here, before = F.sum(own(F.col(tokens))).over(came), F.sum(old(F.col(tokens))).over(leaving)
+    oldest = F.least(F.min(own(F.col("_us"))).over(came), F.min(old(F.col("_us"))).over(leaving))
     timed = F.col("_us").isNotNull()
-    out = e.withColumn("n_window", F.when(timed, F.count("*").over(w))).withColumn("tokens_window", F.when(timed, F.sum(tokens).over(w)))
-    return out.where(F.col("_bucket").eqNullSafe(F.col("_own"))).drop("_us", "_own", "_bucket")
+    out = e.withColumn("n_window", F.when(timed, n)).withColumn("tokens_window", F.when(timed, F.coalesce(here + before, here, before))).withColumn("oldest_window", F.when(timed, oldest))
+    return out.where("_own").drop("_us", "_bucket", "_place", "_in", "_at", "_own")
 
 
 def admits(n_window: Column, n_day: Column, tokens_window: Column, ask: Column, rpm: int, rpd: int, tpm: float) -> Column:

@@ -561,9 +561,8 @@ def quota_admission(spark, sf_dir):
     e = Q.rolling_usage(table(spark, sf_dir, "events"), "event_type", "ts", "value", 3600)
     ts = F.col("ts").cast("timestamp")
     e = e.withColumn("us", F.unix_micros(ts)).withColumn("day", Q.calendar_day(F.col("ts")))
-    oldest = F.min("us").over(Window.partitionBy("event_type").orderBy("us").rangeBetween(-3_599_999_999, 0))
     n_day = F.count("*").over(Window.partitionBy("event_type", "day").orderBy("us").rangeBetween(Window.unboundedPreceding, 0))
-    e = e.withColumn("oldest", F.floor(oldest / 1_000_000)).withColumn("n_day", n_day)
+    e = e.withColumn("oldest", F.floor(F.col("oldest_window") / 1_000_000)).withColumn("n_day", n_day)
     now = F.floor(F.col("us") / 1_000_000)
     ask = F.lit(50)
     wait = Q.wait_until(now, F.col("n_window") >= 4, F.col("oldest"), F.col("n_day") >= 60, Q.day_reset(F.col("ts")), F.col("tokens_window") + ask > 900, F.col("oldest"))

@@ -152,6 +152,18 @@ def test_usage_crosses_buckets(spark):
     assert got[999] == (None, None) and len(got) == 301
 
 
+def test_usage_is_made_of_running_aggregates(spark):
+    """The oldest event of a window is known, and no window is summed anew at each of its events."""
+    rows = [(i, "ab"[i % 2], i * i % 701, 1.0) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, p string, s int, tokens double").withColumn("ts", F.timestamp_seconds("s"))
+    used = quota.rolling_usage(df, "p", "ts", "tokens", 60)
+    got = {r.i: r.oldest_window for r in used.collect()}
+    for i, p, s, _ in rows:
+        assert got[i] == min(u for _, q, u, _ in rows if q == p and s - 60 < u <= s) * 1_000_000
+    plan = used._jdf.queryExecution().optimizedPlan().toString()
+    assert "specifiedwindowframe(RangeFrame, unboundedpreceding$(), " in plan and "specifiedwindowframe(RangeFrame, -" not in plan
+
+
 def test_draws_are_even_and_scale(spark):
     df = spark.range(200_000).select(bootstrap.draw(5, F.col("id") % 100, F.floor(F.col("id") / 100), 10).alias("x"))
     counts = [r["count"] for r in df.groupBy("x").count().collect()]

@@ -141,3 +141,29 @@ def test_late_rows_are_kept_apart(spark, tmp_path):
     assert run([(8, 9), (9, 7)]) == ([1, 2, 3, 5, 8], [4, 6, 7, 9])  # the watermark does not go back
     forget_last_commit(f"{out}-state")
     assert run([(10, 20)]) == ([1, 2, 3, 5, 8, 10], [4, 6, 7, 9])
+
+
+@pytest.mark.parametrize("cut", [7, 60])
+def test_admissions_go_on_after_a_restart(spark, tmp_path, cut):
+    """Any batches admit what one pass over all requests does; a repeated batch changes nothing; rows pass in small pieces."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "event_id long, owner string, us long, tokens double"
+    rows = [(i, "ab"[i % 3 == 0], i * 7_000_000 // 2, float(i % 4)) for i in range(60)]
+    held, expected = {"a": [], "b": []}, []
+    for i, owner, us, tokens in rows:
+        now = [(u, t) for u, t in held[owner] if u > us - 30_000_000]
+        ok = len(now) < 3 and sum(t for _, t in now) + tokens <= 5
+        expected.append((i, owner, ok, us if ok else (now[0][0] if now else us) + 30_000_000))
+        held[owner] = now + [(us, tokens)] * ok
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        for k in range(0, len(rows), cut):
+            append(spark, source, rows[k : k + cut], schema)
+            J.admissions(spark.readStream.schema(schema).parquet(source), out, f"{out}-state", 30, 3, 5.0).awaitTermination()
+        assert sorted(map(tuple, J.admitted(spark, out).collect())) == expected
+        forget_last_commit(f"{out}-state")
+        J.admissions(spark.readStream.schema(schema).parquet(source), out, f"{out}-state", 30, 3, 5.0).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(map(tuple, J.admitted(spark, out).collect())) == expected

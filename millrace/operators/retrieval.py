@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.text import citations, norm_doc, norm_section
-from millrace.session import materialize
+from millrace.session import bounded_batches, materialize
 
 POOL, TOP, TOLERANCE = 24, 6, 1
 
@@ -26,6 +26,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 #: Rows of a block of vectors, and bytes of queries that are sent to every executor at most.
 BLOCK_ROWS, SENT_BYTES = 4096, 64 << 20
+#: Queries that are multiplied with a block at once, and rows of nearest vectors that a task holds and sends at once.
+QUERY_ROWS, HELD_ROWS, SENT_ROWS = 256, 1 << 20, 1 << 16
 BLOCK = "ids binary, size int, units binary, n int"
 
 
@@ -49,21 +51,67 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
+def best_of(qi: np.ndarray, q: np.ndarray, vi: np.ndarray, v: np.ndarray, k: int, margin: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of some queries at a time their ``k`` nearest among ``v``, and those that rounding may put among them: indices of queries and vectors, scores."""
+    for at in range(0, len(qi), QUERY_ROWS):
+        near = q[at : at + QUERY_ROWS] @ v.T
+        near[qi[at : at + QUERY_ROWS, None] == vi] = -np.inf
+        least = np.partition(near, -k, axis=1)[:, -k] - margin if len(vi) > k else np.full(len(near), -2.0)
+        a, b = np.nonzero((near >= least[:, None]) & np.isfinite(near))
+        yield a + at, b, near[a, b]
+
+
+class Best:
+    """The nearest vectors of queries among all that a task has met: ``k`` of each and what rounding may put among them.
+
+    Rows are held up to :data:`HELD_ROWS` and then cut to those; what is still more than half of that is sent on.
+    """
+
+    def __init__(self, k: int, margin: float):
+        self.k, self.margin, self.parts, self.held = k, margin, [], 0
+
+    def add(self, query_id: np.ndarray, vec_id: np.ndarray, raw: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append((query_id, vec_id, raw))
+        self.held += len(raw)
+        if self.held > HELD_ROWS:
+            self._cut()
+            if self.held > HELD_ROWS // 2:
+                yield from self.rest()
+
+    def _cut(self) -> None:
+        query_id, vec_id, raw = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        order = np.lexsort((-raw, query_id))
+        query_id, vec_id, raw = query_id[order], vec_id[order], raw[order]
+        start = np.flatnonzero(np.append(True, query_id[1:] != query_id[:-1]))
+        size = np.diff(np.append(start, len(raw)))
+        least = np.where(size >= self.k, raw[np.minimum(start + self.k, start + size) - 1], -np.inf) - self.margin
+        keep = raw >= np.repeat(least, size)
+        self.parts, self.held = [(query_id[keep], vec_id[keep], raw[keep])], int(keep.sum())
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            self._cut()
+            query_id, vec_id, raw = self.parts[0]
+            for at in range(0, len(raw), SENT_ROWS):
+                yield pa.RecordBatch.from_pydict({"query_id": query_id[at : at + SENT_ROWS], "vec_id": vec_id[at : at + SENT_ROWS], "raw": raw[at : at + SENT_ROWS]})
+        self.parts, self.held = [], 0
+
+
 def _nearest(k: int, digits: int):
     margin = 2 * 10.0**-digits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each pair of blocks every query's ``k`` nearest, and those that rounding may put among them."""
+        """Every query's ``k`` nearest of a task's pairs of blocks, and those that rounding may put among them."""
+        best = Best(k, margin)
         for batch in batches:
-            for qi, q, vi, v, size in zip(*(batch.column(c).to_pylist() for c in ("qids", "qunits", "ids", "units", "size")), strict=True):
+            for row in range(batch.num_rows):
+                qi, q, vi, v, size = (batch.column(c)[row].as_py() for c in ("qids", "qunits", "ids", "units", "size"))
                 qi, vi = np.frombuffer(qi, np.int64), np.frombuffer(vi, np.int64)
                 if not len(qi) or not len(vi):
                     continue
-                near = np.frombuffer(q).reshape(-1, size) @ np.frombuffer(v).reshape(-1, size).T
-                near[qi[:, None] == vi] = -np.inf
-                least = np.partition(near, -k, axis=1)[:, -k] - margin if len(vi) > k else np.full(len(qi), -2.0)
-                a, b = np.nonzero((near >= least[:, None]) & np.isfinite(near))
-                yield pa.RecordBatch.from_pydict({"query_id": qi[a], "vec_id": vi[b], "raw": near[a, b]})
+                for a, b, raw in best_of(qi, np.frombuffer(q).reshape(-1, size), vi, np.frombuffer(v).reshape(-1, size), k, margin):
+                    yield from best.add(qi[a], vi[b], raw)
+        yield from best.rest()
 
     return run
 
@@ -72,10 +120,11 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = POOL, digits: int = 6
     """The ``k`` nearest vectors of every query by cosine, ties by id.
 
     ``queries(query_id, q)`` is a stated set compared with all of ``vectors(vec_id, v)``, block with block as a product
-    of matrices: a block of vectors sends on about ``k`` rows a query. Blocks of queries are sent to the vectors while
+    of matrices: a task sends on about ``k`` rows a query, as long as it holds those of all queries. Blocks of queries are sent to the vectors while
     they have :data:`SENT_BYTES` at most, and both sides are dealt by block beyond. Vectors that are null or have no
     direction are near nothing.
     """
+    bounded_batches(queries.sparkSession)
     q = materialize(queries.select("query_id", "q").mapInArrow(_blocks, BLOCK), "queries").select(F.col("ids").alias("qids"), "size", F.col("units").alias("qunits"))
     v = vectors.select("vec_id", "v").mapInArrow(_blocks, BLOCK)
     sent = (q.agg(F.sum(F.octet_length("qunits"))).first()[0] or 0) <= SENT_BYTES

@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.retrieval import BLOCK, POOL, SENT_BYTES, _blocks
-from millrace.session import materialize
+from millrace.operators.retrieval import BLOCK, POOL, SENT_BYTES, Best, _blocks, best_of
+from millrace.session import bounded_batches, materialize
 
 #: Centres of a vector length, the rows in hash order that they are found on, and rounds of moving them.
 CENTRES, SAMPLE_ROWS, ROUNDS = 64, 8192, 4
@@ -84,9 +84,11 @@ def _search(centres: dict[int, np.ndarray], k: int, digits: int, first: bool):
     margin = 2 * 10.0**-digits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(k, margin)
         for batch in batches:
             names = ("qids", "qunits", "kth", "cell", "size", "radius", "ids", "units")
-            for qids, qunits, kth, cell, size, radius, ids, units in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            for row in range(batch.num_rows):
+                qids, qunits, kth, cell, size, radius, ids, units = (batch.column(c)[row].as_py() for c in names)
                 qi, q, vi = np.frombuffer(qids, np.int64), np.frombuffer(qunits).reshape(-1, size), np.frombuffer(ids, np.int64)
                 known = centres.get(size)
                 if first:  # each query's own cell only
@@ -98,11 +100,10 @@ def _search(centres: dict[int, np.ndarray], k: int, digits: int, first: bool):
                     need = 1 - nearest**2 / 2 >= np.frombuffer(kth) - margin
                 if not need.any():
                     continue
-                near = q[need] @ np.frombuffer(units).reshape(-1, size).T
-                near[qi[need][:, None] == vi] = -np.inf
-                least = np.partition(near, -k, axis=1)[:, -k] - margin if len(vi) > k else np.full(int(need.sum()), -2.0)
-                a, b = np.nonzero((near >= least[:, None]) & np.isfinite(near))
-                yield pa.RecordBatch.from_pydict({"query_id": qi[need][a], "vec_id": vi[b], "raw": near[a, b]})
+                qi, v = qi[need], np.frombuffer(units).reshape(-1, size)
+                for a, b, raw in best_of(qi, q[need], vi, v, k, margin):
+                    yield from best.add(qi[a], vi[b], raw)
+        yield from best.rest()
 
     return run
 
@@ -118,6 +119,7 @@ def top_k_in_cells(queries: DataFrame, vectors: DataFrame, k: int = POOL, digits
     Queries are a stated set; they are sent to the blocks while they have :data:`SENT_BYTES` at most and dealt out
     beyond. The first pass gives a score a query: no more than the queries' number is joined back.
     """
+    bounded_batches(queries.sparkSession)
     centres = find_centres(vectors)
     cells = build_cells(vectors, centres)
     asked = materialize(_asked(queries), "queries")

@@ -1,6 +1,8 @@
 """Top-k in cells against all comparisons, and how much the bounds leave out."""
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from millrace.operators import retrieval, vector_cells as VC
 
@@ -40,3 +42,19 @@ def test_bounds_leave_most_blocks_out(spark):
     kth = np.sort(q @ all_.T, axis=1)[:, -11]
     share = VC.share_skipped(q, kth, centres[24], np.array([c.cell for c in cells]), np.array([c.radius for c in cells]))
     assert share > 0.8
+
+
+@pytest.mark.parametrize("held", [1 << 20, 64])
+def test_a_task_sends_the_nearest_of_all_its_blocks(monkeypatch, held):
+    """However many blocks a task meets, it sends about k rows a query if it may hold them; sent early, none is lost."""
+    monkeypatch.setattr(retrieval, "HELD_ROWS", held)
+    monkeypatch.setattr(retrieval, "QUERY_ROWS", 3)
+    rng = np.random.default_rng(3)
+    unit = lambda n: (x := rng.standard_normal((n, 8))) / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    q, v = unit(10), unit(600)
+    rows = [{"qids": np.arange(1000, 1010).tobytes(), "qunits": q.tobytes(), "ids": np.arange(i, i + 30).tobytes(), "units": v[i : i + 30].tobytes(), "size": 8} for i in range(0, 600, 30)]
+    out = [r for b in retrieval._nearest(5, 6)(iter([pa.RecordBatch.from_pylist(rows)])) for r in b.to_pylist()]
+    for i, scores in enumerate(q @ v.T):
+        best = set(np.argsort(-scores)[:5].tolist())
+        assert best <= {r["vec_id"] for r in out if r["query_id"] == 1000 + i}
+    assert len(out) < 60 or held == 64

@@ -42,47 +42,32 @@ def identity(*parts: str) -> F.Column:
     return F.sha2(F.to_json(F.struct(*(F.col(p).cast("string").alias(p) for p in parts)), {"ignoreNullFields": "false"}), 256)
 
 
-class _First(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.taken = handle.getValueState("taken", "seq long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.taken.exists()
-        best = None
-        for frame in rows:
-            if not known and len(frame):
-                row = frame.loc[frame["seq"].idxmin()]
-                best = row if best is None or row["seq"] < best["seq"] else best
-        if best is not None:
-            self.taken.update((int(best["seq"]),))
-            yield pd.DataFrame({"identity": [key[0]], "seq": [int(best["seq"])], "reply": [best["reply"]]})
-
-    def close(self) -> None:
-        pass
-
-
 def first_replies(replies: DataFrame) -> DataFrame:
-    """The first reply of each identity in ``replies(identity, seq, reply)``, ever; later ones are not passed on."""
-    return replies.groupBy("identity").transformWithStateInPandas(_First(), REPLIES, "append", "None")
+    """The first reply of each identity in ``replies(identity, seq, reply)``."""
+    first = F.min(F.struct("seq", "reply")).alias("first")
+    return replies.where("seq IS NOT NULL").groupBy("identity").agg(first).select("identity", "first.*")
 
 
 def record_replies(replies: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Record the first reply of every identity: the raw reply is stored before its success is.
+    """Record the first reply of every identity, ever: the raw reply is stored before its success is.
 
-    A batch writes ``path/replies/batch=n``, reads it back, and writes ``path/successes/batch=n`` with the digest of
-    what it read; both replace what an earlier attempt of the batch left. A success therefore has its reply, and a
-    crash between the two leaves a reply without success, which the repeated batch completes.
+    A batch leaves out the identities that batches before it recorded, whose names alone it reads. It writes
+    ``path/replies/batch=n``, reads it back, and writes ``path/successes/batch=n`` with the digest of what it read; both
+    replace what an earlier attempt of the batch left. A success therefore has its reply, and a crash between the two
+    leaves a reply without success, which the repeated batch completes.
     """
 
     def put(batch: DataFrame, epoch: int) -> None:
-        raw = f"{path}/replies/batch={epoch}"
-        batch.write.mode("overwrite").parquet(raw)
-        stored = batch.sparkSession.read.schema(REPLIES).parquet(raw)
+        raw, spark = f"{path}/replies/batch={epoch}", batch.sparkSession
+        fresh = batch
+        if epoch:  # a batch's replies stand before the next one begins
+            known = spark.read.schema(f"{REPLIES}, batch long").parquet(f"{path}/replies").where(F.col("batch") < epoch)
+            fresh = batch.join(known.select(F.col("identity").alias("known")), F.col("identity").eqNullSafe(F.col("known")), "left_anti")
+        first_replies(fresh).write.mode("overwrite").parquet(raw)
+        stored = spark.read.schema(REPLIES).parquet(raw)
         stored.select("identity", "seq", F.sha2("reply", 256).alias("reply_sha256")).write.mode("overwrite").parquet(f"{path}/successes/batch={epoch}")
 
-    with keyed_state(replies.sparkSession):
-        writer = first_replies(replies).writeStream.outputMode("append").foreachBatch(put)
-        return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return replies.writeStream.outputMode("append").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 # --- barriers and the deadline of a run ---

@@ -45,6 +45,13 @@ def test_replies_are_recorded_once(spark, tmp_path):
     assert run() == expected
 
 
+def test_first_replies_are_found_without_python(spark):
+    """An aggregate finds them, not a Python call for every identity; rows of no sequence are no replies."""
+    got = S.first_replies(spark.createDataFrame([("a", 2, "late"), ("a", 1, "one"), (None, 5, "two"), ("c", None, "x")], S.REPLIES))
+    assert sorted(map(tuple, got.collect()), key=str) == [("a", 1, "one"), (None, 5, "two")]
+    assert "Python" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "Pandas" not in plan
+
+
 def test_an_identity_binds_all_of_its_parts(spark):
     rows = spark.createDataFrame([("a", "b c"), ("a b", "c"), ("a", None), (None, "a"), ("a", "")], "x string, y string")
     assert rows.select(S.identity("x", "y").alias("i")).distinct().count() == 5

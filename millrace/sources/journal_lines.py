@@ -1,7 +1,7 @@
 """Journals as a data source: lines with their byte offsets, by ranges of files, in batch and as a stream.
 
 ``spark.read.format("journal_lines").option("path", folder)`` gives ``(file, offset, line)``. A file is cut in ranges of
-``splitBytes``; a task owns the lines that start in its range and reads on to end the last one, so one large journal is
+``splitBytes`` (longer ones where a read had more than :data:`MOST_RANGES`); a task owns the lines that start in its range and reads on to end the last one, so one large journal is
 many tasks' work and a line of any length is read once. Lines of white space alone are no rows. Names that begin with
 ``_`` or ``.`` are no journals.
 
@@ -26,6 +26,8 @@ LINES = "file string, offset long, line binary"
 _LINES = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("line", pa.binary())])
 SPLIT = 32 << 20
 BUFFER = 1 << 20
+#: Ranges of one read at most: beyond, each is longer than ``splitBytes`` asks for, as a task costs more than its bytes.
+MOST_RANGES = 256
 
 
 @dataclass
@@ -114,10 +116,9 @@ class _Reader(DataSourceReader):
         self.complete = str(options.get("complete", "false")).lower() == "true"
 
     def partitions(self) -> list[_Range]:
-        out = []
-        for path, size in sorted(_files(self.path).items()):
-            size = _complete(path, size) if self.complete else size
-            out += _ranges(path, 0, size, size, self.split)
+        files = {path: _complete(path, size) if self.complete else size for path, size in sorted(_files(self.path).items())}
+        split = max(self.split, -(-sum(files.values()) // MOST_RANGES))
+        out = [r for path, size in files.items() for r in _ranges(path, 0, size, size, split)]
         return out or [_Range("", 0, 0, 0)]
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:

@@ -220,3 +220,16 @@ def test_late_rows_and_assignment(spark):
     got = journals.assign(spark.range(6).toDF("id"), spark.range(2).toDF("id"), "w", 2).collect()
     assert [(r.id, r.owner) for r in got] == [(2, "w"), (3, "w")]
     assert journals.once(spark.createDataFrame([(1,), (1,), (2,)], "k int"), "k").count() == 2
+
+
+def test_a_read_has_a_bounded_number_of_ranges(spark, tmp_path, monkeypatch):
+    """Ranges grow with the journals, and every line is read once."""
+    from millrace.sources import journal_lines
+
+    monkeypatch.setattr(journal_lines, "MOST_RANGES", 10)
+    for k in range(3):
+        (tmp_path / f"{k}.jsonl").write_bytes(b"".join(b'{"n": %d}\n' % n for n in range(200)))
+    parts = journal_lines._Reader({"path": str(tmp_path), "splitBytes": "11"}).partitions()
+    assert len(parts) <= 10 + 3
+    lines = [line for p in parts for _, line in journal_lines.lines_of(p.path, p.lo, p.hi, p.size)]
+    assert sorted(lines) == sorted(b'{"n": %d}' % n for n in range(200) for _ in range(3))

@@ -85,13 +85,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if files == 1 or _settled(cur):  # one task has seen all edges
             break
         both = cur.select(F.col("a").alias("u"), F.col("b").alias("v")).union(cur.select(F.col("b"), F.col("a")))
-        # written first: a join of two plain exchanges is one whose skewed side can be split
+        # written first: a join of two plain exchanges is one whose skewed side can be split; and merged, as files that
+        # are small by compression would be sent through the driver whole
         low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).coalesce(files), "low")
-        large = both.where("v > u").join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
+        large = both.where("v > u").join(low.hint("merge"), "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
         # small star: every node and its lower neighbours point at the lowest of these
         down = materialize(large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).coalesce(files), "down")
         lowest = materialize(down.groupBy("u").agg(F.min("v").alias("m")).coalesce(files), "low")
-        small = down.join(lowest, "u").select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b"))
+        small = down.join(lowest.hint("merge"), "u").select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b"))
         new = materialize(small.where("a <> b").distinct().coalesce(files), "edges")
         discard(cur, low, down, lowest)
         cur = new

@@ -1,4 +1,4 @@
-"""Streams with keyed state and timers: replies recorded once, barriers and deadlines of runs, exclusive assignment.
+"""Streams: replies recorded once by a join; with keyed state and timers, barriers and deadlines of runs, exclusive assignment.
 
 State lives in Spark's state store, by key: a batch reads the keys that it meets and nothing of the history, and a
 restart goes on from the checkpoint. A batch that is repeated after a crash starts from the state before it, so its

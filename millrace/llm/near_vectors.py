@@ -6,9 +6,9 @@ cosine at least the threshold are links, and links of all passes are united.
 
 A pass finds a pair at the threshold with probability p^b: a hyperplane leaves such a pair on one side with
 probability p, and a window of w among n vectors needs about b = log2(n / w) equal bits. Every label has as many passes
-as :data:`RECALL` asks for at its own n and p. Vectors are hashed relative to the centre of their label, estimated from
-a bounded sample (:data:`SAMPLE`), since hyperplanes through the origin do not part vectors that all point one way; p
-is that of centred pairs, so dense labels have more passes. The sample tunes passes only: all vectors are hashed.
+as :data:`RECALL` asks for at its own n and p. Vectors are hashed relative to the centre of their label, the mean of
+all its different vectors, since hyperplanes through the origin do not part vectors that all point one way; p is that
+of centred pairs, so dense labels have more passes.
 
 What a pass moves are vectors in a byte a component, with the exact length of what rounding took off. That bounds
 every cosine: pairs that the bound settles are links or none, and the few between are decided on the vectors
@@ -52,8 +52,10 @@ BLOCK = 2048
 #: Passes that run together.
 GROUP = 8
 CELL = 512
-#: About so many vectors, by a hash of their id, estimate the labels' centres; a label needs a few of them to be centred.
-SAMPLE, LEAST_SAMPLE = 200_000, 8
+#: A label needs a few vectors to be centred. Components are summed in whole units, so that any order gives the same sum.
+LEAST_CENTRED, UNIT = 8, 1 << 30
+#: Bytes of sums that a task holds before it sends them on.
+SUMS = 4 << 20
 SEED = 7
 
 
@@ -121,11 +123,36 @@ def _usable(kind: str):
     return read
 
 
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers and sums of the unit vectors of a task, by label: one row a label where labels are few."""
+    held: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
+
+    def out() -> pa.RecordBatch:
+        keys, values = list(held), list(held.values())
+        columns = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int32()), pa.array([n for n, _ in values], pa.int64()), pa.array([x.tobytes() for _, x in values], pa.binary())]
+        held.clear()
+        return pa.RecordBatch.from_arrays(columns, names=["label", "size", "n", "total"])
+
+    for batch in batches:
+        labels, sizes = batch.column("label").to_numpy(), batch.column("size").to_numpy()
+        for rows, x in _rows_of(batch, "raw"):
+            rows, x = rows[order := np.argsort(labels[rows], kind="stable")], np.rint(_units(x) * UNIT).astype(np.int64)[order]
+            of, first, count = np.unique(labels[rows], return_index=True, return_counts=True)
+            size = int(sizes[rows[0]])
+            for label, n, total in zip(of.tolist(), count.tolist(), np.add.reduceat(x, first, axis=0), strict=True):
+                before, sums = held.get((label, size), (0, 0))
+                held[label, size] = before + n, sums + total
+        if sum(x.nbytes for _, x in held.values()) > SUMS:
+            yield out()
+    yield out()
+
+
 def _centre(table: pa.Table) -> pa.Table:
-    """The mean unit vector of a label's sample."""
-    _, x = next(_rows_of(table, "raw"))
-    mean = _units(x).mean(axis=0) if len(x) >= LEAST_SAMPLE else np.zeros(x.shape[1])
-    return pa.table({"label": table.column("label")[:1], "size": table.column("size")[:1], "centre": pa.array([mean.tobytes()], pa.binary()), "shared": [float(mean @ mean)]})
+    """The number of a label's vectors and their mean unit vector."""
+    n = int(table.column("n").to_numpy().sum())
+    total = np.frombuffer(b"".join(table.column("total").to_pylist()), dtype=np.int64).reshape(table.num_rows, -1).sum(axis=0)
+    mean = total / UNIT / n if n >= LEAST_CENTRED else np.zeros(len(total))
+    return pa.table({"label": table.column("label")[:1], "size": table.column("size")[:1], "n": pa.array([n], pa.int64()), "centre": pa.array([mean.tobytes()], pa.binary()), "shared": [float(mean @ mean)]})
 
 
 def passes_needed(n: Column, shared: Column, window: int, recall: float = RECALL) -> Column:
@@ -306,12 +333,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     unique = usable.groupBy("label", "raw").agg(F.min("id").alias("node"), F.count("*").alias("copies")).withColumn("size", F.octet_length("raw"))
     unique = materialize(unique.mapInArrow(_tiny, "label long, raw binary, node long, copies long, size int, tiny binary"), "vectors")
 
-    sizes = unique.groupBy("label", "size").agg(F.count("*").alias("n"))
-    total = unique.count()
-    sample = unique.where(F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(max(1, total // SAMPLE))) == 0)
-    centres = sample.select("label", "size", "raw").groupBy("label", "size").applyInArrow(_centre, "label long, size int, centre binary, shared double")
-    nothing = F.expr("cast(repeat('\0', int((size - 1) / 4 * 8)) as binary)") if narrow else F.expr("cast(repeat('\0', size - 1) as binary)")
-    groups = sizes.join(centres, ["label", "size"], "left").withColumn("shared", F.coalesce("shared", F.lit(0.0))).withColumn("centre", F.coalesce("centre", nothing))
+    sums = unique.select("label", "size", "raw").mapInArrow(_sums, "label long, size int, n long, total binary")
+    groups = sums.groupBy("label", "size").applyInArrow(_centre, "label long, size int, n long, centre binary, shared double")
     groups = materialize(groups.select("label", "size", "centre", passes_needed(F.col("n"), F.col("shared"), window, recall).alias("passes")), "groups")
 
     codes = unique.select("node", "label", "size", "raw").join(groups, ["label", "size"])

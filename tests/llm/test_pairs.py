@@ -151,6 +151,30 @@ def test_rounded_vectors_bound_every_cosine():
         assert (np.abs(q @ q.T - u @ u.T) <= slack).all() and slack.max() < 0.1
 
 
+def test_centres_are_means_of_all_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    vectors = rng.standard_normal((600, 6)) + 1
+    rows = [(i, v.tolist(), i % 2 if i < 595 else 7) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    monkeypatch.setattr(nv, "SAMPLE", 50, raising=False)
+    monkeypatch.setattr(nv, "SUMS", 64, raising=False)  # sums go on more than once a task
+    held, write = {}, nv.materialize
+
+    def kept(frame, name):
+        out = write(frame, name)
+        if name == "groups":
+            held.update({r.label: np.frombuffer(r.centre) for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(nv, "materialize", kept)
+    near_vectors(df.repartition(3))
+    units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    for label in (0, 1):
+        mean = units[:595][np.arange(595) % 2 == label].mean(axis=0)
+        assert np.allclose(held[label], mean, rtol=0, atol=1e-8)
+    assert not held[7].any()  # too few to be centred
+
+
 def test_passes_find_planted_pairs(spark):
     """Recall of pairs at the threshold, among vectors without direction and among vectors that share one."""
     rng = np.random.default_rng(8)

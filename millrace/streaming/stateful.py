@@ -8,6 +8,7 @@ batch; batches follow each other.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -157,39 +158,111 @@ def barriers(results: DataFrame, every: int = 5, most_seconds: float = 300.0, le
 ASSIGNED = "queue string, seq long, worker string, item string"
 
 
+#: Free items of one row of state.
+FREE = 256
+#: Items that the first level of what a queue knows has room for, and about so many in a bucket of any level.
+KNOWN = 64
+
+
+class _Queue:
+    """A queue's state during a batch: what is read is kept, and what changed is written once at the end.
+
+    Free items lie in rows of ``FREE``. Known items are in levels of 1, 4, 16, ... buckets by their hash, each level
+    four times the one before; the last one grows. So a batch reads few rows of a long queue and never all of it.
+    """
+
+    def __init__(self, state: _Assign):
+        self.state = state
+        ends = state.ends.get()
+        self.new = ends is None
+        self.head, self.tail, self.count = ends or (0, 0, 0)
+        self.begin, self.stored = self.head, self.tail
+        self.blocks: dict[int, list] = {}
+        self.buckets: dict[tuple[int, int], dict] = {}
+        self.workers: dict[str, list] = {}
+        self.changed: dict[tuple, None] = {}
+
+    def _read(self, rows, key: tuple) -> list:
+        row = None if self.new else rows.getValue(key)
+        return list(row[-1]) if row is not None else []
+
+    def _block(self, at: int) -> list:
+        block = at // FREE
+        if block not in self.blocks:
+            self.blocks[block] = self._read(self.state.items, (block,)) if block * FREE < self.stored else []
+        return self.blocks[block]
+
+    def _bucket(self, level: int, item: str) -> tuple[tuple[int, int], dict]:
+        key = (level, zlib.crc32((item or "").encode()) % 4**level)
+        if key not in self.buckets:
+            self.buckets[key] = dict.fromkeys(self._read(self.state.known, key))
+        return key, self.buckets[key]
+
+    def add(self, item: str) -> None:
+        level, room = 0, KNOWN
+        while True:
+            key, bucket = self._bucket(level, item)
+            if item in bucket:  # an item comes once
+                return
+            if self.count < room:
+                break
+            level += 1
+            room += KNOWN * 4**level
+        bucket[item] = None
+        self._block(self.tail).append(item)
+        self.changed |= {("known", key): None, ("items", self.tail // FREE): None}
+        self.tail, self.count = self.tail + 1, self.count + 1
+
+    def next(self) -> str:
+        item = self._block(self.head)[self.head % FREE]
+        self.head += 1
+        return item
+
+    def held(self, worker: str) -> list:
+        if worker not in self.workers:
+            self.workers[worker] = self._read(self.state.owned, (worker,))
+        return self.workers[worker]
+
+    def write(self) -> None:
+        for kind, key in self.changed:
+            if kind == "known":
+                self.state.known.updateValue(key, (list(self.buckets[key]),))
+            elif kind == "owned":
+                self.state.owned.updateValue((key,), (self.workers[key],))
+            elif (key + 1) * FREE > self.head:
+                self.state.items.updateValue((key,), (self.blocks[key],))
+        for block in range(self.begin // FREE, self.head // FREE):  # rows whose items all have owners
+            if block * FREE < self.stored:
+                self.state.items.removeKey((block,))
+        self.state.ends.update((self.head, self.tail, self.count))
+
+
 class _Assign(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ends = handle.getValueState("ends", "head long, tail long")  # places of the first free item and of the next one
-        self.items = handle.getMapState("items", "at long", "item string")
+        self.ends = handle.getValueState("ends", "head long, tail long, known long")  # places of the first free item and of the next one
+        self.items = handle.getMapState("items", "block long", "items array<string>")
         self.owned = handle.getMapState("owned", "worker string", "items array<string>")
-        self.known = handle.getMapState("known", "item string", "owner string")
+        self.known = handle.getMapState("known", "level int, bucket long", "items array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        head, tail = self.ends.get() if self.ends.exists() else (0, 0)
+        queue = _Queue(self)
         out: list[tuple] = []
         for seq, kind, worker, item, n in zip(frame["seq"], frame["kind"], frame["worker"], frame["item"], frame["n"], strict=True):
             if kind == "item":
-                if not self.known.containsKey((item,)):  # an item comes once
-                    self.known.updateValue((item,), ("",))
-                    self.items.updateValue((tail,), (item,))
-                    tail += 1
+                queue.add(item)
                 continue
-            held = list(self.owned.getValue((worker,))[0]) if self.owned.containsKey((worker,)) else []
+            held = queue.held(worker)
             if kind == "done":
                 done = item if item is not None and item in held else held[0] if item is None and held else None
                 if done is not None:
                     held.remove(done)
             else:
-                while len(held) < int(n) and head < tail:  # what a worker has comes before what is free
-                    (free,) = self.items.getValue((head,))
-                    self.items.removeKey((head,))
-                    self.known.updateValue((free,), (worker,))
-                    held.append(free)
-                    head += 1
+                while len(held) < int(n) and queue.head < queue.tail:  # what a worker has comes before what is free
+                    held.append(queue.next())
                 out += [(int(seq), worker, x) for x in held[: int(n)]]
-            self.owned.updateValue((worker,), (held,))
-        self.ends.update((head, tail))
+            queue.changed["owned", worker] = None
+        queue.write()
         if out:
             yield pd.DataFrame({"queue": [key[0]] * len(out), "seq": [o[0] for o in out], "worker": [o[1] for o in out], "item": [o[2] for o in out]})
 

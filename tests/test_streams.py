@@ -1,10 +1,13 @@
 """Stateful streams over made rows: restarts, repeated batches, timers."""
 
+import copy
 import hashlib
+import random
 import shutil
 from datetime import datetime, timedelta
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,3 +177,88 @@ def test_admissions_go_on_after_a_restart(spark, tmp_path, cut):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert sorted(map(tuple, J.admitted(spark, out).collect())) == expected
+
+
+class _HeldState:
+    """State variables in memory that count calls."""
+
+    def __init__(self):
+        self.calls, self.maps, self.values = 0, {}, {}
+
+    def getValueState(self, name, schema):
+        state = self
+
+        class Value:
+            def exists(self):
+                state.calls += 1
+                return name in state.values
+
+            def get(self):
+                state.calls += 1
+                return state.values.get(name)
+
+            def update(self, value):
+                state.calls += 1
+                state.values[name] = value
+
+        return Value()
+
+    def getMapState(self, name, key, schema):
+        state, held = self, self.maps.setdefault(name, {})
+
+        class Map:
+            def containsKey(self, k):
+                state.calls += 1
+                return k in held
+
+            def getValue(self, k):
+                state.calls += 1
+                return copy.deepcopy(held.get(k))
+
+            def updateValue(self, k, v):
+                state.calls += 1
+                held[k] = copy.deepcopy(v)
+
+            def removeKey(self, k):
+                state.calls += 1
+                del held[k]
+
+        return Map()
+
+
+def test_assignment_reads_and_writes_few_rows_of_state():
+    """A long queue over many batches against plain lists: items come once, and calls are fewer than events."""
+    rng = random.Random(4)
+    state, processor = _HeldState(), S._Assign()
+    processor.init(state)
+    known, free, held, expected, got, events = set(), [], {"a": [], "b": [], "c": []}, [], [], 0
+    for batch in range(12):
+        rows = []
+        for k in range(500):
+            seq, kind, worker = batch * 500 + k, rng.choice(["item"] * 5 + ["ask"] * 2 + ["done"] * 3), rng.choice("abc")
+            item = str(rng.randrange(3000)) if kind == "item" or (kind == "done" and rng.random() < 0.3) else None
+            if kind == "done" and item and held[worker]:
+                item = rng.choice(held[worker])
+            n = rng.randint(1, 40)
+            rows.append((seq, kind, None if kind == "item" else worker, item, n))
+            if kind == "item":
+                if item not in known:
+                    known.add(item)
+                    free.append(item)
+            elif kind == "done":
+                if item in held[worker]:
+                    held[worker].remove(item)
+                elif item is None and held[worker]:
+                    held[worker].pop(0)
+            else:
+                more = max(0, n - len(held[worker]))
+                held[worker] += free[:more]
+                free = free[more:]
+                expected += [(seq, worker, x) for x in held[worker][:n]]
+        rng.shuffle(rows)
+        events += len(rows)
+        frame = pd.DataFrame(rows, columns=["seq", "kind", "worker", "item", "n"])
+        for out in processor.handleInputRows(("q",), iter([frame[:200], frame[200:]]), None):
+            got += list(zip(out["seq"], out["worker"], out["item"], strict=True))
+    assert len(known) > 1500 and got == expected
+    assert state.calls < events / 2

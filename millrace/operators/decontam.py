@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.sequence import Text, ratio_from
 from millrace.functions.text import norm_key
+from millrace.operators.shared_runs import candidates
 from millrace.session import discard, materialize, qualified, scratch_path
 
 #: Up to so many characters of protected texts are sent to every executor; more are joined by shuffle.
@@ -262,6 +263,31 @@ def fuzzy_pairs(left: DataFrame, left_id: str, left_text: str, right: DataFrame,
     return tiles.repartition(max(1, min(count, MOST_TASKS))).mapInArrow(run, f"a {kinds[0].simpleString()}, b {kinds[1].simpleString()}, ratio double")
 
 
+def _ratios(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(k, 64) for b in batches for k in range(0, b.num_rows, 64)):
+            ratios = [ratio_from(Text(x), Text(y), least) for x, y in zip(batch["a_text"].to_pylist(), batch["b_text"].to_pylist(), strict=True)]
+            found = pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(ratios, pa.float64())], names=["a", "b", "ratio"])
+            yield found.filter(pc.is_valid(found["ratio"]))
+
+    return run
+
+
+def like_texts(rows: DataFrame, least: float) -> DataFrame:
+    """``(a, b, ratio)`` with ``a < b`` of different texts ``(id, text, row)``, their ratio at least ``least``.
+
+    Pairs are those that share as many windows as they have to. Texts in which no window is sure, which are short, have
+    dense rare characters or consist of common runs, are compared with all texts of like length.
+    """
+    texts, pairs, rest = candidates(rows, least)
+    side = lambda x: texts.select(F.col("number").alias(x), F.col("id").alias(f"{x}_id"), F.col("text").alias(f"{x}_text"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").where("a_id < b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "a_text", "b_text")
+    kind = rows.schema["id"].dataType.simpleString()
+    found = met.mapInArrow(_ratios(least), f"a {kind}, b {kind}, ratio double")
+    left = materialize(texts.join(rest, F.col("number") == F.col("b"), "left_semi").select("id", "text"), "rest-texts")
+    return found.unionByName(fuzzy_pairs(texts, "id", "text", left, "id", "text", least, below=True))
+
+
 def near_copies(docs: DataFrame, doc_id: str, text: str, least: float) -> DataFrame:
     """``(a, b, ratio)``: pairs of like texts among the first document of each text, and each first document with its copies.
 
@@ -274,9 +300,9 @@ def near_copies(docs: DataFrame, doc_id: str, text: str, least: float) -> DataFr
     first = materialize(first.select("digest", F.col("first.id").alias("first"), F.col("first.row").alias("row")), "first-copies")
     copies = rows.select("id", "digest").join(first.drop("row"), "digest").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("ratio"))
     copies = materialize(copies.distinct(), "copies")
-    alone = materialize(rows.join(first.select("row"), "row", "left_semi").select("id", "text"), "distinct-texts")
+    alone = materialize(rows.join(first.select("row"), "row", "left_semi").select("id", "text", "row"), "distinct-texts")
     discard(rows, first)
-    return fuzzy_pairs(alone, "id", "text", alone, "id", "text", least, below=True).unionByName(copies)
+    return like_texts(alone, least).unionByName(copies)
 
 
 def reasons(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:

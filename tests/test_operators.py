@@ -234,6 +234,66 @@ def test_near_copies_lose_no_like_texts(spark):
     assert {k for k in got if k[0] == 3000} == {(3000, 3001), (3000, 3002)}
 
 
+def test_near_copies_compare_long_texts_by_shared_windows(spark, monkeypatch):
+    """Edits around the ratio, a line that many texts hold and a common run lose no pair; only short texts meet all others."""
+    import difflib
+    import random
+
+    from millrace.operators import shared_runs
+
+    monkeypatch.setattr(shared_runs, "COMMON", 16)  # runs of this many texts in the sample are left out on the driver
+    rng = random.Random(5)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 7))) for _ in range(300)] + ["wax", "my"]
+    prose = lambda n: " ".join(rng.choices(words, k=n))
+    line = prose(14)
+    texts = [f"{prose(rng.randint(70, 110))} {line if i % 2 else prose(5)} {prose(40)}" for i in range(16)]
+    for t in texts[:16]:
+        w = t.split(" ")
+        for _ in range(rng.choice([1, 2, 3, 4, 6])):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        texts.append(" ".join(w))
+    texts += [texts[2][: len(texts[2]) * 17 // 20], texts[5] + prose(14), "short text one", "short text one!"]
+    rng.shuffle(texts)
+    met = []
+    pairs = decontam.fuzzy_pairs
+    monkeypatch.setattr(decontam, "fuzzy_pairs", lambda *a, **k: met.append({r.text for r in a[3].collect()}) or pairs(*a, **k))
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {(r.a, r.b): r.ratio for r in decontam.near_copies(df, "i", "t", 0.9).collect()}
+    ratio = lambda x, y: difflib.SequenceMatcher(None, x, y).ratio()
+    expected = {(a, b): ratio(x, y) for b, y in enumerate(texts) for a, x in enumerate(texts[:b]) if ratio(x, y) >= 0.9}
+    assert got == expected and 6 < len(expected) < 25
+    assert met == [{"short text one", "short text one!"}]
+
+
+def test_windows_are_shared_by_like_texts():
+    """The number of shared windows that a second text is sure of is never more than what edited first texts share."""
+    import difflib
+    import random
+
+    import numpy as np
+
+    from millrace.operators import shared_runs as S
+
+    rng, levels, sure_ones = random.Random(8), np.zeros(1 << S.PLACES, np.uint8), 0
+    levels[rng.sample(range(1 << S.PLACES), 1 << 19)] = 1
+    for _ in range(300):
+        b = "".join(rng.choices("etaoin shrdlu wmbkq", weights=[90] * 14 + [1] * 5, k=rng.randint(200, 900)))
+        a = list(b)
+        for _ in range(rng.randrange(len(b) // 25)):
+            at = rng.randrange(len(a))
+            a[at : at + rng.randrange(1, 6)] = rng.choices("etaoin ", k=rng.randrange(5))
+        a = "".join(a)
+        if difflib.SequenceMatcher(None, a, b).ratio() < 0.9:
+            continue
+        (x, p), (y, q) = ((h, S._ranks(h, levels)) for h in (S._run_hashes(S._codes(t)) for t in (a, b)))
+        window, sure = S.windows_shared(b, q, 1, 0.9)
+        if sure:
+            second = S._chosen(q, window) & (q >> np.uint64(61) < 1)
+            assert np.isin(y[second], x[S._chosen(p, S.WINDOWS[0])]).sum() >= sure
+            sure_ones += 1
+    assert sure_ones > 20
+
+
 def test_fuzzy_queries_compare_whole_texts(spark, tmp_path, monkeypatch):
     """Short or changed first lines lose no pair, a shared opening line makes none; the same pairs as all comparisons."""
     import difflib

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.numbering import number_rows
-from millrace.session import materialize
+from millrace.session import discard, materialize
 
 #: Characters of a hashed run, and lengths of windows: the second text takes one of these, the first one has to serve all.
 RUN, WINDOWS = 12, (16, 24, 32, 48, 64)
@@ -177,7 +177,8 @@ def _levels(texts: DataFrame, share: int) -> np.ndarray:
 
 def _runs(parts: int, levels, left_out: int):
     def rows(held: list[np.ndarray], to: list[np.ndarray]) -> pa.RecordBatch:
-        made = list(_blobs(np.concatenate(to), np.concatenate(held)))
+        # byte by byte, so that numbers of texts, which repeat, are compressed
+        made = [(p, [np.frombuffer(b, np.uint8).reshape(-1, 8).T.tobytes()]) for p, (b,) in _blobs(np.concatenate(to), np.concatenate(held))]
         return pa.RecordBatch.from_arrays([pa.array([p for p, _ in made], pa.int32()), pa.array([b for _, (b,) in made], pa.binary())], names=["part", "runs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +239,7 @@ def _meetings(least: float, parts: int):
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (blobs,) in _by_part(batches, "runs"):
-            runs = np.sort(np.frombuffer(b"".join(blobs), np.uint64))
+            runs = np.sort(np.concatenate([np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(np.uint64).ravel() for b in blobs]))
             del blobs
             # a row a run and text
             starts = np.flatnonzero(np.concatenate([[True], runs[1:] >> np.uint64(8) != runs[:-1] >> np.uint64(8)]))
@@ -300,7 +301,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(rows: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Texts ``(number, id, text)`` of ``rows`` (id, text, row) by id, pairs ``(a, b)`` of numbers, ``a < b``, and numbers ``b`` that are left.
+    """Texts ``(number, id, text)`` of ``rows`` (id, text, row; deleted if they are scratch) by id, pairs ``(a, b)`` of numbers, ``a < b``, and numbers ``b`` that are left.
 
     Every pair whose ratio is at least ``least``, the text of the lower number first, is among the pairs, or its second
     text is among those left, which have to be compared with all texts before them.
@@ -310,8 +311,10 @@ def candidates(rows: DataFrame, least: float) -> tuple[DataFrame, DataFrame, Dat
     left_out = min(max(int(math.log2(max(COMMON / 2 / share, 1))), 1), 7)
     levels = rows.sparkSession.sparkContext.broadcast(_levels(rows, share))
     kind = rows.schema["id"].dataType.simpleString()
-    texts = number_rows(rows, ["id", "row"], "number").select("number", "id", "text")
+    # numbered without their texts, which are written once
+    texts = rows.join(number_rows(rows.select("id", "row"), ["id", "row"], "number").select("row", "number"), "row").select("number", "id", "text")
     texts = materialize(texts.mapInArrow(_measured(least, levels, left_out), f"number long, id {kind}, text string, window long, sure long"), "measured-texts")
+    discard(rows)
     runs = texts.select("number", "text", "window").mapInArrow(_runs(parts, levels, left_out), "part int, runs binary")
     met = runs.repartition(parts, "part").mapInArrow(_meetings(least, 2 * parts), PAIR_ROWS)
     met = met.unionByName(texts.select("number", "sure").mapInArrow(_sure_rows(2 * parts), PAIR_ROWS))

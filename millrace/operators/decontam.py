@@ -337,25 +337,27 @@ def _quote_matches(c: DataFrame, chunks: DataFrame, on: list[str]) -> DataFrame:
 
     A quote's inner words are whole words of a chunk that holds it, so a quote of three words or more meets only chunks
     with a run of its inner words: the first five, or four, two or one of a shorter quote. Keys of all quotes are
-    sent to the chunks while they have :data:`SENT_CHARS` bytes at most, and only runs that are keys leave their task.
-    Quotes of one or two words, few by nature, meet the chunks of their file and pages.
+    sent to the chunks while they have :data:`SENT_CHARS` bytes at most, and only runs that are keys leave their task,
+    without their text: each text is shuffled once, to the quotes that it may hold. Quotes of one or two words, few by
+    nature, meet the chunks of their file and pages, and are sent to them up to :data:`SENT_CHARS` characters.
     """
     k = chunks.select("chunk_id", "filename", F.lower("insurer").alias("who"), F.col("page").cast("int").alias("p"), norm_key(F.col("text")).alias("t"), F.length("text").alias("size"))
     k = k.select(*on, "chunk_id", "t", "size")
     different = c.select(*on, "q").distinct().withColumn("words", F.split("q", " "))
-    inner = F.size("words") - 2
-    long, short = different.where(inner > 0), different.where(inner <= 0).drop("words")
-    keyed = with_runs(long.withColumn("words", F.slice("words", F.lit(2), F.least(inner, F.lit(RUN)))), "words", "runs", shorter=True)
-    keyed = materialize(keyed.select(*on, "q", F.element_at("runs", -1).alias("key")), "quotes")
+    inner = F.greatest(F.size("words") - 2, F.lit(0))
+    quotes = with_runs(different.withColumn("words", F.slice("words", F.lit(2), F.least(inner, F.lit(RUN)))), "words", "runs", shorter=True)
+    quotes = materialize(quotes.select(*on, "q", F.try_element_at("runs", F.lit(-1)).alias("key")), "quotes")
+    keyed, short = quotes.where("key IS NOT NULL"), quotes.where("key IS NULL").drop("key")
     keys = keyed.select("key").distinct()
+    few = (short.agg(F.sum(F.length("q"))).first()[0] or 0) <= SENT_CHARS
     whole = with_runs(k.withColumn("words", F.split("t", " ")), "words", "runs", shorter=True)
     run = F.explode(F.array_distinct("runs")).alias("key")
-    if 8 * keys.count() <= SENT_CHARS:
-        held = whole.select(*on, "chunk_id", "t", "size", run).join(F.broadcast(keys), "key", "left_semi")
-    else:
-        held = whole.select(*on, "chunk_id", run).join(keys, "key", "left_semi").join(k, [*on, "chunk_id"])
-    met = held.join(keyed, [*on, "key"]).where(F.contains("t", F.col("q"))).select(*on, "q", "chunk_id", "size")
-    return met.union(short.join(k, on).where(F.contains("t", F.col("q"))).select(*on, "q", "chunk_id", "size"))
+    held = whole.select(*on, "chunk_id", run).join(F.broadcast(keys) if 8 * keys.count() <= SENT_CHARS else keys, "key", "left_semi")
+    pairs = held.join(keyed, [*on, "key"]).select(*on, "chunk_id", "q").alias("pair")
+    same = [F.col(f"pair.{x}").eqNullSafe(F.col(f"chunk.{x}")) for x in (*on, "chunk_id")]
+    met = pairs.join(k.alias("chunk"), same).where(F.contains("t", F.col("q")))
+    met = met.select(*(f"pair.{x}" for x in on), "q", "chunk.chunk_id", "size")
+    return met.union(k.join(F.broadcast(short) if few else short, on).where(F.contains("t", F.col("q"))).select(*on, "q", "chunk_id", "size"))
 
 
 def cited_chunks(citations: DataFrame, chunks: DataFrame, band: int | None = 1) -> DataFrame:

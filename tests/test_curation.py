@@ -1,5 +1,6 @@
 """Gates, reports, training examples and sinks on the cases that they exist for."""
 
+import hashlib
 import json
 
 import pytest
@@ -97,6 +98,26 @@ def test_cited_chunks_of_short_and_long_quotes(spark, monkeypatch, sent):
     assert sorted((r.cite_id, r.chunk_id) for r in decontam.cited_chunks(c, chunks, band=None).collect()) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (3, 2), (5, 1), (5, 2)]
 
 
+def test_a_chunk_is_shuffled_once_and_not_for_each_of_its_quotes(spark):
+    lines = [" ".join(hashlib.sha256(b"%d %d" % (i, j)).hexdigest()[:12] for j in range(12)) for i in range(200)]
+    chunks = spark.createDataFrame([(0, "f", "a", 1, " ".join(lines))], "chunk_id int, filename string, insurer string, page int, text string")
+    c = spark.createDataFrame([(i, "f", "a", "1", line) for i, line in enumerate(lines)], "cite_id int, filename string, insurer string, page string, quote string")
+
+    def shuffled():
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty()
+        executors = context.statusStore().executorList(False)
+        return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+    sent, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), shuffled()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+    try:
+        assert {(r.cite_id, r.chunk_id) for r in decontam.shortest_cited_chunks(c, chunks).collect()} == {(i, 0) for i in range(200)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", sent)
+    assert shuffled() - before < 20 * sum(map(len, lines))  # a quote is on three pages
+
+
 def test_many_citations_of_one_quote_are_matched_once(spark):
     """Citations of one quote and chunks that hold it meet once, and none of their pairs are rows."""
     words = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta"]

@@ -1,7 +1,7 @@
 """Journals as a data source: lines with their byte offsets, by ranges of files, in batch and as a stream.
 
 ``spark.read.format("journal_lines").option("path", folder)`` gives ``(file, offset, line)``. A file is cut in ranges of
-``splitBytes`` (longer ones where a read had more than :data:`MOST_RANGES`); a task owns the lines that start in its range and reads on to end the last one, so one large journal is
+``splitBytes`` (longer ones where a read had more than :data:`MOST_RANGES`, or a batch of a stream more than :data:`FEW_RANGES` of less than :data:`BUFFER`); a task owns the lines that start in its range and reads on to end the last one, so one large journal is
 many tasks' work and a line of any length is read once. Lines of white space alone are no rows. Names that begin with
 ``_`` or ``.`` are no journals.
 
@@ -25,9 +25,11 @@ NAME = "journal_lines"
 LINES = "file string, offset long, line binary"
 _LINES = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("line", pa.binary())])
 SPLIT = 32 << 20
-BUFFER = 1 << 20
+BUFFER, TAIL = 1 << 20, 1 << 16
 #: Ranges of one read at most: beyond, each is longer than ``splitBytes`` asks for, as a task costs more than its bytes.
 MOST_RANGES = 256
+#: Ranges of a stream's batch that may be shorter than a buffer: beyond, they grow up to one, as a batch waits for all.
+FEW_RANGES = 4
 
 
 @dataclass
@@ -74,7 +76,8 @@ def lines_of(path: str, lo: int, hi: int, size: int) -> Iterator[tuple[int, byte
         file.seek(at)
         parts, skip = [], lo > 0
         while start < hi or skip:
-            more = file.read(min(BUFFER, size - at)) if at < size else b""
+            # up to the range's end, and then what its last line needs
+            more = file.read(min(BUFFER, max(hi - at, TAIL), size - at)) if at < size else b""
             at += len(more)
             parts.append(more)
             if more and b"\n" not in more:
@@ -150,13 +153,14 @@ class _Stream(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[_Range]:
         for path, at in end.items():  # after a restart the checkpoint says what was taken
             self.taken[path] = max(self.taken.get(path, 0), at)
-        out = []
+        out, total = [], sum(max(hi - start.get(path, 0), 0) for path, hi in end.items())
+        split = max(self.split, min(BUFFER, -(-total // FEW_RANGES)), -(-total // MOST_RANGES))
         for path, hi in sorted(end.items()):
             lo = start.get(path, 0)
             if hi > lo:
                 # the bytes up to hi hold no torn line, but hi may stand within one: its line goes on behind it
                 size = _files(path)[path] if path not in self.ends else self.ends[path][0]
-                out += _ranges(path, lo, hi, size, self.split)
+                out += _ranges(path, lo, hi, size, split)
         return out or [_Range("", 0, 0, 0)]
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:

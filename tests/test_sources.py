@@ -233,3 +233,41 @@ def test_a_read_has_a_bounded_number_of_ranges(spark, tmp_path, monkeypatch):
     assert len(parts) <= 10 + 3
     lines = [line for p in parts for _, line in journal_lines.lines_of(p.path, p.lo, p.hi, p.size)]
     assert sorted(lines) == sorted(b'{"n": %d}' % n for n in range(200) for _ in range(3))
+
+
+def test_a_batch_of_a_stream_has_few_ranges_and_is_read_once(spark, tmp_path, monkeypatch):
+    """Short ranges are joined up to a buffer, every line is in one of them, and a task reads few bytes beyond its own."""
+    from millrace.sources import journal_lines
+
+    folder = tmp_path / "j"
+    folder.mkdir()
+    for k in range(2):
+        (folder / f"{k}.jsonl").write_bytes(b"".join(b'{"n": %d}\n' % n for n in range(100_000, 200_000)))
+    size = (folder / "0.jsonl").stat().st_size
+    for most in (1 << 20, 1 << 16):
+        monkeypatch.setattr(journal_lines, "BUFFER", most)
+        stream = journal_lines._Stream({"path": str(folder), "splitBytes": "4096"})
+        parts = stream.partitions({}, stream.latestOffset())
+        assert len(parts) <= max(6, 2 * -(-size // most))
+        lines = [line for p in parts for _, line in journal_lines.lines_of(p.path, p.lo, p.hi, p.size)]
+        assert sorted(lines) == sorted(b'{"n": %d}' % n for n in range(100_000, 200_000) for _ in range(2))
+    scans = spark.sparkContext.accumulator(0)
+    real = readers.first_tears
+
+    def counted(lines):
+        return real(lines.mapInArrow(seen, lines.schema))
+
+    def seen(batches):
+        scans.add(1)
+        yield from batches
+
+    monkeypatch.setattr(journals, "first_tears", counted)
+    held = []
+    monkeypatch.setattr(journals, "before_tears", lambda lines, tears: held.append(lines.storageLevel.useMemory) or readers.before_tears(lines, tears))
+    q = journals.append_before_tears(str(folder), str(tmp_path / "out"), str(tmp_path / "state"), spark, split_bytes=4096)
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert held == [True] and 0 < scans.value <= 7
+    assert spark.read.schema("file string, offset long, line string, batch long").parquet(str(tmp_path / "out")).count() == 200_000

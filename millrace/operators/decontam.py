@@ -71,8 +71,10 @@ def equal_texts(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_
     return d.join(i, "k").select("doc_id", "item_id")
 
 
-#: Counters of a text: of its characters, of its runs of :data:`GRAM` and of :data:`LONG_GRAM` characters, by hash.
-CHARS, GRAMS, LONG_GRAMS, GRAM, LONG_GRAM = 64, 1024, 4096, 4, (8,)
+#: Counters of a text, by hash: of its characters and of its runs of :data:`GRAM` characters.
+CHARS, GRAMS, GRAM = 64, 1024, 4
+#: Lengths of longer runs and their counters: what few counters leave, as unlike runs share them, is asked of more.
+LONG_GRAMS = ((8, 4096), (8, 16384))
 #: Characters of texts whose rare characters a task keeps listed.
 PLACED_CHARS = 1 << 21
 #: Tasks at most; more tiles than that share tasks.
@@ -146,6 +148,11 @@ def _write_blocks(rows: DataFrame, parts: dict[int, int], name: str) -> str:
     return folder
 
 
+def _shared(x: np.ndarray, y: np.ndarray, m: int) -> np.ndarray:
+    """Sums of the smaller counters, a row each; a text of ``m`` characters counts no more than those."""
+    return np.minimum(x, y).sum(axis=1, dtype=np.uint16 if m < 1 << 16 else np.int64).astype(np.int64)
+
+
 def _matches(a: pa.Table, b: pa.Table, least: float, below: bool) -> tuple[list[int], list[int], list[float]]:
     """Rows of both blocks whose ratio is at least ``least``; only what the bounds leave is compared."""
     column = lambda t, c: t[c].to_numpy()
@@ -155,13 +162,14 @@ def _matches(a: pa.Table, b: pa.Table, least: float, below: bool) -> tuple[list[
     n, more_chars, chars, more_grams, grams = n[order], more_chars[order], chars[order], more_grams[order], grams[order]
     b_chars, b_grams = counters(b, "chars", CHARS), counters(b, "grams", GRAMS)
     rare = np.frombuffer(b"".join(b["rare"].to_pylist()), np.int32).reshape(-1, CHARS)
+    chars = np.ascontiguousarray(chars.T)  # a row a counter, as neighbouring texts are summed at once
     open_chars = chars.astype(np.int32)
     open_chars[chars == 255] = np.iinfo(np.int32).max  # a full counter bounds nothing
     a_ids, b_ids = a["id"].combine_chunks(), b["id"].combine_chunks()
     tables = a, b
     texts: dict[tuple[int, int], Text] = {}
     placed = 0
-    long = {(side, q): (np.zeros((t.num_rows, LONG_GRAMS), np.uint8), np.full(t.num_rows, -1, np.int64)) for side, t in enumerate(tables) for q in LONG_GRAM}
+    long = {(side, *k): (np.zeros((t.num_rows, k[1]), np.uint8), np.full(t.num_rows, -1, np.int64)) for side, t in enumerate(tables) for k in LONG_GRAMS}
 
     def text_of(side: int, i: int) -> Text:
         nonlocal placed
@@ -173,37 +181,40 @@ def _matches(a: pa.Table, b: pa.Table, least: float, below: bool) -> tuple[list[
             placed += len(texts[side, i].text)
         return texts[side, i]
 
-    def long_counters(side: int, q: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        held, more = long[side, q]
+    def long_counters(side: int, q: int, size: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        held, more = long[side, q, size]
         for i in at[more[at] < 0].tolist():
-            held[i], more[i] = _counters(_gram_hashes(_codes(tables[side]["text"][i].as_py()), q), LONG_GRAMS)
+            held[i], more[i] = _counters(_gram_hashes(_codes(tables[side]["text"][i].as_py()), q), size)
         return held[at], more[at]
 
     found: tuple[list[int], list[int], list[float]] = ([], [], [])
     for j, (m, c, g) in enumerate(zip(*(column(b, x) for x in ("n", "more_chars", "more_grams")), strict=True)):
         # 2 * min / (n + m) bounds the ratio; ends with a margin for rounding
-        at = np.arange(*np.searchsorted(n, [math.floor(m * least / (2 - least)) - 1, math.ceil(m * (2 - least) / least) + 2]))
-        if below and len(at):
-            at = at[np.asarray(pc.fill_null(pc.less(a_ids.take(pa.array(order[at])), b_ids[j]), False))]
-        need = np.ceil(least * (n[at] + m) / 2 - 1e-6).astype(np.int64)
-        keep = np.minimum(chars[at], b_chars[j]).sum(axis=1, dtype=np.int64) + np.minimum(more_chars[at], c) >= need
-        at, need = at[keep], need[keep]
+        lo, hi = np.searchsorted(n, [math.floor(m * least / (2 - least)) - 1, math.ceil(m * (2 - least) / least) + 2])
+        need = np.ceil(least * (n[lo:hi] + m) / 2 - 1e-6).astype(np.int64)
+        shared = np.minimum(chars[:, lo:hi], b_chars[j][:, None]).sum(axis=0, dtype=np.uint16)
+        keep = shared + np.minimum(more_chars[lo:hi], c) >= need
         # each block but one holds an indexed character that both texts have, and blocks are apart, so their number is
         # bounded by what is not matched too; each may cut GRAM - 1 runs
         met = rare[j].nonzero()[0]
-        most = np.minimum(np.minimum(open_chars[at[:, None], met], rare[j][met]).sum(axis=1, dtype=np.int64) + 1, n[at] + m - 2 * need + 1)
+        most = np.minimum(np.minimum(open_chars[met, lo:hi], rare[j][met][:, None]).sum(axis=0) + 1, n[lo:hi] + m - 2 * need + 1)
+        at = lo + np.flatnonzero(keep)
+        need, most = need[keep], most[keep]
+        if below and len(at):
+            keep = np.asarray(pc.fill_null(pc.less(a_ids.take(pa.array(order[at])), b_ids[j]), False))
+            at, need, most = at[keep], need[keep], most[keep]
         for lo in range(0, len(at), 1024):
             near, floor, cuts = at[lo : lo + 1024], need[lo : lo + 1024], most[lo : lo + 1024]
-            shared = np.minimum(grams[near], b_grams[j]).sum(axis=1, dtype=np.int64) + np.minimum(more_grams[near], g)
+            shared = _shared(grams[near], b_grams[j], m) + np.minimum(more_grams[near], g)
             keep = shared >= floor - (GRAM - 1) * cuts
             near, floor, cuts = order[near[keep]], floor[keep], cuts[keep]
-            for q in LONG_GRAM:
+            for q, size in LONG_GRAMS:
                 least_shared = floor - (q - 1) * cuts
                 ask = np.flatnonzero(least_shared > 0)
                 if len(ask):
-                    (x, more_x), (y, more_y) = long_counters(0, q, near[ask]), long_counters(1, q, np.array([j]))
+                    (x, more_x), (y, more_y) = long_counters(0, q, size, near[ask]), long_counters(1, q, size, np.array([j]))
                     keep = np.ones(len(near), bool)
-                    keep[ask] = np.minimum(x, y).sum(axis=1, dtype=np.int64) + np.minimum(more_x, more_y) >= least_shared[ask]
+                    keep[ask] = _shared(x, y, m) + np.minimum(more_x, more_y) >= least_shared[ask]
                     near, floor, cuts = near[keep], floor[keep], cuts[keep]
             for i in near.tolist():
                 ratio = ratio_from(text_of(0, i), text_of(1, j), least)

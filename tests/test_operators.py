@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions import sequence
 from millrace.operators import bootstrap, corpus, decontam, gates, metrics, numbering, packing, quota, refusal, retrieval, splits, votes
 
 VOTE = "task string, vote int, fact_scores array<int>, contradiction boolean, evidence_spans array<string>"
@@ -215,6 +216,35 @@ def test_ratio_equals_the_standard_library():
         assert ratio_from(Text(a), Text(b), least) == (expected if expected >= least else None)
 
 
+def test_unlike_texts_are_given_up_before_their_blocks_are_looked_for(monkeypatch):
+    """Short texts by their longest common subsequence, long ones by counters that unlike runs seldom share."""
+    import difflib
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    asked = []
+    monkeypatch.setattr(sequence, "_Pair", lambda a, b, real=sequence._Pair: asked.append((a.text, b.text)) or real(a, b))
+    texts = ["".join(rng.choices("abcdefgh ", k=rng.randint(140, 199))) for _ in range(12)]
+    texts += [t[:60] + t[62:] + "h" for t in texts[:4]]
+    for a in texts:
+        for b in texts:
+            ratio = difflib.SequenceMatcher(None, a, b).ratio()
+            found = sequence.ratio_from(sequence.Text(a), sequence.Text(b), 0.9)
+            assert found == (ratio if ratio >= 0.9 else None)
+    assert all(sequence.common_subsequence(sequence.Text(a), sequence.Text(b)) >= 0.9 * (len(a) + len(b)) / 2 - 1 for a, b in asked) and len(asked) < 40
+    asked.clear()
+    long = ["".join(rng.choices("abcdefgh klmnopqrst", [10] * 9 + [0.85] * 10, k=4000)) for _ in range(8)]  # the last ten are indexed
+    long.append(long[0][:100] + long[0][140:])
+    names = ["id", "text", "band", "part", "n", "indexed", "rare", "more_chars", "chars", "more_grams", "grams"]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(9), pa.int64()), pa.array(long), *(pa.array([0] * 9, pa.int32()) for _ in range(2))], names=names[:4])
+    block = pa.Table.from_batches(list(decontam._profiles(iter([rows]))))
+    expected = [(a, b) for b in range(9) for a in range(b) if difflib.SequenceMatcher(None, long[a], long[b]).ratio() >= 0.9]
+    assert sorted(zip(*decontam._matches(block, block, 0.9, True)[:2], strict=True)) == expected
+    assert len(asked) <= 1
+
+
 def test_near_copies_lose_no_like_texts(spark):
     """Many copies of one text, near copies in different order of ids, long and short texts, nulls and repeated ids."""
     import difflib

@@ -276,8 +276,12 @@ def fuzzy_pairs(left: DataFrame, left_id: str, left_text: str, right: DataFrame,
 
 def _ratios(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        second = Text("")
         for batch in (b.slice(k, 64) for b in batches for k in range(0, b.num_rows, 64)):
-            ratios = [ratio_from(Text(x), Text(y), least) for x, y in zip(batch["a_text"].to_pylist(), batch["b_text"].to_pylist(), strict=True)]
+            ratios = []
+            for x, y in zip(batch["a_text"].to_pylist(), batch["b_text"].to_pylist(), strict=True):
+                second = second if second.text == y else Text(y)  # pairs come by their second text, which is indexed once
+                ratios.append(ratio_from(Text(x), second, least))
             found = pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(ratios, pa.float64())], names=["a", "b", "ratio"])
             yield found.filter(pc.is_valid(found["ratio"]))
 

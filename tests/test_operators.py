@@ -245,6 +245,25 @@ def test_unlike_texts_are_given_up_before_their_blocks_are_looked_for(monkeypatc
     assert len(asked) <= 1
 
 
+def test_a_second_text_is_indexed_once_for_its_pairs(monkeypatch):
+    import difflib
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(10)
+    seconds = ["".join(rng.choices("abcdefgh klmnop", [10] * 9 + [0.9] * 6, k=900)) for _ in range(3)]
+    firsts = [y[:k] + "x" * (k % 7) + y[k + k % 90 :] for y in seconds for k in range(0, 900, 9)]
+    pairs = [(i, 1000 + i // 100, x, seconds[i // 100]) for i, x in enumerate(firsts)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("a", "b", "a_text", "b_text"), p, strict=True)) for p in pairs])
+    asked = []
+    monkeypatch.setattr(sequence, "indexed_characters", lambda t, real=sequence.indexed_characters: asked.append(t) or real(t))
+    got = {(a, b): r for out in decontam._ratios(0.9)(iter([batch.slice(0, 130), batch.slice(130)])) for a, b, r in zip(*(c.to_pylist() for c in out.columns), strict=True)}
+    ratio = {(a, b): difflib.SequenceMatcher(None, x, y).ratio() for a, b, x, y in pairs}
+    assert got == {k: r for k, r in ratio.items() if r >= 0.9} and 20 < len(got)
+    assert asked == seconds
+
+
 def test_near_copies_lose_no_like_texts(spark):
     """Many copies of one text, near copies in different order of ids, long and short texts, nulls and repeated ids."""
     import difflib

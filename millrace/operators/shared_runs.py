@@ -134,6 +134,16 @@ def _measured(least: float, levels, left_out: int):
     return measure
 
 
+def _planes(x: bytes) -> bytes:
+    """Numbers byte by byte, so that high bytes, which repeat, are compressed."""
+    return np.frombuffer(x, np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _numbers(x: bytes, kind: type = np.uint64) -> np.ndarray:
+    """The numbers of :func:`_planes`."""
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
 def _blobs(parts: np.ndarray, *columns: np.ndarray) -> Iterable[tuple[int, list[bytes]]]:
     """Each part's values as bytes."""
     order = np.argsort(parts, kind="stable")
@@ -177,8 +187,7 @@ def _levels(texts: DataFrame, share: int) -> np.ndarray:
 
 def _runs(parts: int, levels, left_out: int):
     def rows(held: list[np.ndarray], to: list[np.ndarray]) -> pa.RecordBatch:
-        # byte by byte, so that numbers of texts, which repeat, are compressed
-        made = [(p, [np.frombuffer(b, np.uint8).reshape(-1, 8).T.tobytes()]) for p, (b,) in _blobs(np.concatenate(to), np.concatenate(held))]
+        made = [(p, [_planes(b)]) for p, (b,) in _blobs(np.concatenate(to), np.concatenate(held))]
         return pa.RecordBatch.from_arrays([pa.array([p for p, _ in made], pa.int32()), pa.array([b for _, (b,) in made], pa.binary())], names=["part", "runs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +231,7 @@ PAIRS, COMMONS, SURE = 0, 1, 2
 
 def _pair_rows(kind: int, seconds: np.ndarray, parts: int, codes: np.ndarray, hits: np.ndarray) -> pa.RecordBatch:
     made = list(_blobs((seconds % np.uint64(parts)).astype(np.uint32), codes, hits.astype(np.int64)))
-    arrays = [pa.array([p for p, _ in made], pa.int32()), pa.array([kind] * len(made), pa.int32()), *(pa.array([b[k] for _, b in made], pa.binary()) for k in (0, 1))]
+    arrays = [pa.array([p for p, _ in made], pa.int32()), pa.array([kind] * len(made), pa.int32()), *(pa.array([_planes(b[k]) for _, b in made], pa.binary()) for k in (0, 1))]
     return pa.RecordBatch.from_arrays(arrays, names=["part", "kind", "codes", "hits"])
 
 
@@ -239,7 +248,7 @@ def _meetings(least: float, parts: int):
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (blobs,) in _by_part(batches, "runs"):
-            runs = np.sort(np.concatenate([np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(np.uint64).ravel() for b in blobs]))
+            runs = np.sort(np.concatenate([_numbers(b) for b in blobs]))
             del blobs
             # a row a run and text
             starts = np.flatnonzero(np.concatenate([[True], runs[1:] >> np.uint64(8) != runs[:-1] >> np.uint64(8)]))
@@ -288,7 +297,8 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = {}
         for kind in (PAIRS, COMMONS, SURE):
             of = [k for k, x in enumerate(kinds) if x == kind]
-            table[kind] = _summed(np.frombuffer(b"".join(codes[k] for k in of), np.uint64), np.frombuffer(b"".join(hits[k] for k in of), np.int64))
+            none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            table[kind] = _summed(np.concatenate([none[0], *(_numbers(codes[k]) for k in of)]), np.concatenate([none[1], *(_numbers(hits[k], np.int64) for k in of)]))
         (pairs, shared), (those, common), (number, sure) = table[PAIRS], table[COMMONS], table[SURE]
         left = sure.copy()
         left[np.searchsorted(number, those)] -= common

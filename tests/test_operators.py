@@ -264,6 +264,22 @@ def test_a_second_text_is_indexed_once_for_its_pairs(monkeypatch):
     assert asked == seconds
 
 
+def test_pairs_of_texts_are_laid_out_so_that_they_compress():
+    import pyarrow as pa
+
+    from millrace.operators import shared_runs
+
+    rng = np.random.default_rng(3)
+    codes = np.unique(np.repeat(rng.integers(400_000, 500_000, 100), 300).astype(np.uint64) << np.uint64(31) | rng.integers(0, 400_000, 30_000).astype(np.uint64))
+    rows = shared_runs._pair_rows(shared_runs.PAIRS, codes >> np.uint64(31), 1, codes, np.ones(len(codes), np.int64))
+    size = sum(len(pa.compress(x, "lz4", asbytes=True)) for c in ("codes", "hits") for x in rows[c].to_pylist())
+    assert size < 3 * len(codes)
+    number = np.unique(codes >> np.uint64(31))
+    sure = shared_runs._pair_rows(shared_runs.SURE, number, 1, number, np.ones(len(number), np.int64))
+    kept = [(b, a) for out in shared_runs._kept(iter([rows, sure])) for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+    assert sorted(kept) == [(int(c) >> 31, int(c) & (1 << 31) - 1) for c in codes]
+
+
 def test_near_copies_lose_no_like_texts(spark):
     """Many copies of one text, near copies in different order of ids, long and short texts, nulls and repeated ids."""
     import difflib
